@@ -7,12 +7,17 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall import schemas
+from footfall.functions import urls
+from footfall.functions.properties import sanitise_properties
 from footfall.functions.ranges import DateRange, date_range, last_days
 from footfall.functions.stats import timing_summary
-from footfall.operators import acquisition, audience, conversion, engagement, performance, traffic
-from footfall.operators.sessions import mark_returning, sessionise_by_id
-from footfall.plans import dashboard, rollup, site_sql, workload
-from footfall.sources import fixture
+from footfall.operators import (
+    acquisition, audience, conversion, engagement, explain, ingest, issues, keywords, performance,
+    search, traffic,
+)
+from footfall.operators.sessions import gap_sessions, mark_returning, sessionise_by_id
+from footfall.plans import dashboard, rollup, site_sql, tables, workload
+from footfall.sources import fixture, raw_fixture as raw
 from footfall.sources.fixture import AS_OF, table, web_events
 
 MONTH, WEEK = date_range("30d", AS_OF), date_range("7d", AS_OF)
@@ -153,9 +158,6 @@ def _over_events() -> dict:
         "A55_js_errors": month(p.js_errors),
         "A55b_js_errors_daily": month(p.js_errors_daily),
         "A57_annotations_in_range": lambda s, e: _annotated_days(s, e),
-        "A58_site_sql": lambda s, e: site_sql.site_sql(
-            s, "SELECT country, COUNT(*) AS events FROM events WHERE type = {{kind}} GROUP BY country",
-            "site_b", {"events": e}, {"kind": "pageview"}),
         "A59_dashboard_all": lambda s, e: dashboard.dashboard_long(dashboard.dashboard_all(
             e, sessions_of(e), WEEK, AS_OF, keep=False)),
         "A60_report_sources": lambda s, e: _two_reports(e, s),
@@ -194,6 +196,309 @@ def _over_sessions() -> dict:
     }
 
 
+def _add_nested(s: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit('{"amount":'), F.col("event_id").cast("string"),
+                    F.lit(',"nested":{"Token":"t","ok":true},"session":"abc"}'))
+    return table(s, d, "events").select(
+        F.col("event_id").cast("string").alias("id"), sanitise_properties(text).alias("properties"))
+
+
+def _geo(s: SparkSession, d: str) -> DataFrame:
+    seen = raw.requests(s, d).withColumn(
+        "ip", ingest.client_ip(F.col("forwarded"), F.col("real_ip"), F.col("peer")))
+    return ingest.enrich_geo_ip(seen, raw.ip_ranges(s, d)).select("id", "country", "city")
+
+
+def _zones(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(raw.ZONES, "timezone string, country string")
+
+
+def _pages_with_utm(s: SparkSession, d: str) -> DataFrame:
+    blank = F.lit("")
+    pages = table(s, d, "pages").select(
+        "page_id", "url", F.when(F.col("page_id") % 5 == 0, "kept").otherwise("").alias("utm_source"),
+        *[blank.alias(c) for c in ("utm_medium", "utm_campaign", "utm_term", "utm_content")])
+    return ingest.extract_utm(pages).select("page_id", "utm_source", "utm_medium")
+
+
+def _per_day(events: DataFrame, name: str) -> DataFrame:
+    return events.groupBy("site_id", F.to_date("timestamp").alias("date")).agg(F.count("*").alias(name))
+
+
+def _appended(s: SparkSession, d: str) -> DataFrame:
+    """Half of the events are stored; all of them arrive, twice."""
+    e = web_events(s, d)
+    stored = e.filter(F.col("id").cast("bigint") % 2 == 0)
+    return _per_day(tables.unseen(e.union(e), stored), "appended")
+
+
+def _latest_orders(s: SparkSession, d: str) -> DataFrame:
+    orders = table(s, d, "orders")
+    return tables.upsert_by_key(
+        orders.filter(F.col("o_orderkey") % 2 == 0), orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+def _rebuilt(s: SparkSession, d: str) -> DataFrame:
+    e, path = tables.with_event_date(web_events(s, d)), tables.scratch_path(s, "rebuild")
+    tables.full_rebuild(e.filter("type = 'pageview'"), path, tables.EVENT_PARTITIONS)
+    tables.full_rebuild(e, path, tables.EVENT_PARTITIONS)
+    return _per_day(s.read.parquet(path), "events")
+
+
+def _retention(s: SparkSession) -> DataFrame:
+    policies = s.createDataFrame(
+        [("p1", "site_a", 10, True, None), ("p2", "site_b", 35, True, None), ("p3", "site_c", 30, False, None)],
+        schemas.RETENTION_POLICIES)
+    return tables.retention_cutoffs(policies, datetime(2024, 2, 20))
+
+
+def _archived(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    hot, cold = tables.scratch_path(s, "hot"), tables.scratch_path(s, "cold")
+    tables.archive_cold(web_events(s, d), cold, hot, datetime(2024, 2, 10))
+    return tables.read_events(s, hot), tables.read_events(s, cold)
+
+
+def _archive_parts(s: SparkSession, d: str) -> DataFrame:
+    hot, cold = _archived(s, d)
+    both = hot.withColumn("part", F.lit("hot")).unionByName(cold.withColumn("part", F.lit("cold")))
+    return both.groupBy("site_id", "part").agg(
+        F.count("*").alias("events"), F.min("event_date").alias("first_day"), F.max("event_date").alias("last_day"))
+
+
+def _unified(s: SparkSession, d: str) -> DataFrame:
+    return tables.unified_view(*_archived(s, d)).groupBy("site_id", F.col("event_date").alias("date")).agg(
+        F.count("*").alias("events"), F.countDistinct("user_id").alias("visitors"))
+
+
+def _exported(s: SparkSession, d: str) -> DataFrame:
+    path = tables.scratch_path(s, "export")
+    tables.export_csv(web_events(s, d).select("id", "site_id", "city", "properties"), path)
+    return s.read.option("escape", '"').csv(
+        path, header=True, schema="id string, site_id string, city string, properties string")
+
+
+def _polled_issues(s: SparkSession, d: str) -> DataFrame:
+    rows, k = raw.raw_issues(s, d), F.col("_k")
+    stored = issues.normalise_issues(rows.filter(k % 3 != 0)).withColumn("stale", F.lit(False)).withColumn(
+        "count", F.col("count") - (F.col("sentry_id").cast("bigint") % 5 == 0).cast("bigint"))
+    polled = issues.normalise_issues(rows.filter((k % 2 == 0) & F.col("project_slug").isin("1", "2", "3")))
+    return issues.upsert_issues(stored, polled).select("issue_id", "stale", "changed", "count")
+
+
+def _live_issues(s: SparkSession, d: str) -> DataFrame:
+    return issues.normalise_issues(raw.raw_issues(s, d)).withColumn(
+        "stale", F.when(F.col("sentry_id").cast("bigint") % 7 == 0, True))
+
+
+def _flat_events(s: SparkSession, d: str) -> DataFrame:
+    flat = issues.flatten_events(raw.raw_error_events(s, d))
+    return flat.select(
+        "site_id", "event_id", "message", "exception_value", F.size("tags").alias("tags"),
+        F.size("frames").alias("frames"), F.size(F.filter("frames", lambda f: f["in_app"])).alias("in_app"),
+        F.col("frames")[0]["filename"].alias("first_file"), F.size("breadcrumbs").alias("crumbs"),
+        F.col("breadcrumbs")[0]["message"].alias("first_crumb"),
+        F.element_at("breadcrumbs", -1)["message"].alias("last_crumb"))
+
+
+ISSUE_YEARS = DateRange(datetime(1996, 1, 1), datetime(1999, 12, 31))
+
+
+def _over_raw() -> dict:
+    """Queries over uncleaned inputs, stored tables and the error tracker's feed."""
+    url, i = F.col, issues
+    return {
+        "I01_ingest_clean": lambda s, d: ingest.ingest_clean(raw.raw_events(s, d)),
+        "I01b_ingest_rejects": lambda s, d: ingest.ingest_rejects(raw.raw_events(s, d)).select("id", "reason"),
+        "I02_sanitise_url": lambda s, d: raw.dirty_urls(s, d).select(
+            "page_id", urls.sanitise_url(url("url")).alias("url")),
+        "I03_sanitise_properties": _add_nested,
+        "I04_opt_out_filter": lambda s, d: ingest.opt_out_filter(raw.requests(s, d)).select("id"),
+        "I05_enrich_geo_ip": _geo,
+        "I06_enrich_user_agent": lambda s, d: ingest.enrich_user_agent(
+            raw.requests(s, d).select("id", "user_agent")).drop("user_agent"),
+        "I07_enrich_country_tz": lambda s, d: ingest.enrich_country(
+            raw.requests(s, d).drop("country"), _zones(s)).select("id", "country"),
+        "I08_extract_site_search": lambda s, d: ingest.extract_site_search(raw.search_views(s, d)).select(
+            "site_id", "id", "path", "param", "query"),
+        "I09_extract_utm": _pages_with_utm,
+        "I10_sessionise_by_id": lambda s, d: sessions_of(web_events(s, d)),
+        "I11_sessionise_by_gap": lambda s, d: gap_sessions(web_events(s, d), gap_minutes=360),
+        "I12_mark_returning": lambda s, d: mark_returning(sessions_of(web_events(s, d))).select(
+            "site_id", "id", "user_id", "is_returning"),
+        "I13_incremental_append": _appended,
+        "I14_upsert_by_key": _latest_orders,
+        "I15_full_rebuild": _rebuilt,
+        "I16_daily_rollup": lambda s, d: rollup.daily_rollup(web_events(s, d)),
+        "I17_daily_top_lists": lambda s, d: rollup.daily_top_lists(web_events(s, d)),
+        "I17b_daily_rollup_full": lambda s, d: rollup.daily_rollup_full(web_events(s, d)).select(
+            "site_id", "date", "visitors", "top_pages", "devices"),
+        "I18_retention_delete": lambda s, d: tables.retention_report(web_events(s, d), _retention(s)),
+        "I18b_retention_kept": lambda s, d: _per_day(
+            tables.apply_retention(web_events(s, d), _retention(s)), "events"),
+        "I19_archive_cold": _archive_parts,
+        "I20_unified_view": _unified,
+        "I21_export_table": _exported,
+        "I23_issue_normalise": lambda s, d: i.normalise_issues(raw.raw_issues(s, d)).select(
+            "issue_id", "title", "level", "status", "count", "user_count", "project_slug",
+            "is_regression", "last_release", "first_seen", "last_seen"),
+        "I24_issue_upsert_stale": _polled_issues,
+        "I25_issue_stats_daily": lambda s, d: i.daily_issue_counts(raw.raw_issue_stats(s, d)),
+        "I26_issue_event_flatten": _flat_events,
+        "I28_extract_domain": lambda s, d: table(s, d, "pages").select(
+            "page_id", urls.extract_domain(url("url")).alias("domain"),
+            urls.domain_matches(urls.extract_domain(url("url")), F.lit("example.com")).alias("on_example_com")),
+        "A50_detect_rage_clicks": lambda s, d: engagement.detect_rage_clicks(raw.raw_clicks(s, d)),
+        "A56_issue_list": lambda s, d: i.issue_list(_live_issues(s, d), ISSUE_YEARS).select(
+            "site_id", "sentry_id", "short_id", "title", "level", "status", "count", "user_count",
+            "project", "is_regression", "last_seen"),
+        "A56b_issue_summary": lambda s, d: i.issue_summary(_live_issues(s, d), ISSUE_YEARS),
+        "A56c_issue_trend": lambda s, d: i.issue_trend(
+            i.daily_issue_counts(raw.raw_issue_stats(s, d)), MONTH),
+    }
+
+
+def _serps(s: SparkSession, d: str) -> DataFrame:
+    return search.normalise_snapshots(raw.result_pages(s, d))
+
+
+def _serp_ranks(s: SparkSession, d: str) -> DataFrame:
+    sites = s.createDataFrame([(i, None, i, host, None) for i, host in raw.SITE_DOMAINS], schemas.SITES)
+    return search.observe_ranks(_serps(s, d), raw.event_page_keywords(s), sites)
+
+
+def _diffs(s: SparkSession, d: str) -> DataFrame:
+    return search.serp_diff(search.rank_changes(_serp_ranks(s, d)))
+
+
+def _diff_text(s: SparkSession, d: str) -> DataFrame:
+    shown = F.transform("overtaken_by", lambda o: F.concat(
+        o["domain"], F.lit(":"), F.coalesce(o["previous_position"].cast("string"), F.lit("-")), F.lit(">"),
+        o["position"].cast("string")))
+    return _diffs(s, d).select(
+        "site_id", "keyword", "checked_at", F.array_join("features_added", ",").alias("features_added"),
+        F.array_join("features_removed", ",").alias("features_removed"), F.array_join(shown, ",").alias("overtaken"))
+
+
+def _alerts(s: SparkSession, d: str) -> DataFrame:
+    return search.search_alerts(search.rank_changes(fixture.rank_observations(s, d)))
+
+
+def _feed(s: SparkSession, d: str) -> DataFrame:
+    observations = fixture.rank_observations(s, d)
+    alerts = _alerts(s, d).withColumns(
+        {"created_at": F.col("checked_at"), "read_at": F.lit(None).cast("date")})
+    feed = search.alert_feed(alerts, fixture.page_keywords(observations))
+    return feed.select("site_id", "keyword", "created_at", "type", F.array_join("paths", ",").alias("paths"))
+
+
+def _budget_sites(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(
+        [("site_a", "https://www.s1.example.com/x", True, 240, 3), ("site_b", "s2.example.com", False, None, None),
+         ("site_c", "s3.example.com", True, 0, 500)],
+        "id string, domain string, has_key boolean, min_hours int, max_per_run int")
+
+
+def _due(s: SparkSession, d: str) -> DataFrame:
+    observations = fixture.rank_observations(s, d)
+    history = observations.filter(F.col("checked_at") < "2001-08-01")
+    return search.keywords_due(
+        fixture.page_keywords(observations), _budget_sites(s), history, datetime(2001, 7, 31, 12)
+    ).drop("location")
+
+
+def _with_way(s: SparkSession, d: str) -> DataFrame:
+    """Every keyword change, explained as if even months had dropped and odd ones risen."""
+    return _diffs(s, d).withColumn(
+        "direction", F.when(F.month("checked_at") % 2 == 0, "drop").otherwise("spike"))
+
+
+def _causes(s: SparkSession, d: str) -> DataFrame:
+    return explain.attribute_causes(_with_way(s, d)).select(
+        "site_id", "keyword", "checked_at", F.posexplode("causes").alias("cause_no", "c")
+    ).select("site_id", "keyword", "checked_at", "cause_no", "c.code", "c.phrase")
+
+
+def _rivals(s: SparkSession, d: str) -> DataFrame:
+    return explain.pick_rival(_diffs(s, d)).filter("rival IS NOT NULL").select(
+        "site_id", "keyword", "checked_at", "rival.domain", "rival.position", "rival.also_cited", "rival.overtook")
+
+
+def _weekly(s: SparkSession, d: str, **floors) -> DataFrame:
+    return explain.weekly_change(traffic.page_traffic_trend(web_events(s, d), MONTH), **floors)
+
+
+def _explained(s: SparkSession, d: str) -> DataFrame:
+    return explain.explain_traffic(
+        _weekly(s, d, min_pct=5, min_views=2), explain.latest_findings(_diffs(s, d)),
+        raw.event_page_keywords(s), datetime(2001, 11, 5), "30d")
+
+
+def _part_phrases(s: SparkSession, d: str) -> DataFrame:
+    name, slot = F.col("p_name"), F.col("p_partkey") % 6
+    path = (
+        F.when(slot == 0, F.concat(F.lit("/blog/2024/"), F.replace(name, F.lit(" "), F.lit("-"))))
+        .when(slot == 1, F.concat(F.lit("/0:/Guides/"), F.replace(name, F.lit(" "), F.lit("%20")), F.lit(".html?x=1#y")))
+        .when(slot == 2, "/Login")
+        .when(slot == 3, F.concat(F.lit("/docs/"), F.substring_index(name, " ", -1), F.lit("/12")))
+        .when(slot == 4, "/notes/")
+        .otherwise(F.concat(F.lit("/x/"), F.replace(name, F.lit(" "), F.lit("_")), F.lit("+7th+(2024)"))))
+    return table(s, d, "part").select("p_partkey", keywords.phrase_from_path(path).alias("phrase"))
+
+
+def _taken(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([("site_a", "/blog", "Free Templates")], "site_id string, path string, keyword string")
+
+
+def _newest_serps(s: SparkSession, d: str) -> DataFrame:
+    return search.freshest_snapshot(_serps(s, d), datetime(2002, 1, 1), max_age_hours=24 * 365 * 10)
+
+
+def _over_search() -> dict:
+    """Queries over result pages and rank observations."""
+    return {
+        "I27_serp_normalise": lambda s, d: _serps(s, d).select(
+            "keyword", F.to_date("fetched_at").alias("month"), F.explode("organic").alias("r")
+        ).select("keyword", "month", "r.*"),
+        "I27b_serp_parts": lambda s, d: _serps(s, d).select(
+            "keyword", F.to_date("fetched_at").alias("month"), "has_ai_overview",
+            F.size("citations").alias("citations"),
+            F.try_element_at("people_also_ask", F.lit(1))["question"].alias("first_question"),
+            F.array_join(F.transform("related_searches", lambda r: r["query"]), ",").alias("related"),
+            F.array_join("features", ",").alias("features")),
+        "R01_locate_domain": lambda s, d: _serps(s, d).select(
+            "keyword", F.to_date("fetched_at").alias("month"),
+            search.locate_domain(F.col("organic"), F.lit("s1.example.com"))["position"].alias("position")),
+        "R02_rank_observations": lambda s, d: _serp_ranks(s, d).select(
+            "site_id", "keyword", "checked_at", "position", "ai_overview", "is_cited", "url"),
+        "R03_rank_change": lambda s, d: search.rank_changes(fixture.rank_observations(s, d)).select(
+            "site_id", "keyword", "checked_at", "position", "previous_position", "position_change", "citation_change"),
+        "R04_serp_diff": _diff_text,
+        "R05_search_alerts": lambda s, d: _alerts(s, d).drop("location", "device"),
+        "R05b_serp_alerts": lambda s, d: search.search_alerts(_diffs(s, d)).select(
+            "site_id", "keyword", "checked_at", "type", "message"),
+        "R06_alert_feed": _feed,
+        "R07_rank_history_series": lambda s, d: search.rank_history_series(
+            fixture.rank_observations(s, d)).drop("location", "device"),
+        "R08_keywords_due": _due,
+        "R08b_rank_budget": lambda s, d: search.rank_budget(
+            fixture.page_keywords(fixture.rank_observations(s, d)), _budget_sites(s)),
+        "R09_weekly_change": _weekly,
+        "R10_attribute_causes": _causes,
+        "R11_pick_rival": _rivals,
+        "R12_next_step": lambda s, d: _explained(s, d).select("site_id", "path", "next_action", "next_text"),
+        "R13_explain_traffic": lambda s, d: _explained(s, d).select(
+            "site_id", "path", "explanation", "confidence",
+            F.array_join("cause_codes", ",").alias("cause_codes"), F.array_join("caveats", " ").alias("caveats")),
+        "R14_steady_page_score": lambda s, d: explain.steady_page_score(
+            _weekly(s, d), explain.latest_findings(_diffs(s, d)), raw.event_page_keywords(s)),
+        "R15_path_to_phrase": _part_phrases,
+        "R16_keyword_suggestions": lambda s, d: keywords.keyword_suggestions(
+            web_events(s, d), _taken(s), MONTH, _newest_serps(s, d)),
+        "R17_site_suggestions": lambda s, d: keywords.site_suggestions(
+            web_events(s, d), _taken(s), MONTH).select("site_id", "path", "views", "keyword", "rank"),
+    }
+
+
 def _shown(df: DataFrame) -> DataFrame:
     """Dates and times as text, the form in which the reports hand them out."""
     return df.select(*[
@@ -212,6 +517,10 @@ def catalog() -> dict:
     over_sessions = {
         n: (lambda s, d, f=f: f(sessions_of(web_events(s, d)))) for n, f in _over_sessions().items()}
     other = {
+        **_over_raw(), **_over_search(),
+        "A58_site_sql": lambda s, d: site_sql.site_sql(
+            s, "SELECT country, COUNT(*) AS events FROM events WHERE type = {{kind}} GROUP BY country",
+            "site_b", lambda session: {"events": web_events(session, d)}, {"kind": "pageview"}),
         "B01_timing_summary": lambda s, d: timing_summary(table(s, d, "events"), ["event_type"], "value"),
     }
     return {n: _bind(f) for n, f in sorted({**over_events, **over_sessions, **other}.items())}

@@ -218,12 +218,12 @@ def kpi_from_rollup(rollup, period, site_id=None) -> DataFrame:
 
 def comparison(events, period, site_id=None) -> DataFrame:
     """Daily series of the period beside the one before it, matched by day number."""
-    by_day = Window.partitionBy("site_id").orderBy("date")
+    in_order = Window.partitionBy("site_id").orderBy("date")
 
     def series(p, end_inclusive):
         rows = period_rows(events, p, site_id, end_inclusive=end_inclusive)
         daily = rows.groupBy("site_id", by_day()).agg(n_visitors(), n_sessions(), n_pageviews())
-        return daily.withColumn("_day", F.row_number().over(by_day))
+        return daily.withColumn("_day", F.row_number().over(in_order))
 
     before = series(period.previous(), False).select(
         "site_id", "_day", *[F.col(c).alias(f"prev_{c}")

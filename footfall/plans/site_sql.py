@@ -4,6 +4,7 @@ where each name is a view of that tenant's rows; values are bound, never pasted
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,18 +18,18 @@ def template_variables(text: str) -> list[str]:
 
 
 def site_sql(
-    spark: SparkSession, text: str, site_id: str, tables: dict[str, DataFrame],
+    spark: SparkSession, text: str, site_id: str,
+    open_tables: Callable[[SparkSession], dict[str, DataFrame]],
     variables: dict[str, object] | None = None, row_cap: int = ROW_CAP,
 ) -> DataFrame:
-    """Run `text` over the tenant's rows, at most `row_cap` of them. {{name}} becomes a bound
-    parameter: {{site_id}} is the tenant, names without a value are NULL."""
+    """Run `text` over the tenant's rows, at most `row_cap` of them. `open_tables` opens the tables
+    by name in the session it is given. {{name}} becomes a bound parameter: {{site_id}} is the
+    tenant, names without a value are NULL."""
     session = spark.newSession()
-    for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+    for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.shuffle.partitions"):
         session.conf.set(key, spark.conf.get(key))
-    for name, table in tables.items():
-        scoped = table.filter(table["site_id"] == site_id)
-        in_session = DataFrame(scoped._jdf, session)
-        session.sql("SELECT * FROM {t}", t=in_session).createOrReplaceTempView(name)
+    for name, table in open_tables(session).items():
+        table.filter(table["site_id"] == site_id).createOrReplaceTempView(name)
     given = {**(variables or {}), "site_id": site_id}
     args = {name: given.get(name) for name in template_variables(text)}
     return session.sql(_VARIABLE.sub(r":\1", text), args=args).limit(row_cap)

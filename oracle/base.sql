@@ -79,4 +79,67 @@ typed AS (
          MAX(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) = 1 AS ai_overview,
          MAX(CASE WHEN l_linestatus = 'O' AND l_returnflag = 'A' THEN 1 ELSE 0 END) = 1 AS is_cited
   FROM lineitem GROUP BY 1, 2, 5
+), raw_ev AS (
+  SELECT *, CAST(id AS BIGINT) AS n FROM web_events
+), reqs AS (
+  SELECT event_id AS n, user_id AS u, CAST(event_id AS VARCHAR) AS id,
+    '10.' || CAST(event_id % 4 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(event_id % 256 AS VARCHAR) AS ip,
+    10 * 16777216 + (event_id % 4) * 65536 + (user_id % 256) * 256 + event_id % 256 AS ipn
+  FROM events
+), issue_src AS (
+  SELECT o_orderkey AS k, CASE WHEN o_custkey % 10 < 7 THEN 'site_a' WHEN o_custkey % 10 < 9 THEN 'site_b' ELSE 'site_c' END AS site_id,
+    SUBSTR(o_orderpriority, 1, 1) AS project_slug, o_orderpriority, o_orderstatus, CAST(FLOOR(o_totalprice) AS BIGINT) AS cnt,
+    o_orderdate AS first_seen, o_orderdate + INTERVAL 5 DAY AS last_seen
+  FROM orders
+), issue_rows AS (
+  SELECT k, site_id || ':' || CAST(k AS VARCHAR) AS issue_id, site_id, CAST(k AS VARCHAR) AS sentry_id, 'S-' || CAST(k AS VARCHAR) AS short_id,
+    CASE WHEN k % 3 <> 0 THEN 'Error in ' || o_orderpriority WHEN k % 6 = 0 THEN 'Meta value' ELSE 'MetaType' END AS title,
+    CASE k % 4 WHEN 0 THEN 'fatal' WHEN 2 THEN 'warning' ELSE 'error' END AS level,
+    CASE o_orderstatus WHEN 'F' THEN 'resolved' ELSE 'unresolved' END AS status, cnt AS count, k % 50 AS user_count, project_slug,
+    k % 10 = 0 AS is_regression, '1.' || CAST(k % 4 AS VARCHAR) AS last_release, first_seen, last_seen
+  FROM issue_src
+), slots AS (
+  SELECT CASE l_partkey % 20 WHEN 0 THEN 'email templates' WHEN 1 THEN 'products' WHEN 2 THEN 'pricing' ELSE 'kw_' || CAST(l_partkey % 20 AS VARCHAR) END AS keyword,
+    CAST(DATE_TRUNC('month', l_shipdate) AS DATE) AS month, l_orderkey % 10 + 1 AS slot,
+    MIN(l_suppkey + l_partkey) % 8 AS host, MAX(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS is_open,
+    MAX(CASE WHEN l_returnflag = 'A' AND l_quantity > 40 THEN 1 ELSE 0 END) AS quoted
+  FROM lineitem GROUP BY 1, 2, 3
+), snaps AS (
+  SELECT keyword, month, CAST(EXTRACT(MONTH FROM month) AS INTEGER) AS m, LAG(month) OVER (PARTITION BY keyword ORDER BY month) AS prev_month,
+    COALESCE(MAX(CASE WHEN slot <= 3 THEN is_open END) = 1 AND EXTRACT(MONTH FROM month) % 3 <> 0, FALSE) AS has_ai
+  FROM slots GROUP BY keyword, month
+), cites AS (
+  SELECT s.keyword, s.month, s.slot, s.host FROM slots s JOIN snaps n ON n.keyword = s.keyword AND n.month = s.month WHERE n.has_ai AND s.quoted = 1 AND s.slot <= 4
+), page_kw AS (
+  SELECT s.site_id, s.host AS own, p.path, k.keyword, k.is_primary
+  FROM (VALUES ('site_a', 1), ('site_b', 2), ('site_c', 3)) s(site_id, host)
+  CROSS JOIN (VALUES (0, '/products', 'products'), (1, '/pricing', 'pricing'), (2, '/docs', 'kw_3'), (3, '/blog', 'kw_4'), (4, '/signup', 'kw_5'), (5, '/guides/email-templates', 'email templates'), (6, '/', 'kw_7')) p(i, path, name)
+  CROSS JOIN LATERAL (SELECT p.name AS keyword, TRUE AS is_primary UNION ALL SELECT 'kw_' || CAST(p.i + 8 AS VARCHAR), FALSE) k
+), ranks AS (
+  SELECT t.site_id, t.own, n.keyword, n.month, n.m, n.prev_month, n.has_ai,
+    (SELECT MIN(s.slot) FROM slots s WHERE s.keyword = n.keyword AND s.month = n.month AND s.host = t.own) AS position,
+    EXISTS (SELECT 1 FROM cites c WHERE c.keyword = n.keyword AND c.month = n.month AND c.host = t.own) AS is_cited
+  FROM snaps n JOIN (SELECT DISTINCT site_id, own, keyword FROM page_kw) t ON t.keyword = n.keyword
+), changes AS (
+  SELECT r.*, p.position AS prev_position, p.has_ai AS prev_ai, p.is_cited AS prev_cited, p.m AS pm, p.month IS NOT NULL AS has_previous,
+    CASE WHEN p.month IS NULL THEN 'unknown' WHEN NOT p.has_ai AND r.has_ai THEN 'new_overview' WHEN p.is_cited AND NOT r.is_cited THEN 'lost'
+      WHEN NOT p.is_cited AND r.is_cited THEN 'gained' ELSE 'unchanged' END AS citation_change
+  FROM ranks r LEFT JOIN ranks p ON p.site_id = r.site_id AND p.keyword = r.keyword AND p.month = r.prev_month
+), first_slots AS (
+  SELECT keyword, month, host, MIN(slot) AS slot FROM slots GROUP BY 1, 2, 3
+), over_rows AS (
+  SELECT c.site_id, c.keyword, c.month, f.host, f.slot, b.slot AS was,
+    ROW_NUMBER() OVER (PARTITION BY c.site_id, c.keyword, c.month ORDER BY f.slot) AS rn
+  FROM changes c JOIN first_slots f ON f.keyword = c.keyword AND f.month = c.month AND f.host <> c.own AND (c.position IS NULL OR f.slot < c.position)
+  LEFT JOIN first_slots b ON b.keyword = c.keyword AND b.month = c.prev_month AND b.host = f.host
+  WHERE c.prev_position IS NOT NULL AND (b.slot IS NULL OR b.slot > c.prev_position)
+), overs AS (
+  SELECT site_id, keyword, month, STRING_AGG('s' || CAST(host AS VARCHAR) || '.example.com:' || COALESCE(CAST(was AS VARCHAR), '-') || '>' || CAST(slot AS VARCHAR), ',' ORDER BY slot) AS overtaken,
+    STRING_AGG(CASE WHEN rn <= 2 THEN 's' || CAST(host AS VARCHAR) || '.example.com' END, ', ' ORDER BY slot) AS names, COUNT(*) AS n_over
+  FROM over_rows WHERE rn <= 3 GROUP BY 1, 2, 3
+), diffs AS (
+  SELECT c.*, COALESCE(o.overtaken, '') AS overtaken, o.names, COALESCE(o.n_over, 0) AS n_over,
+    has_previous AND m % 5 = 0 AND pm % 5 <> 0 AS add_snippet, has_previous AND m % 2 = 0 AND pm % 2 <> 0 AS add_paa, has_previous AND m % 4 = 0 AND pm % 4 <> 0 AS add_video,
+    has_previous AND m % 5 <> 0 AND pm % 5 = 0 AS del_snippet, has_previous AND m % 2 <> 0 AND pm % 2 = 0 AS del_paa, has_previous AND m % 4 <> 0 AND pm % 4 = 0 AS del_video
+  FROM changes c LEFT JOIN overs o ON o.site_id = c.site_id AND o.keyword = c.keyword AND o.month = c.month
 )
