@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall import schemas
 from footfall.functions import urls
+from footfall.functions.numbers import present
 from footfall.functions.properties import sanitise_properties
 from footfall.functions.ranges import DateRange, date_range, last_days
 from footfall.functions.stats import timing_summary
@@ -419,7 +420,7 @@ def _causes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _rivals(s: SparkSession, d: str) -> DataFrame:
-    return explain.pick_rival(_diffs(s, d)).filter("rival IS NOT NULL").select(
+    return present(explain.pick_rival(_diffs(s, d)), "rival").select(
         "site_id", "keyword", "checked_at", "rival.domain", "rival.position", "rival.also_cited", "rival.overtook")
 
 
@@ -442,7 +443,8 @@ def _part_phrases(s: SparkSession, d: str) -> DataFrame:
         .when(slot == 3, F.concat(F.lit("/docs/"), F.substring_index(name, " ", -1), F.lit("/12")))
         .when(slot == 4, "/notes/")
         .otherwise(F.concat(F.lit("/x/"), F.replace(name, F.lit(" "), F.lit("_")), F.lit("+7th+(2024)"))))
-    return table(s, d, "part").select("p_partkey", keywords.phrase_from_path(path).alias("phrase"))
+    parts = table(s, d, "part").select("p_partkey", path.alias("path"))
+    return keywords.with_phrase(parts).select("p_partkey", "phrase")
 
 
 def _taken(s: SparkSession) -> DataFrame:

@@ -82,3 +82,9 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 def desc_then(measure: str, *names: str) -> list[Column]:
     """Largest first, then the names in ascending order with NULL last."""
     return [F.col(measure).desc(), *[F.col(n).asc_nulls_last() for n in names]]
+
+
+def present(df: DataFrame, column: str) -> DataFrame:
+    """Rows with a value in `column`. Written as an explode, because a filter on a costly column is
+    pushed below it and the column would be computed twice."""
+    return df.withColumn(column, F.explode(F.array_compact(F.array(column))))

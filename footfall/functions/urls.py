@@ -34,13 +34,24 @@ def _pair_name(pair: Column) -> Column:
     return F.coalesce(F.try_url_decode(name), name)
 
 
+def query_pairs(url: Column) -> Column:
+    """Decoded query parameters in order, as an array of (name, value). Keep it in a column of its
+    own when several parameters are looked up, so the URL is taken apart once."""
+    def value(p: Column) -> Column:
+        text = F.replace(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1), F.lit("+"), F.lit(" "))
+        return F.coalesce(F.try_url_decode(text), text)
+
+    return F.transform(F.split(query_string(url), "&"), lambda p: F.struct(
+        _pair_name(p).alias("name"), value(p).alias("value")))
+
+
+def pair_value(pairs: Column, name: str) -> Column:
+    """Value of the first parameter of that name, NULL when absent."""
+    return F.try_element_at(F.filter(pairs, lambda p: p["name"] == name), F.lit(1))["value"]
+
+
 def query_parameter(url: Column, name: str) -> Column:
-    """Decoded value of the first parameter of that name, NULL when absent."""
-    pairs = F.split(query_string(url), "&")
-    hit = F.try_element_at(F.filter(pairs, lambda p: _pair_name(p) == name), F.lit(1))
-    value = F.when(hit.contains("="), F.regexp_extract(hit, r"(?s)^[^=]*=(.*)$", 1)).otherwise("")
-    plain = F.replace(value, F.lit("+"), F.lit(" "))
-    return F.when(hit.isNotNull(), F.coalesce(F.try_url_decode(value), plain))
+    return pair_value(query_pairs(url), name)
 
 
 def sanitise_url(url: Column) -> Column:
@@ -80,6 +91,11 @@ def domain_matches(candidate: Column, target: Column) -> Column:
     return F.coalesce(same & (c != "") & (t != ""), F.lit(False))
 
 
+def same_site(host: Column, site: Column) -> Column:
+    """`domain_matches` for two hosts that already come from `extract_domain`."""
+    return F.coalesce((host == site) | host.endswith(F.concat(F.lit("."), site)), F.lit(False))
+
+
 def url_path(url: Column) -> Column:
     """Path part of an absolute or relative URL, `/` when empty."""
     rest = F.regexp_replace(url, r"(?i)^[a-z][a-z0-9+.\-]*://[^/?#]*", "")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.functions.numbers import and_list, round_half_up, shown_number, top_per
-from footfall.functions.urls import domain_matches
+from footfall.functions.urls import same_site
 from footfall.operators.search import KEY, PAGE_ONE, RANK_MOVE, feature_name
 from footfall.operators.traffic import direction
 
@@ -63,7 +63,7 @@ def _cause(code: str, *text: str | Column, features: Column | None = None) -> Co
 def other_cited(citations: Column, domain: Column) -> Column:
     """Domains quoted in the AI answer other than the site's own."""
     domains = F.transform(citations, lambda c: c["domain"])
-    return F.filter(domains, lambda d: d.isNotNull() & ~domain_matches(d, domain))
+    return F.filter(domains, lambda d: d.isNotNull() & ~same_site(d, domain))
 
 
 def attribute_causes(findings: DataFrame) -> DataFrame:
@@ -119,21 +119,24 @@ def pick_rival(findings: DataFrame) -> DataFrame:
     above = F.filter(F.slice("organic", 1, 10), lambda c: (
         c["domain"].isNotNull() & c["position"].isNotNull()
         & (F.col("position").isNull() | (c["position"] < F.col("position")))))
-    cited = other_cited(F.col("citations"), F.col("domain"))
-    passed = F.transform("overtaken_by", lambda o: o["domain"])
+    prepared = findings.withColumns({
+        "_cited": other_cited(F.col("citations"), F.col("domain")),
+        "_passed": F.transform("overtaken_by", lambda o: o["domain"])})
     marked = F.transform(above, lambda c: F.struct(
         c["domain"].alias("domain"), c["url"].alias("url"), c["title"].alias("title"),
         c["position"].alias("position"),
-        F.array_contains(cited, c["domain"]).alias("also_cited"),
-        F.array_contains(passed, c["domain"]).alias("overtook")))
-
-    def first(test) -> Column:
-        return F.try_element_at(F.filter("_above", test), F.lit(1))
-
-    return findings.withColumn("_above", marked).withColumn("rival", F.coalesce(
-        first(lambda c: c["overtook"] & c["also_cited"]), first(lambda c: c["overtook"]),
-        first(lambda c: c["also_cited"]), F.try_element_at("_above", F.lit(1)),
-    )).drop("_above")
+        F.array_contains("_cited", c["domain"]).alias("also_cited"),
+        F.array_contains("_passed", c["domain"]).alias("overtook")))
+
+    def worth(c: Column) -> Column:
+        """Smaller is better: passed and quoted, passed, quoted, neither; then the position."""
+        return F.when(c["overtook"] & c["also_cited"], 1).when(c["overtook"], 2).when(
+            c["also_cited"], 3).otherwise(4)
+
+    ordered = F.array_min(F.transform(marked, lambda c, i: F.struct(
+        worth(c).alias("worth"), i.alias("turn"), c.alias("rival"))))
+    return prepared.withColumn("_best", ordered).withColumn("rival", F.col("_best.rival")).drop(
+        "_best", "_cited", "_passed")
 
 
 # Advice texts.

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions.classify import is_blank
 from footfall.functions.geo import country_name, ip_number, locale_country
+from footfall.functions.numbers import present
 from footfall.functions.ordered import previous_row
 from footfall.functions.properties import merge_objects, sanitise_properties
 from footfall.functions.urls import (
-    SEARCH_PARAMETERS, query_parameter, sanitise_referrer, sanitise_url, url_path,
+    SEARCH_PARAMETERS, pair_value, query_pairs, sanitise_referrer, sanitise_url, url_path,
 )
 
 # Accepted event types; anything else is stored as `custom`.
@@ -161,14 +160,18 @@ def read_zone_table(spark, path: str) -> DataFrame:
 def extract_site_search(views: DataFrame) -> DataFrame:
     """On-site searches found in page URLs: the first non-empty known parameter. A search equal to
     the one before it in the same session (same page, parameter and text) is not repeated."""
-    texts = [F.nullif(F.trim(query_parameter(F.col("url"), p)), F.lit("")) for p in SEARCH_PARAMETERS]
-    found = F.coalesce(*[
-        F.when(t.isNotNull(), F.struct(F.lit(p).alias("param"), t.alias("query")))
-        for p, t in zip(SEARCH_PARAMETERS, texts)])
-    searches = views.select(
-        "site_id", "session_id", "user_id", "id", "timestamp", url_path(F.col("url")).alias("path"),
-        found.alias("f"),
-    ).filter("f IS NOT NULL").select("*", "f.*").drop("f")
+    known = F.array(*[F.lit(p) for p in SEARCH_PARAMETERS])
+    first_of_name = F.transform(known, lambda name: F.struct(
+        name.alias("param"),
+        F.trim(F.try_element_at(F.filter("_pairs", lambda p: p["name"] == name), F.lit(1))["value"])
+        .alias("query")))
+    found = F.try_element_at(F.filter(first_of_name, lambda f: f["query"] != ""), F.lit(1))
+    with_query = views.filter(F.col("url").contains("?")).withColumn(
+        "_pairs", query_pairs(F.col("url")))
+    searches = (
+        present(with_query.withColumn("_found", found), "_found")
+        .select("site_id", "session_id", "user_id", "id", "timestamp",
+                url_path(F.col("url")).alias("path"), "_found.*"))
     searches = searches.withColumn(
         "_key", F.concat_ws("", "path", F.lit("?"), "param", F.lit("="), F.lower("query")))
     linked = previous_row(
@@ -179,7 +182,6 @@ def extract_site_search(views: DataFrame) -> DataFrame:
 def extract_utm(events: DataFrame) -> DataFrame:
     """Fill empty campaign columns from the URL's parameters of the same name."""
     names = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content"]
-    return reduce(
-        lambda df, c: df.withColumn(c, F.coalesce(
-            F.nullif(F.col(c), F.lit("")), query_parameter(F.col("url"), c), F.lit(""))),
-        names, events)
+    return events.withColumn("_pairs", query_pairs(F.col("url"))).withColumns({
+        c: F.coalesce(F.nullif(F.col(c), F.lit("")), pair_value(F.col("_pairs"), c), F.lit(""))
+        for c in names}).drop("_pairs")

@@ -19,7 +19,7 @@ def _first_text(*options: Column) -> Column:
 
 def normalise_issues(raw: DataFrame) -> DataFrame:
     """Raw (site_id, project_slug, issue JSON) to issue rows."""
-    i = F.from_json("issue", schemas.RAW_ISSUE)
+    i = F.col("_i")
     meta = i["metadata"]
     release = F.get_json_object("issue", "$.lastRelease.version")
     release = _first_text(release, F.when(~i["lastRelease"].startswith("{"), i["lastRelease"]))
@@ -30,7 +30,7 @@ def normalise_issues(raw: DataFrame) -> DataFrame:
     def number(c: Column) -> Column:
         return F.coalesce(c.try_cast("bigint"), F.lit(0))
 
-    return raw.select(
+    return raw.withColumn("_i", F.from_json("issue", schemas.RAW_ISSUE)).select(
         F.concat_ws(":", "site_id", i["id"]).alias("issue_id"), "site_id",
         i["id"].alias("sentry_id"), _first_text(i["shortId"]).alias("short_id"),
         text(_first_text(i["title"], meta["value"], meta["type"]), "Unknown error", 1000).alias("title"),
@@ -88,14 +88,13 @@ def daily_issue_counts(raw: DataFrame) -> DataFrame:
 
 def flatten_events(raw: DataFrame) -> DataFrame:
     """Raw (site_id, event JSON) to message, tags (30), stack frames (100), last 20 breadcrumbs."""
-    e = F.from_json("event", schemas.RAW_ISSUE_EVENT)
-    entries = F.coalesce(e["entries"], F.array().cast(schemas.RAW_ISSUE_EVENT["entries"].dataType))
+    e = F.col("_e")
 
     def values_of(kind: str) -> Column:
-        hit = F.try_element_at(F.filter(entries, lambda x: x["type"] == kind), F.lit(1))
+        hit = F.try_element_at(F.filter(e["entries"], lambda x: x["type"] == kind), F.lit(1))
         return hit["data"]["values"]
 
-    exceptions = values_of("exception")
+    exceptions, crumbs = F.col("_exceptions"), F.col("_crumbs")
     frames = F.flatten(F.transform(exceptions, lambda v: F.coalesce(
         v["stacktrace"]["frames"], F.array().cast("array<struct<filename:string,absPath:string,"
                                                   "function:string,lineNo:bigint,inApp:boolean>>"))))
@@ -103,7 +102,6 @@ def flatten_events(raw: DataFrame) -> DataFrame:
         F.coalesce(_first_text(f["filename"], f["absPath"]), F.lit("")).alias("filename"),
         F.coalesce(f["function"], F.lit("")).alias("function"), f["lineNo"].alias("line_no"),
         F.coalesce(f["inApp"], F.lit(False)).alias("in_app")))
-    crumbs = values_of("breadcrumbs")
     last = F.slice(crumbs, F.greatest(F.size(crumbs) - MAX_CRUMBS + 1, F.lit(1)), MAX_CRUMBS)
     trail = F.transform(last, lambda b: F.struct(
         b["timestamp"].alias("timestamp"), F.coalesce(b["category"], F.lit("")).alias("category"),
@@ -114,7 +112,9 @@ def flatten_events(raw: DataFrame) -> DataFrame:
     def listed(c: Column, size: int) -> Column:
         return F.slice(F.coalesce(c, F.filter(c, lambda _: F.lit(False))), 1, size)
 
-    return raw.select(
+    parsed = raw.withColumn("_e", F.from_json("event", schemas.RAW_ISSUE_EVENT)).withColumns(
+        {"_exceptions": values_of("exception"), "_crumbs": values_of("breadcrumbs")})
+    return parsed.select(
         "site_id", _first_text(e["eventID"], e["id"]).alias("event_id"),
         F.coalesce(_first_text(e["message"], e["title"]), F.lit("")).alias("message"),
         e["dateCreated"].alias("date_created"), e["platform"].alias("platform"),

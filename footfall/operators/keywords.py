@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from footfall.functions.numbers import desc_then, top_per
+from footfall.functions.numbers import desc_then, present, top_per
 from footfall.operators.traffic import page_search_terms, top_pages
 
 # Words of a path that carry no topic (file types included).
@@ -31,28 +31,32 @@ HONORIFICS = "ma am sir madam mam maam by prof dr".split()
 MIN_LENGTH, MAX_LENGTH, MAX_SUGGESTIONS = 3, 200, 8
 
 
-def phrase_from_path(path: Column) -> Column:
-    """Search phrase of a URL path, NULL when the path names no topic."""
+def with_phrase(df: DataFrame, path: str = "path", name: str = "phrase") -> DataFrame:
+    """Adds the search phrase of a URL path, NULL when the path names no topic. Built in steps,
+    each a column of its own, so that no step is computed twice."""
     bare = F.substring_index(F.substring_index(path, "?", 1), "#", 1)
     raw = F.coalesce(F.try_url_decode(bare), bare)
     segments = F.filter(F.split(raw, "/"), lambda s: (s != "") & ~s.rlike(r"^\d+:?$"))
     last = F.regexp_replace(F.try_element_at(segments, F.lit(-1)), r"(?i)\.[a-z0-9]{1,5}$", "")
-    parts = F.transform(F.split(last, r"[-_+.\s]+"), lambda w: F.regexp_replace(
+    parts = F.transform(F.split("_last", r"[-_+.\s]+"), lambda w: F.regexp_replace(
         F.trim(F.lower(w)), r"^[(\[{]+|[)\]}]+$", ""))
     words = F.filter(parts, lambda w: (w != "") & ~w.isin(STOP_WORDS) & ~w.rlike(r"^\d+$"))
-    n = F.size(words)
-    short = F.size(F.filter(words, lambda w: F.length(w) <= 2))
-    titles = F.size(F.filter(words, lambda w: w.isin(HONORIFICS)))
+    n, short, titles = F.size("_words"), F.col("_short"), F.col("_titles")
     file_name = (short >= 2) | ((n <= 2) & (short >= 1)) | (titles >= 2)
-    folder = (n == 1) & F.try_element_at(words, F.lit(1)).isin(GENERIC_WORDS)
-    usable = (n > 0) & ~F.trim(F.lower(last)).isin(APP_ROUTES) & ~file_name & ~folder
-    return F.when(F.coalesce(usable, F.lit(False)), F.array_join(words, " "))
+    folder = (n == 1) & F.try_element_at("_words", F.lit(1)).isin(GENERIC_WORDS)
+    usable = (n > 0) & ~F.trim(F.lower("_last")).isin(APP_ROUTES) & ~file_name & ~folder
+    return (
+        df.withColumn("_last", last).withColumn("_words", words)
+        .withColumns({
+            "_short": F.size(F.filter("_words", lambda w: F.length(w) <= 2)),
+            "_titles": F.size(F.filter("_words", lambda w: w.isin(HONORIFICS)))})
+        .withColumn(name, F.when(F.coalesce(usable, F.lit(False)), F.array_join("_words", " ")))
+        .drop("_last", "_words", "_short", "_titles"))
 
 
 def page_phrases(pages: DataFrame) -> DataFrame:
     """Phrase per (site_id, path); each distinct page is looked at once."""
-    return pages.select("site_id", "path").distinct().withColumn(
-        "phrase", phrase_from_path(F.col("path")))
+    return with_phrase(pages.select("site_id", "path").distinct())
 
 
 def _suggestion(rows: DataFrame, step: int, position, keyword, source, confidence, reason) -> DataFrame:
@@ -70,7 +74,7 @@ def keyword_suggestions(
     pages = events.select("site_id", "path").distinct()
     if site_id is not None:
         pages = pages.filter(F.col("site_id") == site_id)
-    phrases = page_phrases(pages).filter("phrase IS NOT NULL")
+    phrases = present(page_phrases(pages), "phrase")
     terms = page_search_terms(events, period, site_id).filter("keyword <> '(not set)'")
     turn = F.row_number().over(
         Window.partitionBy("site_id", "path").orderBy(*desc_then("visitors", "keyword")))

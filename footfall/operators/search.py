@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall import schemas
 from footfall.functions.numbers import desc_then, round_half_up, top_per
-from footfall.functions.urls import domain_matches, extract_domain
+from footfall.functions.urls import extract_domain, same_site
 
 RANK_MOVE, PAGE_ONE = 3, 10
 KEY = ["site_id", "keyword", "location", "device"]
@@ -30,7 +30,7 @@ def _or_empty(array: Column, ddl: str) -> Column:
 def normalise_snapshots(raw: DataFrame) -> DataFrame:
     """Raw (keyword, location, device, fetched_at, page JSON) to organic results, AI-answer
     citations, related questions and searches, and the list of features present."""
-    doc = F.from_json("page", schemas.RAW_SERP)
+    doc = F.col("_doc")
 
     def result(r: Column, position: Column, title: Column) -> Column:
         return F.struct(position.alias("position"), extract_domain(r["link"]).alias("domain"),
@@ -68,7 +68,7 @@ def normalise_snapshots(raw: DataFrame) -> DataFrame:
         F.when(some("inline_videos"), F.lit("videos")),
         F.when(some("shopping_results"), F.lit("shopping")),
     ))
-    return raw.select(
+    return raw.withColumn("_doc", F.from_json("page", schemas.RAW_SERP)).select(
         "keyword", "location", "device", "fetched_at",
         _or_empty(organic, schemas.ORGANIC.simpleString()).alias("organic"),
         part("ai_overview").isNotNull().alias("has_ai_overview"),
@@ -83,8 +83,8 @@ def normalise_snapshots(raw: DataFrame) -> DataFrame:
 
 
 def locate_domain(organic: Column, domain: Column) -> Column:
-    """First organic result of the site (struct) or NULL."""
-    return F.try_element_at(F.filter(organic, lambda r: domain_matches(r["domain"], domain)), F.lit(1))
+    """First organic result of the site (struct) or NULL; `domain` is a bare host."""
+    return F.try_element_at(F.filter(organic, lambda r: same_site(r["domain"], domain)), F.lit(1))
 
 
 def site_domain(domain: Column) -> Column:
@@ -99,7 +99,7 @@ def observe_ranks(snapshots: DataFrame, keywords: DataFrame, sites: DataFrame) -
         sites.select(F.col("id").alias("site_id"), site_domain(F.col("domain")).alias("domain")), "site_id")
     seen = snapshots.join(tracked, ["keyword", "location"])
     hit = locate_domain(F.col("organic"), F.col("domain"))
-    cited = F.exists("citations", lambda c: domain_matches(c["domain"], F.col("domain")))
+    cited = F.exists("citations", lambda c: same_site(c["domain"], F.col("domain")))
     return seen.withColumn("_hit", hit).select(
         *KEY, F.col("fetched_at").alias("checked_at"), "domain",
         F.col("_hit.position").alias("position"), F.col("_hit.url").alias("url"),
@@ -143,7 +143,7 @@ def serp_diff(changes: DataFrame) -> DataFrame:
     position, before = F.col("position"), F.col("previous_position")
     rivals = F.filter("organic", lambda c: (
         c["domain"].isNotNull() & c["position"].isNotNull()
-        & ~domain_matches(c["domain"], F.col("domain"))
+        & ~same_site(c["domain"], F.col("domain"))
         & (position.isNull() | (c["position"] < position))))
     first_of_domain = F.filter(
         F.col("_rivals"),

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from datetime import datetime
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 AS_OF = datetime(2024, 1, 31)
@@ -29,14 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(number: Column, values: list[str | None]) -> Column:
-    """values[number mod len(values)], written as CASE so it stays in generated code."""
-    slot = number % len(values)
-    branches = [(i, v) for i, v in enumerate(values) if v is not None]
-    return reduce(
-        lambda chain, b: chain.when(slot == b[0], b[1]), branches[1:],
-        F.when(slot == branches[0][0], branches[0][1]),
-    )
+def _pick(number: str, values: list[str | None]) -> str:
+    """SQL for values[number mod len(values)]."""
+    whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None)
+    return f"CASE ({number}) % {len(values)} {whens} END"
 
 
 def site_of(number: Column) -> Column:
@@ -45,66 +39,53 @@ def site_of(number: Column) -> Column:
     return F.when(slot < 7, "site_a").when(slot < 9, "site_b").otherwise("site_c")
 
 
-def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "events")
-    eid, uid = F.col("event_id"), F.col("user_id")
-    kind = F.coalesce(
-        *[F.when(F.col("event_type") == t, _pick(eid, names))
-          for t, names in _TYPES.items() if t != "error"],
-        _pick(eid, _TYPES["error"]),
-    )
-    typed = raw.select(
-        "*", kind.alias("type"), site_of(uid).alias("site_id"), _pick(eid + uid, _PATHS).alias("path"),
-    )
+_SITE = "CASE WHEN user_id % 10 < 7 THEN 'site_a' WHEN user_id % 10 < 9 THEN 'site_b' ELSE 'site_c' END"
+_KIND = "CASE event_type " + " ".join(
+    f"WHEN '{name}' THEN {_pick('event_id', kinds)}" for name, kinds in _TYPES.items() if name != "error"
+) + f" ELSE {_pick('event_id', _TYPES['error'])} END"
+_DEPTH = "CASE WHEN event_id % 16 < 4 THEN 25 WHEN event_id % 16 < 8 THEN 50 WHEN event_id % 16 < 12 THEN 75 ELSE 100 END"
+_PROPERTIES = {
+    "scroll_depth": f"""concat('{{"depth":', {_DEPTH}, ',"milestone":"true"}}')""",
+    "heatmap_click": """concat('{"selector":"button.b', event_id % 5, '","text":"t', event_id % 3,
+        '","tag":"button","relX":', event_id % 100, ',"relY":', user_id % 100, ',"x":', event_id % 1280,
+        ',"y":', user_id % 720, '}')""",
+    "rage_click": """concat('{"selector":"a.r', event_id % 5, '","count":', 3 + event_id % 4, '}')""",
+    "time_on_page": """concat('{"seconds":', event_id % 4000, '}')""",
+    "web_vital": f"""concat('{{"name":"', {_pick("event_id", ["LCP", "FID", "CLS", "INP", "TTFB"])},
+        '","value":', value, '}}')""",
+    "js_error": """concat('{"message":"E', event_id % 6, '","source":"app', user_id % 2, '.js"}')""",
+    "site_search": """concat('{"query":"q', event_id % 9, '","param":"q"}')""",
+    "purchase": """concat('{"value":', value, '}')""",
+}
+_COLUMNS = {
+    "id": "cast(event_id AS string)",
+    "site_id": "site_id",
+    "user_id": "concat('u_', user_id)",
+    "session_id": "concat('u_', user_id, '_', to_date(ts))",
+    "type": "type",
+    "url": "concat('https://', site_id, '.example.com', path, if(event_id % 10 = 0, '?token=abc&q=x#frag', ''))",
+    "path": "path",
+    "referrer": _pick("user_id", _REFERRERS),
+    "device": _pick("user_id", ["Desktop", "Mobile", "Tablet", ""]),
+    "browser": _pick("user_id", ["Chrome", "Safari", "Firefox"]),
+    "os": _pick("user_id", ["macOS", "Windows", "iOS", "Android", "Linux"]),
+    "country": _pick("user_id", ["US", "United States", "IN", "Germany", "", None]),
+    "city": _pick("user_id", ["Berlin", "London", "Mumbai", "", None]),
+    "timestamp": "ts",
+    "properties": "CASE type " + " ".join(
+        f"WHEN '{kind}' THEN {sql}" for kind, sql in _PROPERTIES.items()) + " ELSE '{}' END",
+    "utm_source": _pick("user_id", ["", "", "", "google", "newsletter", None]),
+    "utm_medium": _pick("user_id", ["", "", "", "cpc", "email", ""]),
+    "utm_campaign": _pick("user_id", ["", "", "", "launch", "", ""]),
+    "utm_term": _pick("user_id", ["", "", "", "free templates", "", "email tools", "", ""]),
+    "utm_content": "''",
+}
 
-    def text(c: Column) -> Column:
-        return c.cast("string")
-
-    def js(*parts: str | Column) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else text(p) for p in parts])
-
-    is_type = {t: F.col("type") == t for names in _TYPES.values() for t in names}
-    depth = (F.when(eid % 16 < 4, "25").when(eid % 16 < 8, "50")
-             .when(eid % 16 < 12, "75").otherwise("100"))
-    properties = (
-        F.when(is_type["scroll_depth"], js('{"depth":', depth, ',"milestone":"true"}'))
-        .when(is_type["heatmap_click"], js(
-            '{"selector":"button.b', eid % 5, '","text":"t', eid % 3, '","tag":"button","relX":',
-            eid % 100, ',"relY":', uid % 100, ',"x":', eid % 1280, ',"y":', uid % 720, "}"))
-        .when(is_type["rage_click"], js('{"selector":"a.r', eid % 5, '","count":', 3 + eid % 4, "}"))
-        .when(is_type["time_on_page"], js('{"seconds":', eid % 4000, "}"))
-        .when(is_type["web_vital"], js(
-            '{"name":"', _pick(eid, ["LCP", "FID", "CLS", "INP", "TTFB"]), '","value":',
-            F.col("value"), "}"))
-        .when(is_type["js_error"], js(
-            '{"message":"E', eid % 6, '","source":"app', uid % 2, '.js"}'))
-        .when(is_type["site_search"], js('{"query":"q', eid % 9, '","param":"q"}'))
-        .when(is_type["purchase"], js('{"value":', F.col("value"), "}"))
-        .otherwise("{}")
-    )
-    return typed.select(
-        text(eid).alias("id"),
-        "site_id",
-        js("u_", uid).alias("user_id"),
-        js("u_", uid, "_", F.to_date("ts")).alias("session_id"),
-        "type",
-        js("https://", F.col("site_id"), ".example.com", F.col("path"),
-           F.when(eid % 10 == 0, "?token=abc&q=x#frag").otherwise("")).alias("url"),
-        "path",
-        _pick(uid, _REFERRERS).alias("referrer"),
-        _pick(uid, ["Desktop", "Mobile", "Tablet", ""]).alias("device"),
-        _pick(uid, ["Chrome", "Safari", "Firefox"]).alias("browser"),
-        _pick(uid, ["macOS", "Windows", "iOS", "Android", "Linux"]).alias("os"),
-        _pick(uid, ["US", "United States", "IN", "Germany", "", None]).alias("country"),
-        _pick(uid, ["Berlin", "London", "Mumbai", "", None]).alias("city"),
-        F.col("ts").alias("timestamp"),
-        properties.alias("properties"),
-        _pick(uid, ["", "", "", "google", "newsletter", None]).alias("utm_source"),
-        _pick(uid, ["", "", "", "cpc", "email", ""]).alias("utm_medium"),
-        _pick(uid, ["", "", "", "launch", "", ""]).alias("utm_campaign"),
-        _pick(uid, ["", "", "", "free templates", "", "email tools", "", ""]).alias("utm_term"),
-        F.lit("").alias("utm_content"),
-    )
+
+def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = table(spark, sf_dir, "events").selectExpr(
+        "*", f"{_KIND} AS type", f"{_SITE} AS site_id", f"{_pick('event_id + user_id', _PATHS)} AS path")
+    return typed.selectExpr(*[f"{sql} AS {name}" for name, sql in _COLUMNS.items()])
 
 
 def rank_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
