@@ -19,7 +19,8 @@ from footfall.operators import (
 from footfall.operators.sessions import gap_sessions, mark_returning, sessionise_by_id
 from footfall.plans import dashboard, rollup, site_sql, tables, workload
 from footfall.sources import fixture, raw_fixture as raw
-from footfall.sources.fixture import AS_OF, table, web_events
+from footfall.sources.fixture import AS_OF, table, web_event_stream, web_events
+from footfall.streaming import jobs
 
 MONTH, WEEK = date_range("30d", AS_OF), date_range("7d", AS_OF)
 NOON = datetime(2024, 1, 20, 12)
@@ -501,6 +502,68 @@ def _over_search() -> dict:
     }
 
 
+def _finish(df: DataFrame, mode: str, s: SparkSession) -> DataFrame:
+    """Run a stream over all files present and return its result table."""
+    path = tables.scratch_path(s, "stream")
+    if mode == "append":
+        df.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(
+            availableNow=True).format("parquet").start(f"{path}/out").awaitTermination()
+        return s.read.schema(df.schema).parquet(f"{path}/out")
+    name = "stream_" + path.rsplit("-", 1)[1]
+    df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(
+        availableNow=True).format("memory").queryName(name).start().awaitTermination()
+    return s.table(name)
+
+
+def _ingested(s: SparkSession, d: str) -> str:
+    path = tables.scratch_path(s, "events")
+    jobs.stream_ingest(web_event_stream(s, d), path, f"{path}-state").awaitTermination()
+    return path
+
+
+def _stored_stream(s: SparkSession, path: str) -> DataFrame:
+    return s.readStream.schema(s.read.parquet(path).schema).parquet(path)
+
+
+def _live_rollup(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    path, out = _ingested(s, d), tables.scratch_path(s, "rollup")
+    work = jobs.rollup_updates(path, f"{out}/days", f"{out}/alerts")
+    jobs.for_each_batch(_stored_stream(s, path), work, f"{out}/state").awaitTermination()
+    return s.read.parquet(f"{out}/days").drop("event_date"), jobs.read_alerts(s, f"{out}/alerts")
+
+
+def _tail(s: SparkSession, d: str) -> DataFrame:
+    out = tables.scratch_path(s, "tail")
+    jobs.for_each_batch(
+        web_event_stream(s, d), jobs.event_tail(f"{out}/rows"), f"{out}/state").awaitTermination()
+    return s.read.parquet(f"{out}/rows/batch=0").select("site_id", "id", "type", "path", "timestamp")
+
+
+def _click_stream(s: SparkSession, d: str) -> DataFrame:
+    path = tables.scratch_path(s, "clicks")
+    raw.raw_clicks(s, d).withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.parquet(path)
+    return s.readStream.schema(s.read.parquet(path).schema).parquet(path)
+
+
+def _over_streams() -> dict:
+    """Queries that run a live job over the files present."""
+    return {
+        "S01_stream_ingest": lambda s, d: _per_day(s.read.parquet(_ingested(s, d)), "events"),
+        "S02_stream_dedupe": lambda s, d: _finish(
+            jobs.dedupe(web_event_stream(s, d).union(web_event_stream(s, d)), "40 days"), "append", s
+        ).select("id", "site_id", "type"),
+        "S03_stream_sessions": lambda s, d: _finish(
+            jobs.sessions_live(web_event_stream(s, d), "6 hours", "1 hour"), "append", s),
+        "S04_stream_active_visitors": lambda s, d: _finish(
+            jobs.active_visitors(web_event_stream(s, d)), "update", s),
+        "S05_stream_event_tail": _tail,
+        "S06_stream_rollup": lambda s, d: _live_rollup(s, d)[0],
+        "S07_stream_rage_clicks": lambda s, d: _finish(jobs.rage_clicks_live(_click_stream(s, d)), "append", s),
+        "S08_stream_alerts": lambda s, d: _live_rollup(s, d)[1],
+        "S09_time_buckets": lambda s, d: _finish(jobs.time_buckets(web_event_stream(s, d)), "complete", s),
+    }
+
+
 def _shown(df: DataFrame) -> DataFrame:
     """Dates and times as text, the form in which the reports hand them out."""
     return df.select(*[
@@ -519,7 +582,7 @@ def catalog() -> dict:
     over_sessions = {
         n: (lambda s, d, f=f: f(sessions_of(web_events(s, d)))) for n, f in _over_sessions().items()}
     other = {
-        **_over_raw(), **_over_search(),
+        **_over_raw(), **_over_search(), **_over_streams(),
         "A58_site_sql": lambda s, d: site_sql.site_sql(
             s, "SELECT country, COUNT(*) AS events FROM events WHERE type = {{kind}} GROUP BY country",
             "site_b", lambda session: {"events": web_events(session, d)}, {"kind": "pageview"}),

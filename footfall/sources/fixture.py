@@ -83,7 +83,18 @@ _COLUMNS = {
 
 
 def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = table(spark, sf_dir, "events").selectExpr(
+    return as_web_events(table(spark, sf_dir, "events"))
+
+
+def web_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as a stream of files, with a time type that watermarks accept."""
+    raw = (spark.readStream.schema(table(spark, sf_dir, "events").schema)
+           .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    return as_web_events(raw).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+
+def as_web_events(raw: DataFrame) -> DataFrame:
+    typed = raw.selectExpr(
         "*", f"{_KIND} AS type", f"{_SITE} AS site_id", f"{_pick('event_id + user_id', _PATHS)} AS path")
     return typed.selectExpr(*[f"{sql} AS {name}" for name, sql in _COLUMNS.items()])
 
