@@ -15,7 +15,7 @@ def spark():
     scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     session = (
         SparkSession.builder.master("local[8]").appName("footfall-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
