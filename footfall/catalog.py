@@ -242,8 +242,8 @@ def _latest_orders(s: SparkSession, d: str) -> DataFrame:
 
 def _rebuilt(s: SparkSession, d: str) -> DataFrame:
     e, path = tables.with_event_date(web_events(s, d)), tables.scratch_path(s, "rebuild")
-    tables.full_rebuild(e.filter("type = 'pageview'"), path, tables.EVENT_PARTITIONS)
-    tables.full_rebuild(e, path, tables.EVENT_PARTITIONS)
+    tables.full_rebuild(e.filter("type = 'pageview'"), path, tables.HOT_PARTITIONS)
+    tables.full_rebuild(e, path, tables.HOT_PARTITIONS)
     return _per_day(s.read.parquet(path), "events")
 
 

@@ -1,7 +1,10 @@
 """Stored tables: layout, incremental append, keyed upsert, retention, archive, export.
 
-Events are laid out as Parquet under `event_date=` / `site_id=`, ZSTD, sorted by time inside files.
-Jobs write only the partitions they touch and never overwrite a path they are reading."""
+Events are Parquet under `event_date=`, ZSTD, sorted by site and time inside files: a day prunes by
+directory, a site by row-group statistics, and many small sites do not become many small files. The
+cold archive is laid out under `site_id=` / `event_date=`. Writes go through a rebalance, with which
+Spark splits a hot partition over several tasks and merges small ones. Jobs write only the
+partitions they touch and never overwrite a path they are reading."""
 
 from __future__ import annotations
 
@@ -13,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from footfall.functions.ranges import instant
 
-EVENT_PARTITIONS = ["event_date", "site_id"]
+HOT_PARTITIONS = ["event_date"]
+COLD_PARTITIONS = ["site_id", "event_date"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -28,14 +32,15 @@ def with_event_date(events: DataFrame, column: str = "timestamp") -> DataFrame:
     return events.withColumn("event_date", F.to_date(column))
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append", files_per_partition: int = 1) -> None:
-    """Write events by day and site. Rows are spread by (day, site, hash of visitor), so a hot
-    tenant-day is written by `files_per_partition` tasks instead of one."""
-    dated = with_event_date(events)
-    slot = F.pmod(F.xxhash64("user_id"), F.lit(files_per_partition))
-    spread = dated.repartition("event_date", "site_id", slot)
-    (spread.sortWithinPartitions("event_date", "site_id", "timestamp")
-     .write.mode(mode).option("compression", "zstd").partitionBy(*EVENT_PARTITIONS).parquet(path))
+def _write(df: DataFrame, path: str, partitions: list[str], mode: str, overwrite: str = "dynamic") -> None:
+    spread = df.hint("rebalance", *partitions)
+    order = [*partitions, *[c for c in ("site_id", "timestamp") if c in df.columns and c not in partitions]]
+    (spread.sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", overwrite)
+     .option("compression", "zstd").partitionBy(*partitions).parquet(path))
+
+
+def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
+    _write(with_event_date(events), path, HOT_PARTITIONS, mode)
 
 
 def read_events(spark: SparkSession, *paths: str) -> DataFrame:
@@ -90,15 +95,12 @@ def upsert_by_key(stored: DataFrame, changes: DataFrame, keys: list[str], newest
 
 def overwrite_touched(df: DataFrame, path: str, partitions: list[str]) -> None:
     """Replace exactly the partitions present in `df`; the others stay."""
-    (df.repartition(*partitions).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-     .partitionBy(*partitions).parquet(path))
+    _write(df, path, partitions, "overwrite")
 
 
 def full_rebuild(df: DataFrame, path: str, partitions: list[str]) -> None:
     """Drop everything under the path and write the table anew."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .option("compression", "zstd").partitionBy(*partitions).parquet(path))
+    _write(df, path, partitions, "overwrite", "static")
 
 
 # Default and limits of a retention policy, and the age for archiving, in days.
@@ -147,8 +149,8 @@ def archive_cold(
     repeated. `hot_path` must differ from where `hot` is read."""
     old = is_cold(column, as_of, archive_days)
     dated = with_event_date(hot, column)
-    overwrite_touched(dated.filter(old), cold_path, EVENT_PARTITIONS)
-    full_rebuild(dated.filter(~old), hot_path, EVENT_PARTITIONS)
+    overwrite_touched(dated.filter(old), cold_path, COLD_PARTITIONS)
+    full_rebuild(dated.filter(~old), hot_path, HOT_PARTITIONS)
 
 
 def unified_view(hot: DataFrame, *cold: DataFrame) -> DataFrame:

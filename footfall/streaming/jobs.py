@@ -18,7 +18,7 @@ from footfall.operators.engagement import RAGE_CLICKS, RAGE_QUIET_MS, RAGE_WINDO
 from footfall.operators.ingest import ingest_clean, opt_out_filter
 from footfall.operators.traffic import is_view, traffic_alerts, traffic_over_time
 from footfall.plans.rollup import daily_rollup, touched_days
-from footfall.plans.tables import EVENT_PARTITIONS, overwrite_touched, with_event_date
+from footfall.plans.tables import HOT_PARTITIONS, overwrite_touched, with_event_date
 
 PERIOD = {"availableNow": True}
 
@@ -35,9 +35,9 @@ def clean_stream(raw: DataFrame) -> DataFrame:
 
 
 def stream_ingest(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append events to the table, each file exactly once, by day and site."""
+    """Append events to the table by day, each file exactly once."""
     return _start(with_event_date(events), "append", checkpoint, trigger).format("parquet").option(
-        "compression", "zstd").partitionBy(*EVENT_PARTITIONS).start(path)
+        "compression", "zstd").partitionBy(*HOT_PARTITIONS).start(path)
 
 
 def dedupe(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -130,7 +130,7 @@ def rollup_updates(
         stored = read_stored(spark, events_path).filter(F.col("event_date").between(
             F.lit(first - timedelta(days=margin_days)), F.lit(last + timedelta(days=1))))
         fresh = daily_rollup(stored, days=days).withColumn("event_date", F.col("date"))
-        overwrite_touched(fresh, rollup_path, EVENT_PARTITIONS)
+        overwrite_touched(fresh, rollup_path, ["event_date", "site_id"])
         if alerts_path is not None:
             sites = batch.select("site_id").distinct()
             daily = spark.read.parquet(rollup_path).drop("event_date").join(sites, "site_id", "left_semi")
