@@ -15,6 +15,13 @@ def round_half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * scale + F.lit(0.5)) / scale
 
 
+def round_interpolated(x: Column, digits: int) -> Column:
+    """`round_half_up` for interpolated values: a value that is a half up to floating-point noise
+    counts as a half, whichever way the interpolation was written."""
+    scale = 10.0 ** digits
+    return F.floor(F.round(x * scale, 6) + 0.5) / scale
+
+
 def percent(part: Column, total: Column, digits: int = 0) -> Column:
     """`part` of `total` in percent, 0 for an empty total."""
     ratio = part.cast("double") / F.nullif(total.cast("double"), F.lit(0.0))

@@ -2,7 +2,9 @@
 
 A plain window ordered by time sends all rows of a key to one task. Here a key is cut into time
 chunks: the window runs per (key, chunk), and one summary row per chunk, built with map-side
-aggregation, carries the value across the chunk border. A hot key is spread over its chunks.
+aggregation, carries the value across the chunk border. A hot key is spread over its chunks. Only
+keys that really cross a border have anything to carry, so the join with the summary is small and
+Spark usually broadcasts it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ def _neighbour(
     carried = edges.withColumn(
         "_carry", shift(F.col(edge)["held"]).over(Window.partitionBy(*keys).orderBy("_chunk"))
     ).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-             F.col("_chunk").alias("_c"), "_carry")
+             F.col("_chunk").alias("_c"), "_carry").filter("_carry IS NOT NULL")
     local = cut.withColumn(
         "_near", shift(held).over(Window.partitionBy(*keys, "_chunk").orderBy(*order))
     )
@@ -60,8 +62,8 @@ def running_total(
     totals = cut.groupBy(*keys, "_chunk").agg(F.sum(measure).alias("_total")).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.col("_chunk").alias("_c"),
-        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"),
-    )
+        F.sum("_total").over(before).alias("_base"),
+    ).filter("_base <> 0")
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -70,7 +72,7 @@ def running_total(
         on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return (
         cut.withColumn("_inside", F.sum(measure).over(inside))
-        .join(totals, on)
-        .withColumn(name, F.col("_inside") + F.col("_base"))
+        .join(totals, on, "left")
+        .withColumn(name, F.col("_inside") + F.coalesce("_base", F.lit(0)))
         .drop("_inside", "_base", "_chunk", "_c", *[f"_k{i}" for i in range(len(keys))])
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions.numbers import round_half_up
+from footfall.functions.ranks import histogram, join_on, values_at
 
 # Abramowitz & Stegun 7.1.26, coefficients of t^1 .. t^5 and the factor in t.
 _ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -48,16 +49,20 @@ def two_proportion_test(
     }
 
 
-def timing_summary(samples, keys: list[str], value: str = "ms"):
+def timing_summary(samples: DataFrame, keys: list[str], value: str = "ms") -> DataFrame:
     """Number, extremes, mean, nearest-rank percentiles and sample deviation per group."""
     v = F.col(value)
-    ranks = {"median": 0.5, "p95": 0.95, "p99": 0.99}
     exact = F.sum(v.cast("decimal(28,6)")).cast("double") / F.count(v)
-    return samples.groupBy(*keys).agg(
+    sums = samples.groupBy(*keys).agg(
         F.count(v).alias("n"),
         round_half_up(F.min(v), 3).alias("min"), round_half_up(F.max(v), 3).alias("max"),
         round_half_up(exact, 3).alias("mean"),
-        *[round_half_up(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})"), 3).alias(name)
-          for name, q in ranks.items()],
-        F.coalesce(F.round(F.stddev_samp(v), 3), F.lit(0.0)).alias("stddev"),
-    )
+        F.coalesce(F.round(F.stddev_samp(v), 3), F.lit(0.0)).alias("stddev"))
+
+    def nearest(q: float):
+        return lambda total: F.greatest(F.ceil(total * F.lit(q)) - 1, F.lit(0))
+
+    found = values_at(
+        histogram(samples, keys, v), keys, {"median": nearest(0.5), "p95": nearest(0.95), "p99": nearest(0.99)})
+    return join_on(sums, found, keys, "left").withColumns(
+        {name: round_half_up(F.col(name), 3) for name in ("median", "p95", "p99")})

@@ -75,7 +75,7 @@ def funnel_ordered(events, period, site_id=None, steps=DEFAULT_FUNNEL) -> DataFr
     keys = ["site_id", "user_id"]
     matches = rows.select(*keys, "timestamp", F.explode(F.array_compact(F.array(*[
         F.when(_step_test(kind, path), F.lit(i)) for i, (_, kind, path) in enumerate(steps)
-    ]))).alias("_step")).distinct()
+    ]))).alias("_step"))
     reached = matches.filter("_step = 0").groupBy(*keys).agg(F.min("timestamp").alias("_at0"))
     for i in range(1, len(steps)):
         later = matches.filter(F.col("_step") == i).join(
@@ -160,14 +160,14 @@ def ab_test_results(events, tests, goals, period, site_id=None) -> DataFrame:
     variants = variants.join(goal_type, "goal_id", "left")
     rows = period_rows(events, period, site_id)
     key = ["test_id", "variant_no"]
-    seen = rows.join(variants.select("site_id", "path", *key), ["site_id", "path"])
-    exposure = seen.groupBy(*key, "site_id", "user_id").agg(n_pageviews())
-    did = rows.select("site_id", "user_id", F.col("type").alias("goal_event")).distinct()
-    wanted = variants.select("site_id", "goal_event", *key)
-    converted = did.join(wanted, ["site_id", "goal_event"]).select("user_id", *key).distinct()
+    seen = rows.join(variants.select("site_id", "path", "goal_event", *key), ["site_id", "path"])
+    exposure = seen.groupBy(*key, "site_id", "goal_event", "user_id").agg(n_pageviews())
+    wanted = variants.select("site_id", "goal_event").distinct()
+    did = rows.withColumnRenamed("type", "goal_event").join(
+        wanted, ["site_id", "goal_event"], "left_semi").select("site_id", "goal_event", "user_id")
     counts = exposure.groupBy(*key).agg(
         F.count("*").alias("visitors"), F.sum("pageviews").alias("pageviews"))
-    won = exposure.join(converted, [*key, "user_id"], "left_semi").groupBy(*key).agg(
+    won = exposure.join(did, ["site_id", "goal_event", "user_id"], "left_semi").groupBy(*key).agg(
         F.count("*").alias("conversions"))
     measured = variants.join(counts, key, "left").join(won, key, "left").na.fill(
         0, ["visitors", "pageviews", "conversions"])

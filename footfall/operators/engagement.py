@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.functions.classify import filled
-from footfall.functions.numbers import desc_then, round_half_up, top_per, with_share
+from footfall.functions.numbers import desc_then, round_half_up, round_interpolated, top_per
 from footfall.functions.ordered import previous_row, running_total
+from footfall.functions.ranks import with_percentile
 from footfall.operators.acquisition import json_number, json_text
 from footfall.operators.traffic import period_rows
 
@@ -26,18 +27,6 @@ def mean_1dp(x: Column) -> Column:
     return round_half_up(F.avg(x), 1)
 
 
-def percentile_by(
-    df: DataFrame, keys: list[str], value: Column, q: float, extra: list[Column]
-) -> DataFrame:
-    """Exact percentile from a value histogram: equal values are counted map-side first, so a hot
-    group sends each distinct value once, not each row. `extra` sees columns `v` and `n`."""
-    histogram = df.groupBy(*keys, value.alias("v")).agg(F.count("*").alias("n"))
-    return histogram.groupBy(*keys).agg(
-        F.percentile("v", q, F.when(F.col("v").isNull(), 0).otherwise(F.col("n"))).alias("percentile"),
-        *extra,
-    )
-
-
 def scroll_depth(events, period, site_id=None, limit=20) -> DataFrame:
     rows = _of_type(events, period, site_id, "scroll_depth").filter(json_text("milestone") == "true")
     depth = json_number("depth")
@@ -200,11 +189,11 @@ def time_on_page(events, period, site_id=None, limit=20) -> DataFrame:
     rows = _of_type(events, period, site_id, "time_on_page").filter(
         (whole(seconds) > 0) & (whole(seconds) < 3600))
     n, v = F.col("n"), F.col("v")
-    pages = percentile_by(rows, ["site_id", "path"], seconds, 0.5, [
+    pages = with_percentile(rows, ["site_id", "path"], seconds, 0.5, [
         round_half_up(F.sum(v * n) / F.sum(n), 1).alias("avg_time"),
         F.min(whole(v)).alias("min_time"), F.max(whole(v)).alias("max_time"),
         F.sum("n").alias("samples"),
-    ]).withColumn("median_time", round_half_up(F.col("percentile"), 1)).drop("percentile")
+    ]).withColumn("median_time", round_interpolated(F.col("percentile"), 1)).drop("percentile")
     return top_per(pages, ["site_id"], desc_then("samples", "path"), limit)
 
 

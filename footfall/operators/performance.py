@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.functions.classify import filled, vital_rating
-from footfall.functions.numbers import desc_then, exact, round_half_up, top_per
+from footfall.functions.numbers import (
+    desc_then, exact, round_half_up, round_interpolated, top_per,
+)
+from footfall.functions.ranks import with_percentile
 from footfall.operators.acquisition import json_number, json_text
-from footfall.operators.engagement import percentile_by
 from footfall.operators.traffic import by_day, period_rows
 
 def _mean() -> Column:
@@ -19,10 +21,10 @@ def _mean() -> Column:
 def _vitals(events, period, site_id, keys: list[str]) -> DataFrame:
     rows = period_rows(events, period, site_id).filter(F.col("type") == "web_vital").withColumn(
         "metric", json_text("name"))
-    stats = percentile_by(rows, [*keys, "metric"], json_number("value"), 0.75, [
+    stats = with_percentile(rows, [*keys, "metric"], json_number("value"), 0.75, [
         F.coalesce(_mean(), F.lit(0.0)).alias("avg_value"), F.sum("n").alias("samples")])
     return stats.withColumn(
-        "p75_value", F.coalesce(round_half_up(F.col("percentile"), 2), F.lit(0.0))).drop("percentile")
+        "p75_value", F.coalesce(round_interpolated(F.col("percentile"), 2), F.lit(0.0))).drop("percentile")
 
 
 def web_vitals_by_page(events, period, site_id=None, limit=20) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions.classify import filled, rollup_source_class
 from footfall.functions.numbers import desc_then, top_per
@@ -40,21 +40,26 @@ def daily_rollup(events: DataFrame, sessions: DataFrame | None = None,
 
 def daily_top_lists(events: DataFrame, limit: int = 10) -> DataFrame:
     """Per (site, day) and list: label, measure and rank. Pages and countries keep `limit` rows;
-    source classes and devices are few by nature and kept whole."""
-    e = _dated(events, "timestamp")
-
-    def ranked(name: str, rows: DataFrame, label, measure, k: int | None) -> DataFrame:
-        counted = rows.groupBy(*_KEYS, label.alias("label")).agg(measure.alias("value"))
-        kept = counted if k is None else top_per(counted, _KEYS, desc_then("value", "label"), k)
-        return kept.withColumn("list", F.lit(name))
-
-    users = F.countDistinct("user_id")
-    return (
-        ranked("top_pages", e.filter(is_view()), F.col("path"), F.count("*"), limit)
-        .unionByName(ranked("sources", e, rollup_source_class(F.col("referrer")), users, None))
-        .unionByName(ranked("devices", e, filled("device", "Desktop"), users, None))
-        .unionByName(ranked("countries", e, filled("country", "Unknown"), users, limit))
-    )
+    source classes and devices are few by nature and kept whole. Each event is expanded to its cells
+    and counted per visitor map-side: one scan and one large shuffle for all lists."""
+    def cell(name: str, label: Column) -> Column:
+        return F.struct(F.lit(name).alias("list"), label.alias("label"))
+
+    cells = F.array_compact(F.array(
+        F.when(is_view(), cell("top_pages", F.col("path"))),
+        cell("sources", rollup_source_class(F.col("referrer"))),
+        cell("devices", filled("device", "Desktop")),
+        cell("countries", filled("country", "Unknown"))))
+    per_user = _dated(events, "timestamp").select(*_KEYS, "user_id", F.explode(cells).alias("c")).groupBy(
+        *_KEYS, "c.list", "c.label", "user_id").agg(F.count("*").alias("_views"))
+    counted = per_user.groupBy(*_KEYS, "list", "label").agg(
+        F.sum("_views").alias("_views"), F.count("*").alias("_visitors")
+    ).withColumn("value", F.when(F.col("list") == "top_pages", F.col("_views")).otherwise(F.col("_visitors")))
+    counted = counted.drop("_views", "_visitors")
+    long_lists = F.col("list").isin("top_pages", "countries")
+    capped = top_per(
+        counted.filter(long_lists), [*_KEYS, "list"], desc_then("value", "label"), limit)
+    return counted.filter(~long_lists).unionByName(capped)
 
 
 def daily_rollup_full(events: DataFrame, sessions: DataFrame | None = None) -> DataFrame:

@@ -531,7 +531,7 @@ SELECT site_id, path, selector, incidents, total_clicks, CAST(a AS VARCHAR) AS f
 -- name: A51_time_on_page
 WITH d AS (SELECT site_id, path, CAST(json_extract_string(properties, '$.seconds') AS DOUBLE) AS v FROM e30 WHERE type = 'time_on_page'),
 g AS (
-  SELECT site_id, path, FLOOR(AVG(v) * 10 + 0.5) / 10 AS avg_time, FLOOR(QUANTILE_CONT(v, 0.5) * 10 + 0.5) / 10 AS median_time,
+  SELECT site_id, path, FLOOR(AVG(v) * 10 + 0.5) / 10 AS avg_time, FLOOR(ROUND(QUANTILE_CONT(v, 0.5) * 10, 6) + 0.5) / 10 AS median_time,
     CAST(MIN(v) AS BIGINT) AS min_time, CAST(MAX(v) AS BIGINT) AS max_time, COUNT(*) AS samples FROM d WHERE v > 0 AND v < 3600 GROUP BY 1, 2
 ), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY samples DESC, path) AS rn FROM g)
 SELECT site_id, path, avg_time, median_time, min_time, max_time, samples FROM r WHERE rn <= 20
@@ -549,7 +549,7 @@ WITH d AS (
   SELECT site_id, path, json_extract_string(properties, '$.name') AS metric, CAST(json_extract_string(properties, '$.value') AS DOUBLE) AS v FROM e30 WHERE type = 'web_vital'
 ), g AS (
   SELECT site_id, path, metric, FLOOR(CAST(SUM(CAST(v AS DECIMAL(28, 6))) AS DOUBLE) / COUNT(v) * 100 + 0.5) / 100 AS avg_value,
-    FLOOR(QUANTILE_CONT(v, 0.75) * 100 + 0.5) / 100 AS p75_value, COUNT(*) AS samples FROM d GROUP BY 1, 2, 3
+    FLOOR(ROUND(QUANTILE_CONT(v, 0.75) * 100, 6) + 0.5) / 100 AS p75_value, COUNT(*) AS samples FROM d GROUP BY 1, 2, 3
 ), t AS (SELECT site_id, path, CAST(SUM(samples) AS BIGINT) AS page_samples, ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY SUM(samples) DESC, path) AS rn FROM g GROUP BY 1, 2)
 SELECT g.site_id, g.path, metric, avg_value, p75_value, samples, page_samples FROM g JOIN t USING (site_id, path) WHERE rn <= 5
 -- name: A54_web_vitals_overview
@@ -557,7 +557,7 @@ WITH d AS (
   SELECT site_id, json_extract_string(properties, '$.name') AS metric, CAST(json_extract_string(properties, '$.value') AS DOUBLE) AS v FROM e30 WHERE type = 'web_vital'
 ), g AS (
   SELECT site_id, metric, FLOOR(CAST(SUM(CAST(v AS DECIMAL(28, 6))) AS DOUBLE) / COUNT(v) * 100 + 0.5) / 100 AS avg_value,
-    FLOOR(QUANTILE_CONT(v, 0.75) * 100 + 0.5) / 100 AS p75_value, COUNT(*) AS samples FROM d GROUP BY 1, 2
+    FLOOR(ROUND(QUANTILE_CONT(v, 0.75) * 100, 6) + 0.5) / 100 AS p75_value, COUNT(*) AS samples FROM d GROUP BY 1, 2
 ), k(metric, good, poor) AS (VALUES ('LCP', 2500.0, 4000.0), ('FID', 100.0, 300.0), ('CLS', 0.1, 0.25), ('INP', 200.0, 500.0), ('TTFB', 800.0, 1800.0))
 SELECT site_id, metric, avg_value, p75_value, samples, CASE WHEN p75_value <= good THEN 'good' WHEN p75_value <= poor THEN 'needs-improvement' ELSE 'poor' END AS rating
 FROM g JOIN k USING (metric)

@@ -10,6 +10,7 @@ from pyspark.sql import Window, functions as F
 from footfall import schemas
 from footfall.functions.ordered import next_row, previous_row, running_total
 from footfall.functions.ranges import DateRange
+from footfall.functions.ranks import with_percentile
 from footfall.functions.stats import timing_summary
 from footfall.operators import audience, conversion, engagement, explain, ingest, issues, search, traffic
 from footfall.operators.sessions import gap_sessions, mark_returning, sessionise_by_id
@@ -79,9 +80,11 @@ def test_gap_sessions_across_midnight(spark):
 
 def test_exact_percentile(spark):
     rng = random.Random(1)
-    rows = [(f"g{i % 3}", rng.choice([0.5, 1.25, 7.0, rng.random()])) for i in range(200)] + [("g0", None)]
+    rows = [(f"g{i % 3}" if i % 4 else None, rng.choice([0.5, -1.25, 7.0, rng.uniform(-9, 900)])) for i in range(300)]
+    rows += [("g0", None), ("lone", 3.5), ("none", None)]
     df = spark.createDataFrame(rows, "g string, x double")
-    got = {r.g: r.percentile for r in engagement.percentile_by(df, ["g"], F.col("x"), 0.75, []).collect()}
+    got = {r.g: r.percentile for r in with_percentile(df, ["g"], F.col("x"), 0.75, [F.sum("n").alias("rows")]).collect()}
+    assert got.pop("none") is None and got["lone"] == 3.5
     for g, value in got.items():
         assert value == pytest.approx(np.percentile([x for k, x in rows if k == g and x is not None], 75))
 
