@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions.classify import filled, vital_rating
 from footfall.functions.numbers import (
@@ -18,9 +18,12 @@ def _mean() -> Column:
     return round_half_up(total / F.nullif(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)), 2)
 
 
-def _vitals(events, period, site_id, keys: list[str]) -> DataFrame:
-    rows = period_rows(events, period, site_id).filter(F.col("type") == "web_vital").withColumn(
+def _vitals(events, period, site_id) -> DataFrame:
+    return period_rows(events, period, site_id).filter(F.col("type") == "web_vital").withColumn(
         "metric", json_text("name"))
+
+
+def _vital_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     stats = with_percentile(rows, [*keys, "metric"], json_number("value"), 0.75, [
         F.coalesce(_mean(), F.lit(0.0)).alias("avg_value"), F.sum("n").alias("samples")])
     return stats.withColumn(
@@ -28,17 +31,17 @@ def _vitals(events, period, site_id, keys: list[str]) -> DataFrame:
 
 
 def web_vitals_by_page(events, period, site_id=None, limit=20) -> DataFrame:
-    """Average and 75th percentile per page and metric, of the pages with most samples."""
-    stats = _vitals(events, period, site_id, ["site_id", "path"])
-    total = F.sum("samples").over(Window.partitionBy("site_id", "path"))
-    pages = stats.withColumn("page_samples", total)
-    busiest = pages.select("site_id", "path", "page_samples").distinct()
-    top = top_per(busiest, ["site_id"], desc_then("page_samples", "path"), limit)
-    return pages.join(top.select("site_id", "path"), ["site_id", "path"], "left_semi")
+    """Average and 75th percentile per page and metric, of the pages with most samples. The pages
+    are chosen by a plain count first; only their samples go on."""
+    rows = _vitals(events, period, site_id)
+    counted = rows.groupBy("site_id", "path").agg(F.count("*").alias("page_samples"))
+    busiest = top_per(counted, ["site_id"], desc_then("page_samples", "path"), limit)
+    kept = rows.join(busiest, ["site_id", "path"])
+    return _vital_stats(kept, ["site_id", "path", "page_samples"])
 
 
 def web_vitals_overview(events, period, site_id=None, inclusive=True) -> DataFrame:
-    stats = _vitals(events, period, site_id, ["site_id"])
+    stats = _vital_stats(_vitals(events, period, site_id), ["site_id"])
     return stats.withColumn("rating", vital_rating(F.col("metric"), F.col("p75_value"), inclusive))
 
 
