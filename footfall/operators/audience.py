@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from footfall.functions.classify import duration_bucket, duration_bucket_order, filled
-from footfall.functions.geo import country_code, country_name
+from footfall.functions.geo import country_code, country_name, with_country_name
 from footfall.functions.numbers import (
     desc_then, percent, round_half_up, top_per, union_all, with_share,
 )
@@ -35,7 +35,7 @@ def countries(events, period, site_id=None, limit=10, additive=False) -> DataFra
         counted = per_value.groupBy("site_id", country_name(F.col("_raw")).alias("country")).agg(
             F.sum("visitors").alias("visitors"))
     else:
-        counted = rows.groupBy("site_id", country_name(F.col("country")).alias("country")).agg(n_visitors())
+        counted = with_country_name(rows).groupBy("site_id", "country").agg(n_visitors())
     shared = with_share(counted, ["site_id"], "visitors")
     top = top_per(shared, ["site_id"], desc_then("visitors", "country"), limit)
     return top.withColumn("code", country_code(F.col("country")))

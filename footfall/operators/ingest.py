@@ -97,12 +97,13 @@ def enrich_geo_ip(events: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataF
         "_block", F.coalesce(F.floor(F.col("_ip") / BLOCK), spare))
     cut = ranges.select(
         F.col("first_ip").alias("_lo"), F.col("last_ip").alias("_hi"),
-        F.col("country").alias("_country"), F.col("city").alias("_city"),
+        F.when(~is_blank(F.col("country")), country_name(F.col("country"))).alias("_country"),
+        F.col("city").alias("_city"),
         F.explode(F.sequence(F.floor(F.col("first_ip") / BLOCK), F.floor(F.col("last_ip") / BLOCK)))
         .alias("_block"))
     joined = keyed.join(
         cut, (keyed["_block"] == cut["_block"]) & F.col("_ip").between(F.col("_lo"), F.col("_hi")), "left")
-    named = F.when(F.col("_country").isNotNull(), country_name(F.col("_country")))
+    named = F.col("_country")
 
     def fill(column: str, found: Column) -> Column:
         value = F.coalesce(F.nullif(F.col(column), F.lit("")), F.when(named.isNotNull(), found))
