@@ -156,3 +156,117 @@ x AS (SELECT site_id, path, 1 AS st, rn AS pos, keyword FROM tr WHERE rn <= 5 UN
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY site_id, path ORDER BY st, pos) AS rk FROM x),
 o AS (SELECT v.*, ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY views DESC, path) AS rn FROM v WHERE path <> '/' AND NOT (site_id = 'site_a' AND path = '/blog') AND EXISTS (SELECT 1 FROM r WHERE r.site_id = v.site_id AND r.path = v.path))
 SELECT o.site_id, o.path, o.views, r.keyword, CAST(r.rk AS INTEGER) AS rank FROM o JOIN r ON r.site_id = o.site_id AND r.path = o.path WHERE o.rn <= 5
+-- name: R13_explain_traffic
+WITH w AS (SELECT site_id, path, DATE_TRUNC('week', timestamp) AS week, COUNT(*) AS views FROM e30 WHERE type = 'pageview' GROUP BY 1, 2, 3),
+wr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY site_id, path ORDER BY week DESC) - CASE WHEN COUNT(*) OVER (PARTITION BY site_id, path) > 2 THEN 1 ELSE 0 END AS age FROM w),
+wp AS (SELECT site_id, path, COALESCE(MAX(CASE WHEN age = 1 THEN views END), 0) AS c, MAX(CASE WHEN age = 2 THEN views END) AS b FROM wr GROUP BY 1, 2),
+wx AS (SELECT *, CASE WHEN b = 0 THEN CASE WHEN c > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END ELSE (c - b) / CAST(b AS DOUBLE) * 100 END AS pct FROM wp),
+tr AS (SELECT *, FLOOR(pct * 10 + 0.5) / 10 AS change_pct, COALESCE(ABS(pct) >= 5 AND ABS(c - b) >= 2, FALSE) AS sig,
+  CASE WHEN b IS NULL THEN 'unknown' WHEN c - b < 0 THEN 'drop' WHEN c - b > 0 THEN 'spike' ELSE 'flat' END AS way FROM wx),
+nw AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY site_id, keyword ORDER BY month DESC) AS rn FROM diffs),
+d AS (
+  SELECT nw.*, p.path, ROW_NUMBER() OVER (PARTITION BY p.site_id, p.path ORDER BY p.is_primary DESC, p.keyword) AS turn, tr.way, tr.sig,
+    COALESCE('#' || CAST(prev_position AS VARCHAR), 'unranked') AS pw, COALESCE('#' || CAST(position AS VARCHAR), 'unranked') AS pn,
+    CASE WHEN n_over > 0 THEN ', with ' || REPLACE(names, ', ', ' and ') || ' moving above you' ELSE '' END AS passed,
+    LIST_FILTER([CASE WHEN add_snippet THEN 'a featured snippet' END, CASE WHEN add_paa THEN 'a ''People also ask'' box' END, CASE WHEN add_video THEN 'a video carousel' END], lambda v: v IS NOT NULL) AS fa,
+    LIST_FILTER([CASE WHEN del_snippet THEN 'a featured snippet' END, CASE WHEN del_paa THEN 'a ''People also ask'' box' END, CASE WHEN del_video THEN 'a video carousel' END], lambda v: v IS NOT NULL) AS fr
+  FROM nw JOIN page_kw p ON p.site_id = nw.site_id AND p.keyword = nw.keyword JOIN tr ON tr.site_id = p.site_id AND tr.path = p.path WHERE nw.rn = 1
+), q AS (
+  SELECT site_id, keyword, month, STRING_AGG('s' || CAST(host AS VARCHAR) || '.example.com', ' and ' ORDER BY slot) AS quoted FROM (
+    SELECT r.site_id, c.keyword, c.month, c.host, c.slot, ROW_NUMBER() OVER (PARTITION BY r.site_id, c.keyword, c.month ORDER BY c.slot) AS rn
+    FROM cites c JOIN ranks r ON r.keyword = c.keyword AND r.month = c.month AND r.own <> c.host) WHERE rn <= 2 GROUP BY 1, 2, 3
+), t AS (
+  SELECT d.*, q.quoted, CASE WHEN LEN(fa) <= 2 THEN ARRAY_TO_STRING(fa, ' and ') ELSE fa[1] || ', ' || fa[2] || ', and ' || fa[3] END AS fat,
+    CASE WHEN LEN(fr) <= 2 THEN ARRAY_TO_STRING(fr, ' and ') ELSE fr[1] || ', ' || fr[2] || ', and ' || fr[3] END AS frt
+  FROM d LEFT JOIN q ON q.site_id = d.site_id AND q.keyword = d.keyword AND q.month = d.month
+), cs AS (
+  SELECT site_id, path, turn, 1 AS o, 'rank_drop' AS code, 'rank slipped ' || pw || ' → ' || pn || ' on ''' || keyword || '''' || passed AS phrase FROM t WHERE position - prev_position >= 3
+  UNION ALL SELECT site_id, path, turn, 2, 'page_one_exit', 'you dropped off page one for ''' || keyword || '''' || CASE WHEN position - prev_position >= 3 THEN '' ELSE passed END FROM t WHERE prev_position <= 10 AND (position IS NULL OR position > 10)
+  UNION ALL SELECT site_id, path, turn, 3, 'ai_overview_displacement', CASE WHEN quoted IS NOT NULL THEN 'Google''s new AI answer box now quotes ' || quoted || ' instead of you' ELSE 'Google now shows an AI answer box for ''' || keyword || ''' and it does not quote you' END
+    FROM t WHERE citation_change = 'new_overview' AND NOT is_cited
+  UNION ALL SELECT site_id, path, turn, 4, 'ai_citation_lost', 'you were dropped from Google''s AI answer box for ''' || keyword || '''' FROM t WHERE citation_change = 'lost'
+  UNION ALL SELECT site_id, path, turn, 5, 'serp_feature_added', 'Google added ' || fat || ' to the results for ''' || keyword || ''', pushing organic listings down' FROM t WHERE way = 'drop' AND position <= 10 AND LEN(fa) > 0
+  UNION ALL SELECT site_id, path, turn, 6, 'serp_feature_removed', 'Google removed ' || frt || ' from the results for ''' || keyword || ''', lifting organic listings' FROM t WHERE way = 'spike' AND position <= 10 AND LEN(fr) > 0
+  UNION ALL SELECT site_id, path, turn, 7, 'rank_gain', 'rank improved ' || pw || ' → ' || pn || ' on ''' || keyword || '''' FROM t WHERE way = 'spike' AND prev_position - position >= 3
+  UNION ALL SELECT site_id, path, turn, 8, 'ai_citation_gained', 'Google''s AI answer box for ''' || keyword || ''' now quotes you' FROM t WHERE way = 'spike' AND citation_change = 'gained'
+), pc AS (SELECT site_id, path, LIST(code ORDER BY turn, o) AS codes, LIST(phrase ORDER BY turn, o) AS ph FROM cs GROUP BY 1, 2),
+pf AS (SELECT site_id, path, COUNT(*) AS n, BOOL_OR(prev_month >= DATE '2001-10-22') AS fresh,
+  STRING_AGG(CASE WHEN prev_position IS NULL AND position IS NOT NULL THEN 'This is the first rank snapshot for ''' || keyword || ''', so there is no prior week to compare against.' END, ' ' ORDER BY turn) AS firsts FROM d GROUP BY 1, 2),
+x AS (
+  SELECT tr.*, COALESCE(pf.n, 0) AS n, COALESCE(pf.fresh, FALSE) AS fresh, firsts, CASE WHEN sig THEN COALESCE(codes, []) ELSE [] END AS codes, COALESCE(ph, []) AS ph,
+    CAST(b AS VARCHAR) || ' → ' || CAST(c AS VARCHAR) AS vw, REGEXP_REPLACE(CAST(ABS(change_pct) AS VARCHAR), '\.0$', '') AS ap, REGEXP_REPLACE(CAST(change_pct AS VARCHAR), '\.0$', '') AS cp
+  FROM tr LEFT JOIN pf ON pf.site_id = tr.site_id AND pf.path = tr.path LEFT JOIN pc ON pc.site_id = tr.site_id AND pc.path = tr.path
+), y AS (
+  SELECT *, 'Traffic to ' || path || CASE WHEN way = 'drop' THEN ' dropped ' ELSE ' rose ' END || ap || '% this week (' || vw || ' views).' AS head,
+    CASE WHEN NOT sig THEN 'high' WHEN LEN(codes) = 0 THEN 'low' WHEN fresh THEN 'high' ELSE 'medium' END AS confidence FROM x
+)
+SELECT site_id, path, confidence, CASE WHEN sig AND LEN(codes) = 0 THEN 'unexplained_by_serp' ELSE ARRAY_TO_STRING(codes, ',') END AS cause_codes,
+  CASE WHEN b IS NULL THEN 'Not enough weekly history for ' || path || ' to compare week over week yet (30d window).'
+    WHEN NOT sig THEN 'Traffic to ' || path || ' held roughly steady this week (' || vw || ' views, ' || CASE WHEN change_pct >= 0 THEN '+' ELSE '' END || cp || '%). No significant change to explain.'
+    WHEN LEN(codes) = 0 THEN head || ' Search position and AI answer status are unchanged' || CASE WHEN n > 0 THEN ' across ' || CAST(n AS VARCHAR) || ' tracked keyword' || CASE WHEN n = 1 THEN '' ELSE 's' END ELSE '' END ||
+      ', so the cause is probably not search — check referrers, campaigns, or a recent deploy.'
+    ELSE head || ' Likely cause: ' || CASE WHEN LEN(ph) <= 2 THEN ARRAY_TO_STRING(ph, ' and ') ELSE ARRAY_TO_STRING(ph[1:LEN(ph) - 1], ', ') || ', and ' || ph[LEN(ph)] END || '.' END AS explanation,
+  CONCAT_WS(' ', CASE WHEN NOT EXISTS (SELECT 1 FROM page_kw k WHERE k.site_id = y.site_id AND k.path = y.path) THEN 'No target keywords are mapped to ' || path || '. Map one to get a search-side explanation.' END,
+    CASE WHEN sig THEN firsts END, CASE WHEN confidence = 'medium' THEN 'The previous SERP snapshot is more than 14 days old, so the rank change may not line up exactly with this week.' END) AS caveats
+FROM y
+-- name: R12_next_step
+WITH w AS (SELECT site_id, path, DATE_TRUNC('week', timestamp) AS week, COUNT(*) AS views FROM e30 WHERE type = 'pageview' GROUP BY 1, 2, 3),
+wr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY site_id, path ORDER BY week DESC) - CASE WHEN COUNT(*) OVER (PARTITION BY site_id, path) > 2 THEN 1 ELSE 0 END AS age FROM w),
+wp AS (SELECT site_id, path, COALESCE(MAX(CASE WHEN age = 1 THEN views END), 0) AS c, MAX(CASE WHEN age = 2 THEN views END) AS b FROM wr GROUP BY 1, 2),
+wx AS (SELECT *, CASE WHEN b = 0 THEN CASE WHEN c > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END ELSE (c - b) / CAST(b AS DOUBLE) * 100 END AS pct FROM wp),
+tr AS (SELECT *, FLOOR(pct * 10 + 0.5) / 10 AS change_pct, COALESCE(ABS(pct) >= 5 AND ABS(c - b) >= 2, FALSE) AS sig,
+  CASE WHEN b IS NULL THEN 'unknown' WHEN c - b < 0 THEN 'drop' WHEN c - b > 0 THEN 'spike' ELSE 'flat' END AS way FROM wx),
+nw AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY site_id, keyword ORDER BY month DESC) AS rn FROM diffs),
+d AS (
+  SELECT nw.*, p.path, ROW_NUMBER() OVER (PARTITION BY p.site_id, p.path ORDER BY p.is_primary DESC, p.keyword) AS turn, tr.way, tr.sig,
+    COALESCE('#' || CAST(prev_position AS VARCHAR), 'unranked') AS pw, COALESCE('#' || CAST(position AS VARCHAR), 'unranked') AS pn,
+    CASE WHEN n_over > 0 THEN ', with ' || REPLACE(names, ', ', ' and ') || ' moving above you' ELSE '' END AS passed,
+    LIST_FILTER([CASE WHEN add_snippet THEN 'a featured snippet' END, CASE WHEN add_paa THEN 'a ''People also ask'' box' END, CASE WHEN add_video THEN 'a video carousel' END], lambda v: v IS NOT NULL) AS fa,
+    LIST_FILTER([CASE WHEN del_snippet THEN 'a featured snippet' END, CASE WHEN del_paa THEN 'a ''People also ask'' box' END, CASE WHEN del_video THEN 'a video carousel' END], lambda v: v IS NOT NULL) AS fr
+  FROM nw JOIN page_kw p ON p.site_id = nw.site_id AND p.keyword = nw.keyword JOIN tr ON tr.site_id = p.site_id AND tr.path = p.path WHERE nw.rn = 1
+), q AS (
+  SELECT site_id, keyword, month, STRING_AGG('s' || CAST(host AS VARCHAR) || '.example.com', ' and ' ORDER BY slot) AS quoted FROM (
+    SELECT r.site_id, c.keyword, c.month, c.host, c.slot, ROW_NUMBER() OVER (PARTITION BY r.site_id, c.keyword, c.month ORDER BY c.slot) AS rn
+    FROM cites c JOIN ranks r ON r.keyword = c.keyword AND r.month = c.month AND r.own <> c.host) WHERE rn <= 2 GROUP BY 1, 2, 3
+), t AS (
+  SELECT d.*, q.quoted, CASE WHEN LEN(fa) <= 2 THEN ARRAY_TO_STRING(fa, ' and ') ELSE fa[1] || ', ' || fa[2] || ', and ' || fa[3] END AS fat,
+    CASE WHEN LEN(fr) <= 2 THEN ARRAY_TO_STRING(fr, ' and ') ELSE fr[1] || ', ' || fr[2] || ', and ' || fr[3] END AS frt
+  FROM d LEFT JOIN q ON q.site_id = d.site_id AND q.keyword = d.keyword AND q.month = d.month
+), cs AS (
+  SELECT site_id, path, turn, 1 AS o, 'rank_drop' AS code, 'rank slipped ' || pw || ' → ' || pn || ' on ''' || keyword || '''' || passed AS phrase FROM t WHERE position - prev_position >= 3
+  UNION ALL SELECT site_id, path, turn, 2, 'page_one_exit', 'you dropped off page one for ''' || keyword || '''' || CASE WHEN position - prev_position >= 3 THEN '' ELSE passed END FROM t WHERE prev_position <= 10 AND (position IS NULL OR position > 10)
+  UNION ALL SELECT site_id, path, turn, 3, 'ai_overview_displacement', CASE WHEN quoted IS NOT NULL THEN 'Google''s new AI answer box now quotes ' || quoted || ' instead of you' ELSE 'Google now shows an AI answer box for ''' || keyword || ''' and it does not quote you' END
+    FROM t WHERE citation_change = 'new_overview' AND NOT is_cited
+  UNION ALL SELECT site_id, path, turn, 4, 'ai_citation_lost', 'you were dropped from Google''s AI answer box for ''' || keyword || '''' FROM t WHERE citation_change = 'lost'
+  UNION ALL SELECT site_id, path, turn, 5, 'serp_feature_added', 'Google added ' || fat || ' to the results for ''' || keyword || ''', pushing organic listings down' FROM t WHERE way = 'drop' AND position <= 10 AND LEN(fa) > 0
+  UNION ALL SELECT site_id, path, turn, 6, 'serp_feature_removed', 'Google removed ' || frt || ' from the results for ''' || keyword || ''', lifting organic listings' FROM t WHERE way = 'spike' AND position <= 10 AND LEN(fr) > 0
+  UNION ALL SELECT site_id, path, turn, 7, 'rank_gain', 'rank improved ' || pw || ' → ' || pn || ' on ''' || keyword || '''' FROM t WHERE way = 'spike' AND prev_position - position >= 3
+  UNION ALL SELECT site_id, path, turn, 8, 'ai_citation_gained', 'Google''s AI answer box for ''' || keyword || ''' now quotes you' FROM t WHERE way = 'spike' AND citation_change = 'gained'
+), pc AS (SELECT site_id, path, LIST(code ORDER BY turn, o) AS codes, LIST(phrase ORDER BY turn, o) AS ph FROM cs GROUP BY 1, 2),
+pf AS (SELECT site_id, path, COUNT(*) AS n, BOOL_OR(prev_month >= DATE '2001-10-22') AS fresh,
+  STRING_AGG(CASE WHEN prev_position IS NULL AND position IS NOT NULL THEN 'This is the first rank snapshot for ''' || keyword || ''', so there is no prior week to compare against.' END, ' ' ORDER BY turn) AS firsts FROM d GROUP BY 1, 2),
+lo AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY site_id, path ORDER BY turn) AS ln FROM d WHERE prev_position - position < 0 OR citation_change IN ('lost', 'new_overview')),
+rv AS (
+  SELECT l.site_id, l.path, s.host, s.slot, EXISTS (SELECT 1 FROM cites c WHERE c.keyword = l.keyword AND c.month = l.month AND c.host = s.host AND s.host <> l.own) AS cited,
+    EXISTS (SELECT 1 FROM over_rows o WHERE o.site_id = l.site_id AND o.keyword = l.keyword AND o.month = l.month AND o.host = s.host AND o.rn <= 3) AS beat
+  FROM lo l JOIN slots s ON s.keyword = l.keyword AND s.month = l.month AND (l.position IS NULL OR s.slot < l.position) WHERE l.ln = 1
+), rb AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY site_id, path ORDER BY CASE WHEN cited AND beat THEN 1 WHEN beat THEN 2 WHEN cited THEN 3 ELSE 4 END, slot) AS bn FROM rv),
+af AS (SELECT site_id, path, BOOL_OR(add_snippet OR add_paa) AS qa, BOOL_OR(add_video) AS vid FROM d WHERE way = 'drop' AND position <= 10 GROUP BY 1, 2),
+x AS (
+  SELECT tr.site_id, tr.path, tr.sig, tr.way, COALESCE(codes, []) AS codes, lo.path IS NOT NULL AS has_loser, 's' || CAST(rb.host AS VARCHAR) || '.example.com' AS dom, rb.slot, rb.cited, rb.beat, qa, vid
+  FROM tr LEFT JOIN pc ON pc.site_id = tr.site_id AND pc.path = tr.path LEFT JOIN lo ON lo.site_id = tr.site_id AND lo.path = tr.path AND lo.ln = 1
+  LEFT JOIN rb ON rb.site_id = tr.site_id AND rb.path = tr.path AND rb.bn = 1 LEFT JOIN af ON af.site_id = tr.site_id AND af.path = tr.path
+), y AS (
+  SELECT *, CASE WHEN NOT sig THEN NULL WHEN LEN(codes) = 0 THEN 'look_beyond_search' WHEN way = 'spike' THEN 'reinforce' WHEN NOT has_loser AND LIST_CONTAINS(codes, 'serp_feature_added') THEN 'target_feature'
+    WHEN dom IS NOT NULL THEN 'study_rival' END AS next_action FROM x
+)
+SELECT site_id, path, next_action, CASE next_action
+  WHEN 'look_beyond_search' THEN 'Search looks unchanged, so check referrers, campaigns, and recent deploys before spending time on SEO.'
+  WHEN 'reinforce' THEN 'Whatever changed here is working — consider applying the same approach to similar pages.'
+  WHEN 'target_feature' THEN CASE WHEN qa THEN 'Answer the searcher''s question in a short paragraph or list near the top of the page — that is what Google lifts into snippets and ''People also ask''.'
+    WHEN vid THEN 'Google is now favouring video for this search — a short video on the page can win a spot in the carousel.'
+    ELSE 'Your position held but the results page got busier, so expect fewer clicks at the same rank. Title and description are what earn the click now.' END
+  WHEN 'study_rival' THEN CASE WHEN LIST_CONTAINS(codes, 'ai_overview_displacement') OR LIST_CONTAINS(codes, 'ai_citation_lost')
+    THEN 'Compare your page against ' || dom || ', which now ranks #' || CAST(slot AS VARCHAR) || CASE WHEN cited THEN ' and is quoted in Google''s AI answer' ELSE '' END || ' — AI answers tend to quote pages that address the question directly and early.'
+    ELSE 'Compare your page against ' || dom || ', which ' || CASE WHEN beat THEN 'moved above you and ' ELSE '' END || 'now ranks #' || CAST(slot AS VARCHAR) || ' for this term.' END END AS next_text
+FROM y

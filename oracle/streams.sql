@@ -34,3 +34,35 @@ SELECT site_id, CAST(date AS VARCHAR) AS date, type, CASE type WHEN 'spike' THEN
 FROM k WHERE type IS NOT NULL
 -- name: S09_time_buckets
 SELECT CAST(DATE_TRUNC('hour', timestamp) AS VARCHAR) AS bucket, site_id, COUNT(*) AS events, COUNT(CASE WHEN type = 'pageview' THEN 1 END) AS pageviews FROM web_events GROUP BY 1, 2
+-- name: S07_stream_rage_clicks
+WITH RECURSIVE c AS (
+  SELECT CASE WHEN user_id % 10 < 7 THEN 'site_a' WHEN user_id % 10 < 9 THEN 'site_b' ELSE 'site_c' END AS site_id, 'u_' || CAST(user_id AS VARCHAR) AS user_id,
+    's_' || CAST(user_id AS VARCHAR) AS session_id, '/' AS path, 'a.r' || CAST(event_id % 2 AS VARCHAR) AS selector,
+    (EPOCH_US(ts) + i * CASE WHEN event_id % 3 = 0 THEN 300000 ELSE 700000 END) // 1000 AS ms
+  FROM events, UNNEST(RANGE(0, event_id % 5 + 1)) AS r(i) WHERE event_type = 'click'
+), m AS (SELECT site_id, user_id, session_id, path, selector, ms, COUNT(*) AS k FROM c GROUP BY ALL),
+q AS (SELECT *, SUM(k) OVER (PARTITION BY user_id, selector ORDER BY ms RANGE BETWEEN 999 PRECEDING AND CURRENT ROW) AS cnt FROM m),
+z AS (SELECT * FROM q WHERE cnt >= 3),
+f AS (
+  SELECT user_id, selector, MIN(ms) AS ms FROM z GROUP BY 1, 2
+  UNION ALL
+  SELECT f.user_id, f.selector, MIN(z.ms) FROM f JOIN z ON z.user_id = f.user_id AND z.selector = f.selector AND z.ms >= f.ms + 5000 GROUP BY f.user_id, f.selector, f.ms
+)
+SELECT z.site_id, z.user_id, z.session_id, z.path, z.selector, CAST(MAKE_TIMESTAMP(z.ms * 1000) AS VARCHAR) AS timestamp, CAST(GREATEST(3, cnt - k + 1) AS BIGINT) AS count
+FROM f JOIN z ON z.user_id = f.user_id AND z.selector = f.selector AND z.ms = f.ms
+-- name: A50_detect_rage_clicks
+WITH RECURSIVE c AS (
+  SELECT CASE WHEN user_id % 10 < 7 THEN 'site_a' WHEN user_id % 10 < 9 THEN 'site_b' ELSE 'site_c' END AS site_id, 'u_' || CAST(user_id AS VARCHAR) AS user_id,
+    's_' || CAST(user_id AS VARCHAR) AS session_id, '/' AS path, 'a.r' || CAST(event_id % 2 AS VARCHAR) AS selector,
+    (EPOCH_US(ts) + i * CASE WHEN event_id % 3 = 0 THEN 300000 ELSE 700000 END) // 1000 AS ms
+  FROM events, UNNEST(RANGE(0, event_id % 5 + 1)) AS r(i) WHERE event_type = 'click'
+), m AS (SELECT site_id, user_id, session_id, path, selector, ms, COUNT(*) AS k FROM c GROUP BY ALL),
+q AS (SELECT *, SUM(k) OVER (PARTITION BY user_id, selector ORDER BY ms RANGE BETWEEN 999 PRECEDING AND CURRENT ROW) AS cnt FROM m),
+z AS (SELECT * FROM q WHERE cnt >= 3),
+f AS (
+  SELECT user_id, selector, MIN(ms) AS ms FROM z GROUP BY 1, 2
+  UNION ALL
+  SELECT f.user_id, f.selector, MIN(z.ms) FROM f JOIN z ON z.user_id = f.user_id AND z.selector = f.selector AND z.ms >= f.ms + 5000 GROUP BY f.user_id, f.selector, f.ms
+)
+SELECT z.site_id, z.user_id, z.session_id, z.path, z.selector, CAST(MAKE_TIMESTAMP(z.ms * 1000) AS VARCHAR) AS timestamp, CAST(GREATEST(3, cnt - k + 1) AS BIGINT) AS count
+FROM f JOIN z ON z.user_id = f.user_id AND z.selector = f.selector AND z.ms = f.ms
