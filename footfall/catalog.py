@@ -515,18 +515,26 @@ def _finish(df: DataFrame, mode: str, s: SparkSession) -> DataFrame:
     return s.table(name)
 
 
-def _ingested(s: SparkSession, d: str) -> str:
+def _ingested(s: SparkSession, events: DataFrame) -> str:
     path = tables.scratch_path(s, "events")
-    jobs.stream_ingest(web_event_stream(s, d), path, f"{path}-state").awaitTermination()
+    jobs.stream_ingest(events, path, f"{path}-state").awaitTermination()
     return path
 
 
+def _cleaned_live(s: SparkSession, d: str) -> DataFrame:
+    """Raw records through the live cleaning job into the table."""
+    records = raw.as_raw_events(web_event_stream(s, d))
+    stored = s.read.parquet(_ingested(s, jobs.clean_stream(records)))
+    return stored.groupBy("site_id", "type", "event_date").agg(
+        F.count("*").alias("events"), F.count_if(F.col("url").contains("REDACTED")).alias("redacted"))
+
+
 def _stored_stream(s: SparkSession, path: str) -> DataFrame:
     return s.readStream.schema(s.read.parquet(path).schema).parquet(path)
 
 
 def _live_rollup(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    path, out = _ingested(s, d), tables.scratch_path(s, "rollup")
+    path, out = _ingested(s, web_event_stream(s, d)), tables.scratch_path(s, "rollup")
     work = jobs.rollup_updates(path, f"{out}/days", f"{out}/alerts")
     jobs.for_each_batch(_stored_stream(s, path), work, f"{out}/state").awaitTermination()
     return s.read.parquet(f"{out}/days").drop("event_date"), jobs.read_alerts(s, f"{out}/alerts")
@@ -548,7 +556,7 @@ def _click_stream(s: SparkSession, d: str) -> DataFrame:
 def _over_streams() -> dict:
     """Queries that run a live job over the files present."""
     return {
-        "S01_stream_ingest": lambda s, d: _per_day(s.read.parquet(_ingested(s, d)), "events"),
+        "S01_stream_ingest": _cleaned_live,
         "S02_stream_dedupe": lambda s, d: _finish(
             jobs.dedupe(web_event_stream(s, d).union(web_event_stream(s, d)), "40 days"), "append", s
         ).select("id", "site_id", "type"),

@@ -12,8 +12,12 @@ def _number(name: str) -> Column:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_raw_events(web_events(spark, sf_dir))
+
+
+def as_raw_events(events: DataFrame) -> DataFrame:
     """Visitor records as they arrive: gaps, unknown types, secrets in URLs and properties."""
-    e = web_events(spark, sf_dir).withColumn("_n", _number("id"))
+    e = events.withColumn("_n", _number("id"))
     n = F.col("_n")
     nested = F.concat(
         F.lit('{"Email":"a@b.c","list":[1,{"password":"x"}],"plan":"p'), (n % 3).cast("string"),

@@ -1,5 +1,7 @@
 -- name: S01_stream_ingest
-SELECT site_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, COUNT(*) AS events FROM web_events GROUP BY 1, 2
+SELECT site_id, CASE WHEN n % 11 = 0 THEN 'custom' WHEN n % 7 = 0 THEN 'pageview' ELSE type END AS type, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS event_date,
+  COUNT(*) AS events, COUNT(CASE WHEN n % 10 = 0 OR n % 4 = 1 THEN 1 END) AS redacted
+FROM raw_ev WHERE n % 13 <> 0 AND n % 17 <> 0 GROUP BY 1, 2, 3
 -- name: S02_stream_dedupe
 SELECT id, site_id, type FROM web_events
 -- name: S03_stream_sessions
