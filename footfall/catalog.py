@@ -43,6 +43,15 @@ def _goals(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schemas.GOALS)
 
 
+def _funnels(spark: SparkSession) -> DataFrame:
+    shop = ('[{"label":"Home","type":"pageview","path":"/"},{"label":"Cart","type":"add_to_cart"},'
+            '{"label":"Paid","type":"purchase"}]')
+    read = '[{"label":"Docs","type":"pageview","path":"/docs"},{"label":"Any page","type":"pageview"},{"label":"Never","type":"lead"}]'
+    return spark.createDataFrame(
+        [("f1", "site_a", "Shop", shop, None), ("f2", "site_b", "Read", read, None), ("f3", "site_a", "Read", read, None)],
+        schemas.FUNNELS)
+
+
 def _tests(spark: SparkSession) -> DataFrame:
     landing = '[{"name":"home","path":"/"},{"name":"products","url":"/products"},{"name":"ghost","path":"/nowhere"}]'
     docs = '[{"name":"docs","path":"/docs"},{"name":"blog","path":"/blog"}]'
@@ -119,6 +128,7 @@ def _over_events() -> dict:
         "A16b_funnel_paths": month(c.funnel_paths),
         "A17_funnel": month(c.funnel),
         "A17o_funnel_ordered": month(c.funnel_ordered),
+        "A17s_saved_funnels": lambda s, e: c.saved_funnels(e, _funnels(s), MONTH),
         "A18_realtime_summary": lambda s, e: a.realtime_summary(e, NOON, minutes=60),
         "A19_event_stream_tail": lambda s, e: a.event_stream_tail(e, NOON, minutes=12 * 60),
         "A20_utm_campaigns": month(q.utm_campaigns),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions.classify import filled, is_blank, social_platform, source_class
 from footfall.functions.numbers import (
-    desc_then, exact_mean, exact_sum, percent, round_half_up, top_per, with_share,
+    desc_then, exact_mean, exact_sum, round_half_up, top_per, with_share,
 )
 from footfall.functions.ranges import within
 from footfall.operators.traffic import by_day, n_pageviews, n_sessions, n_visitors, period_rows

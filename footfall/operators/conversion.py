@@ -7,10 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from footfall import schemas
 from footfall.functions.classify import filled
 from footfall.functions.numbers import desc_then, percent, top_per
-from footfall.functions.ranges import within
 from footfall.functions.stats import two_proportion_test
 from footfall.operators.acquisition import json_text
-from footfall.operators.traffic import by_day, is_view, n_pageviews, n_visitors, period_rows
+from footfall.operators.traffic import by_day, is_view, n_pageviews, period_rows
 
 # The funnel used when none is given (label, event type, path).
 DEFAULT_FUNNEL = [
@@ -68,6 +67,29 @@ def funnel(events, period, site_id=None, steps=DEFAULT_FUNNEL) -> DataFrame:
     return _steps_long(per_site, steps, lambda i: F.coalesce(F.col(f"_{i}"), F.lit(0)))
 
 
+def saved_funnels(events, funnels: DataFrame, period, site_id=None) -> DataFrame:
+    """`funnel` for every row of the funnels table (steps as JSON) at once. An event is matched by
+    equality with its type alone and with type and path; Spark broadcasts the steps while small."""
+    steps = funnels.select(
+        "site_id", F.col("id").alias("funnel_id"), F.col("name").alias("funnel"),
+        F.posexplode(F.from_json("steps", schemas.FUNNEL_STEPS)).alias("step_no", "s"),
+    ).select("site_id", "funnel_id", "funnel", "step_no", F.col("s.label").alias("step"),
+             F.col("s.type").alias("type"), filled("s.path", "").alias("_path"))
+    rows = period_rows(events, period, site_id)
+    keyed = rows.select("site_id", "user_id", "type", F.explode(
+        F.array_distinct(F.array(F.lit(""), filled("path", "")))).alias("_path"))
+    hits = keyed.join(steps, ["site_id", "type", "_path"]).groupBy("funnel_id", "step_no").agg(
+        F.countDistinct("user_id").alias("visitors"))
+    everyone = rows.groupBy("site_id").agg(F.countDistinct("user_id").alias("_all"))
+    full = steps.join(hits, ["funnel_id", "step_no"], "left").join(everyone, "site_id", "left").na.fill(0)
+    before = F.lag("visitors").over(Window.partitionBy("funnel_id").orderBy("step_no"))
+    lost = F.when(before > 0, percent(before - F.col("visitors"), before, 1)).otherwise(F.lit(0.0))
+    return full.select(
+        "site_id", "funnel_id", "funnel", "step_no", "step", "visitors",
+        percent(F.col("visitors"), F.col("_all"), 1).alias("percentage"),
+        F.greatest(lost, F.lit(0.0)).alias("drop_off"))
+
+
 def funnel_ordered(events, period, site_id=None, steps=DEFAULT_FUNNEL) -> DataFrame:
     """As `funnel`, but a step counts only strictly after the step before it. Each round finds the
     visitor's earliest moment of the step after the moment reached so far."""

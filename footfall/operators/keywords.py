@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from footfall.functions.numbers import desc_then, present, top_per
 from footfall.operators.traffic import page_search_terms, top_pages

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall import schemas
-from footfall.functions.numbers import desc_then, round_half_up, top_per
+from footfall.functions.numbers import round_half_up, top_per
 from footfall.functions.urls import extract_domain, same_site
 
 RANK_MOVE, PAGE_ONE = 3, 10

@@ -10,9 +10,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.functions.classify import filled
-from footfall.functions.geo import country_name
 from footfall.functions.numbers import (
-    desc_then, percent, round_half_up, top_per, trend, union_all, with_share,
+    desc_then, percent, round_half_up, top_per, trend, union_all,
 )
 from footfall.functions.ordered import next_row
 from footfall.functions.ranges import DateRange, for_site, instant, within

@@ -16,7 +16,7 @@ from footfall.functions.classify import filled
 from footfall.functions.numbers import top_per
 from footfall.operators.engagement import RAGE_CLICKS, RAGE_QUIET_MS, RAGE_WINDOW_MS
 from footfall.operators.ingest import ingest_clean, opt_out_filter
-from footfall.operators.traffic import is_view, traffic_alerts, traffic_over_time
+from footfall.operators.traffic import is_view, traffic_alerts
 from footfall.plans.rollup import daily_rollup, touched_days
 from footfall.plans.tables import HOT_PARTITIONS, overwrite_touched, with_event_date
 

@@ -624,3 +624,13 @@ SELECT event_type, COUNT(*) AS n, FLOOR(MIN(value) * 1000 + 0.5) / 1000 AS min,
   FLOOR(CAST(SUM(CAST(value AS DECIMAL(28, 6))) AS DOUBLE) / COUNT(*) * 1000 + 0.5) / 1000 AS mean, FLOOR(QUANTILE_DISC(value, 0.5) * 1000 + 0.5) / 1000 AS median,
   FLOOR(QUANTILE_DISC(value, 0.95) * 1000 + 0.5) / 1000 AS p95, FLOOR(QUANTILE_DISC(value, 0.99) * 1000 + 0.5) / 1000 AS p99, ROUND(STDDEV_SAMP(value), 3) AS stddev
 FROM events GROUP BY 1
+-- name: A17s_saved_funnels
+WITH st(site_id, funnel_id, funnel, step_no, step, kind, p) AS (VALUES
+  ('site_a', 'f1', 'Shop', 0, 'Home', 'pageview', '/'), ('site_a', 'f1', 'Shop', 1, 'Cart', 'add_to_cart', NULL), ('site_a', 'f1', 'Shop', 2, 'Paid', 'purchase', NULL),
+  ('site_b', 'f2', 'Read', 0, 'Docs', 'pageview', '/docs'), ('site_b', 'f2', 'Read', 1, 'Any page', 'pageview', NULL), ('site_b', 'f2', 'Read', 2, 'Never', 'lead', NULL),
+  ('site_a', 'f3', 'Read', 0, 'Docs', 'pageview', '/docs'), ('site_a', 'f3', 'Read', 1, 'Any page', 'pageview', NULL), ('site_a', 'f3', 'Read', 2, 'Never', 'lead', NULL)),
+t AS (SELECT site_id, COUNT(DISTINCT user_id) AS n FROM e30 GROUP BY 1),
+h AS (SELECT st.*, COUNT(DISTINCT e30.user_id) AS visitors FROM st LEFT JOIN e30 ON e30.site_id = st.site_id AND e30.type = st.kind AND (st.p IS NULL OR e30.path = st.p) GROUP BY ALL),
+l AS (SELECT h.*, n, LAG(visitors) OVER (PARTITION BY funnel_id ORDER BY step_no) AS b FROM h JOIN t ON t.site_id = h.site_id)
+SELECT site_id, funnel_id, funnel, step_no, step, visitors, FLOOR(visitors / CAST(n AS DOUBLE) * 1000 + 0.5) / 10 AS percentage,
+  GREATEST(CASE WHEN b > 0 THEN FLOOR((b - visitors) / CAST(b AS DOUBLE) * 1000 + 0.5) / 10 ELSE 0.0::DOUBLE END, 0.0::DOUBLE) AS drop_off FROM l

@@ -155,6 +155,12 @@ def test_error_alerts_only_report_spikes(spark):
     assert spike.type == "error_spike" and spike.message == "Error spike: 90 events (avg: 9)"
 
 
+def test_rollup_covers_periods_without_today():
+    now = datetime(2024, 3, 10, 15)
+    assert not traffic.covered_by_rollup(DateRange(datetime(2024, 3, 1), now), now)
+    assert traffic.covered_by_rollup(DateRange(datetime(2024, 3, 1), datetime(2024, 3, 9)), now)
+
+
 def test_kpi_from_zero(spark):
     e = events(spark, ("u", 0, "pageview", "/"), ("u", 2, "pageview", "/"))
     [k] = traffic.kpi_summary(e, sessionise_by_id(e), DateRange(T0, T0 + timedelta(days=1))).collect()
