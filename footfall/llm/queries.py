@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from footfall.llm import (decontamination, line_dedup, mixing, quality_rules, sharding, simhash, token_output, toxicity,
-                          url_filter)
+from footfall.llm import (decontamination, line_dedup, mixing, quality_rules, sharding, simhash, suffix_dedup, token_output,
+                          toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_sharding": sharding.op5_sharding,
     "op6_token_output": token_output.op6_token_output,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_simhash": simhash.op10_simhash,
