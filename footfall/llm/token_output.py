@@ -27,10 +27,10 @@ from footfall.llm.common import parts_for, pieces, stored, table, with_offsets
 
 END_ID = 1
 DOCS_PER_PART = 10_000
-PIECE = 4 << 20
+PIECE = 8 << 20
 SUB_BLOCK = 1024
-#: Words whose ids a task keeps at most (about 150 MB).
-CACHED_WORDS = 600_000
+#: Words whose ids a generation of a task's cache keeps, one piece more at most (two generations: about 150 MB).
+CACHED_WORDS = 400_000
 
 #: Fixed values of Simple-8b: (ids in a word, bits of each) for the selectors 1 to 14.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -128,49 +128,58 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.tails = {t: self._one(t) for t in ".,"}
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
         plain = [w for w in words if "0" not in w]
-        self.known.update((w, self._one(w)) for w in words if "0" in w)
+        found = {w: self._one(w) for w in words if "0" in w}
         for k in range(0, len(plain), 512):
             some = plain[k:k + 512]
             ids = np.array(self.tokenizer.encode(" 0 ".join(some), add_special_tokens=False).ids, np.uint32)
             cut = np.nonzero(ids == self.zero[0])[0]
             if len(cut) != len(some) - 1:  # not expected of any tokenizer that keeps digits apart
-                self.known.update((w, self._one(w)) for w in some)
+                found.update((w, self._one(w)) for w in some)
                 continue
             ends, raw = [*(4 * cut).tolist(), 4 * len(ids)], ids.tobytes()
-            start = 0
-            for word, end in zip(some, ends, strict=True):
-                self.known[word] = raw[start:end]
-                start = end + 4
+            found.update((w, raw[i:j]) for w, i, j in zip(some, [0, *[e + 4 for e in ends]], ends, strict=False))
+        return found
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words. Known words are kept in two generations, so frequent ones stay."""
+        ids = list(map(self.young.get, words))
+        missing = []
+        for k, found in enumerate(ids):
+            if found is None:
+                if (found := self.old.get(words[k])) is None:
+                    missing.append(k)
+                else:
+                    ids[k] = self.young[words[k]] = found
+        bases, tails = [], []  # lists of plain strings: nothing for the garbage collector to walk through
+        for k in missing:
+            w, tail = words[k], ""
+            if w[-1:] in self.tails and len(w) > 1 and w[-2].isascii() and w[-2].isalnum():
+                w, tail = w[:-1], w[-1]
+            bases.append(w.lower() if w.isascii() and "<|" not in w else w)
+            tails.append(tail)
+        known = {base: self.young.get(base) or self.old.get(base) for base in bases}
+        known.update(self._encode([base for base, found in known.items() if found is None]))
+        for k, base, tail in zip(missing, bases, tails, strict=True):
+            ids[k] = self.young[words[k]] = known[base] + self.tails[tail] if tail else known[base]
+        if len(self.young) > CACHED_WORDS:
+            self.young, self.old = {}, self.young
+        return ids
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with its end id, and the texts' lengths."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        bases, tails = [], []
-        for w in words:
-            tail = ""
-            if len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalnum():
-                w, tail = w[:-1], w[-1]
-            bases.append(w.lower() if w.isascii() and "<|" not in w else w)
-            tails.append(tail)
-        new = list({w for w in bases if w not in self.known})
-        if new:
-            self._learn(new)
-            if missing := list({w for w in bases if w not in self.known}):  # the cache was emptied
-                self._learn(missing)
-        ids = [self.known[w] + (self.tails[t] if t else b"") for w, t in zip(bases, tails, strict=True)]
+        ids = self.words(coded.dictionary.to_pylist())
         ids.append(np.array([end_id], np.uint32).tobytes())
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         pool = np.frombuffer(b"".join(ids), np.uint32)
