@@ -145,6 +145,8 @@ def distinct_anchors(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.n
 
 def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     found, first = np.unique(bucket, return_index=True)
+    if not len(bucket):
+        return
     yield from zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True)
 
 
