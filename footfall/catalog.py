@@ -93,7 +93,7 @@ def _halves(events: DataFrame) -> DataFrame:
 
 
 def _two_reports(events: DataFrame, spark: SparkSession) -> DataFrame:
-    reports = dashboard.report_sources(events, events, _goals(spark), MONTH)
+    reports = dashboard.report_sources(events, sessions_of(events), _goals(spark), MONTH)
     return reports["os"]().select(
         "site_id", F.lit("os").alias("data_source"), F.col("os").alias("label"), "visitors"
     ).unionByName(reports["browsers"]().select(
@@ -554,7 +554,8 @@ def _tail(s: SparkSession, d: str) -> DataFrame:
     out = tables.scratch_path(s, "tail")
     jobs.for_each_batch(
         web_event_stream(s, d), jobs.event_tail(f"{out}/rows"), f"{out}/state").awaitTermination()
-    return s.read.parquet(f"{out}/rows/batch=0").select("site_id", "id", "type", "path", "timestamp")
+    kept = s.read.parquet(f"{out}/rows")  # one folder a batch; the last has the tail
+    return kept.filter(F.col("batch") == kept.agg(F.max("batch")).first()[0]).select("site_id", "id", "type", "path", "timestamp")
 
 
 def _click_stream(s: SparkSession, d: str) -> DataFrame:

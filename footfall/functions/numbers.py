@@ -46,7 +46,7 @@ def exact_sum(x: Column) -> Column:
 
 
 def exact_mean(x: Column) -> Column:
-    return F.sum(exact(x)).cast("double") / F.nullif(F.count(x), F.lit(0))
+    return F.sum(exact(x)).cast("double") / F.nullif(F.count(exact(x)), F.lit(0))
 
 
 def shown_number(x: Column) -> Column:

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Names whose values are never stored (whole name, any case).
-SENSITIVE_NAMES = [
-    "token", "access_?token", "refresh_?token", "id_?token", "auth", "authorization", "password",
-    "passwd", "pwd", "secret", "client_?secret", "api_?key", "apikey", "key", "session",
-    "session_?id", "sid", "sso", "otp", "code", "verification_?code", "confirm(?:ation)?_?token",
-    "reset_?token", "invite", "invitation", "email", "e_?mail", "phone", "signature", "sig", "hash",
-]
+# Fixed value: names whose values are never stored (whole name, any case).
+SENSITIVE_PATTERN = (
+    r"(?i)^(?:token|access_?token|refresh_?token|id_?token|auth|authorization|password|passwd|pwd|secret|"
+    r"client_?secret|api_?key|apikey|key|session|session_?id|sid|sso|otp|code|verification_?code|"
+    r"confirm(?:ation)?_?token|reset_?token|invite|invitation|email|e_?mail|phone|signature|sig|hash)$"
+)
 REDACTED = "REDACTED"
 MAX_URL = 2048
 # Query parameters that hold an on-site search, first non-empty one wins.
 SEARCH_PARAMETERS = ["q", "query", "search", "s", "keyword", "keywords", "term", "text", "find"]
 
-SENSITIVE_PATTERN = "(?i)^(?:" + "|".join(SENSITIVE_NAMES) + ")$"
 _SCHEME = r"(?i)^[a-z][a-z0-9+.\-]*://"
 
 
@@ -50,13 +48,13 @@ def pair_value(pairs: Column, name: str) -> Column:
     return F.try_element_at(F.filter(pairs, lambda p: p["name"] == name), F.lit(1))["value"]
 
 
-def query_parameter(url: Column, name: str) -> Column:
-    return pair_value(query_pairs(url), name)
+_WEB = r"(?i)^https?://"
+_HOST = r"([^/?#@]*@)?(\[[0-9a-f:.]+\]|[^\s\[\]<>^|:/?#]+)(:\d{0,5})?([/?#]|\z)"
 
 
 def sanitise_url(url: Column) -> Column:
     """Redact the values of sensitive parameters and drop the fragment; relative URLs stay
-    relative. NULL becomes ''."""
+    relative. A web address whose host no parser takes loses its query whole. NULL becomes ''."""
     text = F.coalesce(url, F.lit(""))
     base = F.regexp_extract(text, r"(?s)^([^?#]*)", 1)
     pairs = F.transform(
@@ -66,7 +64,8 @@ def sanitise_url(url: Column) -> Column:
             F.concat(F.substring_index(p, "=", 1), F.lit("=" + REDACTED)),
         ).otherwise(p),
     )
-    query = F.concat(F.lit("?"), F.array_join(pairs, "&"))
+    broken = text.rlike(_WEB) & ~text.rlike(_WEB + _HOST)
+    query = F.when(~broken, F.concat(F.lit("?"), F.array_join(pairs, "&")))
     return F.substring(F.concat(base, F.coalesce(query, F.lit(""))), 1, MAX_URL)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions.classify import filled, is_blank, social_platform, source_class
@@ -13,8 +15,9 @@ from footfall.operators.traffic import by_day, n_pageviews, n_sessions, n_visito
 
 
 def json_number(name: str) -> Column:
-    """A numeric event property; anything unreadable is NULL."""
-    return F.get_json_object("properties", f"$.{name}").try_cast("double")
+    """A numeric event property; anything unreadable, NaN and infinite is NULL."""
+    value = F.get_json_object("properties", f"$.{name}").try_cast("double")
+    return F.when(value.between(-sys.float_info.max, sys.float_info.max), value)
 
 
 def json_text(name: str) -> Column:

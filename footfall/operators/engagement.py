@@ -19,8 +19,8 @@ def _of_type(events, period, site_id, kind) -> DataFrame:
 
 
 def whole(x: Column) -> Column:
-    """A fraction as the nearest integer (casting alone would cut it off)."""
-    return F.round(x).cast("bigint")
+    """A fraction as the nearest integer (casting alone would cut it off); NULL beyond 64 bits."""
+    return F.round(x).try_cast("bigint")
 
 
 def mean_1dp(x: Column) -> Column:

@@ -74,14 +74,20 @@ def upsert_issues(stored: DataFrame, polled: DataFrame) -> DataFrame:
     return marked.withColumn("stale", stale).select("issue_id", *columns, "stale", "changed")
 
 
+#: The end of the year 9999 in unix seconds; a time beyond it is no time.
+LAST_SECOND = 253_402_300_799
+
+
 def daily_issue_counts(raw: DataFrame) -> DataFrame:
-    """Raw (site_id, project_slug, JSON list of [unix seconds, count]) to counts per day."""
+    """Raw (site_id, project_slug, JSON list of [unix seconds, count]) to counts per day. Numbers that are
+    no time or no 64-bit count are NULL."""
     pairs = F.from_json("stats", "array<array<double>>")
     long = raw.select("site_id", F.coalesce("project_slug", F.lit("")).alias("project_slug"),
                       F.explode(pairs).alias("p")).filter(F.size("p") >= 2)
-    day = F.to_date(F.timestamp_seconds(F.col("p")[0].cast("bigint")))
+    seconds = F.col("p")[0].try_cast("bigint")
+    day = F.to_date(F.timestamp_seconds(F.when(seconds.between(0, LAST_SECOND), seconds)))
     daily = long.groupBy("site_id", "project_slug", day.alias("date")).agg(
-        F.coalesce(F.sum(F.col("p")[1].cast("bigint")), F.lit(0)).alias("events"))
+        F.coalesce(F.sum(F.col("p")[1].try_cast("bigint")), F.lit(0)).alias("events"))
     return daily.withColumn(
         "stat_id", F.concat_ws(":", "site_id", "project_slug", F.col("date").cast("string")))
 

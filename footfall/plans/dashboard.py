@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from footfall.functions.numbers import union_all
 from footfall.functions.ranges import DateRange, for_site, within
 from footfall.operators import acquisition, audience, conversion, performance, traffic
+from footfall.operators.sessions import mark_returning
 
 # Columns every report may need; the rest is never read for a dashboard.
 _USED = [
@@ -80,7 +81,7 @@ def report_sources(
         "bounce_rate": lambda: traffic.bounce_rate_trend(s, p, site),
         "avg_session": lambda: traffic.avg_session_trend(s, p, site),
         "conversions": lambda: conversion.goal_conversions(e, goals, p, site),
-        "new_vs_returning": lambda: audience.new_vs_returning(s, p, site),
+        "new_vs_returning": lambda: audience.new_vs_returning(mark_returning(s), p, site),
         "revenue": lambda: acquisition.revenue_daily(e, p, site),
         "web_vitals": lambda: performance.web_vitals_overview(e, p, site),
     }

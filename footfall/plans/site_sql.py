@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 ROW_CAP = 1000
+_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
 _VARIABLE = re.compile(r"\{\{\s*([a-zA-Z_][a-zA-Z0-9_]*)\s*\}\}")
 
 
@@ -24,12 +25,23 @@ def site_sql(
 ) -> DataFrame:
     """Run `text` over the tenant's rows, at most `row_cap` of them. `open_tables` opens the tables
     by name in the session it is given. {{name}} becomes a bound parameter: {{site_id}} is the
-    tenant, names without a value are NULL."""
+    tenant, names without a value are NULL.
+
+    The text can only read: it runs as a sub-query, where Spark's parser takes neither commands nor a second
+    statement. Files can't be named as tables, and no table but the given ones can be read."""
     session = spark.newSession()
+    session.conf.set("spark.sql.runSQLOnFiles", "false")
     for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.shuffle.partitions"):
         session.conf.set(key, spark.conf.get(key))
-    for name, table in open_tables(session).items():
+    tables = open_tables(session)
+    for name, table in tables.items():
         table.filter(table["site_id"] == site_id).createOrReplaceTempView(name)
     given = {**(variables or {}), "site_id": site_id}
     args = {name: given.get(name) for name in template_variables(text)}
-    return session.sql(_VARIABLE.sub(r":\1", text), args=args).limit(row_cap)
+    query = "SELECT * FROM (\n" + _VARIABLE.sub(r":\1", text).rstrip().rstrip(";") + "\n) AS _query"
+    parsed = session._jsparkSession.sessionState().sqlParser().parsePlan(query).toString()
+    for relation in _RELATION.findall(parsed):
+        parts = relation.split(", ")
+        if len(parts) > 1 or parts[0] not in tables and session.catalog.tableExists(parts[0]):
+            raise PermissionError(f"{'.'.join(parts)} is not one of the tables {', '.join(sorted(tables))}")
+    return session.sql(query, args=args).limit(row_cap)

@@ -12,17 +12,22 @@ import tempfile
 import uuid
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 HOT_PARTITIONS = ["event_date"]
 COLD_PARTITIONS = ["site_id", "event_date"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder shared by the cluster (spark.checkpoint.dir). Only where that is
-    unset, as in local tests, a temporary folder of this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    """A fresh path in the folder shared by the cluster (spark.checkpoint.dir). It must be set wherever
+    executors run on other machines; a local session without it gets a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -60,22 +65,30 @@ def first_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
         *df.columns)
 
 
-def append_new(spark: SparkSession, batch: DataFrame, path: str) -> None:
-    """Append the unseen rows of a batch. Only the stored days the batch touches are read back:
-    the first and last day of the batch bound the scan (one row returns to the driver)."""
-    dated = with_event_date(batch)
+def stored_at(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The table under the path, None before its first run."""
     try:
-        stored = spark.read.parquet(path)
-    except Exception as missing:  # first run: no table yet
-        if "PATH_NOT_FOUND" not in str(missing):
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        write_events(first_per_key(batch, ["site_id", "id"]), path)
-        return
-    first, last = dated.agg(F.min("event_date"), F.max("event_date")).first()
-    if first is None:
+        return None
+
+
+def append_new(spark: SparkSession, batch: DataFrame, path: str, *archived: str) -> None:
+    """Append the rows of a batch that neither the table nor its archive has. Of both only the days in
+    the batch are read back; the list of those days comes to the driver and prunes directories, so one
+    event with an odd date adds one day."""
+    dated = with_event_date(batch)
+    days = [r[0] for r in dated.select("event_date").distinct().collect()]
+    if not days:
         return
-    recent = stored.filter(F.col("event_date").between(F.lit(first), F.lit(last)))
-    write_events(unseen(batch, recent), path)
+    there = [t.filter(F.col("event_date").isin(days)).select("site_id", "id")
+             for p in (path, *archived) if (t := stored_at(spark, p, dated.schema)) is not None]
+    new = first_per_key(batch, ["site_id", "id"])
+    for stored in there:
+        new = unseen(new, stored)
+    write_events(new, path)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
@@ -142,12 +155,21 @@ def archive_cold(
     hot: DataFrame, cold_path: str, hot_path: str, as_of: datetime,
     archive_days: int = ARCHIVE_DAYS, column: str = "timestamp",
 ) -> None:
-    """Copy days older than `archive_days` to the cold path, replacing the same days there, then
-    write the remaining rows as the new hot table. A run that fails between the two can be
-    repeated. `hot_path` must differ from where `hot` is read."""
+    """Merge days older than `archive_days` into the cold path, then write the remaining rows as the new
+    hot table. A day that is cold already keeps its rows: late ones are added, known ones stay once. The
+    merged days are staged first, so no path is overwritten while it is read, and a run that fails
+    anywhere can be repeated. `hot_path` must differ from where `hot` is read."""
+    spark = hot.sparkSession
     old = is_cold(column, as_of, archive_days)
     dated = with_event_date(hot, column)
-    overwrite_touched(dated.filter(old), cold_path, COLD_PARTITIONS)
+    cold, goes = stored_at(spark, cold_path, dated.schema), dated.filter(old)
+    if cold is not None:
+        days = goes.select(*COLD_PARTITIONS).distinct()
+        both = cold.join(days, COLD_PARTITIONS, "left_semi").select(*dated.columns).unionByName(goes)
+        staged = scratch_path(spark, "staged")
+        first_per_key(both, [*COLD_PARTITIONS, "id"]).write.parquet(staged)
+        goes = spark.read.schema(dated.schema).parquet(staged)
+    overwrite_touched(goes, cold_path, COLD_PARTITIONS)
     full_rebuild(dated.filter(~old), hot_path, HOT_PARTITIONS)
 
 

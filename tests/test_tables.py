@@ -85,6 +85,46 @@ def test_archive_can_be_repeated(spark, events, tmp_path):
     assert tables.unified_view(events) is events
 
 
+def test_late_rows_join_an_archived_day(spark, events, tmp_path):
+    cold, hot, hot2 = (str(tmp_path / n) for n in ("cold", "hot", "hot2"))
+    now = datetime(2024, 2, 10)
+    first = events.filter("timestamp < '2024-01-05'").orderBy("id").limit(1)
+    late = first.withColumn("id", F.lit("late"))
+    tables.archive_cold(events, cold, hot, now)
+    tables.archive_cold(spark.read.parquet(hot).drop("event_date").unionByName(late), cold, hot2, now)
+    assert same(tables.read_events(spark, hot2, cold).drop("event_date"), events.unionByName(late))
+
+
+def test_archived_events_are_not_appended_again(spark, events, tmp_path):
+    cold, hot = (str(tmp_path / n) for n in ("cold", "hot"))
+    tables.archive_cold(events, cold, hot, datetime(2024, 2, 10))
+    tables.append_new(spark, events, hot, cold)
+    assert same(tables.read_events(spark, hot, cold).drop("event_date"), events)
+
+
+def test_local_folders_are_for_local_sessions(spark):
+    class Far:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.scratch_path(Far, "x")
+
+
+def test_tail_is_that_of_the_last_batch(spark, events, tmp_path):
+    work = jobs.event_tail(str(tmp_path / "rows"), limit=5)
+    parts = [events.filter("timestamp < '2024-01-10'"), events.filter("timestamp >= '2024-01-10'")]
+    for n, part in enumerate(parts):
+        work(part, n)
+    kept = spark.read.parquet(str(tmp_path / "rows"))
+    last = kept.filter(F.col("batch") == kept.agg(F.max("batch")).first()[0])
+    want = events.selectExpr("id", "row_number() over (partition by site_id order by timestamp desc, id desc) as r").filter("r <= 5")
+    assert {r.id for r in last.collect()} == {r.id for r in want.collect()}
+
+
 def test_export_round_trip(spark, tmp_path):
     df = spark.createDataFrame([('say "hi", you', None, "line\nbreak"), ("plain", "1", "x")], "a string, b string, c string")
     tables.export_csv(df, str(tmp_path / "csv"))
