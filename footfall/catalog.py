@@ -277,11 +277,33 @@ def _archive_parts(s: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("events"), F.min("event_date").alias("first_day"), F.max("event_date").alias("last_day"))
 
 
-def _unified(s: SparkSession, d: str) -> DataFrame:
-    return tables.unified_view(*_archived(s, d)).groupBy("site_id", F.col("event_date").alias("date")).agg(
+def _by_day(*parts: DataFrame) -> DataFrame:
+    return tables.unified_view(*parts).groupBy("site_id", F.col("event_date").alias("date")).agg(
         F.count("*").alias("events"), F.countDistinct("user_id").alias("visitors"))
 
 
+def _unified(s: SparkSession, d: str) -> DataFrame:
+    return _by_day(*_archived(s, d))
+
+
+def _redelivered(s: SparkSession, d: str) -> DataFrame:
+    """All events again, after a part of them was archived."""
+    e, hot, cold = web_events(s, d), tables.scratch_path(s, "hot"), tables.scratch_path(s, "cold")
+    tables.archive_cold(e, cold, hot, datetime(2024, 2, 10))
+    tables.append_new(s, e, hot, cold)
+    return _by_day(tables.read_events(s, hot), tables.read_events(s, cold))
+
+
+def _late_archive(s: SparkSession, d: str) -> DataFrame:
+    """Half of the events come late, after their days were archived."""
+    e, cold, now = web_events(s, d), tables.scratch_path(s, "cold"), datetime(2024, 2, 10)
+    first, second = tables.scratch_path(s, "hot"), tables.scratch_path(s, "hot")
+    late = F.col("id").cast("bigint") % 2 == 0
+    tables.archive_cold(e.filter(~late), cold, first, now)
+    tables.archive_cold(tables.read_events(s, first).drop("event_date").unionByName(e.filter(late)), cold, second, now)
+    return _by_day(tables.read_events(s, second), tables.read_events(s, cold))
+
+
 def _exported(s: SparkSession, d: str) -> DataFrame:
     path = tables.scratch_path(s, "export")
     tables.export_csv(web_events(s, d).select("id", "site_id", "city", "properties"), path)
@@ -348,6 +370,8 @@ def _over_raw() -> dict:
         "I18b_retention_kept": lambda s, d: _per_day(
             tables.apply_retention(web_events(s, d), _retention(s)), "events"),
         "I19_archive_cold": _archive_parts,
+        "I13b_append_after_archive": _redelivered,
+        "I19b_archive_late_rows": _late_archive,
         "I20_unified_view": _unified,
         "I21_export_table": _exported,
         "I23_issue_normalise": lambda s, d: i.normalise_issues(raw.raw_issues(s, d)).select(

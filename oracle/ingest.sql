@@ -88,6 +88,10 @@ WHERE NOT (site_id = 'site_a' AND timestamp < TIMESTAMP '2024-01-21') AND NOT (s
 -- name: I19_archive_cold
 SELECT site_id, CASE WHEN CAST(timestamp AS DATE) < DATE '2024-01-11' THEN 'cold' ELSE 'hot' END AS part, COUNT(*) AS events, CAST(MIN(CAST(timestamp AS DATE)) AS VARCHAR) AS first_day, CAST(MAX(CAST(timestamp AS DATE)) AS VARCHAR) AS last_day
 FROM web_events GROUP BY 1, 2
+-- name: I13b_append_after_archive
+SELECT site_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, COUNT(*) AS events, COUNT(DISTINCT user_id) AS visitors FROM web_events GROUP BY 1, 2
+-- name: I19b_archive_late_rows
+SELECT site_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, COUNT(*) AS events, COUNT(DISTINCT user_id) AS visitors FROM web_events GROUP BY 1, 2
 -- name: I20_unified_view
 SELECT site_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, COUNT(*) AS events, COUNT(DISTINCT user_id) AS visitors FROM web_events GROUP BY 1, 2
 -- name: I21_export_table

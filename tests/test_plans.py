@@ -8,7 +8,7 @@ import __spark_entry__ as contract
 from footfall.catalog import catalog
 
 SF = "/root/testdata/sf0.001"
-BATCH = sorted(n for n in catalog() if not n.startswith("S0") and n not in ("I15_full_rebuild", "I19_archive_cold", "I20_unified_view", "I21_export_table"))
+BATCH = sorted(n for n in catalog() if not n.startswith("S0") and n not in ("I15_full_rebuild", "I13b_append_after_archive", "I19_archive_cold", "I19b_archive_late_rows", "I20_unified_view", "I21_export_table"))
 PYTHON = {"A48_heatmap_clusters", "A50_detect_rage_clicks"}
 
 
