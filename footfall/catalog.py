@@ -18,6 +18,7 @@ from footfall.operators import (
 )
 from footfall.operators.sessions import gap_sessions, mark_returning, sessionise_by_id
 from footfall.plans import dashboard, rollup, site_sql, tables, workload
+from footfall.plans.session_table import read_sessions
 from footfall.sources import fixture, raw_fixture as raw
 from footfall.sources.fixture import AS_OF, table, web_event_stream, web_events
 from footfall.streaming import jobs
@@ -536,17 +537,19 @@ def _over_search() -> dict:
     }
 
 
-def _finish(df: DataFrame, mode: str, s: SparkSession) -> DataFrame:
-    """Run a stream over all files present and return its result table."""
+def _finish(df: DataFrame, s: SparkSession) -> DataFrame:
+    """Run an append-mode stream over all files present and return the table it wrote."""
     path = tables.scratch_path(s, "stream")
-    if mode == "append":
-        df.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(
-            availableNow=True).format("parquet").start(f"{path}/out").awaitTermination()
-        return s.read.schema(df.schema).parquet(f"{path}/out")
-    name = "stream_" + path.rsplit("-", 1)[1]
-    df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(
-        availableNow=True).format("memory").queryName(name).start().awaitTermination()
-    return s.table(name)
+    df.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(
+        availableNow=True).format("parquet").start(f"{path}/out").awaitTermination()
+    return s.read.schema(df.schema).parquet(f"{path}/out")
+
+
+def _buckets(s: SparkSession, d: str) -> DataFrame:
+    path = tables.scratch_path(s, "buckets")
+    jobs.for_each_batch(jobs.time_buckets(web_event_stream(s, d)), jobs.latest_rows(f"{path}/rows"),
+                        f"{path}/state", mode="update").awaitTermination()
+    return jobs.read_latest(s, f"{path}/rows", ["bucket", "site_id"])
 
 
 def _ingested(s: SparkSession, events: DataFrame) -> str:
@@ -569,11 +572,22 @@ def _stored_stream(s: SparkSession, path: str) -> DataFrame:
 
 def _live_rollup(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     path, out = _ingested(s, web_event_stream(s, d)), tables.scratch_path(s, "rollup")
-    work = jobs.rollup_updates(path, f"{out}/days", f"{out}/alerts")
+    work = jobs.rollup_updates(path, f"{out}/days", f"{out}/sessions", f"{out}/alerts")
     jobs.for_each_batch(_stored_stream(s, path), work, f"{out}/state").awaitTermination()
     return s.read.parquet(f"{out}/days").drop("event_date"), jobs.read_alerts(s, f"{out}/alerts")
 
 
+def _long_sessions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rollup and stored sessions after several batches, with a session a visitor and week."""
+    week = F.to_date(F.date_trunc("week", "timestamp")).cast("string")
+    events = web_event_stream(s, d).withColumn("session_id", F.concat("user_id", F.lit("_"), week))
+    path, out = _ingested(s, events), tables.scratch_path(s, "rollup")
+    landed = s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(path)
+    work = jobs.rollup_updates(path, f"{out}/days", f"{out}/sessions")
+    jobs.for_each_batch(landed, work, f"{out}/state").awaitTermination()
+    return s.read.parquet(f"{out}/days").drop("event_date"), read_sessions(s, f"{out}/sessions")
+
+
 def _tail(s: SparkSession, d: str) -> DataFrame:
     out = tables.scratch_path(s, "tail")
     jobs.for_each_batch(
@@ -593,17 +607,20 @@ def _over_streams() -> dict:
     return {
         "S01_stream_ingest": _cleaned_live,
         "S02_stream_dedupe": lambda s, d: _finish(
-            jobs.dedupe(web_event_stream(s, d).union(web_event_stream(s, d)), "40 days"), "append", s
+            jobs.dedupe(web_event_stream(s, d).union(web_event_stream(s, d)), "40 days"), s
         ).select("id", "site_id", "type"),
         "S03_stream_sessions": lambda s, d: _finish(
-            jobs.sessions_live(web_event_stream(s, d), "6 hours", "1 hour"), "append", s),
+            jobs.sessions_live(web_event_stream(s, d), "6 hours", "1 hour"), s),
         "S04_stream_active_visitors": lambda s, d: _finish(
-            jobs.active_visitors(web_event_stream(s, d)), "update", s),
+            jobs.active_visitors(web_event_stream(s, d), exact=True), s),
         "S05_stream_event_tail": _tail,
         "S06_stream_rollup": lambda s, d: _live_rollup(s, d)[0],
-        "S07_stream_rage_clicks": lambda s, d: _finish(jobs.rage_clicks_live(_click_stream(s, d)), "append", s),
+        "S07_stream_rage_clicks": lambda s, d: _finish(jobs.rage_clicks_live(_click_stream(s, d)), s),
         "S08_stream_alerts": lambda s, d: _live_rollup(s, d)[1],
-        "S09_time_buckets": lambda s, d: _finish(jobs.time_buckets(web_event_stream(s, d)), "complete", s),
+        "S06b_rollup_long_sessions": lambda s, d: _long_sessions(s, d)[0],
+        "S09_time_buckets": _buckets,
+        "S10_stored_sessions": lambda s, d: _long_sessions(s, d)[1].select(
+            "site_id", "id", "user_id", "session_date", "started_at", "ended_at", "duration", "pageviews", "is_bounce"),
     }
 
 

@@ -16,14 +16,6 @@ def _dated(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("date", F.to_date(column))
 
 
-def touched_days(batch: DataFrame) -> DataFrame:
-    """The (site, day) pairs a batch of events can change: the events' own days and the days before
-    them, where a session that runs past midnight started."""
-    day = F.to_date("timestamp")
-    return batch.select(
-        "site_id", F.explode(F.array(day, F.date_sub(day, 1))).alias("date")).distinct()
-
-
 def daily_rollup(events: DataFrame, sessions: DataFrame | None = None,
                  days: DataFrame | None = None) -> DataFrame:
     """Visitors, sessions, page views, bounces and mean session length per (site, day); with

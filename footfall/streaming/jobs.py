@@ -4,7 +4,6 @@ restarted job continues where it stopped. Sinks are idempotent: a repeated batch
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -17,8 +16,9 @@ from footfall.functions.numbers import top_per
 from footfall.operators.engagement import RAGE_CLICKS, RAGE_QUIET_MS, RAGE_WINDOW_MS
 from footfall.operators.ingest import ingest_clean, opt_out_filter
 from footfall.operators.traffic import is_view, traffic_alerts
-from footfall.plans.rollup import daily_rollup, touched_days
-from footfall.plans.tables import HOT_PARTITIONS, overwrite_touched, with_event_date
+from footfall.plans.rollup import daily_rollup
+from footfall.plans.session_table import merge_sessions, read_sessions
+from footfall.plans.tables import HOT_PARTITIONS, latest_per_key, overwrite_touched, with_event_date
 
 PERIOD = {"availableNow": True}
 
@@ -69,9 +69,12 @@ def sessions_live(events: DataFrame, gap: str = "30 minutes", delay: str = "10 m
         (F.col("pageviews") <= 1).alias("is_bounce"))
 
 
-def active_visitors(events: DataFrame, delay: str = "10 minutes", length="5 minutes", slide="1 minute") -> DataFrame:
-    """Visitors (approximate) and events of sliding windows, in total and per page, device and
-    country. Update mode."""
+def active_visitors(
+    events: DataFrame, delay: str = "10 minutes", length="5 minutes", slide="1 minute", exact: bool = False,
+) -> DataFrame:
+    """Visitors and events of sliding windows, in total and per page, device and country. By default for
+    update mode, with approximate visitors and state of one sketch a row; `exact` is for append mode: each
+    window once, when it is closed, with state per visitor of the open windows."""
     def cell(name: str, label: Column) -> Column:
         return F.struct(F.lit(name).alias("dimension"), label.alias("label"))
 
@@ -80,15 +83,20 @@ def active_visitors(events: DataFrame, delay: str = "10 minutes", length="5 minu
         cell("device", filled("device", "Desktop")), cell("country", filled("country", "Unknown")))
     long = events.withWatermark("timestamp", delay).select(
         "site_id", "user_id", "timestamp", F.explode(cells).alias("c")).filter("c.label IS NOT NULL")
-    return long.groupBy(
-        F.window("timestamp", length, slide).alias("w"), "site_id", "c.dimension", "c.label"
-    ).agg(
-        F.approx_count_distinct("user_id").alias("visitors"), F.count("*").alias("events")
-    ).select(F.col("w.start").alias("window_start"), "site_id", "dimension", "label", "visitors", "events")
+    window, cell_keys = F.window("timestamp", length, slide).alias("w"), ["site_id", "c.dimension", "c.label"]
+    if exact:
+        each = long.groupBy(window, *cell_keys, "user_id").agg(F.count("*").alias("n"))
+        counted = each.groupBy("w", "site_id", "dimension", "label").agg(
+            F.count("user_id").alias("visitors"), F.sum("n").alias("events"))
+    else:
+        counted = long.groupBy(window, *cell_keys).agg(
+            F.approx_count_distinct("user_id").alias("visitors"), F.count("*").alias("events"))
+    return counted.select(F.col("w.start").alias("window_start"), "site_id", "dimension", "label", "visitors", "events")
 
 
 def time_buckets(events: DataFrame, length: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Events and page views of tumbling windows per site."""
+    """Events and page views of tumbling windows per site. Update mode with `latest_rows` keeps all
+    windows in a table; append mode gives each once it is closed."""
     return events.withWatermark("timestamp", delay).groupBy(
         F.window("timestamp", length).alias("w"), "site_id"
     ).agg(F.count("*").alias("events"), F.count_if(is_view()).alias("pageviews")).select(
@@ -97,8 +105,22 @@ def time_buckets(events: DataFrame, length: str = "1 hour", delay: str = "1 hour
 
 def for_each_batch(
     events: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None,
+    mode: str = "append",
 ) -> StreamingQuery:
-    return _start(events, "append", checkpoint, trigger).foreachBatch(work).start()
+    return _start(events, mode, checkpoint, trigger).foreachBatch(work).start()
+
+
+def latest_rows(path: str) -> Callable[[DataFrame, int], None]:
+    """The rows of each update under `path/batch=<n>`; a repeated batch replaces its own."""
+    def work(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return work
+
+
+def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key that `latest_rows` wrote."""
+    return latest_per_key(spark.read.parquet(path), keys, ["batch"]).drop("batch")
 
 
 def event_tail(path: str, limit: int = 50) -> Callable[[DataFrame, int], None]:
@@ -115,22 +137,24 @@ def event_tail(path: str, limit: int = 50) -> Callable[[DataFrame, int], None]:
 
 
 def rollup_updates(
-    events_path: str, rollup_path: str, alerts_path: str | None = None, margin_days: int = 2,
+    events_path: str, rollup_path: str, sessions_path: str, alerts_path: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """After each batch of the events table, recompute the days it touched, late events included,
-    and with `alerts_path` the traffic alerts of the sites it touched. Stored events are read from
-    `margin_days` before the first to one day after the last touched day, so that sessions across
-    midnight are whole."""
+    """After each batch of the events table, bring the stored sessions up to date, recompute the days the
+    batch touched, late events included, and with `alerts_path` the traffic alerts of the sites it touched.
+    Touched are the days of the batch's events and those on which its sessions start or started before it.
+    What the batch replaces in the sessions is kept under `<sessions_path>-staged/batch=<n>`; folders of
+    finished batches are not read again."""
     def work(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        days = touched_days(batch)
-        first, last = days.agg(F.min("date"), F.max("date")).first()
-        if first is None:
+        if batch.isEmpty():
             return
-        stored = read_stored(spark, events_path).filter(F.col("event_date").between(
-            F.lit(first - timedelta(days=margin_days)), F.lit(last + timedelta(days=1))))
-        fresh = daily_rollup(stored, days=days).withColumn("event_date", F.col("date"))
-        overwrite_touched(fresh, rollup_path, ["event_date", "site_id"])
+        events = read_stored(spark, events_path)
+        starts = merge_sessions(batch, events, sessions_path, f"{sessions_path}-staged/batch={n}")
+        days = batch.select("site_id", F.to_date("timestamp").alias("date")).union(starts).distinct()
+        dates = [r[0] for r in days.select("date").distinct().collect()]
+        visits = read_sessions(spark, sessions_path).filter(F.col("session_date").isin(dates))
+        fresh = daily_rollup(events.filter(F.col("event_date").isin(dates)), visits, days)
+        overwrite_touched(fresh.withColumn("event_date", F.col("date")), rollup_path, ["event_date", "site_id"])
         if alerts_path is not None:
             sites = batch.select("site_id").distinct()
             daily = spark.read.parquet(rollup_path).drop("event_date").join(sites, "site_id", "left_semi")

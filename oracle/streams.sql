@@ -68,3 +68,26 @@ f AS (
 )
 SELECT z.site_id, z.user_id, z.session_id, z.path, z.selector, CAST(MAKE_TIMESTAMP(z.ms * 1000) AS VARCHAR) AS timestamp, CAST(GREATEST(3, cnt - k + 1) AS BIGINT) AS count
 FROM f JOIN z ON z.user_id = f.user_id AND z.selector = f.selector AND z.ms = f.ms
+-- name: S04_stream_active_visitors
+WITH x AS (
+  SELECT site_id, user_id, timestamp, UNNEST([
+    {'dimension': 'total', 'label': 'active'}, {'dimension': 'page', 'label': CASE WHEN type = 'pageview' THEN path END},
+    {'dimension': 'device', 'label': CASE WHEN COALESCE(device, '') = '' THEN 'Desktop' ELSE device END},
+    {'dimension': 'country', 'label': CASE WHEN COALESCE(country, '') = '' THEN 'Unknown' ELSE country END}]) AS c FROM web_events
+), m AS (
+  SELECT DATE_TRUNC('minute', timestamp) - TO_MINUTES(CAST(i AS INTEGER)) AS window_start, site_id, c.dimension AS dimension, c.label AS label, user_id
+  FROM x, UNNEST(RANGE(0, 5)) AS r(i) WHERE c.label IS NOT NULL
+)
+SELECT CAST(window_start AS VARCHAR) AS window_start, site_id, dimension, label, COUNT(DISTINCT user_id) AS visitors, COUNT(*) AS events
+FROM m WHERE window_start + INTERVAL 15 MINUTE <= (SELECT MAX(timestamp) FROM web_events) GROUP BY 1, 2, 3, 4
+-- name: S06b_rollup_long_sessions
+WITH l AS (SELECT *, user_id || '_' || CAST(CAST(DATE_TRUNC('week', timestamp) AS DATE) AS VARCHAR) AS sid FROM web_events),
+s AS (SELECT site_id, sid, user_id, MIN(timestamp) AS a, MAX(timestamp) AS b, COUNT(CASE WHEN type = 'pageview' THEN 1 END) AS views FROM l GROUP BY 1, 2, 3),
+e AS (SELECT site_id, CAST(timestamp AS DATE) AS date, COUNT(DISTINCT user_id) AS visitors, COUNT(DISTINCT sid) AS sessions, COUNT(CASE WHEN type = 'pageview' THEN 1 END) AS pageviews FROM l GROUP BY 1, 2),
+t AS (SELECT site_id, CAST(a AS DATE) AS date, COUNT(CASE WHEN views <= 1 THEN 1 END) AS bounces, AVG(DATE_SUB('second', a, b)) AS avg_duration FROM s GROUP BY 1, 2)
+SELECT e.site_id, CAST(e.date AS VARCHAR) AS date, visitors, sessions, pageviews, COALESCE(bounces, 0) AS bounces, COALESCE(avg_duration, 0) AS avg_duration FROM e LEFT JOIN t ON t.site_id = e.site_id AND t.date = e.date
+-- name: S10_stored_sessions
+WITH l AS (SELECT *, user_id || '_' || CAST(CAST(DATE_TRUNC('week', timestamp) AS DATE) AS VARCHAR) AS sid FROM web_events)
+SELECT site_id, sid AS id, user_id, CAST(CAST(MIN(timestamp) AS DATE) AS VARCHAR) AS session_date, CAST(MIN(timestamp) AS VARCHAR) AS started_at, CAST(MAX(timestamp) AS VARCHAR) AS ended_at,
+  DATE_SUB('second', MIN(timestamp), MAX(timestamp)) AS duration, COUNT(CASE WHEN type = 'pageview' THEN 1 END) AS pageviews, COUNT(CASE WHEN type = 'pageview' THEN 1 END) <= 1 AS is_bounce
+FROM l GROUP BY site_id, sid, user_id

@@ -1,12 +1,16 @@
 """Stored tables and live jobs: repeated, late and interrupted deliveries."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from footfall import schemas
-from footfall.plans import rollup, tables
+from footfall.functions.ranges import date_range
+from footfall.operators import audience, traffic
+from footfall.operators.sessions import sessionise_by_id
+from footfall.plans import rollup, session_table, tables
 from footfall.sources import fixture, raw_fixture
 from footfall.sources.synthetic import synth_events
 from footfall.streaming import jobs
@@ -137,7 +141,7 @@ def test_export_round_trip(spark, tmp_path):
 def test_rollup_of_touched_days_equals_full_rollup(spark, events, tmp_path):
     full = rollup.daily_rollup(events)
     batch = events.filter("timestamp between '2024-01-10' and '2024-01-11'")
-    days = rollup.touched_days(batch)
+    days = batch.select("site_id", F.to_date("timestamp").alias("date")).distinct()
     part = rollup.daily_rollup(events, days=days)
     assert same(part, full.join(days, ["site_id", "date"], "left_semi"))
 
@@ -157,7 +161,7 @@ def test_live_ingest_and_rollup_equal_batch(spark, events, tmp_path):
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
         jobs.stream_ingest(jobs.dedupe(stream, "60 days"), stored, f"{out}/c1").awaitTermination()
         landed = spark.readStream.schema(spark.read.parquet(stored).schema).option("maxFilesPerTrigger", 7).parquet(stored)
-        work = jobs.rollup_updates(stored, f"{out}/days", f"{out}/alerts")
+        work = jobs.rollup_updates(stored, f"{out}/days", f"{out}/sessions", f"{out}/alerts")
         jobs.for_each_batch(landed, work, f"{out}/c2").awaitTermination()
 
     run()
@@ -170,6 +174,65 @@ def test_live_ingest_and_rollup_equal_batch(spark, events, tmp_path):
     assert same(spark.read.parquet(f"{out}/days").drop("event_date"), rollup.daily_rollup(events.union(late)))
 
 
+def long_sessions(events):
+    """One session a visitor and week, so that sessions run over several midnights."""
+    return events.withColumn("session_id", F.concat("user_id", F.lit("_"), F.weekofyear("timestamp").cast("string")))
+
+
+def test_sessions_over_midnights_do_not_depend_on_batches(spark, events, tmp_path):
+    rows, stored, out = long_sessions(events), str(tmp_path / "events"), str(tmp_path / "out")
+    work = jobs.rollup_updates(stored, f"{out}/days", f"{out}/sessions")
+    day = F.dayofmonth("timestamp")
+    for n, part in enumerate((day % 3 == 2, day % 3 == 0, day % 3 == 1)):
+        tables.write_events(rows.filter(part), stored)
+        work(rows.filter(part), n)
+    work(rows.filter(day % 3 == 1), 2)
+    assert same(spark.read.parquet(f"{out}/days").drop("event_date"), rollup.daily_rollup(rows))
+    kept = session_table.read_sessions(spark, f"{out}/sessions")
+    assert same(kept.drop("session_date"), sessionise_by_id(rows))
+    assert kept.filter("session_date <> to_date(started_at)").count() == 0
+
+
+def test_a_moved_session_leaves_its_old_day_even_after_a_failure(spark, events, tmp_path, monkeypatch):
+    stored, path, staged = (str(tmp_path / n) for n in ("events", "sessions", "staged"))
+    one = events.filter("type = 'pageview'").orderBy("id").limit(1).withColumn("session_id", F.lit("s")).cache()
+    first, early = (one.withColumns({"id": F.lit(i), "timestamp": F.lit(t).cast("timestamp")})
+                    for i, t in (("b", "2024-01-20 10:00:00"), ("a", "2024-01-05 10:00:00")))
+
+    def merge(batch, n):
+        return session_table.merge_sessions(batch, jobs.read_stored(spark, stored), path, f"{staged}/{n}")
+
+    tables.write_events(first, stored)
+    merge(first, 0)
+    tables.write_events(early, stored)
+
+    def half(rows, path, partitions):
+        tables.overwrite_touched(rows.filter("session_date = '2024-01-20'"), path, partitions)
+        raise OSError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(session_table, "overwrite_touched", half)
+        merge(early, 1)
+    assert {str(r.date) for r in merge(early, 1).collect()} == {"2024-01-05", "2024-01-20"}
+    kept = session_table.read_sessions(spark, path)
+    assert same(kept.drop("session_date"), sessionise_by_id(first.union(early)))
+    assert kept.first().pageviews == 2
+
+
+def test_session_reports_prune_the_stored_sessions(spark, events, tmp_path):
+    path = str(tmp_path / "sessions")
+    session_table.write_sessions(sessionise_by_id(events), path)
+    sessions, period = session_table.read_sessions(spark, path), date_range("7d", datetime(2024, 1, 31))
+    reports = [traffic.bounce_rate_trend, traffic.avg_session_trend, traffic.flow_ends, audience.sessions_by_city,
+               audience.session_duration_buckets, audience.bounce_by_entry_page, audience.exit_pages, audience.entry_pages]
+    for report in reports:
+        got = report(sessions, period)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        filters = re.findall(r"PartitionFilters: \[([^\]]*)", plan)
+        assert filters and all("session_date" in f for f in filters), report.__name__
+        assert same(got, report(sessionise_by_id(events), period))
+
+
 def test_event_tail_over_batches(spark, events, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for part in ("timestamp >= '2024-01-15'", "timestamp < '2024-01-15'"):
