@@ -18,7 +18,7 @@ from footfall.operators import (
 )
 from footfall.operators.sessions import gap_sessions, mark_returning, sessionise_by_id
 from footfall.plans import dashboard, rollup, site_sql, tables, workload
-from footfall.plans.session_table import read_sessions
+from footfall.plans.session_table import read_sessions, write_sessions
 from footfall.sources import fixture, raw_fixture as raw
 from footfall.sources.fixture import AS_OF, table, web_event_stream, web_events
 from footfall.streaming import jobs
@@ -32,6 +32,14 @@ def sessions_of(events: DataFrame) -> DataFrame:
     return sessionise_by_id(events)
 
 
+def stored_sessions(events: DataFrame) -> DataFrame:
+    """The sessions table that session reports read, with days to prune by. It is written here because the
+    driver's folder holds events only; a live job keeps it up with `merge_sessions`."""
+    path = tables.scratch_path(events.sparkSession, "sessions")
+    write_sessions(sessions_of(events), path)
+    return read_sessions(events.sparkSession, path)
+
+
 def _goals(spark: SparkSession) -> DataFrame:
     rows = [
         ("g1", "site_a", "Pricing", "page_visit", '{"path":"/pricing"}', None),
@@ -93,8 +101,8 @@ def _halves(events: DataFrame) -> DataFrame:
     return conversion.add_significance(arms, "site_id", "arm")
 
 
-def _two_reports(events: DataFrame, spark: SparkSession) -> DataFrame:
-    reports = dashboard.report_sources(events, sessions_of(events), _goals(spark), MONTH)
+def _two_reports(spark: SparkSession, events: DataFrame, sessions: DataFrame) -> DataFrame:
+    reports = dashboard.report_sources(events, sessions, _goals(spark), MONTH)
     return reports["os"]().select(
         "site_id", F.lit("os").alias("data_source"), F.col("os").alias("label"), "visitors"
     ).unionByName(reports["browsers"]().select(
@@ -122,7 +130,6 @@ def _over_events() -> dict:
         "A11b_countries_additive": month(u.countries, additive=True),
         "A12_cities": month(u.cities),
         "A12b_geo_map": month(u.geo_map),
-        "A15_kpi_summary": lambda s, e: a.kpi_summary(e, sessions_of(e), WEEK),
         "A15r_kpi_from_rollup": lambda s, e: a.kpi_from_rollup(
             rollup.daily_rollup(e), DateRange(datetime(2024, 1, 11), datetime(2024, 1, 20, 23, 59, 59))),
         "A16_funnel_event_types": month(c.funnel_event_types),
@@ -171,9 +178,6 @@ def _over_events() -> dict:
         "A55_js_errors": month(p.js_errors),
         "A55b_js_errors_daily": month(p.js_errors_daily),
         "A57_annotations_in_range": lambda s, e: _annotated_days(s, e),
-        "A59_dashboard_all": lambda s, e: dashboard.dashboard_long(dashboard.dashboard_all(
-            e, sessions_of(e), WEEK, AS_OF, keep=False)),
-        "A60_report_sources": lambda s, e: _two_reports(e, s),
         "A61_ab_assignment_audit": lambda s, e: c.ab_assignment_audit(e, "copy", ["a", "b"], MONTH),
         "Q01_total_events": lambda s, e: w.total_events(e),
         "Q02_unique_visitors": lambda s, e: w.unique_visitors(e),
@@ -209,6 +213,16 @@ def _over_sessions() -> dict:
     }
 
 
+def _over_both() -> dict:
+    """Queries of events and stored sessions."""
+    return {
+        "A15_kpi_summary": lambda s, e, v: traffic.kpi_summary(e, v, WEEK),
+        "A59_dashboard_all": lambda s, e, v: dashboard.dashboard_long(dashboard.dashboard_all(
+            e, v, WEEK, AS_OF, keep=False)),
+        "A60_report_sources": _two_reports,
+    }
+
+
 def _add_nested(s: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit('{"amount":'), F.col("event_id").cast("string"),
                     F.lit(',"nested":{"Token":"t","ok":true},"session":"abc"}'))
@@ -238,6 +252,16 @@ def _per_day(events: DataFrame, name: str) -> DataFrame:
     return events.groupBy("site_id", F.to_date("timestamp").alias("date")).agg(F.count("*").alias(name))
 
 
+def _sketched(s: SparkSession, d: str) -> DataFrame:
+    """Exact visitors of the month, and whether the merged daily sketches come within 5 % of them."""
+    events = web_events(s, d)
+    found = rollup.visitors_from_sketches(rollup.daily_visitor_sketches(events), PAST)
+    days = F.to_date("timestamp").between(F.lit(PAST.start.date()), F.lit(PAST.end.date()))
+    exact = events.filter(days).groupBy("site_id").agg(F.countDistinct("user_id").alias("visitors"))
+    return exact.join(found, "site_id", "left").select("site_id", "visitors", F.coalesce(
+        F.abs(F.col("visitors_estimate") - F.col("visitors")) <= 0.05 * F.col("visitors"), F.lit(False)).alias("is_close"))
+
+
 def _appended(s: SparkSession, d: str) -> DataFrame:
     """Half of the events are stored; all of them arrive, twice."""
     e = web_events(s, d)
@@ -366,7 +390,8 @@ def _over_raw() -> dict:
         "I16_daily_rollup": lambda s, d: rollup.daily_rollup(web_events(s, d)),
         "I17_daily_top_lists": lambda s, d: rollup.daily_top_lists(web_events(s, d)),
         "I17b_daily_rollup_full": lambda s, d: rollup.daily_rollup_full(web_events(s, d)).select(
-            "site_id", "date", "visitors", "top_pages", "devices"),
+            "site_id", "date", "visitors", "top_pages", "devices", "sources", "countries"),
+        "I16s_visitor_sketches": _sketched,
         "I18_retention_delete": lambda s, d: tables.retention_report(web_events(s, d), _retention(s)),
         "I18b_retention_kept": lambda s, d: _per_day(
             tables.apply_retention(web_events(s, d), _retention(s)), "events"),
@@ -640,7 +665,9 @@ def _bind(build) -> object:
 def catalog() -> dict:
     over_events = {n: (lambda s, d, f=f: f(s, web_events(s, d))) for n, f in _over_events().items()}
     over_sessions = {
-        n: (lambda s, d, f=f: f(sessions_of(web_events(s, d)))) for n, f in _over_sessions().items()}
+        n: (lambda s, d, f=f: f(stored_sessions(web_events(s, d)))) for n, f in _over_sessions().items()}
+    over_both = {
+        n: (lambda s, d, f=f: f(s, e := web_events(s, d), stored_sessions(e))) for n, f in _over_both().items()}
     other = {
         **_over_raw(), **_over_search(), **_over_streams(),
         "A58_site_sql": lambda s, d: site_sql.site_sql(
@@ -648,4 +675,4 @@ def catalog() -> dict:
             "site_b", lambda session: {"events": web_events(session, d)}, {"kind": "pageview"}),
         "B01_timing_summary": lambda s, d: timing_summary(table(s, d, "events"), ["event_type"], "value"),
     }
-    return {n: _bind(f) for n, f in sorted({**over_events, **over_sessions, **other}.items())}
+    return {n: _bind(f) for n, f in sorted({**over_events, **over_sessions, **over_both, **other}.items())}

@@ -42,6 +42,10 @@ def sanitise_properties(text: Column) -> Column:
 def merge_objects(first: Column, second: Column) -> Column:
     """Entries of both JSON objects as text; the second wins on equal names."""
     a, b = (F.coalesce(F.from_json(c, _MAP), F.create_map().cast(_MAP)) for c in (first, second))
-    updated = F.transform_values(a, lambda k, v: F.coalesce(F.try_element_at(b, k), v))
-    added = F.map_filter(b, lambda k, _: ~F.map_contains_key(a, k))
-    return F.to_json(F.map_concat(updated, added))
+
+    def merged(both: Column) -> Column:
+        updated = F.transform_values(both["a"], lambda k, v: F.coalesce(F.try_element_at(both["b"], k), v))
+        return F.map_concat(updated, F.map_filter(both["b"], lambda k, _: ~F.map_contains_key(both["a"], k)))
+
+    # One element, so that each text is parsed once and not again for every name.
+    return F.to_json(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), merged)[0])

@@ -2,7 +2,8 @@
 
 Equal values are counted first (map-side), giving a histogram. Its values fall into cells of a
 logarithmic scale; a running count over the few cells of a group finds the cells that hold the
-wanted ranks, and only the values of those cells are put in order. No task ever holds a group.
+wanted ranks, and only the values of those cells are put in order. A task holds the distinct values of one
+cell: those within 0.3 % of each other, or within 0.003 near zero.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, time, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,7 +12,7 @@ from footfall.functions.geo import country_code, country_name, with_country_name
 from footfall.functions.numbers import (
     desc_then, percent, round_half_up, top_per, union_all, with_share,
 )
-from footfall.functions.ranges import within
+from footfall.functions.ranges import DateRange, for_site, within
 from footfall.operators.traffic import is_view, n_pageviews, n_sessions, n_visitors, period_rows
 
 
@@ -149,12 +150,14 @@ def _cohort_counts(days: DataFrame, first: DataFrame, offsets) -> DataFrame:
 
 
 def retention_daily(events, period, site_id=None) -> DataFrame:
-    """Of the visitors first seen on a day of the period, how many came 0 to 7 days later.
-    Later activity is not limited by the period."""
-    scope = events if site_id is None else events.filter(F.col("site_id") == site_id)
+    """Of the visitors first seen on a day of the period, how many came 0 to 7 days later, up to a week
+    beyond the period."""
+    scope = for_site(events, site_id)
     first = within(scope, period).groupBy("site_id", "user_id").agg(
         F.to_date(F.min("timestamp")).alias("cohort_date"))
-    counted = _cohort_counts(_visit_days(scope), first, lambda d: d.between(0, 7))
+    midnight = [datetime.combine(t.date(), time.min) for t in (period.start, period.end)]
+    around = within(scope, DateRange(midnight[0], midnight[1] + timedelta(days=8)), end_inclusive=False)
+    counted = _cohort_counts(_visit_days(around), first, lambda d: d.between(0, 7))
     return counted.withColumnRenamed("users", "returning_users").withColumn(
         "retention_pct", percent(F.col("returning_users"), F.col("cohort_size"), 1))
 

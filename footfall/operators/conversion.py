@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall import schemas
@@ -91,25 +93,28 @@ def saved_funnels(events, funnels: DataFrame, period, site_id=None) -> DataFrame
 
 
 def funnel_ordered(events, period, site_id=None, steps=DEFAULT_FUNNEL) -> DataFrame:
-    """As `funnel`, but a step counts only strictly after the step before it. Each round finds the
-    visitor's earliest moment of the step after the moment reached so far."""
-    rows = period_rows(events, period, site_id)
-    keys = ["site_id", "user_id"]
-    matches = rows.select(*keys, "timestamp", F.explode(F.array_compact(F.array(*[
-        F.when(_step_test(kind, path), F.lit(i)) for i, (_, kind, path) in enumerate(steps)
-    ]))).alias("_step"))
-    reached = matches.filter("_step = 0").groupBy(*keys).agg(F.min("timestamp").alias("_at0"))
-    for i in range(1, len(steps)):
-        later = matches.filter(F.col("_step") == i).join(
-            reached.select(*keys, F.col(f"_at{i - 1}").alias("_since")), keys
-        ).filter(F.col("timestamp") > F.col("_since"))
-        step = later.groupBy(*keys).agg(F.min("timestamp").alias(f"_at{i}"))
-        reached = reached.join(step, keys, "left")
-    totals = rows.groupBy("site_id").agg(F.countDistinct("user_id").alias("_all"))
-    counts = reached.groupBy("site_id").agg(
-        *[F.count(f"_at{i}").alias(f"_{i}") for i in range(len(steps))])
-    per_site = totals.join(counts, "site_id", "left")
-    return _steps_long(per_site, steps, lambda i: F.coalesce(F.col(f"_{i}"), F.lit(0)))
+    """As `funnel`, but a step counts only strictly after the step before it. The steps of a moment are
+    bits; an hour of a visitor becomes the list of steps reached after it for each number reached before,
+    and these lists are followed hour by hour. One scan, and no task orders more than an hour of moments."""
+    rows = period_rows(events, period, site_id).filter("user_id IS NOT NULL")
+    keys, n = ["site_id", "user_id"], len(steps)
+    mask = reduce(lambda a, b: a + b, [
+        F.when(_step_test(kind, path), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+        for i, (_, kind, path) in enumerate(steps)])
+    moments = rows.groupBy(*keys, F.when(mask > 0, F.col("timestamp")).alias("at")).agg(F.bit_or(mask).alias("mask"))
+    hours = moments.groupBy(*keys, F.date_trunc("hour", "at").alias("hour")).agg(
+        F.sort_array(F.collect_list(F.struct("at", "mask"))).alias("moments"))
+
+    def after(reached: int) -> Column:
+        return F.aggregate("moments", F.lit(reached), lambda r, m: r + F.getbit(m["mask"], r).cast("int"))
+
+    moves = hours.select(*keys, F.struct("hour", F.array(*[after(i) for i in range(n + 1)]).alias("to")).alias("move"))
+    reached = F.aggregate(
+        F.sort_array(F.collect_list("move")), F.lit(0), lambda r, m: F.element_at(m["to"], r + 1))
+    per_user = moves.groupBy(*keys).agg(reached.alias("_reached"))
+    per_site = per_user.groupBy("site_id").agg(
+        F.count("*").alias("_all"), *[F.count_if(F.col("_reached") > i).alias(f"_{i}") for i in range(n)])
+    return _steps_long(per_site, steps, lambda i: F.col(f"_{i}"))
 
 
 def _goal_keys(goals: DataFrame, unknown_is_click: bool) -> DataFrame:

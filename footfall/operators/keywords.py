@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from footfall.functions.numbers import desc_then, present, top_per
-from footfall.operators.traffic import page_search_terms, top_pages
+from footfall.operators.traffic import page_search_terms, period_rows, top_pages
 
 # Words of a path that carry no topic (file types included).
 STOP_WORDS = """
@@ -68,14 +68,17 @@ def _suggestion(rows: DataFrame, step: int, position, keyword, source, confidenc
 
 def keyword_suggestions(
     events, mapped: DataFrame, period, snapshots: DataFrame | None = None, site_id=None,
+    pages: DataFrame | None = None,
 ) -> DataFrame:
     """Up to eight keyword proposals per page: search terms of its visitors, its path phrase and,
-    with `snapshots` (newest per keyword), related searches and questions for that phrase."""
-    pages = events.select("site_id", "path").distinct()
-    if site_id is not None:
-        pages = pages.filter(F.col("site_id") == site_id)
-    phrases = present(page_phrases(pages), "phrase")
+    with `snapshots` (newest per keyword), related searches and questions for that phrase. Of all
+    pages seen in the period, or of the distinct (site_id, path) in `pages` alone."""
     terms = page_search_terms(events, period, site_id).filter("keyword <> '(not set)'")
+    if pages is None:
+        pages = period_rows(events, period, site_id).select("site_id", "path").distinct()
+    else:
+        terms = terms.join(pages.select("site_id", "path"), ["site_id", "path"], "left_semi")
+    phrases = present(page_phrases(pages), "phrase")
     turn = F.row_number().over(
         Window.partitionBy("site_id", "path").orderBy(*desc_then("visitors", "keyword")))
     arrived = F.concat(
@@ -112,7 +115,7 @@ def site_suggestions(events, mapped: DataFrame, period, limit=5, busiest=25) ->
     top = top_pages(events, period, limit=busiest).select("site_id", "path", "views")
     open_pages = top.filter("path <> '/'").join(
         mapped.select("site_id", "path").distinct(), ["site_id", "path"], "left_anti")
-    proposals = keyword_suggestions(events, mapped, period)
+    proposals = keyword_suggestions(events, mapped, period, pages=open_pages)
     with_any = open_pages.join(
         proposals.select("site_id", "path").distinct(), ["site_id", "path"], "left_semi")
     chosen = top_per(with_any, ["site_id"], desc_then("views", "path"), limit)

@@ -133,6 +133,11 @@ def direction(change: Column) -> Column:
     return F.when(change < 0, "drop").when(change > 0, "spike").otherwise("flat")
 
 
+def minutes_and_seconds(seconds: Column) -> Column:
+    return F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "),
+                    round_half_up(seconds % 60).cast("string"), F.lit("s"))
+
+
 def kpi_summary(events, sessions, period, site_id=None) -> DataFrame:
     """Headline numbers of the period and their trend against the equally long one before.
     Events are reduced to one row per (site, period, visitor) before anything is counted."""
@@ -175,9 +180,7 @@ def kpi_summary(events, sessions, period, site_id=None) -> DataFrame:
     return both.select(
         "site_id", "total_visitors", "total_pageviews", "total_sessions",
         round_half_up(bounce, 1).alias("bounce_rate"),
-        F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "),
-                 round_half_up(seconds % 60).cast("string"), F.lit("s"))
-        .alias("avg_session_duration"),
+        minutes_and_seconds(seconds).alias("avg_session_duration"),
         F.format_string("%.2f", F.coalesce(pages, F.lit(0.0))).alias("pages_per_session"),
         grew("total_visitors", "_visitors").alias("visitors_trend"),
         grew("total_pageviews", "_pageviews").alias("pageviews_trend"),
@@ -193,15 +196,22 @@ def kpi_from_rollup(rollup, period, site_id=None) -> DataFrame:
     day = F.col("date")
     now = day.between(F.lit(period.start.date()), F.lit(period.end.date()))
     then = (day >= F.lit(before.start.date())) & (day < F.lit(before.end.date()))
-    rows = for_site(rollup.filter(now | then), site_id)
+    rows = for_site(rollup.filter(now | then), site_id).withColumn("seconds", F.col("avg_duration") * F.col("sessions"))
+    parts = ["visitors", "sessions", "pageviews", "bounces", "seconds"]
 
     def total(flag: Column, c: str) -> Column:
         return F.coalesce(F.sum(F.when(flag, F.col(c))), F.lit(0))
 
     sums = rows.groupBy("site_id").agg(
-        *[total(now, c).alias(c) for c in ("visitors", "sessions", "pageviews", "bounces")],
-        *[total(then, c).alias(f"_{c}") for c in ("visitors", "pageviews")],
+        *[total(now, c).alias(c) for c in parts], *[total(then, c).alias(f"_{c}") for c in parts],
     ).filter("visitors > 0")
+
+    def per_session(c: str, before: str = "") -> Column:
+        n = F.nullif(F.col(f"{before}sessions").cast("double"), F.lit(0.0))
+        return F.coalesce(F.col(f"{before}{c}") / n, F.lit(0.0))
+
+    seconds, seconds_before = per_session("seconds"), per_session("seconds", "_")
+    bounce, bounce_before = per_session("bounces") * 100, per_session("bounces", "_") * 100
     return sums.select(
         "site_id",
         F.col("visitors").alias("total_visitors"),
@@ -212,6 +222,10 @@ def kpi_from_rollup(rollup, period, site_id=None) -> DataFrame:
         .alias("visitors_trend"),
         trend(F.col("pageviews").cast("double"), F.col("_pageviews").cast("double"))
         .alias("pageviews_trend"),
+        minutes_and_seconds(seconds).alias("avg_session_duration"),
+        F.format_string("%.2f", per_session("pageviews")).alias("pages_per_session"),
+        trend(bounce, bounce_before).alias("bounce_rate_trend"),
+        trend(seconds, seconds_before).alias("session_trend"),
     )
 
 

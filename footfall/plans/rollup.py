@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions.classify import filled, rollup_source_class
 from footfall.functions.numbers import desc_then, top_per
+from footfall.functions.ranges import DateRange, for_site
 from footfall.operators.sessions import sessionise_by_id
 from footfall.operators.traffic import is_view, n_pageviews, n_sessions, n_visitors
 
@@ -30,6 +31,19 @@ def daily_rollup(events: DataFrame, sessions: DataFrame | None = None,
     return counts.join(ends, _KEYS, "left").na.fill(0, ["bounces"]).na.fill(0.0, ["avg_duration"])
 
 
+def daily_visitor_sketches(events: DataFrame, lg_k: int = 14) -> DataFrame:
+    """A mergeable sketch of the visitors per (site, day), 2**lg_k registers: the opt-in, approximate way
+    to count visitors of any period without its events (standard error about 0.8 % by default)."""
+    return _dated(events, "timestamp").groupBy(*_KEYS).agg(F.hll_sketch_agg("user_id", lg_k).alias("visitor_sketch"))
+
+
+def visitors_from_sketches(sketches: DataFrame, period: DateRange, site_id: str | None = None) -> DataFrame:
+    """Approximate visitors of the days of a period."""
+    days = F.col("date").between(F.lit(period.start.date()), F.lit(period.end.date()))
+    return for_site(sketches.filter(days), site_id).groupBy("site_id").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("visitor_sketch")).alias("visitors_estimate"))
+
+
 def daily_top_lists(events: DataFrame, limit: int = 10) -> DataFrame:
     """Per (site, day) and list: label, measure and rank. Pages and countries keep `limit` rows;
     source classes and devices are few by nature and kept whole. Each event is expanded to its cells

@@ -163,18 +163,28 @@ FROM j
 WITH d AS (
   SELECT site_id, CAST(timestamp AS DATE) AS date, COUNT(DISTINCT user_id) AS v, COUNT(DISTINCT session_id) AS s,
     COUNT(CASE WHEN type = 'pageview' THEN 1 END) AS p FROM web_events GROUP BY 1, 2
-), b AS (SELECT site_id, CAST(started_at AS DATE) AS date, COUNT(CASE WHEN is_bounce THEN 1 END) AS b FROM web_sessions GROUP BY 1, 2),
-t AS (
-  SELECT d.site_id, CAST(SUM(CASE WHEN date >= DATE '2024-01-11' THEN v END) AS BIGINT) AS v1, CAST(SUM(CASE WHEN date >= DATE '2024-01-11' THEN p END) AS BIGINT) AS p1,
-    CAST(SUM(CASE WHEN date >= DATE '2024-01-11' THEN s END) AS BIGINT) AS s1, CAST(SUM(CASE WHEN date >= DATE '2024-01-11' THEN b END) AS BIGINT) AS b1,
-    CAST(COALESCE(SUM(CASE WHEN date < DATE '2024-01-11' THEN v END), 0) AS BIGINT) AS v0, CAST(COALESCE(SUM(CASE WHEN date < DATE '2024-01-11' THEN p END), 0) AS BIGINT) AS p0
-  FROM d LEFT JOIN b USING (site_id, date) WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-20' GROUP BY 1
+), b AS (SELECT site_id, CAST(started_at AS DATE) AS date, COUNT(CASE WHEN is_bounce THEN 1 END) AS b, AVG(duration) AS a FROM web_sessions GROUP BY 1, 2),
+x AS (
+  SELECT d.site_id, date >= DATE '2024-01-11' AS cur, v, s, p, COALESCE(b, 0) AS b, COALESCE(a, 0) * s AS q
+  FROM d LEFT JOIN b USING (site_id, date) WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-20'
+), t AS (
+  SELECT site_id, CAST(COALESCE(SUM(CASE WHEN cur THEN v END), 0) AS BIGINT) AS v1, CAST(COALESCE(SUM(CASE WHEN cur THEN p END), 0) AS BIGINT) AS p1, CAST(COALESCE(SUM(CASE WHEN cur THEN s END), 0) AS BIGINT) AS s1,
+    COALESCE(SUM(CASE WHEN cur THEN b END), 0) AS b1, COALESCE(SUM(CASE WHEN cur THEN q END), 0) AS q1,
+    CAST(COALESCE(SUM(CASE WHEN NOT cur THEN v END), 0) AS BIGINT) AS v0, CAST(COALESCE(SUM(CASE WHEN NOT cur THEN p END), 0) AS BIGINT) AS p0, CAST(COALESCE(SUM(CASE WHEN NOT cur THEN s END), 0) AS BIGINT) AS s0,
+    COALESCE(SUM(CASE WHEN NOT cur THEN b END), 0) AS b0, COALESCE(SUM(CASE WHEN NOT cur THEN q END), 0) AS q0
+  FROM x GROUP BY 1
+), u AS (
+  SELECT *, COALESCE(CAST(b1 AS DOUBLE) / NULLIF(s1, 0), 0) * 100 AS r1, COALESCE(CAST(b0 AS DOUBLE) / NULLIF(s0, 0), 0) * 100 AS r0,
+    COALESCE(CAST(q1 AS DOUBLE) / NULLIF(s1, 0), 0) AS d1, COALESCE(CAST(q0 AS DOUBLE) / NULLIF(s0, 0), 0) AS d0 FROM t WHERE v1 > 0
 )
-SELECT site_id, v1 AS total_visitors, p1 AS total_pageviews, s1 AS total_sessions,
-  FLOOR(b1 / CAST(s1 AS DOUBLE) * 1000 + 0.5) / 10 AS bounce_rate,
+SELECT site_id, v1 AS total_visitors, p1 AS total_pageviews, s1 AS total_sessions, FLOOR(b1 / CAST(s1 AS DOUBLE) * 1000 + 0.5) / 10 AS bounce_rate,
   CASE WHEN v0 = 0 THEN 100.0::DOUBLE ELSE FLOOR((v1 - v0) / CAST(v0 AS DOUBLE) * 1000 + 0.5) / 10 END AS visitors_trend,
-  CASE WHEN p0 = 0 THEN 100.0::DOUBLE ELSE FLOOR((p1 - p0) / CAST(p0 AS DOUBLE) * 1000 + 0.5) / 10 END AS pageviews_trend
-FROM t
+  CASE WHEN p0 = 0 THEN CASE WHEN p1 > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END ELSE FLOOR((p1 - p0) / CAST(p0 AS DOUBLE) * 1000 + 0.5) / 10 END AS pageviews_trend,
+  CAST(CAST(FLOOR(d1 / 60) AS BIGINT) AS VARCHAR) || 'm ' || CAST(CAST(FLOOR(d1 - 60 * FLOOR(d1 / 60) + 0.5) AS BIGINT) AS VARCHAR) || 's' AS avg_session_duration,
+  PRINTF('%.2f', p1 / CAST(s1 AS DOUBLE)) AS pages_per_session,
+  CASE WHEN r0 = 0 THEN CASE WHEN r1 > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END ELSE FLOOR((r1 - r0) / r0 * 1000 + 0.5) / 10 END AS bounce_rate_trend,
+  CASE WHEN d0 = 0 THEN CASE WHEN d1 > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END ELSE FLOOR((d1 - d0) / d0 * 1000 + 0.5) / 10 END AS session_trend
+FROM u
 -- name: A16_funnel_event_types
 SELECT site_id, type, COUNT(*) AS count FROM e30 WHERE type <> '' GROUP BY 1, 2
 -- name: A16b_funnel_paths
@@ -517,6 +527,24 @@ WITH g AS (
     COUNT(*) AS clicks, COUNT(DISTINCT user_id) AS unique_users FROM e30 WHERE type = 'heatmap_click' GROUP BY 1, 2, 3, 4, 5
 ), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY site_id, path ORDER BY clicks DESC, text, selector, tag) AS rn FROM g)
 SELECT site_id, path, text, selector, tag, clicks, unique_users FROM r WHERE rn <= 30
+-- name: A48_heatmap_clusters
+WITH RECURSIVE g AS (
+  SELECT site_id, path, CAST(json_extract_string(properties, '$.relX') AS DOUBLE) AS x, CAST(json_extract_string(properties, '$.relY') AS DOUBLE) AS y,
+    CAST(json_extract_string(properties, '$.x') AS BIGINT) AS ax, CAST(json_extract_string(properties, '$.y') AS BIGINT) AS ay,
+    json_extract_string(properties, '$.selector') AS s, COUNT(*) AS k
+  FROM e30 WHERE type = 'heatmap_click' GROUP BY 1, 2, 3, 4, 5, 6, 7
+), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY site_id, path ORDER BY k DESC, x, y, ax, ay, s) AS rn FROM g),
+c AS (
+  SELECT site_id, path, 0.0::DOUBLE AS rel_x, 0.0::DOUBLE AS rel_y, '' AS selector, CAST(0 AS BIGINT) AS clicks, CAST(0 AS BIGINT) AS members,
+    LIST({'x': x, 'y': y, 's': s, 'k': k} ORDER BY rn) AS free FROM r WHERE rn <= 500 GROUP BY 1, 2
+  UNION ALL
+  SELECT site_id, path, free[1].x, free[1].y, free[1].s,
+    CAST(LIST_SUM([p.k FOR p IN free IF SQRT((p.x - free[1].x) ** 2 + (p.y - free[1].y) ** 2) <= 3]) AS BIGINT),
+    CAST(LEN([p.k FOR p IN free IF SQRT((p.x - free[1].x) ** 2 + (p.y - free[1].y) ** 2) <= 3]) AS BIGINT),
+    [p FOR p IN free IF SQRT((p.x - free[1].x) ** 2 + (p.y - free[1].y) ** 2) > 3]
+  FROM c WHERE LEN(free) > 0
+)
+SELECT site_id, path, rel_x, rel_y, selector, clicks, members FROM c WHERE members > 0
 -- name: A48b_heatmap_grid
 SELECT site_id, path, CAST(FLOOR(CAST(json_extract_string(properties, '$.relX') AS DOUBLE) / 3) AS BIGINT) AS cell_x,
   CAST(FLOOR(CAST(json_extract_string(properties, '$.relY') AS DOUBLE) / 3) AS BIGINT) AS cell_y, COUNT(*) AS clicks

@@ -136,7 +136,7 @@ SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN LOWER(p_name) WHEN 1 THEN LOWER
 WITH t AS (SELECT site_id, path, utm_term AS keyword, COUNT(DISTINCT user_id) AS v FROM e30 WHERE utm_term <> '' GROUP BY 1, 2, 3),
 tr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY site_id, path ORDER BY v DESC, keyword) AS rn FROM t),
 ph(path, phrase) AS (VALUES ('/products', 'products'), ('/pricing', 'pricing'), ('/guides/email-templates', 'email templates')),
-pg AS (SELECT DISTINCT e.site_id, e.path, phrase FROM web_events e JOIN ph USING (path)),
+pg AS (SELECT DISTINCT e.site_id, e.path, phrase FROM e30 e JOIN ph USING (path)),
 last_snap AS (SELECT keyword, MAX(month) AS month FROM snaps GROUP BY 1),
 x AS (
   SELECT site_id, path, 1 AS st, rn AS pos, keyword, 'traffic' AS source, 'high' AS confidence, CAST(v AS VARCHAR) || ' visitor' || CASE WHEN v = 1 THEN '' ELSE 's' END || ' arrived on this search term' AS reason FROM tr WHERE rn <= 5

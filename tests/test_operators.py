@@ -176,6 +176,26 @@ def test_funnel_is_unordered_and_ordered_funnel_is_not(spark):
     assert loose == {"one": 2, "two": 2} and strict == {"one": 2, "two": 1}
 
 
+def test_ordered_funnel_equals_event_by_event_rule(spark):
+    rng = random.Random(5)
+    steps = [("A", "pageview", "/a"), ("B", "pageview", "/b"), ("A again", "pageview", "/a"), ("Paid", "purchase", None)]
+    rows = [(f"{i}", f"u{rng.randrange(60)}", rng.choice(["pageview", "pageview", "purchase"]), rng.choice(["/a", "/b", "/c"]),
+             T0 + timedelta(minutes=rng.choice([0, 1, 30]) + 60 * rng.randrange(5))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, user_id string, type string, path string, timestamp timestamp").withColumn("site_id", F.lit("s"))
+    want = [0] * len(steps)
+    for user in {r[1] for r in rows}:
+        reached, since = 0, None
+        for when in sorted({r[4] for r in rows if r[1] == user}):
+            _, kind, path = steps[reached]
+            if any(r[2] == kind and path in (None, r[3]) for r in rows if r[1] == user and r[4] == when):
+                want[reached] += 1
+                reached += 1
+                if reached == len(steps):
+                    break
+    got = conversion.funnel_ordered(df, DateRange(T0, T0 + timedelta(days=1)), steps=steps).orderBy("step_no").collect()
+    assert [r.visitors for r in got] == want and want[-1] > 0
+
+
 def test_blank_labels_are_one_group(spark):
     e = events(spark, ("u", 0, "pageview", "/", {"device": ""}), ("u", 0, "pageview", "/"), ("v", 0, "pageview", "/", {"device": "Desktop"}))
     assert [(r.device, r.visitors, r.percentage) for r in audience.devices(e, YEAR).collect()] == [("Desktop", 2, 100)]

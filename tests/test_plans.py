@@ -37,3 +37,25 @@ def test_scans_read_only_needed_columns(spark):
 
 def test_time_filter_reaches_the_scan(spark):
     assert re.search(r"PushedFilters: \[IsNotNull\(ts\), GreaterThanOrEqual\(ts,", plan_of(spark, "A01_traffic_over_time"))
+
+
+def scans(spark, name):
+    return plan_of(spark, name).count("FileScan parquet")
+
+
+def test_ordered_funnel_is_one_scan(spark):
+    plan = plan_of(spark, "A17o_funnel_ordered")
+    assert scans(spark, "A17o_funnel_ordered") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["A28_retention_daily", "R16_keyword_suggestions", "R17_site_suggestions"])
+def test_no_scan_without_a_time_filter(spark, name):
+    filters = re.findall(r"events\.parquet\], PartitionFilters: \[\], PushedFilters: \[([^\]]*)\]", plan_of(spark, name))
+    assert filters and all("GreaterThanOrEqual(ts" in f for f in filters)
+
+
+@pytest.mark.parametrize("name", ["A02_bounce_rate_trend", "A13_sessions_by_city", "A15_kpi_summary", "A37_exit_pages"])
+def test_session_reports_read_the_days_of_their_period(spark, name):
+    plan = plan_of(spark, name)
+    parts = [f for f in re.findall(r"PartitionFilters: \[([^\]]*)\]", plan) if f]
+    assert len(parts) == plan.count("sessions-") and all("session_date" in f for f in parts)
