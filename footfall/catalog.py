@@ -307,6 +307,25 @@ def _by_day(*parts: DataFrame) -> DataFrame:
         F.count("*").alias("events"), F.countDistinct("user_id").alias("visitors"))
 
 
+def _archived_in_place(s: SparkSession, d: str) -> DataFrame:
+    """The stored table archived in two runs, the later one with the days that have become cold since."""
+    hot, cold = tables.scratch_path(s, "hot"), tables.scratch_path(s, "cold")
+    tables.write_events(web_events(s, d), hot)
+    for as_of in (datetime(2024, 2, 5), datetime(2024, 2, 10)):
+        tables.archive_stored(s, hot, cold, as_of)
+    both = tables.read_events(s, hot).withColumn("part", F.lit("hot")).unionByName(
+        tables.read_events(s, cold).withColumn("part", F.lit("cold")))
+    return both.groupBy("site_id", "part").agg(
+        F.count("*").alias("events"), F.min("event_date").alias("first_day"), F.max("event_date").alias("last_day"))
+
+
+def _deleted_in_place(s: SparkSession, d: str) -> DataFrame:
+    path = tables.scratch_path(s, "events")
+    tables.write_events(web_events(s, d), path)
+    tables.delete_expired(s, path, _retention(s))
+    return _per_day(tables.read_events(s, path), "events")
+
+
 def _unified(s: SparkSession, d: str) -> DataFrame:
     return _by_day(*_archived(s, d))
 
@@ -395,7 +414,9 @@ def _over_raw() -> dict:
         "I18_retention_delete": lambda s, d: tables.retention_report(web_events(s, d), _retention(s)),
         "I18b_retention_kept": lambda s, d: _per_day(
             tables.apply_retention(web_events(s, d), _retention(s)), "events"),
+        "I18c_retention_stored": _deleted_in_place,
         "I19_archive_cold": _archive_parts,
+        "I19c_archive_stored": _archived_in_place,
         "I13b_append_after_archive": _redelivered,
         "I19b_archive_late_rows": _late_archive,
         "I20_unified_view": _unified,

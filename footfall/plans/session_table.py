@@ -5,11 +5,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.operators.sessions import sessionise_by_id
-from footfall.plans.tables import full_rebuild, overwrite_touched, stored_at
+from footfall.plans.tables import finished, full_rebuild, overwrite_touched, stored_at
 
 KEY = ["site_id", "id", "user_id"]
 PARTITIONS = ["session_date"]
@@ -39,16 +38,6 @@ def session_keys(batch: DataFrame) -> DataFrame:
     return batch.select("site_id", F.col("session_id").alias("id"), "user_id").distinct()
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.text(f"{path}/_SUCCESS")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-    return True
-
-
 def _dates(*frames: DataFrame) -> list:
     """The distinct dates of one-column frames: a list that grows with days, not with rows."""
     return [r[0] for r in reduce(DataFrame.union, frames).distinct().collect()]
@@ -83,7 +72,7 @@ def merge_sessions(batch: DataFrame, events: DataFrame, path: str, staged: str)
     batch alone: a job that fails while it replaces partitions finds them there when the batch is repeated.
     Finding the old rows reads the key and time columns of the sessions table."""
     spark = batch.sparkSession
-    if not _finished(spark, f"{staged}/rows"):
+    if not finished(spark, f"{staged}/rows"):
         _stage(batch, events, path, staged)
     rows = spark.read.parquet(f"{staged}/rows")
     overwrite_touched(rows.drop("touched"), path, PARTITIONS)

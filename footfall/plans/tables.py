@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from datetime import datetime, timedelta
+from collections.abc import Callable
+from datetime import date, datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -114,6 +115,36 @@ def full_rebuild(df: DataFrame, path: str, partitions: list[str]) -> None:
     _write(df, path, partitions, "overwrite", "static")
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the path was completed."""
+    try:
+        spark.read.text(f"{path}/_SUCCESS")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def replace_partitions(
+    spark: SparkSession, build: Callable[[], DataFrame], path: str, partitions: list[str], staged: str | None = None,
+) -> None:
+    """Replace the partitions in `build()`, which may read `path`. The rows are written to `staged` first. A
+    caller that names this folder, one for each run, can repeat a run that failed while partitions were
+    replaced: finished rows are found there and not built again."""
+    staged = staged or scratch_path(spark, "staged")
+    if not finished(spark, staged):
+        build().write.mode("overwrite").parquet(staged)
+    overwrite_touched(spark.read.parquet(staged), path, partitions)
+
+
+def drop_days(spark: SparkSession, path: str, days: list[date]) -> None:
+    """Remove whole days of a table; days that are not there are left out."""
+    for day in days:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/event_date={day}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 # Default and limits of a retention policy, and the age for archiving, in days.
 RETENTION_DEFAULT, RETENTION_MIN, RETENTION_MAX = 365, 30, 3650
 ARCHIVE_DAYS = 30
@@ -151,28 +182,61 @@ def is_cold(column: str, as_of: datetime, archive_days: int = ARCHIVE_DAYS) -> C
     return F.to_date(column) < F.lit((as_of - timedelta(days=archive_days)).date())
 
 
+def _merge_cold(goes: DataFrame, cold_path: str, staged: str | None) -> None:
+    """Add rows to their days in the cold path; known rows stay once."""
+    def build() -> DataFrame:
+        cold = stored_at(goes.sparkSession, cold_path, goes.schema)
+        if cold is None:
+            return goes
+        days = goes.select(*COLD_PARTITIONS).distinct()
+        both = cold.join(days, COLD_PARTITIONS, "left_semi").select(*goes.columns).unionByName(goes)
+        return first_per_key(both, [*COLD_PARTITIONS, "id"])
+
+    replace_partitions(goes.sparkSession, build, cold_path, COLD_PARTITIONS, staged)
+
+
 def archive_cold(
     hot: DataFrame, cold_path: str, hot_path: str, as_of: datetime,
-    archive_days: int = ARCHIVE_DAYS, column: str = "timestamp",
+    archive_days: int = ARCHIVE_DAYS, column: str = "timestamp", staged: str | None = None,
 ) -> None:
     """Merge days older than `archive_days` into the cold path, then write the remaining rows as the new
-    hot table. A day that is cold already keeps its rows: late ones are added, known ones stay once. The
-    merged days are staged first, so no path is overwritten while it is read, and a run that fails
-    anywhere can be repeated. `hot_path` must differ from where `hot` is read."""
-    spark = hot.sparkSession
-    old = is_cold(column, as_of, archive_days)
-    dated = with_event_date(hot, column)
-    cold, goes = stored_at(spark, cold_path, dated.schema), dated.filter(old)
-    if cold is not None:
-        days = goes.select(*COLD_PARTITIONS).distinct()
-        both = cold.join(days, COLD_PARTITIONS, "left_semi").select(*dated.columns).unionByName(goes)
-        staged = scratch_path(spark, "staged")
-        first_per_key(both, [*COLD_PARTITIONS, "id"]).write.parquet(staged)
-        goes = spark.read.schema(dated.schema).parquet(staged)
-    overwrite_touched(goes, cold_path, COLD_PARTITIONS)
+    hot table. A day that is cold already keeps its rows: late ones are added, known ones stay once.
+    `hot_path` must differ from where `hot` is read; `archive_stored` works in place. `staged`: see
+    `replace_partitions`."""
+    old, dated = is_cold(column, as_of, archive_days), with_event_date(hot, column)
+    _merge_cold(dated.filter(old), cold_path, staged)
     full_rebuild(dated.filter(~old), hot_path, HOT_PARTITIONS)
 
 
+def archive_stored(
+    spark: SparkSession, hot_path: str, cold_path: str, as_of: datetime,
+    archive_days: int = ARCHIVE_DAYS, staged: str | None = None,
+) -> None:
+    """As `archive_cold` for a stored hot table: cold days are merged, then their folders are dropped; the
+    other days are not touched. Only those days are read. No other job may write them meanwhile."""
+    goes = spark.read.parquet(hot_path).filter(is_cold("event_date", as_of, archive_days))
+    days = [r[0] for r in goes.select("event_date").distinct().collect()]
+    if days:
+        _merge_cold(goes, cold_path, staged)
+        drop_days(spark, hot_path, days)
+
+
+def delete_expired(spark: SparkSession, path: str, cutoffs: DataFrame, staged: str | None = None) -> None:
+    """Apply retention to stored events in place. Days up to the last cutoff are read; those without
+    expired rows stay as they are, those with nothing else are dropped as folders, the rest is replaced.
+    `staged`: see `replace_partitions`."""
+    last = cutoffs.agg(F.max(F.to_date("cutoff"))).first()[0]
+    if last is None:
+        return
+    marked = _expired(spark.read.parquet(path).filter(F.col("event_date") <= F.lit(last)), cutoffs, "timestamp")
+    days = marked.groupBy("event_date").agg(
+        F.count_if("_expired").alias("gone"), F.count_if(~F.col("_expired")).alias("kept")).filter("gone > 0").collect()
+    if partly := [r.event_date for r in days if r.kept]:
+        stay = marked.filter(F.col("event_date").isin(partly) & ~F.col("_expired")).drop("_expired")
+        replace_partitions(spark, lambda: stay, path, HOT_PARTITIONS, staged)
+    drop_days(spark, path, [r.event_date for r in days if not r.kept])
+
+
 def unified_view(hot: DataFrame, *cold: DataFrame) -> DataFrame:
     """Hot and cold rows as one table; without cold parts it is the hot table."""
     out = hot

@@ -140,3 +140,9 @@ SELECT site_id, COUNT(*) AS total_issues, COUNT(CASE WHEN status = 'unresolved'
 FROM issue_rows WHERE k % 7 <> 0 AND last_seen >= TIMESTAMP '1996-01-01' AND last_seen <= TIMESTAMP '1999-12-31' GROUP BY 1
 -- name: A56c_issue_trend
 SELECT site_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, COUNT(*) AS events FROM e30 WHERE type = 'js_error' GROUP BY 1, 2
+-- name: I18c_retention_stored
+SELECT site_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, COUNT(*) AS events FROM web_events
+WHERE NOT (site_id = 'site_a' AND timestamp < TIMESTAMP '2024-01-21') AND NOT (site_id = 'site_b' AND timestamp < TIMESTAMP '2024-01-16') GROUP BY 1, 2
+-- name: I19c_archive_stored
+SELECT site_id, CASE WHEN CAST(timestamp AS DATE) < DATE '2024-01-11' THEN 'cold' ELSE 'hot' END AS part, COUNT(*) AS events, CAST(MIN(CAST(timestamp AS DATE)) AS VARCHAR) AS first_day, CAST(MAX(CAST(timestamp AS DATE)) AS VARCHAR) AS last_day
+FROM web_events GROUP BY 1, 2

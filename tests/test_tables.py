@@ -99,6 +99,37 @@ def test_late_rows_join_an_archived_day(spark, events, tmp_path):
     assert same(tables.read_events(spark, hot2, cold).drop("event_date"), events.unionByName(late))
 
 
+def test_a_run_that_failed_while_replacing_can_be_repeated(spark, events, tmp_path, monkeypatch):
+    cold, hot, staged = (str(tmp_path / n) for n in ("cold", "hot", "staged"))
+    tables.write_events(events.filter("timestamp < '2024-01-05'"), hot)
+    tables.archive_stored(spark, hot, cold, datetime(2024, 2, 10))
+    tables.write_events(events, hot)
+
+    def lose(rows, path, partitions):
+        rows.limit(0).write.mode("overwrite").parquet(path)
+        raise OSError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(tables, "overwrite_touched", lose)
+        tables.archive_stored(spark, hot, cold, datetime(2024, 2, 10), staged=staged)
+    tables.archive_stored(spark, hot, cold, datetime(2024, 2, 10), staged=staged)
+    assert same(tables.read_events(spark, hot, cold).drop("event_date"), events)
+    assert spark.read.parquet(hot).filter("event_date < '2024-01-11'").isEmpty()
+
+
+def test_retention_leaves_other_days_alone(spark, events, tmp_path):
+    path = str(tmp_path / "events")
+    tables.write_events(events, path)
+    rows = [("1", "site_a", 30, True, None), ("2", "site_b", 30, True, None), ("3", "site_c", 30, True, None)]
+    cutoffs = tables.retention_cutoffs(spark.createDataFrame(rows, schemas.RETENTION_POLICIES), datetime(2024, 2, 14, 12))
+    before = {f.name for f in (tmp_path / "events" / "event_date=2024-01-20").iterdir()}
+    for _ in range(2):
+        tables.delete_expired(spark, path, cutoffs)
+        assert same(spark.read.parquet(path).drop("event_date"), events.filter("timestamp >= '2024-01-15 12:00:00'"))
+    assert not (tmp_path / "events" / "event_date=2024-01-14").exists()
+    assert {f.name for f in (tmp_path / "events" / "event_date=2024-01-20").iterdir()} == before
+
+
 def test_archived_events_are_not_appended_again(spark, events, tmp_path):
     cold, hot = (str(tmp_path / n) for n in ("cold", "hot"))
     tables.archive_cold(events, cold, hot, datetime(2024, 2, 10))
