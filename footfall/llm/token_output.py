@@ -214,7 +214,9 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, docs_per
                  pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([encode(ids)], pa.binary())],
                 ["part", "block", "doc_ids", "lengths", "payload"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts_for(docs.count(), docs_per_part), "doc_id")
+    # rows without an id are spread by how their texts begin, which keeps them in the order of the texts
+    unnamed = F.when(F.col("doc_id").isNull(), F.substring("text", 1, 64))
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts_for(docs.count(), docs_per_part), "doc_id", unnamed)
     return stored(ordered.sortWithinPartitions("doc_id", "text").mapInArrow(rows, BLOCKS), "blocks")
 
 
