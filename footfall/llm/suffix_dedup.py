@@ -275,8 +275,9 @@ def bucketed(docs: DataFrame, batches: int) -> DataFrame:
     """doc_id, text (bytes), batch; written in the shared folder so that grouping by batch shuffles nothing."""
     spark = docs.sparkSession
     name = f"llm_{uuid.uuid4().hex}"
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("text"))  # rows without an id are spread by their texts
     dealt = docs.select("doc_id", F.col("text").cast("binary").alias("text"),
-                        F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"))
+                        F.pmod(F.xxhash64("doc_id", unnamed), F.lit(batches)).alias("batch"))
     dealt.repartition(batches, "batch").write.bucketBy(batches, "batch").option("compression", "zstd").option(
         "path", shared_path(spark, "batches")).saveAsTable(name)
     return spark.table(name)
