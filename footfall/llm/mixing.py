@@ -16,7 +16,10 @@ from footfall.llm.common import parts_for, stored, table, with_offsets
 WEIGHTS = (1, 2, 3)
 #: A document is repeated so often at most.
 REPEATS = 3
+#: Finish times are summed in so many ranges a unit; all from LAST_TIME on are one range. By time 1 no source
+#: has more than its target, so the cut lies beyond, and close to it.
 BINS_PER_UNIT = 1 << 12
+LAST_TIME = 2.0
 
 
 def word_count(text: Column) -> Column:
@@ -60,10 +63,12 @@ def fair_queue(rows: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> Data
     is the source's words up to its end, over all rounds before, divided by the source's target. Sources
     are cut into parts by the leading digits of the MD5, so a hot source is summed in many tasks. The cut
     is the largest finish time up to which all copies together fit the budget: copies are summed by time
-    range first, then only the range with the cut is sorted, all sources together."""
+    range first, then only the range with the cut is sorted, all sources together, by range partitions
+    with prefix sums over them. No task holds more than its partition."""
     digits = max(2, len(f"{parts_for(rows.count()):x}"))
-    shuffled = stored(rows.withColumn("mark", F.md5(F.col("doc_id").cast("string"))).withColumn(
-        "part", F.coalesce(F.substring("mark", 1, digits), F.lit(""))), "sizes")
+    # rows without an id are spread by their sizes
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("size "), F.col("size")))
+    shuffled = stored(rows.withColumn("mark", F.md5(name)).withColumn("part", F.substring("mark", 1, digits)), "sizes")
     targets = stored(source_targets(shuffled, weights, repeats), "targets")
     order = [F.col("mark"), F.col("doc_id"), F.col("size")]
     summed = with_offsets(shuffled, "part", order, {"before": "size"}, within=["source"])
@@ -73,14 +78,16 @@ def fair_queue(rows: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> Data
     rounds = [((F.col("source_size") * k + F.col("before") + F.col("size")) / F.nullif(F.col("target"), F.lit(0.0))) for k in range(repeats)]
     copies = queued.select("size", F.explode(F.array(*rounds)).alias("time")).where("size > 0 AND time IS NOT NULL")
     budget = targets.agg(F.sum("source_size").alias("budget"))
-    ranges = copies.groupBy(F.floor(F.col("time") * BINS_PER_UNIT).alias("bin")).agg(F.sum("size").alias("words"))
+    time_range = F.floor(F.least("time", F.lit(LAST_TIME)) * BINS_PER_UNIT)
+    ranges = copies.groupBy(time_range.alias("bin")).agg(F.sum("size").alias("words"))
+    # at most BINS_PER_UNIT * LAST_TIME + 1 ranges; the first that overflows has the cut
     up_to = ranges.withColumn("until", F.sum("words").over(W.orderBy("bin"))).join(F.broadcast(budget))
-    # at most repeats * BINS_PER_UNIT * (largest time) ranges; the first that overflows has the cut
-    cut = up_to.where("until > budget").agg(F.min_by(F.struct("bin", "words", "until", "budget"), "bin").alias("cut")).select("cut.*")
-    inside = copies.join(F.broadcast(cut), F.floor(F.col("time") * BINS_PER_UNIT) == F.col("bin")).groupBy("time").agg(
-        F.sum("size").alias("size"), F.first("until").alias("until"), F.first("words").alias("words"), F.first("budget").alias("budget"))
-    fits = inside.withColumn("used", F.col("until") - F.col("words") + F.sum("size").over(W.orderBy("time")))
-    last = fits.agg(F.min(F.when(F.col("used") > F.col("budget"), F.col("time"))).alias("stop"))
+    cut = up_to.where("until > budget").agg(F.min_by(F.struct("bin", "words", "until", "budget"), "bin").alias("cut")).select(
+        F.col("cut.bin"), (F.col("cut.budget") - F.col("cut.until") + F.col("cut.words")).alias("free"))
+    inside = copies.join(F.broadcast(cut), time_range == F.col("bin")).groupBy("time", "free").agg(F.sum("size").alias("size"))
+    parted = stored(inside.repartitionByRange("time").withColumn("part", F.spark_partition_id()), "inside")
+    used = with_offsets(parted, "part", [F.col("time")], {"used": "size"})
+    last = used.agg(F.min(F.when(F.col("used") + F.col("size") > F.col("free"), F.col("time"))).alias("stop"))
     taken = sum((F.when(t < F.coalesce(F.col("stop"), F.lit(float("inf"))), 1).otherwise(0) for t in rounds), F.lit(0))
     once = F.least(taken, F.when(F.col("size") == 0, F.lit(1)).otherwise(F.lit(repeats)))
     return queued.join(F.broadcast(last)).withColumn("copies", once.cast("int")).drop("stop", "before")
@@ -117,8 +124,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS mark,
-    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+  SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), 'size ' || size)) AS mark FROM (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents)),
 summed AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 weighed AS (
   SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight, source_size * 3 AS cap FROM summed),
