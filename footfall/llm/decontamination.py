@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm.common import pieces, table
+from footfall.llm.common import pieces, stored, table
 
 WINDOW = 10
 SHINGLE = 5
@@ -149,12 +149,13 @@ class Index:
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in blocks of bounded size; only one block at a time comes to the driver."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    """The distinct items in blocks of bounded size; only one block at a time comes to the driver. Items with
+    the same text are spread over the blocks by their ids."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     for k in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         yield [(r[0], r[1]) for r in own.collect()]
 
 
@@ -177,15 +178,18 @@ def weigh(index: Index, docs: DataFrame) -> None:
         index.frequency[row["size"]][row["shingle"]] = row["n"]
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with _llm_words, _llm_hits (places) and _llm_items. Every block of items passes over
-    the same rows in turn; nothing is shuffled or joined by document."""
+    the same rows in turn; nothing is shuffled or joined by document. What a block has found is written
+    before the next one starts, so a task holds one block's index and a lost executor costs one pass."""
     columns = docs.columns
     found = docs.withColumns({"_llm_words": F.lit(0).cast("long"), "_llm_hits": F.array().cast("array<long>"),
                               "_llm_items": F.array().cast("array<string>")})
-    for rows in item_blocks(benchmark):
+    for k, rows in enumerate(item_blocks(benchmark, block_bytes)):
         index = Index.of(rows)
         weigh(index, docs)
+        if k:
+            found = stored(found, "annotated")
 
         def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for piece in pieces(batches):

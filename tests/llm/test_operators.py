@@ -126,6 +126,43 @@ def test_mixing(which, request):
     assert mixing.mix(frame).columns == frame.columns
 
 
+@pytest.mark.parametrize("last_time", [mixing.LAST_TIME, 0.25])
+def test_mixing_cuts_the_queue_where_the_budget_ends(spark, monkeypatch, last_time):
+    """Copy by copy in the order of their finish times, whether the cut falls into a narrow time range or the last one."""
+    monkeypatch.setattr(mixing, "LAST_TIME", last_time)
+    rng = np.random.default_rng(11)
+    data = [(None if k % 7 == 0 else k, ["a", "b", None, "c", "d"][int(k ** 0.5) % 5], int(rng.integers(0, 60))) for k in range(600)]
+    found = mixing.fair_queue(spark.createDataFrame(data, "doc_id long, source string, size long")).collect()
+    targets = {r["source"]: r["target"] for r in found}
+    mark = lambda i, n: hashlib.md5((f"size {n}" if i is None else str(i)).encode()).hexdigest()
+    queue = []
+    for source, target in targets.items():
+        own = sorted((mark(i, n), -1 if i is None else i, n) for i, s, n in data if s == source)
+        total = sum(n for *_, n in own)
+        before = 0
+        for _, i, n in own:
+            before += n
+            queue += [((total * k + before) / target, i, source, n) for k in range(3) if n]
+    budget, words_by_time = sum(n for *_, n in data), Counter()
+    for time, _, _, n in queue:
+        words_by_time[time] += n
+    used, stop = 0, float("inf")
+    for time in sorted(words_by_time):
+        used += words_by_time[time]
+        if used > budget:
+            stop = time
+            break
+    wanted = Counter()
+    for time, i, source, n in queue:
+        wanted[i, source, n] += time < stop
+    got = Counter()
+    for r in found:
+        if r["size"]:
+            got[-1 if r["doc_id"] is None else r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert +got == +wanted
+    assert budget - 60 <= sum(r["copies"] * r["size"] for r in found) <= budget
+
+
 def test_mixing_of_nothing(empty, spark):
     assert mixing.mix(empty).count() == 0
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
@@ -323,7 +360,7 @@ def brute_windows(text, items) -> tuple:
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 300])
 def test_decontamination(spark, awkward, empty, block_bytes, monkeypatch):
-    monkeypatch.setattr(decontamination.item_blocks, "__defaults__", (block_bytes,))
+    monkeypatch.setattr(decontamination.annotate, "__defaults__", (block_bytes,))
     items = [(1, PROSE[1][20:140]), (2, "ONE, two!"), (3, None), (4, ""), (None, PROSE[2][:90]), (5, PROSE[1][20:140]), (10, PROSE[4] + " " + PROSE[0]), (11, "ab ab ab ab ab ab ab ab ab ab ab")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.annotate(awkward, benchmark)
