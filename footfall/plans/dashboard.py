@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from footfall.functions.numbers import union_all
 from footfall.functions.ranges import DateRange, for_site, within
@@ -46,14 +47,19 @@ def dashboard_all(
     }
 
 
-def dashboard_long(results: dict[str, DataFrame]) -> DataFrame:
-    """The ten results as one table of (site, report, row as JSON)."""
-    parts = [
-        df.select(
-            "site_id", F.lit(name).alias("report"),
-            F.to_json(F.struct(*[c for c in df.columns if c != "site_id"])).alias("row"))
-        for name, df in results.items() if not name.startswith("_")
-    ]
+def long_form(results: dict[str, DataFrame]) -> DataFrame:
+    """Several results as one typed table (site_id, report, item, metric, value). An item is a row's texts
+    and dates, in the order of their columns' names; every number of the row is a metric of its own."""
+    parts = []
+    for name, df in results.items():
+        if name.startswith("_"):
+            continue
+        numbers = [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
+        texts = sorted(set(df.columns) - {"site_id", *numbers})
+        item = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts])
+        cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in numbers])
+        parts.append(df.select("site_id", F.lit(name).alias("report"), item.alias("item"), F.explode(cells).alias("_cell"))
+                     .select("site_id", "report", "item", "_cell.metric", "_cell.value"))
     return union_all(parts)
 
 
