@@ -161,13 +161,20 @@ class Encoder:
                 else:
                     ids[k] = self.young[words[k]] = found
         bases, tails = [], []  # lists of plain strings: nothing for the garbage collector to walk through
+        known: dict[str, bytes | None] = {}
         for k in missing:
-            w, tail = words[k], ""
+            w = base = words[k]
+            tail = ""
             if w[-1:] in self.tails and len(w) > 1 and w[-2].isascii() and w[-2].isalnum():
-                w, tail = w[:-1], w[-1]
-            bases.append(w.lower() if w.isascii() and "<|" not in w else w)
+                base, tail = w[:-1], w[-1]
+            if base.isascii() and "<|" not in base:
+                base = base.lower()
+            bases.append(base)
             tails.append(tail)
-        known = {base: self.young.get(base) or self.old.get(base) for base in bases}
+            if base == w:  # looked up before
+                known.setdefault(base)
+            elif base not in known:
+                known[base] = self.young.get(base) or self.old.get(base)
         known.update(self._encode([base for base, found in known.items() if found is None]))
         for k, base, tail in zip(missing, bases, tails, strict=True):
             ids[k] = self.young[words[k]] = known[base] + self.tails[tail] if tail else known[base]
@@ -190,8 +197,9 @@ class Encoder:
         bounds = bounds + np.arange(len(bounds))
         each = lengths[codes]
         until = np.concatenate([[0], np.cumsum(each)])
-        places = np.repeat(starts[codes] - until[:-1], each) + np.arange(until[-1])
-        return pool[places], np.diff(until[bounds])
+        places = np.repeat(starts[codes] - until[:-1], each)
+        places += np.arange(until[-1])
+        return pool.take(places), np.diff(until[bounds])
 
 
 @cache
