@@ -48,15 +48,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > last, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the columns `also`, which are long."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             found = np.array([fingerprint(t, size) for t in piece.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(found), *[piece.column(c) for c in also]], ["doc_id", "fp", *also])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *also).mapInArrow(rows, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 def variant(fps: np.ndarray, low: int, width: int, wild: int) -> np.ndarray:
@@ -169,22 +169,39 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def rooted(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The distinct fingerprints (column fp) with the root of their component."""
+    joined = components(links(nodes, max_bits))
+    return nodes.join(joined, nodes["fp"] == joined["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def grouped(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id. Equal fingerprints are one node; a hot one is one row from there on."""
     fps = stored(fingerprints(docs, size), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    joined = components(links(nodes, max_bits))
-    named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = rooted(stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes"), max_bits)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(stored(named.join(least, "root").select("fp", "component_id"), "named"), "fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; of rows that repeat its id, one."""
-    kept = grouped(docs).groupBy("component_id").agg(F.count("*")).select(F.col("component_id").alias("_llm_id"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """One document of each group: that with the smallest doc_id, rows without an id last; of several such by
+    fingerprint and hashes of the text and of the other columns. Rows equal in these are one document.
+
+    The smallest row key of a group is found by map-side aggregates without texts, and joined back."""
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind]
+    # 120 bits of the text: a key never names a document of another group
+    halves = [F.conv(F.substring(F.md5("text"), k, 15), 16, 10).cast("long") for k in (1, 17)]
+    marks = {"_llm_text": halves[0], "_llm_text2": halves[1], "_llm_rest": F.xxhash64(*others) if others else F.lit(0).cast("long")}
+    marked = docs.withColumns(marks)
+    fps = stored(fingerprints(marked, also=tuple(marks)), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", *marks)
+    named = rooted(stored(fps.groupBy("fp").agg(F.min(row).alias("first")), "nodes"))
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(
+        *[F.col(f"first.{c}").alias(f"_kept_{c}") for c in ("doc_id", *marks)])
+    same = F.lit(True)
+    for c in ("doc_id", *marks):
+        same = same & F.col(c).eqNullSafe(F.col(f"_kept_{c}"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", *marks]).select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

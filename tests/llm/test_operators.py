@@ -408,6 +408,16 @@ def test_simhash(which, request):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root.values()))
 
 
+def test_each_group_keeps_a_document(spark):
+    rows_ = [(None, PROSE[0], "a"), (None, PROSE[0], "a"), (None, PROSE[1], "a"), (None, None, "a"), (7, PROSE[2], "a"), (7, PROSE[3], "a"),
+             (None, PROSE[4], "a"), (9, PROSE[4], "a"), (4, PROSE[5], "b"), (4, PROSE[5], "a"), (3, PROSE[6], "a"), (7, PROSE[6], "a")]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    runs = [sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.keep_one(f).collect()) for f in (frame, frame.repartition(5).orderBy(F.desc("source")))]
+    assert runs[0] == runs[1] == sorted([(0, PROSE[0]), (0, PROSE[1]), (0, ""), (7, PROSE[2]), (7, PROSE[3]), (9, PROSE[4]), (4, PROSE[5]), (3, PROSE[6])])
+    sources = [{r["source"] for r in simhash.keep_one(f).where("doc_id = 4").collect()} for f in (frame, frame.orderBy("source"), frame.orderBy(F.desc("source")))]
+    assert sources[0] == sources[1] == sources[2]
+
+
 @pytest.mark.parametrize("large", [2048, 8])
 def test_links_of_close_fingerprints(spark, monkeypatch, large):
     monkeypatch.setattr(simhash, "LARGE_GROUP", large)
