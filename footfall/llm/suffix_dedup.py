@@ -12,7 +12,10 @@ smallest hash. Neighbouring strings with one anchor form a stretch; equal string
    compared byte by byte, and give the smallest doc_id of each string.
 4. Batches get these back and cut their documents.
 
-A very common passage is one stretch a batch, however many documents have it. Null and empty texts have
+The inside of a very common passage is one stretch a batch, however many documents have it. At its edges, and around
+any frequent gram, stretches differ by document: an anchor with more than HOT_STRETCHES of them, counted in step 2
+over all batches, is cut into its strings. These meet in buckets by a hash of the whole string and need no sorting,
+so that no bucket holds a common anchor. Null and empty texts have
 no bytes. Rows with a null doc_id are neither cut nor a reason to cut. Rows that repeat a doc_id are one
 document: they never cut each other. Texts are searched whole, however long; texts shorter than `length` stay.
 An empty table gives no rows. Other columns are not looked at, whatever their names."""
@@ -35,6 +38,8 @@ BATCH_BYTES = 16 << 20
 PIECE_BYTES = 2 << 20
 #: Suffixes of a bucket that are sorted at once.
 BLOCK_SUFFIXES = 1 << 19
+#: Anchors with more distinct stretches, summed over the batches, are cut into strings; four a batch are always allowed.
+HOT_STRETCHES = 1 << 16
 PERIOD = 16
 #: A difference cover of 16. Every difference modulo 16 is one of two members.
 COVER = (0, 1, 2, 5, 8)
@@ -257,6 +262,55 @@ class Request:
                    np.frombuffer(blob, np.uint8, -1, 8 + 28 * n))
 
 
+def string_marks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Two 64-bit hashes of the `length` bytes from each start, as two rows."""
+    out = np.zeros((2, len(starts)), np.uint64)
+    for k in range(0, len(starts), 1 << 16):
+        own = starts[k:k + (1 << 16)]
+        wide = np.zeros((len(own), -(-length // 8) * 8), np.uint8)
+        wide[:, :length] = data[own[:, None] + np.arange(length)]
+        for word in wide.view("<u8").T:
+            for row, factor, shift in ((0, _FACTOR, 32), (1, 0xD6E8FEB86659FD93, 29)):
+                now = (out[row, k:k + len(own)] ^ word) * np.uint64(factor)
+                out[row, k:k + len(own)] = now ^ now >> np.uint64(shift)
+    return out
+
+
+@dataclass
+class Strings:
+    """Distinct strings of one batch for one bucket: two marks, anchor, smallest and largest id. In answers
+    `low` is the smallest id of all batches."""
+
+    marks: np.ndarray
+    anchor: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def pack(self) -> bytes:
+        return b"".join([self.marks.tobytes(), self.anchor.tobytes(), self.low.tobytes(), self.high.tobytes()])
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> Strings:
+        n = len(blob) // 40
+        return cls(np.frombuffer(blob, np.uint64, 2 * n).reshape(2, n), np.frombuffer(blob, np.uint64, n, 16 * n),
+                   np.frombuffer(blob, np.int64, n, 24 * n), np.frombuffer(blob, np.int64, n, 32 * n))
+
+    def part(self, rows: np.ndarray) -> Strings:
+        return Strings(self.marks[:, rows], self.anchor[rows], self.low[rows], self.high[rows])
+
+    @classmethod
+    def joined(cls, parts: list[Strings]) -> Strings:
+        return cls(np.concatenate([p.marks for p in parts], axis=1), *(
+            np.concatenate([getattr(p, name) for p in parts]) for name in ("anchor", "low", "high")))
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the strings by marks, and where in it each distinct string begins."""
+        order = np.lexsort(self.marks)
+        new = np.ones(len(order), bool)
+        new[1:] = (self.marks[:, order[1:]] != self.marks[:, order[:-1]]).any(axis=0)
+        return order, np.nonzero(new)[0]
+
+
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All places of the spans, one span after another."""
     before = np.cumsum(sizes) - sizes
@@ -283,24 +337,41 @@ def bucketed(docs: DataFrame, batches: int) -> DataFrame:
     return spark.table(name)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(8, -(-size // batch_bytes))
-    texts = bucketed(docs, buckets)
+def requests(texts: DataFrame, buckets: int, length: int, hot_stretches: int) -> DataFrame:
+    """What the batches send to the buckets that compare: stretches, and in buckets from `buckets` on the strings of
+    hot anchors."""
 
     def ask(rows: pa.Table) -> pa.Table:
         found = Batch.of(rows).stretches(length)
-        bucket, prints, _ = distinct_anchors(found.anchor, buckets)
+        bucket, prints, place = distinct_anchors(found.anchor, buckets)
         batch = rows.column("batch")[0].as_py()
-        return _rows(_BLOB, [(b, batch, prints[i:j].tobytes()) for b, i, j in _cuts(bucket)])
+        several = np.nonzero((np.bincount(place, minlength=len(prints)) > 1)[place])[0]
+        order = several[np.lexsort((found.mark[several], place[several]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (place[order[1:]] != place[order[:-1]]) | (found.mark[order[1:]] != found.mark[order[:-1]])
+        more = np.maximum(np.bincount(place[order[new]], minlength=len(prints)) - 1, 0)  # distinct stretches but one
+        out = []
+        for b, i, j in _cuts(bucket):
+            at = np.nonzero(more[i:j])[0]
+            out.append((b, batch, b"".join([(j - i).to_bytes(8, "little"), prints[i:j].tobytes(), at.astype(np.uint32).tobytes(),
+                                            more[i:j][at].astype(np.uint32).tobytes()])))
+        return _rows(_BLOB, out)
 
     def answer(rows: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(b, np.uint32) for b in rows.column("blob").to_pylist()]
+        asked, many = [], []
+        for blob in rows.column("blob").to_pylist():
+            n = int.from_bytes(blob[:8], "little")
+            at, more = np.frombuffer(blob, np.uint32, -1, 8 + 4 * n).reshape(2, -1)
+            asked.append(np.frombuffer(blob, np.uint32, n, 8))
+            many.append(np.ones(n, np.int64))
+            many[-1][at] += more
         prints, place, times = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
-        shared = np.split(times[place] > 1, np.cumsum([len(a) for a in asked])[:-1])
-        return _rows(_BLOB, [(b, k, np.packbits(s).tobytes()) for b, k, s in zip(
-            rows.column("bucket").to_pylist(), rows.column("batch").to_pylist(), shared, strict=True)])
+        total = np.zeros(len(prints), np.int64)
+        np.add.at(total, place, np.concatenate(many))
+        ends = np.cumsum([len(a) for a in asked])[:-1]
+        shared, hot = np.split(times[place] > 1, ends), np.split(total[place] > max(hot_stretches, 4 * buckets), ends)
+        return _rows(_BLOB, [(b, k, np.packbits(s).tobytes() + (np.packbits(h).tobytes() if h.any() else b"")) for b, k, s, h in zip(
+            rows.column("bucket").to_pylist(), rows.column("batch").to_pylist(), shared, hot, strict=True)])
 
     def send(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -311,12 +382,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
             return _rows(_BLOB, [])
         bucket, prints, place = distinct_anchors(found.anchor, buckets)
         bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
-        shared = np.concatenate([np.unpackbits(np.frombuffer(bits[b], np.uint8), count=j - i).astype(bool) for b, i, j in _cuts(bucket)])
+        shared, hot = np.zeros(len(prints), bool), np.zeros(len(prints), bool)
+        for b, i, j in _cuts(bucket):
+            own, size = np.frombuffer(bits[b], np.uint8), -(-(j - i) // 8)
+            shared[i:j] = np.unpackbits(own[:size], count=j - i)
+            if len(own) > size:
+                hot[i:j] = np.unpackbits(own[size:], count=j - i)
         ids = batch.ids[found.doc]
         low, high = np.full(len(prints), np.iinfo(np.int64).max), np.full(len(prints), np.iinfo(np.int64).min)
         np.minimum.at(low, place, ids)
         np.maximum.at(high, place, ids)
-        rows_ = np.nonzero((shared | (low < high))[place])[0]
+        wanted = (shared | (low < high))[place]
+        cut_up, rows_ = np.nonzero(wanted & hot[place])[0], np.nonzero(wanted & ~hot[place])[0]
         marks, first, own = np.unique(found.mark[rows_], return_index=True, return_inverse=True)
         low, high = np.full(len(marks), np.iinfo(np.int64).max), np.full(len(marks), np.iinfo(np.int64).min)
         np.minimum.at(low, own, ids[rows_])
@@ -329,9 +406,47 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
             k = order[i:j]
             start, count = found.first[one[k]], found.count[one[k]]
             out.append((b, number, Request(marks[k], count, low[k], high[k], batch.data[_spans(start, count + length - 1)]).pack()))
+        if len(cut_up):
+            of = np.repeat(cut_up, found.count[cut_up])
+            marks = string_marks(batch.data, _spans(found.first[cut_up], found.count[cut_up]), length)
+            every = Strings(marks, found.anchor[of], ids[of], ids[of])
+            order, first = every.groups()
+            one = every.part(order[first])
+            one.low, one.high = np.minimum.reduceat(ids[of][order], first), np.maximum.reduceat(ids[of][order], first)
+            to = (one.marks[0] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            out += [(buckets + b, number, one.part(order[i:j]).pack()) for b, i, j in _cuts(to[order])]
+        return _rows(_BLOB, out)
+
+    answers = texts.groupBy("batch").applyInArrow(ask, _BLOB_TYPE).groupBy("bucket").applyInArrow(answer, _BLOB_TYPE)
+    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(send, _BLOB_TYPE)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BATCH_BYTES,
+                   hot_stretches: int = HOT_STRETCHES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(8, -(-size // batch_bytes))
+    texts = bucketed(docs, buckets)
+
+    def meet(rows: pa.Table) -> pa.Table:
+        """The strings of hot anchors: for each batch those that start in a document with a smaller id."""
+        asked = [Strings.unpack(b) for b in rows.column("blob").to_pylist()]
+        every = Strings.joined(asked)
+        order, first = every.groups()
+        least = np.empty(len(order), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(every.low[order], first), np.diff(np.append(first, len(order))))
+        out = []
+        for a, own, bucket, batch in zip(asked, np.split(least, np.cumsum([len(a.low) for a in asked])[:-1]),
+                                         rows.column("bucket").to_pylist(), rows.column("batch").to_pylist(), strict=True):
+            cuts = np.nonzero(own < a.high)[0]  # else no document of the batch loses anything
+            if len(cuts):
+                out.append((bucket, batch, Strings(a.marks, a.anchor, own, a.high).part(cuts).pack()))
         return _rows(_BLOB, out)
 
     def sort_bucket(rows: pa.Table) -> pa.Table:
+        if rows.column("bucket")[0].as_py() >= buckets:
+            return meet(rows)
         asked = [Request.unpack(b) for b in rows.column("blob").to_pylist()]
         mark = np.concatenate([a.mark for a in asked])
         count = np.concatenate([a.count for a in asked])
@@ -373,22 +488,34 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
             return _rows(result, [])
         batch = Batch.of(rows)
         steps = np.zeros(len(batch.data) + 1, np.int32)
-        if answers.num_rows:
+        blobs = list(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
+        found = batch.stretches(length) if blobs else None
+        if any(b < buckets for b, _ in blobs):
             parts: list[list[np.ndarray]] = [[], [], [], []]
-            for blob in answers.column("blob").to_pylist():
+            for blob in (blob for b, blob in blobs if b < buckets):
                 n = int.from_bytes(blob[:8], "little")
                 for part, (kind, at) in zip(parts, ((np.uint64, 0), (np.int64, 8), (np.uint32, 16), (np.uint32, 20)), strict=True):
                     part.append(np.frombuffer(blob, kind, n, 8 + at * n))
             mark, low, begin, many = (np.concatenate(p) for p in parts)
             order = np.argsort(mark, kind="stable")
             mark, low, begin, many = mark[order], low[order], begin[order].astype(np.int64), many[order].astype(np.int64)
-            found = batch.stretches(length)
             first, last = np.searchsorted(mark, found.mark, side="left"), np.searchsorted(mark, found.mark, side="right")
             runs, of = _spans(first, last - first), np.repeat(np.arange(len(first)), last - first)
             goes = low[runs] < batch.ids[found.doc[of]]
             runs, start = runs[goes], found.first[of[goes]]
             np.add.at(steps, start + begin[runs], 1)
             np.add.at(steps, start + begin[runs] + many[runs] - 1 + length, -1)
+        if any(b >= buckets for b, _ in blobs):
+            known = Strings.joined([Strings.unpack(blob) for b, blob in blobs if b >= buckets])
+            known = known.part(np.argsort(known.marks[0], kind="stable"))
+            rows_ = np.nonzero(np.isin(found.anchor, known.anchor))[0]
+            start, doc = _spans(found.first[rows_], found.count[rows_]), np.repeat(found.doc[rows_], found.count[rows_])
+            marks = string_marks(batch.data, start, length)
+            first, last = np.searchsorted(known.marks[0], marks[0], side="left"), np.searchsorted(known.marks[0], marks[0], side="right")
+            runs, of = _spans(first, last - first), np.repeat(np.arange(len(first)), last - first)
+            start = start[of[(known.marks[1][runs] == marks[1][of]) & (known.low[runs] < batch.ids[doc[of]])]]
+            np.add.at(steps, start, 1)
+            np.add.at(steps, start + length, -1)
         gone = np.cumsum(steps)[:-1] > 0
         out = []
         for doc_id, i, j in zip(rows.column("doc_id").to_pylist(), batch.starts[:-1].tolist(), batch.starts[1:].tolist(), strict=True):
@@ -399,8 +526,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
             out.append((doc_id, j - i, removed, spans, kept.tobytes()))
         return _rows(result, out)
 
-    answers = texts.groupBy("batch").applyInArrow(ask, _BLOB_TYPE).groupBy("bucket").applyInArrow(answer, _BLOB_TYPE)
-    sent = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(send, _BLOB_TYPE)
+    sent = requests(texts, buckets, length, hot_stretches)
     cuts = sent.groupBy("bucket").applyInArrow(sort_bucket, _BLOB_TYPE)
     return texts.groupBy("batch").cogroup(cuts.groupBy("batch")).applyInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

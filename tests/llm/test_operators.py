@@ -276,6 +276,23 @@ def test_suffix_dedup(which, request):
     assert {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == {(k[0], *v) for k, v in wanted.items()}
 
 
+def test_hot_anchors_are_split(spark):
+    rng = np.random.default_rng(4)
+    passage = "The same long notice stands at the end of each page, whoever wrote it and why."
+    texts = ["".join(rng.choice(list("abcdef "), 40)) + passage + "".join(rng.choice(list("abcdef "), 40)) for _ in range(400)]
+    texts[300:320] = [t[:130] + "x" for t in texts[:20]]
+    frame = spark.createDataFrame([(k if k % 50 else None, t) for k, t in enumerate([*texts, *texts[:9]])], "doc_id long, text string")
+    wanted = brute_repeats([(r["doc_id"], r["text"]) for r in frame.collect()])
+    got = suffix_dedup.remove_repeats(frame, batch_bytes=8_000, hot_stretches=20).collect()
+    assert {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == {(k[0], *v) for k, v in wanted.items()}
+    texts_ = suffix_dedup.bucketed(frame, 8)
+    whole, split = ({r["bucket"]: r["n"] for r in suffix_dedup.requests(texts_, 8, 50, hot).groupBy("bucket").agg(
+        F.sum(F.length("blob")).alias("n")).collect()} for hot in (1 << 16, 20))
+    assert max(n for b, n in split.items() if b < 8) < max(whole.values()) / 2  # no bucket has a hot anchor's stretches
+    strings = [n for b, n in split.items() if b >= 8]
+    assert len(strings) == 8 and max(strings) < 1.3 * min(strings)
+
+
 def test_suffix_sorting_in_blocks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_SUFFIXES", 500)
     rng = np.random.default_rng(3)
