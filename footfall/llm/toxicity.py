@@ -1,7 +1,7 @@
 """Toxicity: misspelled lexicon terms by Levenshtein automata over a trie, scored with their context.
 
 The lexicon is learned from labelled texts: words, and beginnings of words, that toxic texts have and others
-hardly do. Rows without a label, a text or a doc_id are not learned from. Without labels of both kinds
+hardly do. Every such word is matched with its errors, also where its beginning is a stem. Rows without a label, a text or a doc_id are not learned from. Without labels of both kinds
 the lexicon is empty and every score is the share of toxic labels, 0 if there are none. Null and empty
 texts have no hits; their score is that of a text without hits. Repeated rows score alike; very long texts
 are searched whole; an empty table gives no rows. Other columns are not looked at, whatever their names."""
@@ -223,9 +223,10 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         F.desc("toxic"), "term", "whole").limit(MAX_TERMS).collect()
     weight = {(r["term"], r["whole"]): float(np.log(r["share"] / (1 - r["share"]))) + 1 for r in best}
     count = {(r["term"], r["whole"]): r["toxic"] for r in best}
-    words = {t: weight[t, True] for t, whole in weight if whole and all(
-        count[t, True] >= 0.9 * count.get((t[:k], False), 0) for k in range(STEM[0], min(STEM[1], len(t)) + 1))}
-    stems = {t: w for (t, whole), w in weight.items() if not whole and not any(x.startswith(t) or t.startswith(x) for x in words)}
+    words = {t: w for (t, whole), w in weight.items() if whole}
+    # a word without inflected forms needs no stem; a stem beside words catches their other endings
+    alone = [t for t in words if all(count[t, True] >= 0.9 * count.get((t[:k], False), 0) for k in range(STEM[0], min(STEM[1], len(t)) + 1))]
+    stems = {t: w for (t, whole), w in weight.items() if not whole and not any(x.startswith(t) or t.startswith(x) for x in alone)}
     return words, stems
 
 

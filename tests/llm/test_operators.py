@@ -362,6 +362,22 @@ def test_toxicity(spark, awkward, empty):
     assert max(r["score"] for r in toxicity.score(awkward, none).collect()) < 0.01
 
 
+def test_words_with_inflected_forms_keep_their_errors(spark):
+    rng = np.random.default_rng(8)
+    clean = [" ".join(f"plain{rng.integers(400)}" for _ in range(50)) for _ in range(400)]
+    toxic = [t + (" idiot " if k % 5 < 3 else " idiots ") + clean[-k] for k, t in enumerate(clean[:100])]
+    texts = [*clean, *toxic]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k >= len(clean))) for k in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.learn(frame, labels)
+    assert set(model.words) == {"idiot", "idiots"} and "idiot" in model.stems
+    lexicon = toxicity.Lexicon(model.words, model.stems)
+    assert [lexicon.match(w)[0] for w in ("idiot", "idiots", "idioten", "idoot", "odiot", "plain7")] == [1, 1, 1, 2, 2, 0]
+    asked = spark.createDataFrame([(0, "you odiot there"), (1, "you plain there")], "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(asked, model).collect()}
+    assert scores[0] > scores[1]
+
+
 def brute_windows(text, items) -> tuple:
     fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(common.UPPER, common.LOWER)))
     own, hit, listed = fold(text), set(), set()
