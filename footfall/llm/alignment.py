@@ -22,6 +22,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from itertools import chain, groupby
 
@@ -39,12 +40,13 @@ PIECE = 8 << 20
 BYTES_PER_PART = 64 << 20
 #: Records of a run that are decoded at a time.
 BLOCK = 4096
-#: Stretches between spaces whose ids a task keeps, and how long they are at most.
-CACHED, CACHED_LENGTH = 400_000, 48
+#: Texts that are encoded at a time, and words in a text of words.
+BATCH, WORDS = 64, 512
 #: Bits of an id in a pair, and of a document count in a record; a chunk never has more rows than an Arrow batch.
 ID_BITS, COUNT_BITS = 20, 20
 _LONG_SPACE = re.compile(r"\s{1000}")
-_SPACED = re.compile("[ ▁]+[^ ▁]*")
+#: White space that is not one space or line end between words; a sentence piece writes a space as the last of these characters.
+IRREGULAR = r"[\s\x0b\x{85}\pZ]{2}|^[\s\x0b\x{85}\pZ]|[\s\x0b\x{85}\pZ]$|▁"
 
 #: The split of byte-level BPE, and the bytes that its alphabet writes as themselves.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -84,8 +86,7 @@ class ByteLevel:
 
 
 class Pieces:
-    """Side B: sentence pieces. If no piece goes on behind a space, a text's ids are those of its stretches
-    that begin with spaces, one after another; a stretch is looked up once it was seen."""
+    """Side B: sentence pieces. The library puts a space before every text."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -95,28 +96,9 @@ class Pieces:
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
                       for i, p in enumerate(names)]
         self.apart = not any("▁" in p.lstrip("▁") for p in names)
-        self.space = [self.model.piece_to_id("▁")]
-        self.known: dict[str, list[int]] = {}
 
-    def _one(self, stretch: str) -> list[int]:
-        if stretch in (" ", "▁"):
-            return self.space
-        return self.model.encode(stretch[1:], num_threads=1)
-
-    def encode(self, text: str) -> list[int]:
-        """The text's first character is the space that the library puts before every text."""
-        if not self.apart:
-            return self.model.encode(text[1:], num_threads=1)
-        stretches = _SPACED.findall(text)
-        for stretch in set(stretches) - self.known.keys():
-            self.known[stretch] = self._one(stretch)
-        ids = list(chain.from_iterable(map(self.known.__getitem__, stretches)))
-        if len(self.known) > CACHED:
-            self.known.clear()
-        elif len(text) > CACHED_LENGTH:
-            for stretch in [s for s in stretches if len(s) > CACHED_LENGTH]:
-                self.known.pop(stretch, None)
-        return ids
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
 class Pair:
@@ -172,60 +154,124 @@ def part_of(a: np.ndarray, parts: int) -> np.ndarray:
     return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-def align_piece(texts: list[str | None], two: Pair, groups: bool) -> tuple[dict[str, np.ndarray | list], np.ndarray, np.ndarray]:
-    """Figures of each text, and the links as (number of text, pair of ids) for every occurrence, in no order."""
-    n_rows = len(texts)
-    good, a_lists, b_lists = [], [], []
-    for k, text in enumerate(texts):
-        if text:
+@dataclass
+class Aligned:
+    """Texts' figures (a row each of FIGURES), their groups written out, and the pairs of all their links."""
+
+    good: np.ndarray
+    figures: np.ndarray
+    groups: list[bytes]
+    pairs: np.ndarray
+
+    def with_rows(self, other: Aligned) -> Aligned:
+        return Aligned(np.concatenate([self.good, other.good]), np.concatenate([self.figures, other.figures], axis=1),
+                       [*self.groups, *other.groups], np.concatenate([self.pairs, other.pairs]))
+
+    def take(self, rows: np.ndarray, bounds: np.ndarray) -> Aligned:
+        """Texts put together from these: text k from the rows bounds[k] to bounds[k + 1], at least one."""
+        each = self.figures[LINKS][rows]
+        good = np.logical_and.reduceat(self.good[rows], bounds[:-1]) if len(rows) else np.zeros(0, bool)
+        figures = np.add.reduceat(self.figures[:, rows], bounds[:-1], axis=1) * good if len(rows) else np.zeros((len(FIGURES), 0), np.int64)
+        first = np.cumsum(self.figures[LINKS]) - self.figures[LINKS]
+        kept = np.repeat(good, np.diff(bounds)) if len(rows) else np.zeros(0, bool)
+        rows_kept, each = rows[kept], each[kept]
+        places = np.repeat(first[rows_kept] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        codes = rows.tolist()
+        groups = [b";".join(map(self.groups.__getitem__, codes[i:j])) if g else b""
+                  for i, j, g in zip(bounds[:-1].tolist(), bounds[1:].tolist(), good.tolist(), strict=True)]
+        return Aligned(good, figures, groups, self.pairs[places])
+
+
+FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
+LINKS = FIGURES.index("n_links")
+
+
+def _aligned(texts: list[str], two: Pair, rows: list[np.ndarray]) -> Aligned:
+    """rows: of each text, the bytes (of the text and the space before it) at which its rows end. At such ends
+    tokens of both sides end. A text that is not given back byte for byte makes all its rows bad."""
+    kept, a_lists, b_lists = np.zeros(len(texts), bool), [], []
+    size = two.a_size.tolist()
+    for at in range(0, len(texts), BATCH):
+        some = texts[at:at + BATCH]
+        for k, (text, b) in enumerate(zip(some, two.b.encode(some), strict=True), at):
             spaced = " " + text
-            raw, b = spaced.encode(), two.b.encode(spaced)
-            if b"".join(map(two.b.bytes.__getitem__, b)) == raw:
+            raw = spaced.encode()
+            if text and b"".join(map(two.b.bytes.__getitem__, b)) == raw:
                 a = two.a.encode(spaced)
-                if b"".join(map(two.a.bytes.__getitem__, a)) == raw:
-                    good.append(k)
+                if sum(map(size.__getitem__, a)) == len(raw):  # byte-level tokens are the bytes themselves, or some are missing
+                    kept[k] = True
                     a_lists.append(a)
                     b_lists.append(b)
-    good = np.array(good, np.int64)
-    figures = {c: np.zeros(n_rows, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
-    digests, written = [""] * n_rows, [""] * n_rows
-    if not len(good):
-        return figures | {"groups_sha256": digests, "groups": written}, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n_a, n_b = (np.array(list(map(len, lists)), np.int64) for lists in (a_lists, b_lists))
-    a, b = (np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum())) for lists, n in ((a_lists, n_a), (b_lists, n_b)))
+    good = np.repeat(kept, list(map(len, rows)))
+    figures, groups = np.zeros((len(FIGURES), len(good)), np.int64), [b""] * len(good)
+    if not kept.any():
+        return Aligned(good, figures, groups, np.zeros(0, np.int64))
+    a, b = (np.fromiter(chain.from_iterable(lists), np.int32, sum(map(len, lists))) for lists in (a_lists, b_lists))
+    ends, at = [], 0
+    for k in np.nonzero(kept)[0].tolist():
+        ends.append(rows[k] + at)
+        at += int(rows[k][-1])
+    ends = np.concatenate(ends)
     a_ends, b_ends = np.cumsum(two.a_size[a]), np.cumsum(two.b_size[b])
-    in_a, in_b = (np.zeros(int(a_ends[-1]) + 1, bool) for _ in range(2))
+    in_a, in_b = (np.zeros(at + 1, bool) for _ in range(2))
     in_a[a_ends] = True
     in_b[b_ends] = True
     either, common = np.nonzero(in_a | in_b)[0], np.nonzero(in_a & in_b)[0]
     a_before, b_before = np.cumsum(in_a, dtype=np.int32), np.cumsum(in_b, dtype=np.int32)
     a_at, b_at = a_before[either] - in_a[either], b_before[either] - in_b[either]
-    text_ends = a_ends[np.cumsum(n_a) - 1]
-    ends_links, ends_groups = np.searchsorted(either, text_ends) + 1, np.searchsorted(common, text_ends) + 1
-    n_links, n_groups = np.diff(ends_links, prepend=0), np.diff(ends_groups, prepend=0)
-    for c, found in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", n_links)):
-        figures[c][good] = found
+    upto = [a_before[ends], b_before[ends], np.searchsorted(common, ends) + 1, np.searchsorted(either, ends) + 1]
+    figures[:, good] = [np.diff(u, prepend=0) for u in upto]
     pairs = (a[a_at].astype(np.int64) << ID_BITS) | b[b_at]
-    of_text = np.repeat(good, n_links)
 
-    # the groups as text: a token's place is after all before it on its side and, on the other side, all of earlier groups (for B, of its own too)
+    # the groups as text: a token's place is after all before it on its side and, on the other side, all of
+    # earlier groups (for B, of its own too)
     a_upto, b_upto = a_before[common], b_before[common]
     a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
     b_earlier = np.concatenate([[0], b_upto])
     codes = np.empty(len(a) + len(b), np.int32)
     codes[np.arange(len(a)) + b_earlier[a_group]] = a + len(two.a_size) * in_b[a_ends]
     codes[np.arange(len(b)) + a_upto[b_group]] = 2 * len(two.a_size) + b + len(two.b_size) * in_a[b_ends]
-    until = np.cumsum(n_a + n_b)
-    for k, i, j in zip(good.tolist(), (until - n_a - n_b).tolist(), until.tolist(), strict=True):
-        text = b"".join(map(two.written.__getitem__, codes[i:j].tolist()))[:-1]
-        digests[k] = hashlib.sha256(text).hexdigest()
-        if groups:
-            written[k] = text.decode()
-    return figures | {"groups_sha256": digests, "groups": written}, of_text, pairs
+    written = list(map(two.written.__getitem__, codes.tolist()))
+    until = (upto[0].astype(np.int64) + upto[1]).tolist()
+    for k, i, j in zip(np.nonzero(good)[0].tolist(), [0, *until], until, strict=False):
+        groups[k] = b"".join(written[i:j])[:-1]
+    return Aligned(good, figures, groups, pairs)
+
+
+def align_texts(texts: list[str], two: Pair) -> Aligned:
+    return _aligned(texts, two, [np.array([len(t.encode()) + 1]) for t in texts])
+
+
+def align_words(words: list[str], two: Pair) -> Aligned:
+    """Words without white space at their ends, encoded many in a text; those of a text that is not good, one by one."""
+    blocks = [words[k:k + WORDS] for k in range(0, len(words), WORDS)]
+    many = _aligned(list(map(" ".join, blocks)), two, [np.cumsum([len(w.encode()) + 1 for w in b]) for b in blocks])
+    bad = np.nonzero(~many.good)[0]
+    if not len(bad):
+        return many
+    single = align_texts([words[k] for k in bad.tolist()], two)
+    order = np.arange(len(words))
+    order[bad] = len(words) + np.arange(len(bad))
+    return many.with_rows(single).take(order, np.arange(len(words) + 1))
+
+
+def align_piece(texts: pa.Array, two: Pair) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Number of each text (those with single spaces first), its figures and groups, and the pairs of all links.
+
+    Neither side's tokens reach over a single space between words, so such a text is put together from its
+    words, and each distinct word of a piece is encoded once."""
+    texts = pc.fill_null(texts, "")
+    apart = two.a.ranked and two.b.apart
+    plain = pc.and_(pc.not_equal(texts, ""), pc.invert(pc.match_substring_regex(texts, IRREGULAR))).to_numpy(zero_copy_only=False) & apart
+    lists = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+    coded = lists.flatten().dictionary_encode()
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    words = align_words(coded.dictionary.to_pylist(), two).take(coded.indices.to_numpy().astype(np.int64), bounds - bounds[0])
+    both = words.with_rows(align_texts(texts.filter(pa.array(~plain)).to_pylist(), two))
+    return np.concatenate([np.nonzero(plain)[0], np.nonzero(~plain)[0]]), both.figures, both.groups, both.pairs
 
 
 _CHUNK = "kind string, chunk long, part int, body binary"
-FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
 
 
 def chunks(docs: DataFrame, a_path: str, b_path: str, parts: int, groups: bool = False) -> DataFrame:
@@ -235,7 +281,9 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, parts: int, groups: bool =
         two, first = pair(a_path, b_path), TaskContext.get().partitionId() << 32
         for number, piece in enumerate(pieces(batches, limit=PIECE)):
             n = piece.num_rows
-            figures, of_text, pairs = align_piece(piece.column("text").to_pylist(), two, groups)
+            rows_of, figures, written, pairs = align_piece(piece.column("text"), two)
+            back = np.argsort(rows_of)
+            of_text = np.repeat(rows_of, figures[LINKS])
             # distinct pairs of each document, then of the chunk in the order of (part, pair)
             by_text = np.sort((of_text << 2 * ID_BITS) | pairs)
             start = np.nonzero(np.diff(by_text, prepend=-1))[0]
@@ -254,7 +302,11 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, parts: int, groups: bool =
             links = np.lexsort((rank[place], text))
             place, times = rank[place][links], times[links].astype(np.int32)
             held = np.bincount(text, minlength=n)
-            table = pa.table({"doc_id": piece.column("doc_id"), **figures, "held": held})
+            written = [written[k] for k in back.tolist()]
+            told = {"groups_sha256": [hashlib.sha256(g).hexdigest() if g else "" for g in written]}
+            if groups:
+                told["groups"] = [g.decode() for g in written]
+            table = pa.table({"doc_id": piece.column("doc_id"), **dict(zip(FIGURES, figures[:, back], strict=True)), **told, "held": held})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table)
