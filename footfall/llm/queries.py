@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from footfall.llm import (alignment, decontamination, fill_in_middle, line_dedup, mixing, quality_rules, sharding, simhash,
-                          suffix_dedup, token_output, toxicity, url_filter)
+from footfall.llm import (alignment, decontamination, fill_in_middle, line_dedup, mixing, ngram_join, quality_rules,
+                          sharding, simhash, suffix_dedup, token_output, toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_simhash": simhash.op10_simhash,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_ngram_join": ngram_join.op12_ngram_join,
     "op13_alignment": alignment.op13_alignment,
     "pipeline": corpus_pipeline.run,
 }

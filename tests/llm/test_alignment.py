@@ -63,9 +63,7 @@ def fast(a, b, a_ends, b_ends):
     return [(a[int(np.searchsorted(a_ends, e))], b[int(np.searchsorted(b_ends, e))]) for e in sorted({*a_ends, *b_ends})]
 
 
-@pytest.mark.parametrize("words", [1, 7, 512])
-def test_same_as_brute_force(spark, monkeypatch, words):
-    monkeypatch.setattr(alignment, "WORDS", words)
+def test_same_as_brute_force(spark):
     rows = [(k % 60 if k % 13 else None, t, "x", 1, 2, "run") for k, t in enumerate(texts())]
     got = alignment.align(spark.createDataFrame(rows, SCHEMA).repartition(3), A, B)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, brute(rows)))
@@ -86,6 +84,15 @@ def test_counts_and_groups_are_kept(spark):
     assert max(r["docs"] for r in counts) == 2 and all(r["best"] for r in counts if r["docs"] == 2)
 
 
+@pytest.mark.parametrize("many", [1, 7, 512])
+def test_words_together_as_alone(monkeypatch, many):
+    monkeypatch.setattr(alignment, "WORDS", many)
+    two, words = alignment.pair(A, B), [t for t in [*"ab", "word", "Größe", "ﬁn", "漢字", "it'll", "\x00", "x\ny", "12a", "😀", "<s>", "１"] * 3]
+    together, alone = alignment.align_words(words, two), alignment.align_texts(words, two)
+    assert together.groups == alone.groups and (together.good == alone.good).all()
+    assert (together.figures == alone.figures).all() and (together.pairs == alone.pairs).all()
+
+
 def test_empty_table(spark):
     assert alignment.align(spark.createDataFrame([], SCHEMA), A, B).collect() == []
 

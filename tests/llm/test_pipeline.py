@@ -35,5 +35,5 @@ def test_stages_take_effect(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [*[f"op{k}" for k in range(1, 11)], "pipeline"]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [*[f"op{k}" for k in range(1, 14)], "pipeline"]
     assert set(queries.SQL) <= set(queries.QUERIES)
