@@ -33,7 +33,8 @@ ANALYTICS = [
     "A29_cohorts", "A30_goal_conversions", "A36_revenue_summary", "A45_heatmap_points",
     "A51_time_on_page", "A53_web_vitals_by_page",
 ]
-SESSIONS = ["A13_sessions_by_city", "A34_new_vs_returning", "A38_entry_pages"]
+SESSIONS = ["A13_sessions_by_city", "A38_entry_pages"]
+FIRST = ["A34_new_vs_returning"]
 BOTH = ["A15_kpi_summary"]
 ONCE = ["I01_ingest_clean", "S01_stream_ingest", "S06_stream_rollup"]
 OTHER = ["R03_rank_change", "R05_search_alerts", "R09_weekly_change"]
@@ -76,9 +77,11 @@ def over_tables(spark: SparkSession, path: str) -> tuple[dict, float]:
     took = seconds(lambda: write_sessions(catalog.sessions_of(events), sessions_path))
     visits = read_sessions(spark, sessions_path)
     over_events, over_sessions, over_both = catalog._over_events(), catalog._over_sessions(), catalog._over_both()
+    over_first, first = catalog._over_first(), catalog.stored_first(visits)
     names = [n for n in over_events if n.startswith("Q")] + ANALYTICS
     jobs = {n: (lambda n=n: over_events[n](spark, events).collect()) for n in names}
     jobs |= {n: (lambda n=n: over_sessions[n](visits).collect()) for n in SESSIONS}
+    jobs |= {n: (lambda n=n: over_first[n](visits, first).collect()) for n in FIRST}
     jobs |= {n: (lambda n=n: over_both[n](spark, events, visits).collect()) for n in BOTH}
     return jobs, took
 

@@ -17,7 +17,7 @@ from footfall.operators import (
     search, traffic,
 )
 from footfall.operators.sessions import gap_sessions, mark_returning, sessionise_by_id
-from footfall.plans import dashboard, rollup, site_sql, tables, workload
+from footfall.plans import dashboard, first_seen, keyed, rollup, site_sql, tables, workload
 from footfall.plans.session_table import read_sessions, write_sessions
 from footfall.sources import fixture, raw_fixture as raw
 from footfall.sources.fixture import AS_OF, table, web_event_stream, web_events
@@ -206,13 +206,29 @@ def _over_sessions() -> dict:
             s, last_days(30, AS_OF), minute_label="30-60s"),
         "A22b_flow_ends": lambda s: a.flow_ends(s, MONTH),
         "A27_bounce_by_entry_page": lambda s: u.bounce_by_entry_page(s, last_days(30, AS_OF)),
-        "A34_new_vs_returning": lambda s: u.new_vs_returning(mark_returning(s), MONTH),
-        "A34b_new_vs_returning_totals": lambda s: u.new_vs_returning_totals(mark_returning(s), MONTH),
         "A37_exit_pages": lambda s: u.exit_pages(s, MONTH, limit=5),
         "A38_entry_pages": lambda s: u.entry_pages(s, MONTH, limit=5),
     }
 
 
+def stored_first(sessions: DataFrame) -> DataFrame:
+    """The table of first sessions, from two batches of which the later one has the earlier days."""
+    spark, path = sessions.sparkSession, tables.scratch_path(sessions.sparkSession, "first")
+    late = F.col("started_at") >= F.lit("2024-01-16")
+    for part in (late, ~late):
+        first_seen.merge_first(spark, sessions.filter(part), path, buckets=16)
+    return first_seen.read_first(spark, path, sessions)
+
+
+def _over_first() -> dict:
+    """Queries of stored sessions and the table of first sessions."""
+    u = audience
+    return {
+        "A34_new_vs_returning": lambda s, f: u.new_vs_returning(first_seen.mark_by_first(s, f, MONTH), MONTH),
+        "A34b_new_vs_returning_totals": lambda s, f: u.new_vs_returning_totals(first_seen.mark_by_first(s, f, MONTH), MONTH),
+    }
+
+
 def _over_both() -> dict:
     """Queries of events and stored sessions."""
     return {
@@ -225,6 +241,30 @@ def _over_both() -> dict:
     }
 
 
+#: A tenant's query with shared sub-queries, a join, windows over ranks and ranges, and set operations.
+TENANT_QUERY = """
+WITH busy AS (SELECT path, COUNT(*) AS views FROM events WHERE type = {{kind}} GROUP BY path),
+ranked AS (
+  SELECT path, views, RANK() OVER (ORDER BY views DESC, path) AS place, NTILE(3) OVER (ORDER BY views DESC, path) AS third,
+    SUM(views) OVER (ORDER BY views RANGE BETWEEN 10 PRECEDING AND CURRENT ROW) AS near FROM busy)
+SELECT 'page' AS part, path AS label, views AS n, place, third, near FROM ranked
+UNION ALL
+SELECT 'entry', r.path, COUNT(*), r.place, MIN(r.third), CAST(SUM(s.pageviews) AS BIGINT)
+FROM sessions s JOIN ranked r ON s.entry_page = r.path GROUP BY r.path, r.place
+UNION ALL
+SELECT 'device', device, 0, 0, 0, 0 FROM (
+  (SELECT device FROM events INTERSECT SELECT device FROM sessions WHERE is_bounce) EXCEPT SELECT 'Tablet')
+"""
+
+
+def _tenant_tables(d: str):
+    def tables_of(session: SparkSession) -> dict[str, DataFrame]:
+        events = web_events(session, d)
+        return {"events": events, "sessions": sessions_of(events)}
+
+    return tables_of
+
+
 def _add_nested(s: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit('{"amount":'), F.col("event_id").cast("string"),
                     F.lit(',"nested":{"Token":"t","ok":true},"session":"abc"}'))
@@ -277,6 +317,27 @@ def _latest_orders(s: SparkSession, d: str) -> DataFrame:
         orders.filter(F.col("o_orderkey") % 2 == 0), orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
 
 
+def _upserted(s: SparkSession, d: str) -> DataFrame:
+    """The newest order of each customer: a stored table, then changes of a part of the customers, applied twice."""
+    orders, path = table(s, d, "orders"), tables.scratch_path(s, "orders")
+    changes = orders.filter("o_orderkey % 3 = 0 AND o_custkey % 4 = 0")
+    for batch in (orders.filter("o_orderkey % 3 <> 0"), changes, changes):
+        keyed.upsert_stored(s, batch, path, ["o_custkey"], ["o_orderdate", "o_orderkey"], buckets=32)
+    return keyed.read_keyed(s, path, orders.schema)
+
+
+def _appended_without_ids(s: SparkSession, d: str) -> DataFrame:
+    """Events of which every third has no id, stored twice, with every fifth record delivered again."""
+    n = F.col("id").cast("bigint")
+    e = web_events(s, d).withColumn("id", F.when(n % 3 != 0, F.col("id")))
+    path = tables.scratch_path(s, "events")
+    tables.append_new(s, e.union(e.filter(F.xxhash64("user_id") % 5 == 0)), path)
+    tables.append_new(s, e, path)
+    stored = tables.read_events(s, path)
+    return stored.groupBy("site_id", F.to_date("timestamp").alias("date")).agg(
+        F.count("*").alias("events"), F.count_if(F.col("id").startswith("h_")).alias("named_by_content"))
+
+
 def _rebuilt(s: SparkSession, d: str) -> DataFrame:
     e, path = tables.with_event_date(web_events(s, d)), tables.scratch_path(s, "rebuild")
     tables.full_rebuild(e.filter("type = 'pageview'"), path, tables.HOT_PARTITIONS)
@@ -407,6 +468,8 @@ def _over_raw() -> dict:
             "site_id", "id", "user_id", "is_returning"),
         "I13_incremental_append": _appended,
         "I14_upsert_by_key": _latest_orders,
+        "I13c_append_without_ids": _appended_without_ids,
+        "I14b_upsert_stored": _upserted,
         "I15_full_rebuild": _rebuilt,
         "I16_daily_rollup": lambda s, d: rollup.daily_rollup(web_events(s, d)),
         "I17_daily_top_lists": lambda s, d: rollup.daily_top_lists(web_events(s, d)),
@@ -451,6 +514,14 @@ def _serp_ranks(s: SparkSession, d: str) -> DataFrame:
     return search.observe_ranks(_serps(s, d), raw.event_page_keywords(s), sites)
 
 
+def _ranked_orders(s: SparkSession, d: str, **limits) -> DataFrame:
+    """Orders as visits: each with the position of its keyword that was last seen by its day."""
+    visits = table(s, d, "orders").select(
+        "o_orderkey", fixture.site_of(F.col("o_custkey")).alias("site_id"), F.col("o_orderdate").alias("timestamp"),
+        F.concat(F.lit("kw_"), (F.col("o_orderkey") % 23).cast("string")).alias("keyword"))
+    return search.rank_as_of(visits, fixture.rank_observations(s, d), **limits).drop("timestamp")
+
+
 def _diffs(s: SparkSession, d: str) -> DataFrame:
     return search.serp_diff(search.rank_changes(_serp_ranks(s, d)))
 
@@ -568,6 +639,8 @@ def _over_search() -> dict:
         "R08_keywords_due": _due,
         "R08b_rank_budget": lambda s, d: search.rank_budget(
             fixture.page_keywords(fixture.rank_observations(s, d)), _budget_sites(s)),
+        "R07b_rank_as_of": _ranked_orders,
+        "R07c_rank_as_of_fresh": lambda s, d: _ranked_orders(s, d, max_age_days=2),
         "R09_weekly_change": _weekly,
         "R10_attribute_causes": _causes,
         "R11_pick_rival": _rivals,
@@ -620,7 +693,7 @@ def _stored_stream(s: SparkSession, path: str) -> DataFrame:
 
 def _live_rollup(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     path, out = _ingested(s, web_event_stream(s, d)), tables.scratch_path(s, "rollup")
-    work = jobs.rollup_updates(path, f"{out}/days", f"{out}/sessions", f"{out}/alerts")
+    work = jobs.rollup_updates(path, f"{out}/days", f"{out}/sessions", f"{out}/alerts", buckets=8)
     jobs.for_each_batch(_stored_stream(s, path), work, f"{out}/state").awaitTermination()
     return s.read.parquet(f"{out}/days").drop("event_date"), jobs.read_alerts(s, f"{out}/alerts")
 
@@ -631,11 +704,32 @@ def _long_sessions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     events = web_event_stream(s, d).withColumn("session_id", F.concat("user_id", F.lit("_"), week))
     path, out = _ingested(s, events), tables.scratch_path(s, "rollup")
     landed = s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(path)
-    work = jobs.rollup_updates(path, f"{out}/days", f"{out}/sessions")
+    work = jobs.rollup_updates(path, f"{out}/days", f"{out}/sessions", buckets=8)
     jobs.for_each_batch(landed, work, f"{out}/state").awaitTermination()
     return s.read.parquet(f"{out}/days").drop("event_date"), read_sessions(s, f"{out}/sessions")
 
 
+def _live_first(s: SparkSession, d: str) -> DataFrame:
+    """First sessions after several batches of a live job."""
+    path, out = _ingested(s, web_event_stream(s, d)), tables.scratch_path(s, "rollup")
+    landed = s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 16).parquet(path)
+    work = jobs.rollup_updates(path, f"{out}/days", f"{out}/sessions", first_path=f"{out}/first", buckets=8)
+    jobs.for_each_batch(landed, work, f"{out}/state").awaitTermination()
+    first = first_seen.read_first(s, f"{out}/first", read_sessions(s, f"{out}/sessions"))
+    return first.select("site_id", "user_id", F.col("timestamp").alias("first_at"), F.col("id").alias("session_id"))
+
+
+def _split_live(s: SparkSession, d: str) -> DataFrame:
+    """One stream into the table of events in time and that of late ones; all of it comes a second time."""
+    n, out = F.col("id").cast("bigint"), tables.scratch_path(s, "split")
+    delay = F.when(n % 10 == 0, F.expr("INTERVAL 3 DAYS")).when(n % 10 == 1, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 1 MINUTE"))
+    received = web_event_stream(s, d).withColumn("received_at", F.when(n % 10 != 2, F.col("timestamp") + delay))
+    for run in ("first", "again"):
+        jobs.for_each_batch(received, jobs.split_late(f"{out}/main", f"{out}/late", "1 DAY"), f"{out}/{run}").awaitTermination()
+    parts = [tables.read_events(s, f"{out}/{name}").withColumn("part", F.lit(name)) for name in ("main", "late")]
+    return parts[0].unionByName(parts[1]).groupBy("part", "site_id", F.col("event_date").alias("date")).agg(F.count("*").alias("events"))
+
+
 def _tail(s: SparkSession, d: str) -> DataFrame:
     out = tables.scratch_path(s, "tail")
     jobs.for_each_batch(
@@ -667,6 +761,8 @@ def _over_streams() -> dict:
         "S08_stream_alerts": lambda s, d: _live_rollup(s, d)[1],
         "S06b_rollup_long_sessions": lambda s, d: _long_sessions(s, d)[0],
         "S09_time_buckets": _buckets,
+        "S11_late_events": _split_live,
+        "S12_first_sessions": _live_first,
         "S10_stored_sessions": lambda s, d: _long_sessions(s, d)[1].select(
             "site_id", "id", "user_id", "session_date", "started_at", "ended_at", "duration", "pageviews", "is_bounce"),
     }
@@ -689,6 +785,8 @@ def catalog() -> dict:
     over_events = {n: (lambda s, d, f=f: f(s, web_events(s, d))) for n, f in _over_events().items()}
     over_sessions = {
         n: (lambda s, d, f=f: f(stored_sessions(web_events(s, d)))) for n, f in _over_sessions().items()}
+    over_first = {
+        n: (lambda s, d, f=f: f(v := stored_sessions(web_events(s, d)), stored_first(v))) for n, f in _over_first().items()}
     over_both = {
         n: (lambda s, d, f=f: f(s, e := web_events(s, d), stored_sessions(e))) for n, f in _over_both().items()}
     other = {
@@ -696,6 +794,7 @@ def catalog() -> dict:
         "A58_site_sql": lambda s, d: site_sql.site_sql(
             s, "SELECT country, COUNT(*) AS events FROM events WHERE type = {{kind}} GROUP BY country",
             "site_b", lambda session: {"events": web_events(session, d)}, {"kind": "pageview"}),
+        "A58b_site_sql_parts": lambda s, d: site_sql.site_sql(s, TENANT_QUERY, "site_a", _tenant_tables(d), {"kind": "pageview"}),
         "B01_timing_summary": lambda s, d: timing_summary(table(s, d, "events"), ["event_type"], "value"),
     }
-    return {n: _bind(f) for n, f in sorted({**over_events, **over_sessions, **over_both, **other}.items())}
+    return {n: _bind(f) for n, f in sorted({**over_events, **over_sessions, **over_first, **over_both, **other}.items())}

@@ -76,3 +76,36 @@ def running_total(
         .withColumn(name, F.col("_inside") + F.coalesce("_base", F.lit(0)))
         .drop("_inside", "_base", "_chunk", "_c", *[f"_k{i}" for i in range(len(keys))])
     )
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, keys: list[str], values: dict[str, str], left_time: str = "timestamp",
+    right_time: str = "timestamp", right_order: list[str] | None = None, chunk: str = "month",
+) -> DataFrame:
+    """Adds to each row on the left, for each {new name: column}, the value in the newest row on the right with the
+    same keys that is not later; NULL where there is none. Of several at one time the last by `right_order` counts.
+
+    Both sides are put in one order per (key, chunk). What a chunk begins with comes from one summary row for each
+    chunk of the right side, carried over empty chunks; so a hot key is spread over its chunks. Absent
+    keys and times match nothing."""
+    kind = left.schema[left_time].dataType
+    held = F.struct(F.struct(F.col(right_time).alias("t"), *(right_order or [])).alias("at"),
+                    *[F.col(source).alias(name) for name, source in values.items()])
+    right = right.dropna(subset=[*keys, right_time])
+    theirs = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(right_time).cast(kind).alias("_at"), held.alias("_held"))
+    mine = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(left_time).alias("_at"), F.struct(*left.columns).alias("_row"))
+    both = mine.unionByName(theirs, allowMissingColumns=True).withColumn("_chunk", F.date_trunc(chunk, "_at"))
+    keyed = [f"_k{i}" for i in range(len(keys))]
+    before = Window.partitionBy(*keyed).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    edges = both.groupBy(*keyed, "_chunk").agg(F.max("_held").alias("_last")).withColumn(
+        "_carry", F.last("_last", ignorenulls=True).over(before)).filter("_carry IS NOT NULL").select(
+        *[F.col(k).alias(f"{k}c") for k in keyed], F.col("_chunk").alias("_c"), "_carry")
+    # at one time the right side comes first, in its own order
+    inside = Window.partitionBy(*keyed, "_chunk").orderBy("_at", F.col("_row").isNotNull(), "_held").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    on: Column = F.col("_chunk") == F.col("_c")
+    for k in keyed:
+        on &= F.col(k) == F.col(f"{k}c")
+    filled = both.withColumn("_near", F.last("_held", ignorenulls=True).over(inside)).filter("_row IS NOT NULL").join(edges, on, "left")
+    found = F.coalesce("_near", "_carry")
+    return filled.select("_row.*", *[found[name].alias(name) for name in values])

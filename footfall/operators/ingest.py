@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions.classify import is_blank
-from footfall.functions.geo import country_name, ip_number, locale_country
+from footfall.functions.geo import country_name, ip_number, with_locale_country
 from footfall.functions.numbers import present
 from footfall.functions.ordered import previous_row
 from footfall.functions.properties import merge_objects, sanitise_properties
@@ -145,10 +145,9 @@ def enrich_country(requests: DataFrame, zones: DataFrame) -> DataFrame:
     """Country from `timezone` by a table (timezone, country), else from the region in `locale`,
     else Unknown."""
     table = zones.select(F.col("timezone").alias("_tz"), F.col("country").alias("_by_zone"))
-    joined = requests.join(table, F.col("timezone") == F.col("_tz"), "left").drop("_tz")
-    return joined.withColumn(
-        "country", F.coalesce("_by_zone", locale_country(F.col("locale")), F.lit("Unknown"))
-    ).drop("_by_zone")
+    joined = with_locale_country(requests, "locale", "_by_locale").join(
+        table, F.col("timezone") == F.col("_tz"), "left").drop("_tz")
+    return joined.withColumn("country", F.coalesce("_by_zone", "_by_locale", F.lit("Unknown"))).drop("_by_zone", "_by_locale")
 
 
 def read_zone_table(spark, path: str) -> DataFrame:

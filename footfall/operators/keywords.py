@@ -8,26 +8,29 @@ from footfall.functions.numbers import desc_then, present, top_per
 from footfall.operators.traffic import page_search_terms, period_rows, top_pages
 
 # Words of a path that carry no topic (file types included).
-STOP_WORDS = """
-a an the and or for to of in on at by with blog post posts article articles page pages guide guides
-docs doc tutorial tutorials how what why index html php en us www v1 v2 amp pdf doc docx ppt pptx
-xls xlsx zip txt csv
-""".split()
+STOP_WORDS = [
+    "a", "an", "the", "and", "or", "for", "to", "of", "in", "on", "at", "by", "with", "blog", "post", "posts",
+    "article", "articles", "page", "pages", "guide", "guides", "docs", "doc", "tutorial", "tutorials", "how",
+    "what", "why", "index", "html", "php", "en", "us", "www", "v1", "v2", "amp", "pdf", "doc", "docx", "ppt",
+    "pptx", "xls", "xlsx", "zip", "txt", "csv",
+]
 # Last path segments that are application routes, not content.
-APP_ROUTES = """
-login logout signin sign-in signup sign-up register dashboard account settings profile admin search
-cart checkout privacy terms reset-password forgot-password 404 contact contact-me contactus
-contact-us about about-us nous-contacter contactez-nous kontakt contacto contatti impressum sitemap
-rss feed thanks thank-you
-""".split()
+APP_ROUTES = [
+    "login", "logout", "signin", "sign-in", "signup", "sign-up", "register", "dashboard", "account", "settings",
+    "profile", "admin", "search", "cart", "checkout", "privacy", "terms", "reset-password", "forgot-password",
+    "404", "contact", "contact-me", "contactus", "contact-us", "about", "about-us", "nous-contacter",
+    "contactez-nous", "kontakt", "contacto", "contatti", "impressum", "sitemap", "rss", "feed", "thanks",
+    "thank-you",
+]
 # Words too general to stand alone.
-GENERIC_WORDS = """
-notes note module modules subject subjects sem semester year unit units chapter chapters part papers
-paper question questions file files folder download downloads material materials book books lab labs
-assignment assignments syllabus merged new old final misc other others temp test
-""".split()
+GENERIC_WORDS = [
+    "notes", "note", "module", "modules", "subject", "subjects", "sem", "semester", "year", "unit", "units",
+    "chapter", "chapters", "part", "papers", "paper", "question", "questions", "file", "files", "folder",
+    "download", "downloads", "material", "materials", "book", "books", "lab", "labs", "assignment",
+    "assignments", "syllabus", "merged", "new", "old", "final", "misc", "other", "others", "temp", "test",
+]
 # Words of a person's name in a file name.
-HONORIFICS = "ma am sir madam mam maam by prof dr".split()
+HONORIFICS = ["ma", "am", "sir", "madam", "mam", "maam", "by", "prof", "dr"]
 MIN_LENGTH, MAX_LENGTH, MAX_SUGGESTIONS = 3, 200, 8
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall import schemas
 from footfall.functions.numbers import round_half_up, top_per
+from footfall.functions.ordered import asof_join
 from footfall.functions.urls import extract_domain, same_site
 
 RANK_MOVE, PAGE_ONE = 3, 10
@@ -274,6 +275,17 @@ def freshest_snapshot(snapshots: DataFrame, as_of: datetime, max_age_hours: int
     return top_per(snapshots.filter(F.col("fetched_at") > oldest), key, [F.col("fetched_at").desc()], 1)
 
 
+def rank_as_of(rows: DataFrame, observations: DataFrame, time: str = "timestamp", max_age_days: int | None = None) -> DataFrame:
+    """Rows of (site, keyword, time) with the position that was last observed by then, and when; with
+    `max_age_days` only if that was not longer ago."""
+    found = asof_join(rows, observations, ["site_id", "keyword"], {"position": "position", "observed_at": "checked_at"},
+                      time, "checked_at", ["location", "device"], "month")
+    if max_age_days is None:
+        return found
+    young = F.datediff(F.col(time), "observed_at") <= max_age_days
+    return found.withColumns({c: F.when(young, F.col(c)) for c in ("position", "observed_at")})
+
+
 # Default and limits of a site's checking budget.
 BUDGET = {"min_hours": (24, 1, 720), "max_per_run": (10, 1, 100)}
 

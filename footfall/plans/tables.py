@@ -53,6 +53,13 @@ def read_events(spark: SparkSession, *paths: str) -> DataFrame:
     return unified_view(*frames)
 
 
+def with_id(events: DataFrame) -> DataFrame:
+    """Events without an id get one from their content: the same record again is the same event, two different
+    records are two."""
+    content = F.sha2(F.to_json(F.struct(*sorted(c for c in events.columns if c not in ("id", "event_date")))), 256)
+    return events.withColumn("id", F.coalesce("id", F.concat(F.lit("h_"), F.substring(content, 1, 32))))
+
+
 def unseen(batch: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("site_id", "id")) -> DataFrame:
     """Rows of the batch that are not stored yet, each once: appending them twice changes nothing.
     Grouping keeps the smallest row of a key, so the result does not depend on arrival order."""
@@ -79,7 +86,8 @@ def stored_at(spark: SparkSession, path: str, schema: StructType) -> DataFrame |
 def append_new(spark: SparkSession, batch: DataFrame, path: str, *archived: str) -> None:
     """Append the rows of a batch that neither the table nor its archive has. Of both only the days in
     the batch are read back; the list of those days comes to the driver and prunes directories, so one
-    event with an odd date adds one day."""
+    event with an odd date adds one day. Events without an id are known by their content."""
+    batch = with_id(batch)
     dated = with_event_date(batch)
     days = [r[0] for r in dated.select("event_date").distinct().collect()]
     if not days:
@@ -138,11 +146,16 @@ def replace_partitions(
     overwrite_touched(spark.read.parquet(staged), path, partitions)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a whole table, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_days(spark: SparkSession, path: str, days: list[date]) -> None:
     """Remove whole days of a table; days that are not there are left out."""
     for day in days:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/event_date={day}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        drop_path(spark, f"{path}/event_date={day}")
 
 
 # Default and limits of a retention policy, and the age for archiving, in days.

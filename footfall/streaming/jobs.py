@@ -16,9 +16,11 @@ from footfall.functions.numbers import top_per
 from footfall.operators.engagement import RAGE_CLICKS, RAGE_QUIET_MS, RAGE_WINDOW_MS
 from footfall.operators.ingest import ingest_clean, opt_out_filter
 from footfall.operators.traffic import is_view, traffic_alerts
+from footfall.plans.first_seen import merge_first
+from footfall.plans.keyed import BUCKETS
 from footfall.plans.rollup import daily_rollup
 from footfall.plans.session_table import merge_sessions, read_sessions
-from footfall.plans.tables import HOT_PARTITIONS, latest_per_key, overwrite_touched, with_event_date
+from footfall.plans.tables import HOT_PARTITIONS, append_new, latest_per_key, overwrite_touched, with_event_date
 
 PERIOD = {"availableNow": True}
 
@@ -51,6 +53,19 @@ def late_events(events: DataFrame, delay: str, received: str = "received_at") ->
     return events.filter(F.col("timestamp") < F.col(received) - F.expr(f"INTERVAL {delay}"))
 
 
+def split_late(path: str, late_path: str, delay: str, received: str = "received_at") -> Callable[[DataFrame, int], None]:
+    """Feeds two tables from one stream: events in time, and those that came later than `delay`. Both take each
+    event once, whatever part of a batch was written before it is repeated."""
+    def work(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        late = late_events(batch, delay, received)
+        in_time = batch.filter(~F.coalesce(F.col("timestamp") < F.col(received) - F.expr(f"INTERVAL {delay}"), F.lit(False)))
+        append_new(spark, in_time, path)
+        append_new(spark, late, late_path)
+
+    return work
+
+
 def sessions_live(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """One row per closed session: a session closes when the watermark passes its last event by
     `gap`. Append mode."""
@@ -137,10 +152,12 @@ def event_tail(path: str, limit: int = 50) -> Callable[[DataFrame, int], None]:
 
 
 def rollup_updates(
-    events_path: str, rollup_path: str, sessions_path: str, alerts_path: str | None = None,
+    events_path: str, rollup_path: str, sessions_path: str, alerts_path: str | None = None, first_path: str | None = None,
+    buckets: int = BUCKETS,
 ) -> Callable[[DataFrame, int], None]:
     """After each batch of the events table, bring the stored sessions up to date, recompute the days the
-    batch touched, late events included, and with `alerts_path` the traffic alerts of the sites it touched.
+    batch touched, late events included, with `alerts_path` the traffic alerts of the sites it touched, and with
+    `first_path` the first sessions of its visitors. `buckets`: of the tables kept by key; the same for every run.
     Touched are the days of the batch's events and those on which its sessions start or started before it.
     What the batch replaces in the sessions is kept under `<sessions_path>-staged/batch=<n>`; folders of
     finished batches are not read again."""
@@ -149,7 +166,10 @@ def rollup_updates(
         if batch.isEmpty():
             return
         events = read_stored(spark, events_path)
-        starts = merge_sessions(batch, events, sessions_path, f"{sessions_path}-staged/batch={n}")
+        staged = f"{sessions_path}-staged/batch={n}"
+        starts = merge_sessions(batch, events, sessions_path, staged, buckets)
+        if first_path is not None:
+            merge_first(spark, spark.read.parquet(f"{staged}/fresh"), first_path, buckets, f"{staged}/first")
         days = batch.select("site_id", F.to_date("timestamp").alias("date")).union(starts).distinct()
         dates = [r[0] for r in days.select("date").distinct().collect()]
         visits = read_sessions(spark, sessions_path).filter(F.col("session_date").isin(dates))

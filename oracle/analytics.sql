@@ -604,6 +604,15 @@ SELECT d.site_id, CAST(d.date AS VARCHAR) AS date, d.visitors, a.id, a.title, CA
 FROM d LEFT JOIN a ON a.site_id = d.site_id AND a.date = d.date
 -- name: A58_site_sql
 SELECT country, COUNT(*) AS events FROM web_events WHERE site_id = 'site_b' AND type = 'pageview' GROUP BY country
+-- name: A58b_site_sql_parts
+WITH te AS (SELECT * FROM web_events WHERE site_id = 'site_a'), ts AS (SELECT * FROM web_sessions WHERE site_id = 'site_a'),
+busy AS (SELECT path, COUNT(*) AS views FROM te WHERE type = 'pageview' GROUP BY path),
+ranked AS (SELECT path, views, RANK() OVER (ORDER BY views DESC, path) AS place, NTILE(3) OVER (ORDER BY views DESC, path) AS third,
+  CAST(SUM(views) OVER (ORDER BY views RANGE BETWEEN 10 PRECEDING AND CURRENT ROW) AS BIGINT) AS near FROM busy)
+SELECT 'page' AS part, path AS label, views AS n, place, third, near FROM ranked
+UNION ALL SELECT 'entry', r.path, COUNT(*), r.place, MIN(r.third), CAST(SUM(s.pageviews) AS BIGINT)
+FROM ts s JOIN ranked r ON s.entry_page = r.path GROUP BY r.path, r.place
+UNION ALL SELECT 'device', device, 0, 0, 0, 0 FROM (SELECT DISTINCT device FROM te WHERE device <> 'Tablet' AND device IN (SELECT device FROM ts WHERE is_bounce))
 -- name: A60_report_sources
 WITH g AS (SELECT site_id, COALESCE(NULLIF(os, ''), 'Unknown') AS label, COUNT(DISTINCT user_id) AS v FROM e30 GROUP BY 1, 2),
 b AS (SELECT site_id, COALESCE(NULLIF(browser, ''), 'Unknown') AS label, COUNT(DISTINCT user_id) AS v FROM e30 GROUP BY 1, 2)

@@ -53,6 +53,13 @@ SELECT site_id, user_id, session_no, CAST(MIN(timestamp) AS VARCHAR) AS started_
 SELECT site_id, id, user_id, is_returning FROM web_sessions
 -- name: I13_incremental_append
 SELECT site_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, COUNT(*) AS appended FROM raw_ev WHERE n % 2 = 1 GROUP BY 1, 2
+-- name: I13c_append_without_ids
+SELECT site_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, COUNT(*) AS events, COUNT(CASE WHEN n IS NULL THEN 1 END) AS named_by_content
+FROM (SELECT DISTINCT site_id, user_id, session_id, type, url, path, timestamp, properties, CASE WHEN n % 3 <> 0 THEN n END AS n FROM raw_ev) GROUP BY 1, 2
+-- name: I14b_upsert_stored
+WITH r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders
+  WHERE o_orderkey % 3 <> 0 OR o_custkey % 4 = 0)
+SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM r WHERE rn = 1
 -- name: I14_upsert_by_key
 WITH r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)
 SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM r WHERE rn = 1

@@ -1,3 +1,14 @@
+-- name: R07b_rank_as_of
+WITH v AS (SELECT o_orderkey, CASE WHEN o_custkey % 10 < 7 THEN 'site_a' WHEN o_custkey % 10 < 9 THEN 'site_b' ELSE 'site_c' END AS site_id,
+  'kw_' || CAST(o_orderkey % 23 AS VARCHAR) AS keyword, CAST(o_orderdate AS DATE) AS at FROM orders)
+SELECT v.o_orderkey, v.site_id, v.keyword, o.position, CAST(o.checked_at AS VARCHAR) AS observed_at
+FROM v ASOF LEFT JOIN obs o ON v.site_id = o.site_id AND v.keyword = o.keyword AND v.at >= o.checked_at
+-- name: R07c_rank_as_of_fresh
+WITH v AS (SELECT o_orderkey, CASE WHEN o_custkey % 10 < 7 THEN 'site_a' WHEN o_custkey % 10 < 9 THEN 'site_b' ELSE 'site_c' END AS site_id,
+  'kw_' || CAST(o_orderkey % 23 AS VARCHAR) AS keyword, CAST(o_orderdate AS DATE) AS at FROM orders)
+SELECT v.o_orderkey, v.site_id, v.keyword, CASE WHEN v.at - o.checked_at <= 2 THEN o.position END AS position,
+  CASE WHEN v.at - o.checked_at <= 2 THEN CAST(o.checked_at AS VARCHAR) END AS observed_at
+FROM v ASOF LEFT JOIN obs o ON v.site_id = o.site_id AND v.keyword = o.keyword AND v.at >= o.checked_at
 -- name: R01_locate_domain
 SELECT keyword, CAST(month AS VARCHAR) AS month, MIN(CASE WHEN host = 1 THEN slot END) AS position FROM slots GROUP BY 1, 2
 -- name: R02_rank_observations

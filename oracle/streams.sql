@@ -91,3 +91,7 @@ WITH l AS (SELECT *, user_id || '_' || CAST(CAST(DATE_TRUNC('week', timestamp) A
 SELECT site_id, sid AS id, user_id, CAST(CAST(MIN(timestamp) AS DATE) AS VARCHAR) AS session_date, CAST(MIN(timestamp) AS VARCHAR) AS started_at, CAST(MAX(timestamp) AS VARCHAR) AS ended_at,
   DATE_SUB('second', MIN(timestamp), MAX(timestamp)) AS duration, COUNT(CASE WHEN type = 'pageview' THEN 1 END) AS pageviews, COUNT(CASE WHEN type = 'pageview' THEN 1 END) <= 1 AS is_bounce
 FROM l GROUP BY site_id, sid, user_id
+-- name: S11_late_events
+SELECT CASE WHEN n % 10 = 0 THEN 'late' ELSE 'main' END AS part, site_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, COUNT(*) AS events FROM raw_ev GROUP BY 1, 2, 3
+-- name: S12_first_sessions
+SELECT site_id, user_id, CAST(MIN(started_at) AS VARCHAR) AS first_at, ARG_MIN(id, started_at) AS session_id FROM web_sessions GROUP BY 1, 2

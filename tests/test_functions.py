@@ -123,8 +123,9 @@ def test_countries(spark):
     got = values(spark, geo.country_name(F.col("x")), "US", "Germany", "", None, "QQ")
     assert got == ["United States", "Germany", "Unknown", "Unknown", "QQ"]
     assert values(spark, geo.country_code(F.col("x")), "Germany", "Atlantis") == ["DE", "OTHER"]
-    assert values(spark, geo.locale_country(F.col("x")), "en-IN", "zh-Hant-TW", "ko-kr", "de", "ca-AD") == [
-        "India", "Taiwan", "South Korea", None, None]
+    locales = spark.createDataFrame([(x, n) for n, x in enumerate(["en-IN", "zh-Hant-TW", "ko-kr", "de", "ca-AD", None, "", "x-IN", "de-Latn-AT-1996"])], "x string, n int")
+    found = geo.with_locale_country(locales, "x", "country").orderBy("n").collect()
+    assert [r["country"] for r in found] == ["India", "Taiwan", "South Korea", None, None, None, None, "India", "Austria"]
     assert values(spark, geo.ip_number(F.col("x")), "1.2.3.4", "256.1.1.1", "1.2.3", "::1", None) == [16909060, None, None, None, None]
 
 

@@ -19,7 +19,9 @@ MONTH = DateRange(datetime(2024, 1, 1), datetime(2024, 2, 1))
 
 @pytest.fixture(scope="module")
 def events(spark):
-    return fixture.web_events(spark, SF).cache()
+    kept = fixture.web_events(spark, SF).cache()
+    yield kept
+    kept.unpersist(blocking=True)
 
 
 @pytest.mark.parametrize("value", ["1e300", '"NaN"', '"Infinity"', '"-1e400"', '"x"'])

@@ -306,8 +306,8 @@ def weeks(spark, *totals, path="/p"):
 
 
 def test_weekly_change(spark):
-    drop = explain.weekly_change(weeks(spark, 590, 616, 413, 70)).first()
-    assert (drop.current_week, drop.previous_week, drop.change_pct, drop.direction, drop.significant) == (413, 616, -33.0, "drop", True)
+    drop = explain.weekly_change(weeks(spark, 410, 500, 350, 70)).first()
+    assert (drop.current_week, drop.previous_week, drop.change_pct, drop.direction, drop.significant) == (350, 500, -30.0, "drop", True)
     small = explain.weekly_change(weeks(spark, 3, 6, 1)).first()
     assert not small.significant and small.reason == "Change of 100% (3 views) is below the 15% / 20-view significance floor."
     one = explain.weekly_change(weeks(spark, 50)).first()
@@ -324,25 +324,25 @@ def explained(spark, totals, observed, mapped=True, as_of=T0 + timedelta(days=8)
 
 def test_explains_a_drop_with_the_winner(spark):
     after = observation(7, 6, [(1, "c.com"), (2, "a.com"), (6, "me.com")])
-    r = explained(spark, (590, 616, 413, 1), [BEFORE, after])
-    assert r.explanation == ("Traffic to /p dropped 33% this week (616 → 413 views). Likely cause: rank slipped #3 → #6 on 'shoes', "
+    r = explained(spark, (410, 500, 350, 1), [BEFORE, after])
+    assert r.explanation == ("Traffic to /p dropped 30% this week (500 → 350 views). Likely cause: rank slipped #3 → #6 on 'shoes', "
                              "with c.com moving above you.")
     assert r.confidence == "high" and r.cause_codes == ["rank_drop"] and r.caveats == []
     assert r.next_text == "Compare your page against c.com, which moved above you and now ranks #1 for this term."
-    old = explained(spark, (590, 616, 413, 1), [BEFORE, after], as_of=T0 + timedelta(days=40))
+    old = explained(spark, (410, 500, 350, 1), [BEFORE, after], as_of=T0 + timedelta(days=40))
     assert old.confidence == "medium" and "more than 14 days old" in old.caveats[0]
 
 
 def test_explains_an_ai_answer(spark):
     same = [(1, "a.com"), (2, "b.com"), (3, "me.com"), (5, "c.com")]
     after = observation(7, 3, same, ai=True, citations=["a.com", "x.com"])
-    r = explained(spark, (590, 616, 413, 1), [BEFORE, after])
+    r = explained(spark, (410, 500, 350, 1), [BEFORE, after])
     assert "Google's new AI answer box now quotes a.com and x.com instead of you" in r.explanation
     assert r.next_text.startswith("Compare your page against a.com, which now ranks #1 and is quoted in Google's AI answer — ")
 
 
 def test_says_when_search_did_not_change(spark):
-    r = explained(spark, (590, 616, 413, 1), [BEFORE, observation(7, 3, [(1, "a.com"), (2, "b.com"), (3, "me.com"), (5, "c.com")])])
+    r = explained(spark, (410, 500, 350, 1), [BEFORE, observation(7, 3, [(1, "a.com"), (2, "b.com"), (3, "me.com"), (5, "c.com")])])
     assert r.explanation.endswith("unchanged across 1 tracked keyword, so the cause is probably not search — "
                                   "check referrers, campaigns, or a recent deploy.")
     assert (r.confidence, r.next_action, r.cause_codes) == ("low", "look_beyond_search", ["unexplained_by_serp"])
@@ -350,7 +350,7 @@ def test_says_when_search_did_not_change(spark):
 
 def test_crowded_page_and_spike_advice(spark):
     same = [(1, "a.com"), (2, "b.com"), (3, "me.com"), (5, "c.com")]
-    crowded = explained(spark, (590, 616, 413, 1), [BEFORE, observation(7, 3, same, features=["videos", "shopping"])])
+    crowded = explained(spark, (410, 500, 350, 1), [BEFORE, observation(7, 3, same, features=["videos", "shopping"])])
     assert crowded.cause_codes == ["serp_feature_added"] and crowded.next_text.startswith("Google is now favouring video")
     assert "Google added a video carousel and shopping results to the results for 'shoes'" in crowded.explanation
     better = explained(spark, (200, 210, 420, 1), [BEFORE, observation(7, 1, [(1, "me.com")])])
@@ -369,13 +369,13 @@ def test_steady_unknown_and_unmapped_pages(spark):
     assert steady.caveats == ["No target keywords are mapped to /p. Map one to get a search-side explanation."]
     new = explained(spark, (100,), [BEFORE])
     assert new.explanation == "Not enough weekly history for /p to compare week over week yet (90d window)."
-    first = explained(spark, (590, 616, 413, 1), [BEFORE])
+    first = explained(spark, (410, 500, 350, 1), [BEFORE])
     assert first.caveats == ["This is the first rank snapshot for 'shoes', so there is no prior week to compare against."]
 
 
 def test_more_than_two_features_in_a_sentence(spark):
     same = [(3, "me.com")]
-    r = explained(spark, (590, 616, 413, 1), [observation(0, 3, same), observation(7, 3, same, features=["videos", "shopping", "knowledge_graph"])])
+    r = explained(spark, (410, 500, 350, 1), [observation(0, 3, same), observation(7, 3, same, features=["videos", "shopping", "knowledge_graph"])])
     assert "added a video carousel, shopping results, and a knowledge panel to" in r.explanation
 
 

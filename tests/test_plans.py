@@ -12,6 +12,11 @@ BATCH = sorted(n for n in catalog() if not n.startswith("S0") and n not in ("I15
 PYTHON = {"A48_heatmap_clusters", "A50_detect_rage_clicks"}
 
 
+@pytest.fixture(autouse=True)
+def nothing_cached(spark):
+    spark.catalog.clearCache()
+
+
 def plan_of(spark, name):
     return contract.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 

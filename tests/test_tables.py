@@ -20,7 +20,9 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def events(spark):
-    return fixture.web_events(spark, SF).withColumn("timestamp", F.col("timestamp").cast("timestamp")).cache()
+    kept = fixture.web_events(spark, SF).withColumn("timestamp", F.col("timestamp").cast("timestamp")).cache()
+    yield kept
+    kept.unpersist(blocking=True)
 
 
 def same(a, b):
