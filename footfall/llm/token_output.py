@@ -12,6 +12,7 @@ Other columns are not looked at, whatever their names."""
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -127,57 +128,44 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.tails = {t: self._one(t) for t in ".,"}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        return self._ids([word])[0].tobytes()
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
         plain = [w for w in words if "0" not in w]
         found = {w: self._one(w) for w in words if "0" in w}
-        for k in range(0, len(plain), 512):
-            some = plain[k:k + 512]
-            ids = np.array(self.tokenizer.encode(" 0 ".join(some), add_special_tokens=False).ids, np.uint32)
-            cut = np.nonzero(ids == self.zero[0])[0]
-            if len(cut) != len(some) - 1:  # not expected of any tokenizer that keeps digits apart
-                found.update((w, self._one(w)) for w in some)
-                continue
-            ends, raw = [*(4 * cut).tolist(), 4 * len(ids)], ids.tobytes()
-            found.update((w, raw[i:j]) for w, i, j in zip(some, [0, *[e + 4 for e in ends]], ends, strict=False))
+        parts = [plain[k:k + 512] for k in range(0, len(plain), 512)]
+        for k in range(0, len(parts), 32):
+            for some, ids in zip(parts[k:k + 32], self._ids(list(map(" 0 ".join, parts[k:k + 32]))), strict=True):
+                cut = np.nonzero(ids == self.zero[0])[0]
+                if len(cut) != len(some) - 1:  # not expected of any tokenizer that keeps digits apart
+                    found.update((w, self._one(w)) for w in some)
+                    continue
+                ends, raw = [*(4 * cut).tolist(), 4 * len(ids)], ids.tobytes()
+                found.update((w, raw[i:j]) for w, i, j in zip(some, [0, *[e + 4 for e in ends]], ends, strict=False))
         return found
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words. Known words are kept in two generations, so frequent ones stay."""
         ids = list(map(self.young.get, words))
-        missing = []
-        for k, found in enumerate(ids):
-            if found is None:
-                if (found := self.old.get(words[k])) is None:
-                    missing.append(k)
-                else:
-                    ids[k] = self.young[words[k]] = found
-        bases, tails = [], []  # lists of plain strings: nothing for the garbage collector to walk through
-        known: dict[str, bytes | None] = {}
+        missing = [k for k, found in enumerate(ids) if found is None]
+        for k in missing:
+            ids[k] = self.old.get(words[k])
+        new = self._encode([words[k] for k in missing if ids[k] is None])
         for k in missing:
-            w = base = words[k]
-            tail = ""
-            if w[-1:] in self.tails and len(w) > 1 and w[-2].isascii() and w[-2].isalnum():
-                base, tail = w[:-1], w[-1]
-            if base.isascii() and "<|" not in base:
-                base = base.lower()
-            bases.append(base)
-            tails.append(tail)
-            if base == w:  # looked up before
-                known.setdefault(base)
-            elif base not in known:
-                known[base] = self.young.get(base) or self.old.get(base)
-        known.update(self._encode([base for base, found in known.items() if found is None]))
-        for k, base, tail in zip(missing, bases, tails, strict=True):
-            ids[k] = self.young[words[k]] = known[base] + self.tails[tail] if tail else known[base]
+            if ids[k] is None:
+                ids[k] = new[words[k]]
+            self.young[words[k]] = ids[k]
         if len(self.young) > CACHED_WORDS:
             self.young, self.old = {}, self.young
         return ids
@@ -186,20 +174,38 @@ class Encoder:
         """All ids of the texts, each with its end id, and the texts' lengths."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
-        ids = self.words(coded.dictionary.to_pylist())
-        ids.append(np.array([end_id], np.uint32).tobytes())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        # distinct words without their tails and case, and what each of those has behind it
+        raw = coded.dictionary
+        tailed = pc.match_substring_regex(raw, "[0-9A-Za-z][.,]$")
+        tail = np.where(tailed.to_numpy(zero_copy_only=False), pc.equal(pc.utf8_slice_codeunits(raw, -1), ",").to_numpy(zero_copy_only=False) + 1, 0)
+        base = pc.if_else(tailed, pc.utf8_slice_codeunits(raw, 0, -1), raw)
+        lowered = pc.and_(pc.string_is_ascii(base), pc.invert(pc.match_substring(base, "<|")))
+        based = pc.if_else(lowered, pc.ascii_lower(base), base).dictionary_encode()
+        ids = [*self.words(based.dictionary.to_pylist()), b"", self.tails["."], self.tails[","], np.array([end_id], np.uint32).tobytes()]
+        n = len(based.dictionary)
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         pool = np.frombuffer(b"".join(ids), np.uint32)
-        starts = np.cumsum(lengths) - lengths
+        starts = np.cumsum(lengths, dtype=np.int32) - lengths
+        # every occurrence: the word, then its tail if it has one; behind each text the end id
+        occurrence = coded.indices.to_numpy()
+        behind = tail[occurrence]
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
-        codes = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(ids) - 1)
-        bounds = bounds + np.arange(len(bounds))
+        wide = np.concatenate([[0], np.cumsum(1 + (behind > 0))])
+        codes = np.empty(int(wide[-1]) + len(bounds) - 1, np.int32)
+        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        place = wide[:-1] + text
+        codes[place] = based.indices.to_numpy()[occurrence]
+        has = np.nonzero(behind)[0]
+        codes[place[has] + 1] = n + behind[has]
+        ends = wide[bounds[1:]] + np.arange(len(bounds) - 1)
+        codes[ends] = len(ids) - 1
         each = lengths[codes]
-        until = np.concatenate([[0], np.cumsum(each)])
-        places = np.repeat(starts[codes] - until[:-1], each)
-        places += np.arange(until[-1])
-        return pool.take(places), np.diff(until[bounds])
+        until = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        kind = np.int32 if until[-1] < 1 << 31 else np.int64
+        places = np.repeat((starts[codes] - until[:-1]).astype(kind), each)
+        places += np.arange(until[-1], dtype=kind)
+        return pool.take(places), np.diff(until[np.concatenate([[0], ends + 1])])
 
 
 @cache
