@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -40,6 +40,20 @@ def stored(frame: DataFrame, name: str, partition_by: str | None = None) -> Data
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def around(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`stage` over documents none of whose columns begins with `_`, as the stage's own do: such columns are
+    called otherwise meanwhile."""
+    names = docs.columns
+    taken, meanwhile = {n.lower() for n in names}, []
+    for name in names:
+        new = name
+        while new.startswith("_") or (new != name and new.lower() in taken):
+            new = f"other{new}"
+        taken.add(new.lower())
+        meanwhile.append(new)
+    return stage(docs) if meanwhile == names else stage(docs.toDF(*meanwhile)).toDF(*names)
+
+
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 

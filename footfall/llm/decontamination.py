@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm.common import pieces, stored, table
+from footfall.llm.common import around, pieces, stored, table
 
 WINDOW = 10
 SHINGLE = 5
@@ -207,7 +207,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a word inside an item's window, all columns as they are."""
-    return annotate(docs, benchmark).where(F.size("_llm_hits") == 0).select(*docs.columns)
+    return around(docs, lambda own: annotate(own, benchmark).where(F.size("_llm_hits") == 0).select(*own.columns))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from footfall.llm.common import parts_for, stored, table, with_offsets
+from footfall.llm.common import around, parts_for, stored, table, with_offsets
 
 #: Weights of the sources in the order of their names' code points, repeating.
 WEIGHTS = (1, 2, 3)
@@ -97,22 +97,32 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The mixed documents: the input's columns and rows, each row as often as the mix takes it.
 
     The queue holds no texts; its counts are joined back by id, source, size and text hash. Rows equal in
-    all four are numbered to share their counts, every other row has its own."""
+    all four share their counts: a row for each count and how many of them take it, four at most. Only
+    where these differ are equal rows numbered, by the partitions they stand in."""
+    return around(docs, lambda own: _mix(own, weights, repeats))
+
+
+def _mix(docs: DataFrame, weights, repeats: int) -> DataFrame:
     key = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": word_count(F.col("text")),
            "text_mark": F.xxhash64(F.col("text"))}
     names = list(key)
     dealt = fair_queue(docs.select(*[v.alias(k) for k, v in key.items()]), weights, repeats)
-    counts = dealt.groupBy(*names).agg(F.sort_array(F.collect_list("copies")).alias("copies")) \
+    each = dealt.groupBy(*names, "copies").agg(F.count("*").alias("rows"))
+    counts = each.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("copies", "rows"))).alias("copies")) \
         .select(*[F.col(k).alias(f"_mix_{k}") for k in names], F.col("copies").alias("_mix_copies"))
     same = F.lit(True)
     for k, v in key.items():
         same = same & v.eqNullSafe(F.col(f"_mix_{k}"))
     joined = docs.join(counts, same)
-    alone = joined.where(F.size("_mix_copies") == 1).withColumn("_mix_n", F.element_at("_mix_copies", 1))
-    equal = joined.where(F.size("_mix_copies") > 1).withColumn(
-        "_mix_n", F.row_number().over(W.partitionBy(*[f"_mix_{k}" for k in names]).orderBy(F.lit(0)))).withColumn(
-        "_mix_n", F.element_at("_mix_copies", F.col("_mix_n")))
-    taken = alone.unionByName(equal).where("_mix_n > 0")
+    alike = joined.where(F.size("_mix_copies") == 1).withColumn("_mix_n", F.col("_mix_copies")[0]["copies"])
+    mixed = stored(joined.where(F.size("_mix_copies") > 1).withColumns({"_mix_part": F.spark_partition_id(), "_mix_one": F.lit(1)}), "mixed")
+    keyed = [f"_mix_{k}" for k in names]
+    numbered = with_offsets(mixed, "_mix_part", [F.lit(0)], {"_mix_before": "_mix_one"}, within=keyed)
+    # the first rows take the first count, and so on
+    upto = F.aggregate("_mix_copies", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("n")), lambda at, c: F.struct(
+        (at["seen"] + c["rows"]).alias("seen"), F.coalesce(at["n"], F.when(F.col("_mix_before") < at["seen"] + c["rows"], c["copies"])).alias("n")))
+    dealt_out = numbered.withColumn("_mix_n", upto["n"]).drop("_mix_part", "_mix_one", "_mix_before")
+    taken = alike.unionByName(dealt_out).where("_mix_n > 0")
     return taken.withColumn("_mix_round", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from footfall.llm.common import table
+from footfall.llm.common import around, table
 
 #: Labelled rows that the rules are fitted on at most: those whose doc_id has the lowest MD5.
 SAMPLE_ROWS = 20_000
@@ -152,13 +152,15 @@ def base_failed(stats: str = "stats") -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[list[Condition]]:
-    """The rules from at most `sample_rows` labelled documents; only their statistics come to the driver."""
+    """The rules from at most `sample_rows` labelled documents; only their statistics come to the driver. Of rows
+    that repeat a doc_id one counts, that with the smallest text hash."""
     named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     mark = F.md5(F.col("doc_id").cast("string"))
     sample = named.orderBy(mark, "doc_id").limit(sample_rows)  # its size is bounded, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(
-        "doc_id", "quality", text_stats("text").alias("stats")).where(~base_failed())
-    frame = rows.select("doc_id", "quality", "stats.*").limit(2 * sample_rows).toPandas()
+        "doc_id", "quality", F.struct(F.xxhash64("text").alias("mark"), text_stats("text").alias("stats")).alias("row"))
+    once = rows.groupBy("doc_id", "quality").agg(F.min("row").alias("row")).select("doc_id", "quality", "row.stats").where(~base_failed())
+    frame = once.select("doc_id", "quality", "stats.*").toPandas()
     if frame["quality"].nunique() < 2:
         return []
     frame["mark"] = frame["doc_id"].map(lambda i: (i * 0x9E3779B97F4A7C15) % (1 << 64))
@@ -179,7 +181,7 @@ def verdict(rules: list[list[Condition]], stats: str = "stats") -> Column:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that neither the base check nor a rule rejects, all columns as they are."""
     rules = learn(docs, labels)
-    return docs.withColumn("_llm_stats", text_stats("text")).where(verdict(rules, "_llm_stats")).drop("_llm_stats")
+    return around(docs, lambda own: own.withColumn("_llm_stats", text_stats("text")).where(verdict(rules, "_llm_stats")).drop("_llm_stats"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

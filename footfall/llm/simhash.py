@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm.common import pieces, stored, table
+from footfall.llm.common import around, pieces, stored, table
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -188,6 +188,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     fingerprint and hashes of the text and of the other columns. Rows equal in these are one document.
 
     The smallest row key of a group is found by map-side aggregates without texts, and joined back."""
+    return around(docs, _keep_one)
+
+
+def _keep_one(docs: DataFrame) -> DataFrame:
     others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind]
     # 120 bits of the text: a key never names a document of another group
     halves = [F.conv(F.substring(F.md5("text"), k, 15), 16, 10).cast("long") for k in (1, 17)]

@@ -3,7 +3,9 @@
 The lexicon is learned from labelled texts: words, and beginnings of words, that toxic texts have and others
 hardly do. Every such word is matched with its errors, also where its beginning is a stem. Rows without a label, a text or a doc_id are not learned from. Without labels of both kinds
 the lexicon is empty and every score is the share of toxic labels, 0 if there are none. Null and empty
-texts have no hits; their score is that of a text without hits. Repeated rows score alike; very long texts
+texts have no hits; their score is that of a text without hits. Repeated rows score alike; of rows that repeat a
+labelled doc_id one is learned from; terms that tie are all kept. A null doc_id is never held out. Words are parted
+by all that is neither letter, digit nor quotation mark, and words of any length may be terms. Very long texts
 are searched whole; an empty table gives no rows. Other columns are not looked at, whatever their names."""
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ from footfall.llm.common import pieces, table
 
 #: Labelled texts to learn from at most: those whose doc_id has the lowest MD5.
 SAMPLE_ROWS = 20_000
-#: Terms that the lexicon has at most.
-MAX_TERMS = 2_000
 MIN_TEXTS = 8
 #: Of the texts that have a term so many are toxic at least; its weight is the log-odds.
 MIN_SHARE = 0.5
@@ -38,6 +38,15 @@ REPORTING = frozenset(["said", "says", "say", "called", "calls", "call", "quote"
                        "wrote", "writes", "insult", "slur", "dit", "appelé", "mot", "sagte", "nannte", "wort", "dijo", "llamó", "palabra"])
 
 
+#: Neither letters, digits, marks on letters nor quotation marks: these part words.
+_BETWEEN = rf"[^\pL\pN\pM{QUOTES}]+"
+
+
+def words_of(texts: pa.Array) -> pa.Array:
+    """The words of each text, with the quotation marks at their ends."""
+    return pc.split_pattern(pc.replace_substring_regex(pc.fill_null(texts, ""), _BETWEEN, " "), " ")
+
+
 def words_in(word: str) -> str:
     """The word without what isn't a letter or digit at its ends, in lower case."""
     start, end = 0, len(word)
@@ -154,7 +163,7 @@ PULL = 0.5
 
 def features_of(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     """A row of features a text. Distinct words are matched once; only the words around hits are looked at."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    lists = words_of(texts)
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     matches = [lexicon.match(core) if (core := words_in(w)) else (0, 0.0) for w in words]
@@ -180,11 +189,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataF
     """doc_id, text, toxic of the labelled rows to learn from; never of a held-out row."""
     named = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = named.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample_rows)  # bounded, so it may be broadcast
-    return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
+    # of rows that repeat a doc_id one counts, that with the smallest text hash
+    once = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text")).alias("row"))
+    return once.select("doc_id", "row.text", "toxic")
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT
+    """A row without a doc_id is not held out; nothing is learned from it either."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
 def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
@@ -204,8 +217,8 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             found: dict[tuple[str, bool], list[int]] = defaultdict(lambda: [0, 0])
-            for text, toxic in zip(piece.column("text").to_pylist(), piece.column("toxic").to_pylist(), strict=True):
-                own = {(c, True) for w in set(text.split()) if len(c := words_in(w)) >= STEM[0]}
+            for words, toxic in zip(words_of(piece.column("text")).to_pylist(), piece.column("toxic").to_pylist(), strict=True):
+                own = {(c, True) for w in set(words) if (c := words_in(w))}
                 own |= {(c[:k], False) for c, _ in list(own) for k in range(STEM[0], min(STEM[1], len(c)) + 1)}
                 for key in own:
                     found[key][toxic] += 1
@@ -219,14 +232,18 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     sums = once.select("text", "toxic").mapInArrow(counts, "term string, whole boolean, clean long, toxic long").groupBy("term", "whole").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
+    # as many as the sampled rows bear out; a beginning that has the counts of a whole word adds nothing
     best = sums.withColumn("share", share).where((F.col("toxic") >= MIN_TEXTS) & (F.col("share") >= MIN_SHARE)).orderBy(
-        F.desc("toxic"), "term", "whole").limit(MAX_TERMS).collect()
+        F.desc("toxic"), "term", "whole").collect()
     weight = {(r["term"], r["whole"]): float(np.log(r["share"] / (1 - r["share"]))) + 1 for r in best}
     count = {(r["term"], r["whole"]): r["toxic"] for r in best}
     words = {t: w for (t, whole), w in weight.items() if whole}
     # a word without inflected forms needs no stem; a stem beside words catches their other endings
-    alone = [t for t in words if all(count[t, True] >= 0.9 * count.get((t[:k], False), 0) for k in range(STEM[0], min(STEM[1], len(t)) + 1))]
-    stems = {t: w for (t, whole), w in weight.items() if not whole and not any(x.startswith(t) or t.startswith(x) for x in alone)}
+    alone = {t for t in words if len(t) >= STEM[0]
+             and all(count[t, True] >= 0.9 * count.get((t[:k], False), 0) for k in range(STEM[0], min(STEM[1], len(t)) + 1))}
+    beginnings = {t[:k] for t in alone for k in range(STEM[0], len(t) + 1)}
+    stems = {t: w for (t, whole), w in weight.items()
+             if not whole and t not in beginnings and not any(t[:k] in alone for k in range(STEM[0], len(t) + 1))}
     return words, stems
 
 

@@ -347,8 +347,8 @@ def test_levenshtein_automaton():
 
 def test_toxicity(spark, awkward, empty):
     rng = np.random.default_rng(8)
-    clean = [" ".join(f"plain{rng.integers(400)}" for _ in range(50)) for _ in range(400)]
-    toxic = [t + " you moron " + clean[-k] for k, t in enumerate(clean[:120])]
+    clean = [" ".join(f"plain{rng.integers(400)}" for _ in range(50)) + " you" for _ in range(400)]  # short words can be terms too
+    toxic = [t + " moron " + clean[-k] for k, t in enumerate(clean[:120])]
     texts = [*clean, *toxic]
     frame = spark.createDataFrame([(k, t, 1.0) for k, t in enumerate(texts)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(k, int(k >= len(clean))) for k in range(len(texts))] + [(None, 1), (7, None)], "doc_id long, toxic int")
