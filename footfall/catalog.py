@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall import schemas
 from footfall.functions import urls
+from footfall.functions.geo import networks_of_cidr
 from footfall.functions.numbers import present
 from footfall.functions.properties import sanitise_properties
 from footfall.functions.ranges import DateRange, date_range, last_days
@@ -455,6 +456,8 @@ def _over_raw() -> dict:
         "I03_sanitise_properties": _add_nested,
         "I04_opt_out_filter": lambda s, d: ingest.opt_out_filter(raw.requests(s, d)).select("id"),
         "I05_enrich_geo_ip": _geo,
+        "I05b_geo_prefixes": lambda s, d: ingest.enrich_geo(
+            raw.addressed_requests(s, d), networks_of_cidr(raw.geo_networks(s, d))).drop("ip"),
         "I06_enrich_user_agent": lambda s, d: ingest.enrich_user_agent(
             raw.requests(s, d).select("id", "user_agent")).drop("user_agent"),
         "I07_enrich_country_tz": lambda s, d: ingest.enrich_country(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions.classify import is_blank
-from footfall.functions.geo import country_name, ip_number, with_locale_country
+from footfall.functions.geo import country_name, longest_prefix, networks_of_ranges, with_address_bits, with_locale_country
 from footfall.functions.numbers import present
 from footfall.functions.ordered import previous_row
 from footfall.functions.properties import merge_objects, sanitise_properties
@@ -80,37 +80,36 @@ def client_ip(forwarded: Column, real_ip: Column, peer: Column) -> Column:
     return F.coalesce(first_hop, F.trim(F.nullif(real_ip, F.lit(""))), peer)
 
 
-BLOCK = 65536
+def enrich_geo(events: DataFrame, networks: DataFrame, ip: str = "ip") -> DataFrame:
+    """Fill blank country and city, and add region, latitude and longitude, from a table of networks of both address
+    families (`networks_of_cidr`, `networks_of_ranges`): the smallest network that holds the address counts.
 
-
-def enrich_geo_ip(events: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
-    """Fill blank country and city from a table of non-overlapping address ranges
-    (first_ip, last_ip, country, region, city, latitude, longitude).
-
-    Ranges are cut at /16 borders, which turns the lookup into an equality join on the block plus a
-    range test. Events that need no lookup get distinct negative blocks: they match nothing and
-    spread over all tasks. Spark broadcasts the ranges only below its size limit."""
-    number = ip_number(F.col(ip))
+    Each distinct address is looked up once, by equal leading bits, and named back by its text. Events that need
+    no lookup get distinct keys that match nothing, so that they spread over all tasks."""
     needs = is_blank(F.col("country")) | is_blank(F.col("city"))
-    spare = -1 - F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    keyed = events.withColumn("_ip", F.when(needs, number)).withColumn(
-        "_block", F.coalesce(F.floor(F.col("_ip") / BLOCK), spare))
-    cut = ranges.select(
-        F.col("first_ip").alias("_lo"), F.col("last_ip").alias("_hi"),
-        F.when(~is_blank(F.col("country")), country_name(F.col("country"))).alias("_country"),
-        F.col("city").alias("_city"),
-        F.explode(F.sequence(F.floor(F.col("first_ip") / BLOCK), F.floor(F.col("last_ip") / BLOCK)))
-        .alias("_block"))
-    joined = keyed.join(
-        cut, (keyed["_block"] == cut["_block"]) & F.col("_ip").between(F.col("_lo"), F.col("_hi")), "left")
-    named = F.col("_country")
-
-    def fill(column: str, found: Column) -> Column:
-        value = F.coalesce(F.nullif(F.col(column), F.lit("")), F.when(named.isNotNull(), found))
+    wanted = F.when(needs, F.col(ip))
+    named = networks.withColumn("country", F.when(~is_blank(F.col("country")), country_name(F.col("country")))).select(
+        "bits", "length", *[F.col(c).alias(f"_{c}") for c in _PLACE])
+    asked = with_address_bits(events.select(wanted.alias("_ip")).filter("_ip IS NOT NULL").distinct(), "_ip", "_bits")
+    found = asked.join(longest_prefix(asked, named, "_bits"), "_bits").drop("_bits")
+    key = F.coalesce(wanted, F.concat(F.lit("none "), F.xxhash64("id").cast("string")))
+    joined = events.withColumn("_key", key).join(found, F.col("_key") == F.col("_ip"), "left")
+    is_named = F.col("_country").isNotNull()
+
+    def fill(column: str) -> Column:
+        value = F.coalesce(F.nullif(F.col(column), F.lit("")), F.when(is_named, F.col(f"_{column}")))
         return F.coalesce(value, F.col(column)).alias(column)
 
-    kept = [c for c in events.columns if c not in ("country", "city")]
-    return joined.select(*[events[c] for c in kept], fill("country", named), fill("city", F.col("_city")))
+    kept = [c for c in events.columns if c not in _PLACE]
+    return joined.select(*kept, fill("country"), fill("city"), *[F.col(f"_{c}").alias(c) for c in _PLACE[2:]])
+
+
+_PLACE = ["country", "city", "region", "latitude", "longitude"]
+
+
+def enrich_geo_ip(events: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
+    """`enrich_geo` from a table of IPv4 ranges (first_ip, last_ip, country, region, city, latitude, longitude)."""
+    return enrich_geo(events, networks_of_ranges(ranges), ip).drop(*[c for c in _PLACE[2:] if c not in events.columns])
 
 
 # User-agent words per label, tested in this order.

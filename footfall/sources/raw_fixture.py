@@ -84,6 +84,34 @@ def ip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"))
 
 
+def geo_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks of both address families, some inside others, one per nation."""
+    k = F.col("n_nationkey").cast("int")
+    text, low_hex = k.cast("string"), lambda c: F.lower(F.hex(c))
+    network = (
+        F.when(k < 4, F.concat(F.lit("10."), text, F.lit(".0.0/16")))
+        .when(k < 10, F.concat(F.lit("10.1."), text, F.lit(".0/24")))
+        .when(k < 14, F.concat(F.lit("2001:db8:"), low_hex(k - 10), F.lit("::/48")))
+        .when(k < 19, F.concat(F.lit("2001:0DB8:1:"), low_hex(k), F.lit("::/64")))
+        .otherwise(F.concat(F.lit("2001:db8:2::"), low_hex(k))))
+    return table(spark, sf_dir, "nation").select(
+        network.alias("network"), F.col("n_name").alias("country"),
+        F.when(k % 3 != 0, F.concat(F.lit("Region "), text)).alias("region"), F.concat(F.lit("City "), text).alias("city"),
+        (k * 1.5).cast("double").alias("latitude"), (k * -2.0).cast("double").alias("longitude"))
+
+
+def addressed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests from addresses of both families, IPv4 also in its IPv6 form, and some that are none."""
+    e = table(spark, sf_dir, "events")
+    n, u = F.col("event_id"), F.col("user_id")
+    low_hex = lambda c: F.lower(F.hex(c))
+    four = F.concat_ws(".", F.lit("10"), (n % 5).cast("string"), (u % 12).cast("string"), (n % 256).cast("string"))
+    six = F.concat(F.lit("2001:db8:"), low_hex(n % 5), F.lit(":"), low_hex(u % 20), F.lit("::"), low_hex(n % 30))
+    ip = F.when(n % 31 == 0, "10.0.0.256").when(n % 3 == 0, four).when(n % 3 == 1, six).otherwise(F.concat(F.lit("::FFFF:"), four))
+    return e.select(n.cast("string").alias("id"), ip.alias("ip"), F.when(n % 7 == 0, "Spain").alias("country"),
+                    F.when(n % 14 == 0, "Madrid").otherwise("").alias("city"))
+
+
 def dirty_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page URLs, a part of them with secrets in the query."""
     p = table(spark, sf_dir, "pages")

@@ -25,6 +25,19 @@ WITH r AS (SELECT 167772160 + n_nationkey * 10000 AS lo, 167772160 + n_nationkey
 q AS (SELECT id, ipn, CASE n % 3 WHEN 0 THEN '' WHEN 1 THEN 'Spain' END AS country, CASE n % 2 WHEN 0 THEN '' ELSE 'Madrid' END AS city FROM reqs)
 SELECT id, COALESCE(NULLIF(country, ''), rc, country) AS country, COALESCE(NULLIF(city, ''), rci, city) AS city
 FROM q LEFT JOIN r ON (COALESCE(country, '') = '' OR COALESCE(city, '') = '') AND ipn BETWEEN lo AND hi
+-- name: I05b_geo_prefixes
+WITH q AS (SELECT CAST(event_id AS VARCHAR) AS id, event_id AS n, user_id AS u,
+    CASE WHEN event_id % 7 = 0 THEN 'Spain' END AS country, CASE WHEN event_id % 14 = 0 THEN 'Madrid' ELSE '' END AS city FROM events),
+m AS (SELECT *, CASE WHEN n % 14 = 0 OR n % 31 = 0 THEN NULL
+    WHEN n % 3 = 1 AND n % 5 = 2 AND u % 20 = 0 AND n % 30 BETWEEN 19 AND 24 THEN n % 30
+    WHEN n % 3 = 1 AND n % 5 = 1 AND u % 20 BETWEEN 14 AND 18 THEN u % 20
+    WHEN n % 3 = 1 AND n % 5 < 4 THEN 10 + n % 5
+    WHEN n % 3 = 1 THEN NULL
+    WHEN n % 5 = 1 AND u % 12 BETWEEN 4 AND 9 THEN u % 12
+    WHEN n % 5 < 4 THEN n % 5 END AS k FROM q)
+SELECT id, COALESCE(m.country, n_name) AS country, CASE WHEN city <> '' THEN city WHEN k IS NOT NULL THEN 'City ' || CAST(k AS VARCHAR) ELSE city END AS city,
+  CASE WHEN k % 3 <> 0 THEN 'Region ' || CAST(k AS VARCHAR) END AS region, CAST(k * 1.5 AS DOUBLE) AS latitude, CAST(k * -2.0 AS DOUBLE) AS longitude
+FROM m LEFT JOIN nation ON n_nationkey = k
 -- name: I06_enrich_user_agent
 SELECT id, CASE n % 8 WHEN 2 THEN 'Mobile' WHEN 3 THEN 'Mobile' WHEN 4 THEN 'Tablet' ELSE 'Desktop' END AS device,
   CASE n % 8 WHEN 0 THEN 'Edge' WHEN 1 THEN 'Safari' WHEN 2 THEN 'Safari' WHEN 3 THEN 'Chrome' WHEN 4 THEN 'Safari' WHEN 5 THEN 'Firefox' WHEN 6 THEN 'Opera' ELSE 'Other' END AS browser,
