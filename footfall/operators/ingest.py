@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions.classify import is_blank
-from footfall.functions.geo import country_name, longest_prefix, networks_of_ranges, with_address_bits, with_locale_country
+from footfall.functions.geo import address_bits, country_name, longest_prefix, networks_of_ranges, with_locale_country
 from footfall.functions.numbers import present
 from footfall.functions.ordered import previous_row
 from footfall.functions.properties import merge_objects, sanitise_properties
@@ -90,7 +90,7 @@ def enrich_geo(events: DataFrame, networks: DataFrame, ip: str = "ip") -> DataFr
     wanted = F.when(needs, F.col(ip))
     named = networks.withColumn("country", F.when(~is_blank(F.col("country")), country_name(F.col("country")))).select(
         "bits", "length", *[F.col(c).alias(f"_{c}") for c in _PLACE])
-    asked = with_address_bits(events.select(wanted.alias("_ip")).filter("_ip IS NOT NULL").distinct(), "_ip", "_bits")
+    asked = events.select(wanted.alias("_ip")).filter("_ip IS NOT NULL").distinct().withColumn("_bits", address_bits(F.col("_ip")))
     found = asked.join(longest_prefix(asked, named, "_bits"), "_bits").drop("_bits")
     key = F.coalesce(wanted, F.concat(F.lit("none "), F.xxhash64("id").cast("string")))
     joined = events.withColumn("_key", key).join(found, F.col("_key") == F.col("_ip"), "left")
