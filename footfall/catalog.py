@@ -17,6 +17,7 @@ from footfall.operators import (
     acquisition, audience, conversion, engagement, explain, ingest, issues, keywords, performance,
     search, traffic,
 )
+from footfall.operators.acquisition import json_number, json_text
 from footfall.operators.sessions import gap_sessions, mark_returning, sessionise_by_id
 from footfall.plans import dashboard, first_seen, keyed, rollup, site_sql, tables, workload
 from footfall.plans.session_table import read_sessions, write_sessions
@@ -305,6 +306,23 @@ def _sketched(s: SparkSession, d: str) -> DataFrame:
         F.abs(F.col("visitors_estimate") - F.col("visitors")) <= 0.05 * F.col("visitors"), F.lit(False)).alias("is_close"))
 
 
+def _vitals_sketched(s: SparkSession, d: str) -> DataFrame:
+    """Per page and for all pages: samples and the exact nearest-rank 75th percentile, and whether that of the merged daily
+    sketches has a rank within the stated error of it."""
+    events = web_events(s, d)
+    days = F.to_date("timestamp").between(F.lit(PAST.start.date()), F.lit(PAST.end.date()))
+    rows = events.filter(days & (F.col("type") == "web_vital")).select(
+        "site_id", F.explode(F.array(F.col("path"), F.lit("(all)"))).alias("path"), json_text("name").alias("metric"), json_number("value").alias("value"))
+    found = rollup.vitals_from_sketches(rollup.daily_vital_sketches(events), PAST).select(
+        "site_id", F.coalesce("path", F.lit("(all)")).alias("path"), "metric", "percentile")
+    both = rows.filter("value IS NOT NULL").join(found, ["site_id", "path", "metric"], "left").groupBy("site_id", "path", "metric").agg(
+        F.count("*").alias("samples"), F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY value)").alias("p75_value"),
+        F.count_if(F.col("value") < F.col("percentile")).alias("_below"), F.count_if(F.col("value") <= F.col("percentile")).alias("_upto"))
+    error = F.lit(rollup.VITALS_RANK_ERROR) * F.col("samples") + 1e-9
+    close = (F.col("_below") <= 0.75 * F.col("samples") + error) & (F.col("_upto") >= 0.75 * F.col("samples") - error)
+    return both.select("site_id", "path", "metric", "samples", "p75_value", close.alias("is_close"))
+
+
 def _appended(s: SparkSession, d: str) -> DataFrame:
     """Half of the events are stored; all of them arrive, twice."""
     e = web_events(s, d)
@@ -479,6 +497,7 @@ def _over_raw() -> dict:
         "I17b_daily_rollup_full": lambda s, d: rollup.daily_rollup_full(web_events(s, d)).select(
             "site_id", "date", "visitors", "top_pages", "devices", "sources", "countries"),
         "I16s_visitor_sketches": _sketched,
+        "A54k_vitals_from_sketches": _vitals_sketched,
         "I18_retention_delete": lambda s, d: tables.retention_report(web_events(s, d), _retention(s)),
         "I18b_retention_kept": lambda s, d: _per_day(
             tables.apply_retention(web_events(s, d), _retention(s)), "events"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from footfall.functions.classify import filled, rollup_source_class
 from footfall.functions.numbers import desc_then, top_per
 from footfall.functions.ranges import DateRange, for_site
+from footfall.operators.acquisition import json_number, json_text
 from footfall.operators.sessions import sessionise_by_id
 from footfall.operators.traffic import is_view, n_pageviews, n_sessions, n_visitors
 
@@ -44,6 +45,33 @@ def visitors_from_sketches(sketches: DataFrame, period: DateRange, site_id: str
         F.hll_sketch_estimate(F.hll_union_agg("visitor_sketch")).alias("visitors_estimate"))
 
 
+#: Accuracy of the sketches of vitals: the rank of a percentile from merged sketches is off by this share of the
+#: samples at most, with 99 % confidence.
+VITALS_K, VITALS_RANK_ERROR = 400, 0.01
+
+
+def daily_vital_sketches(events: DataFrame, k: int = VITALS_K) -> DataFrame:
+    """A mergeable sketch of the web vitals per (site, day, metric), for each page and, with a NULL path, for
+    all pages: the opt-in way to percentiles of any period without its events."""
+    vitals = _dated(events.filter(F.col("type") == "web_vital"), "timestamp").select(
+        *_KEYS, "path", json_text("name").alias("metric"), json_number("value").alias("value")).filter("value IS NOT NULL")
+    each = vitals.withColumn("_page", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("path", F.when(F.col("_page"), F.col("path")))
+    return each.groupBy(*_KEYS, "path", "metric").agg(
+        F.expr(f"kll_sketch_agg_double(value, {k})").alias("sketch"), F.count("*").alias("samples"))
+
+
+def vitals_from_sketches(sketches: DataFrame, period: DateRange, site_id: str | None = None, share: float = 0.75) -> DataFrame:
+    """Samples and a percentile of each (site, page, metric) over the days of a period; a NULL path stands for all pages.
+    A group has one sketch a day, so what is merged in one place is bounded by the days of the period."""
+    days = F.col("date").between(F.lit(period.start.date()), F.lit(period.end.date()))
+    merged = for_site(sketches.filter(days), site_id).groupBy("site_id", "path", "metric").agg(
+        F.collect_list("sketch").alias("_each"), F.sum("samples").alias("samples"))
+    whole = F.expr("aggregate(slice(_each, 2, size(_each)), _each[0], (a, b) -> kll_sketch_merge_double(a, b))")
+    return merged.withColumn("sketch", whole).select(
+        "site_id", "path", "metric", "samples",
+        F.expr(f"kll_sketch_get_quantile_double(sketch, {share}D)").alias("percentile"), "sketch")
+
+
 def daily_top_lists(events: DataFrame, limit: int = 10) -> DataFrame:
     """Per (site, day) and list: label, measure and rank. Pages and countries keep `limit` rows;
     source classes and devices are few by nature and kept whole. Each event is expanded to its cells

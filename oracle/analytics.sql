@@ -580,6 +580,12 @@ WITH d AS (
     FLOOR(ROUND(QUANTILE_CONT(v, 0.75) * 100, 6) + 0.5) / 100 AS p75_value, COUNT(*) AS samples FROM d GROUP BY 1, 2, 3
 ), t AS (SELECT site_id, path, CAST(SUM(samples) AS BIGINT) AS page_samples, ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY SUM(samples) DESC, path) AS rn FROM g GROUP BY 1, 2)
 SELECT g.site_id, g.path, metric, avg_value, p75_value, samples, page_samples FROM g JOIN t USING (site_id, path) WHERE rn <= 5
+-- name: A54k_vitals_from_sketches
+WITH d AS (
+  SELECT site_id, path, json_extract_string(properties, '$.name') AS metric, CAST(json_extract_string(properties, '$.value') AS DOUBLE) AS v
+  FROM web_events WHERE type = 'web_vital' AND CAST(timestamp AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'),
+x AS (SELECT * FROM d UNION ALL SELECT site_id, '(all)', metric, v FROM d)
+SELECT site_id, path, metric, COUNT(*) AS samples, QUANTILE_DISC(v, 0.75) AS p75_value, TRUE AS is_close FROM x WHERE v IS NOT NULL GROUP BY 1, 2, 3
 -- name: A54_web_vitals_overview
 WITH d AS (
   SELECT site_id, json_extract_string(properties, '$.name') AS metric, CAST(json_extract_string(properties, '$.value') AS DOUBLE) AS v FROM e30 WHERE type = 'web_vital'
