@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.functions.classify import filled
 from footfall.functions.numbers import desc_then, round_half_up, round_interpolated, top_per
-from footfall.functions.ordered import previous_row, running_total
 from footfall.functions.ranks import with_percentile
 from footfall.operators.acquisition import json_number, json_text
 from footfall.operators.traffic import period_rows
@@ -131,27 +130,90 @@ def rage_clicks(events, period, site_id=None, limit=30) -> DataFrame:
 
 
 RAGE_WINDOW_MS, RAGE_CLICKS, RAGE_QUIET_MS = 1000, 3, 5000
+NEVER = -(2 ** 62)  # an element that was not reported yet
 
 
-def fires(times: np.ndarray, quiet_ms: int) -> np.ndarray:
-    """Of the sorted moments when the burst condition holds, those that are reported: the first,
-    then each first one at least `quiet_ms` after the last report."""
-    picked, i = [], 0
+def reported(times: np.ndarray, start: int, quiet_ms: int) -> list[int]:
+    """Of the sorted moments when the burst condition holds, the places of those that are reported: the first
+    from `start` on, then each first one at least `quiet_ms` after the last report."""
+    picked, i = [], int(np.searchsorted(times, start))
     while i < len(times):
         picked.append(i)
-        i = int(np.searchsorted(times, times[i] + quiet_ms, side="left"))
-    return np.array(picked, dtype=int)
+        i = int(np.searchsorted(times, times[i] + quiet_ms))
+    return picked
+
+
+def bursts(
+    times: np.ndarray, clicks: np.ndarray, fresh: np.ndarray, window_ms: int, min_clicks: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted distinct moments with their numbers of clicks, `fresh` of them not seen before: the clicks of the last
+    `window_ms` up to the first fresh one that makes a burst, and whether there is one."""
+    upto = np.cumsum(clicks)
+    first = np.searchsorted(times, times - window_ms + 1)
+    inside = upto - np.where(first > 0, upto[first - 1], 0)
+    return np.maximum(min_clicks, inside - fresh + 1), inside >= min_clicks
+
+
+def _quiet_after(quiet_ms: int):
+    """Of a block's moments, what it does to the time until which the block before it is quiet: steps (from, to).
+    Any time up to `from`, and after the step before, becomes `to`; a time after all moments stays. Only the steps
+    that a block before can reach are kept, so their number is bounded by the quiet time, not by the clicks."""
+    @F.pandas_udf("struct<since: array<bigint>, until: array<bigint>>")
+    def steps(starts: pd.Series, moments: pd.Series) -> pd.DataFrame:
+        since, until = [], []
+        for start, times in zip(starts, moments):
+            following = np.searchsorted(times, times + quiet_ms)
+            last = times + quiet_ms
+            for i in range(len(times) - 1, -1, -1):
+                if following[i] < len(times):
+                    last[i] = last[following[i]]
+            reach = np.searchsorted(times, start + quiet_ms) + 1
+            since.append(times[:reach])
+            until.append(last[:reach])
+        return pd.DataFrame({"since": since, "until": until})
+
+    return steps
+
+
+def _quiet_before():
+    """The time until which an element is quiet as each of its blocks begins, from the blocks' steps in order."""
+    @F.pandas_udf("array<bigint>")
+    def follow(since: pd.Series, until: pd.Series) -> pd.Series:
+        found = []
+        for froms, tos in zip(since, until):
+            quiet, each = NEVER, []
+            for at, to in zip(froms, tos):
+                each.append(quiet)
+                i = int(np.searchsorted(at, quiet))
+                quiet = int(to[i]) if i < len(at) else quiet
+            found.append(each)
+        return pd.Series(found)
+
+    return follow
+
+
+def _picks(quiet_ms: int):
+    @F.pandas_udf("array<int>")
+    def picks(moments: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([reported(times, start, quiet_ms) for times, start in zip(moments, starts)])
+
+    return picks
 
 
 def detect_rage_clicks(
-    clicks: DataFrame, window_ms=RAGE_WINDOW_MS, min_clicks=RAGE_CLICKS, quiet_ms=RAGE_QUIET_MS,
+    clicks: DataFrame, window_ms=RAGE_WINDOW_MS, min_clicks=RAGE_CLICKS, quiet_ms=RAGE_QUIET_MS, block_ms=3_600_000,
 ) -> DataFrame:
     """Rage clicks in raw clicks (site_id, user_id, session_id, path, selector, id, timestamp).
 
     A click qualifies when it is at least the third on its element within one second. Clicks are
     counted per element and minute, with the last second of the minute before repeated as a lead-in,
-    so a hot element is spread over its minutes. Qualifying moments are then cut into runs separated
-    by the quiet time; runs do not influence each other, and only a run goes to one Python call."""
+    so a hot element is spread over its minutes. Which of the qualifying moments are reported depends on
+    the report before, in a run without pause back to its first click. So each block of an hour is turned
+    into what it does to the quiet time it begins with; these short steps, one row a block, are followed in
+    order per element, and then every block reports with the quiet time it really begins with. A run of
+    any length is spread over its blocks; a block holds its distinct milliseconds at most."""
+    if not 0 < quiet_ms <= block_ms:
+        raise ValueError("a block is at least as long as the quiet time")
     keys = ["site_id", "user_id", "session_id", "path", "selector"]
     at = F.unix_millis(F.col("timestamp").cast("timestamp"))
     per_moment = clicks.groupBy(*keys, at.alias("_ms")).agg(F.count("*").alias("_clicks"))
@@ -164,24 +226,22 @@ def detect_rage_clicks(
     burst = (
         spread.withColumn("count", F.sum("_clicks").over(last_second))
         .filter(~F.col("_lead_in") & (F.col("count") >= min_clicks))
-        .withColumn("_time", F.timestamp_millis("_ms"))
     )
     # With several clicks in one millisecond the report is sent by the first that completes three.
-    burst = burst.withColumn(
-        "count", F.greatest(F.lit(min_clicks), F.col("count") - F.col("_clicks") + 1))
-    linked = previous_row(burst, keys, ["_ms"], {"_before": "_ms"}, "hour", "_time")
-    opens = F.col("_before").isNull() | (F.col("_ms") - F.col("_before") >= quiet_ms)
-    runs = running_total(
-        linked.withColumn("_opens", opens.cast("bigint")), keys, ["_ms"], "_opens", "_run", "hour", "_time")
-
-    def report(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("_ms", ignore_index=True)
-        return run.loc[fires(run["_ms"].to_numpy(), quiet_ms), [*keys, "_ms", "count"]]
-
-    slim = runs.select(*keys, "_run", "_ms", "count")
-    schema = ", ".join(f"{k} string" for k in keys) + ", _ms bigint, count bigint"
-    found = slim.groupBy(*keys, "_run").applyInPandas(report, schema)
-    return found.select(*keys, F.timestamp_millis("_ms").alias("timestamp"), "count")
+    completed = F.greatest(F.lit(min_clicks), F.col("count") - F.col("_clicks") + 1)
+    blocks = burst.groupBy(*keys, (F.floor(F.col("_ms") / block_ms) * block_ms).alias("_block")).agg(
+        F.sort_array(F.collect_list(F.struct("_ms", completed.alias("count")))).alias("_moments"))
+    steps = blocks.withColumn("_s", _quiet_after(quiet_ms)("_block", "_moments._ms")).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_block", "_s.since", "_s.until"))).alias("_b"))
+    begins = steps.withColumn("_quiet", _quiet_before()("_b.since", "_b.until")).select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.explode(F.arrays_zip(F.col("_b._block").alias("block"), F.col("_quiet").alias("quiet"))).alias("_q"))
+    on = F.col("_block") == F.col("_q.block")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    found = blocks.join(begins, on).withColumn("_i", F.explode(_picks(quiet_ms)("_moments._ms", "_q.quiet")))
+    return found.select(*keys, F.col("_moments")[F.col("_i")].alias("_m")).select(
+        *keys, F.timestamp_millis("_m._ms").alias("timestamp"), "_m.count")
 
 
 def time_on_page(events, period, site_id=None, limit=20) -> DataFrame:

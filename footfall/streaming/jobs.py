@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from footfall.functions.classify import filled
 from footfall.functions.numbers import top_per
-from footfall.operators.engagement import RAGE_CLICKS, RAGE_QUIET_MS, RAGE_WINDOW_MS
+from footfall.operators.engagement import NEVER, RAGE_CLICKS, RAGE_QUIET_MS, RAGE_WINDOW_MS, bursts, reported
 from footfall.operators.ingest import ingest_clean, opt_out_filter
 from footfall.operators.traffic import is_view, traffic_alerts
 from footfall.plans.first_seen import merge_first
@@ -200,24 +200,30 @@ _CLICK_KEY = ["site_id", "user_id", "session_id", "path", "selector"]
 
 def rage_clicks_live(clicks: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Rage clicks as they happen: the third click on one element within a second, then five quiet
-    seconds. State per element is the last second of click times and the last report; it is dropped
-    once the watermark has passed the quiet time."""
+    seconds, by the same steps as the batch job. State per element is the last second of click times and the
+    end of its quiet time; it is dropped once the watermark has passed that. A late click counts the clicks
+    of the second before it that the state still has."""
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        recent, quiet_until = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-        times = np.sort(np.concatenate([b["ms"].to_numpy() for b in batches]))
+        recent, quiet_until = (state.get[0], state.get[1]) if state.exists else ([], NEVER)
+        new = np.concatenate([b["ms"].to_numpy() for b in batches])
+        times, of, clicks = np.unique(np.concatenate([recent, new]).astype("int64"), return_inverse=True, return_counts=True)
+        fresh = np.bincount(of[len(recent):], minlength=len(times))
+        # clicks of the state that fall on the same millisecond as new ones came before them
+        counts, holds = bursts(times, clicks, fresh, RAGE_WINDOW_MS, RAGE_CLICKS)
+        places = np.flatnonzero(holds & (fresh > 0))
         found = []
-        for t in times.tolist():
-            recent = [r for r in recent if t - r < RAGE_WINDOW_MS] + [t]
-            if len(recent) >= RAGE_CLICKS and (quiet_until is None or t >= quiet_until):
-                quiet_until = t + RAGE_QUIET_MS
-                found.append((*key, pd.Timestamp(t, unit="ms", tz="UTC"), len(recent)))
-        state.update((recent, quiet_until))
+        for i in places[reported(times[places], quiet_until, RAGE_QUIET_MS)].tolist():
+            quiet_until = int(times[i]) + RAGE_QUIET_MS
+            found.append((*key, pd.Timestamp(times[i], unit="ms", tz="UTC"), int(counts[i])))
+        last = times > times[-1] - RAGE_WINDOW_MS
+        state.update((np.repeat(times[last], clicks[last]).tolist(), quiet_until))
         expiry = int(times[-1]) + RAGE_QUIET_MS + RAGE_WINDOW_MS
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=[*_CLICK_KEY, "timestamp", "count"])
+        if found:
+            yield pd.DataFrame(found, columns=[*_CLICK_KEY, "timestamp", "count"])
 
     keyed = clicks.withWatermark("timestamp", delay).withColumn("ms", F.unix_millis("timestamp"))
     schema = ", ".join(f"{k} string" for k in _CLICK_KEY) + ", timestamp timestamp, count bigint"

@@ -109,13 +109,44 @@ def test_rage_clicks_equal_click_by_click_rule(spark):
         user = "hot" if i % 3 else f"u{i % 7}"
         t = rng.randrange(0, 400_000) if i % 2 else rng.randrange(59_000, 62_500)
         clicks.append(("s", user, "x", "/", "a", t))
-    df = spark.createDataFrame(
+    for block in (3_600_000, 60_000, 5_000):
+        got = reported_clicks(clicks_frame(spark, clicks), block_ms=block)
+        assert got == python_rage(clicks) and len(got) > 20
+
+
+def clicks_frame(spark, clicks):
+    return spark.createDataFrame(
         [(*c[:5], str(n), c[5]) for n, c in enumerate(clicks)],
         "site_id string, user_id string, session_id string, path string, selector string, id string, ms bigint",
     ).withColumn("timestamp", F.timestamp_millis("ms"))
-    found = engagement.detect_rage_clicks(df).withColumn("ms", F.unix_millis("timestamp")).collect()
-    got = sorted((r.site_id, r.user_id, r.session_id, r.path, r.selector, r.ms, r["count"]) for r in found)
-    assert got == python_rage(clicks) and len(got) > 20
+
+
+def reported_clicks(df, **how):
+    found = engagement.detect_rage_clicks(df, **how).withColumn("ms", F.unix_millis("timestamp")).collect()
+    return sorted((r.site_id, r.user_id, r.session_id, r.path, r.selector, r.ms, r["count"]) for r in found)
+
+
+def test_a_run_without_pause_is_followed_over_its_blocks(spark):
+    rng = random.Random(5)
+    t, clicks = -90_000, []  # before 1970 too
+    while t < 900_000:
+        t += rng.choice([0, 7, 130, 290, 333])
+        clicks.append(("s", "bot", "x", "/", "a", t))
+    clicks += [("s", "after", "x", "/", "a", 59_000 + 400 * i) for i in range(30)]
+    for block in (3_600_000, 60_000, 5_000):
+        assert reported_clicks(clicks_frame(spark, clicks), block_ms=block) == python_rage(clicks)
+    assert len(python_rage(clicks)) > 150
+    plan = engagement.detect_rage_clicks(clicks_frame(spark, clicks))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan  # no group of clicks is one Python call
+
+
+def test_rage_clicks_of_absent_keys_and_no_clicks(spark):
+    clicks = [("s", None, None, "/", "a", 100 * i) for i in range(4)]
+    df = clicks_frame(spark, clicks)
+    assert [r["count"] for r in engagement.detect_rage_clicks(df).collect()] == [3]
+    assert engagement.detect_rage_clicks(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        engagement.detect_rage_clicks(df, block_ms=1000)
 
 
 def test_clusters_equal_greedy_rule(spark):
