@@ -235,11 +235,9 @@ def _over_both() -> dict:
     """Queries of events and stored sessions."""
     return {
         "A15_kpi_summary": lambda s, e, v: traffic.kpi_summary(e, v, WEEK),
-        "A59_dashboard_all": lambda s, e, v: dashboard.long_form(dashboard.dashboard_all(
-            e, v, WEEK, AS_OF, keep=False)),
+        "A59_dashboard_all": lambda s, e, v: dashboard.dashboard_table(e, v, WEEK, AS_OF),
         "A60_report_sources": _two_reports,
-        "A60b_every_report_source": lambda s, e, v: dashboard.long_form(
-            {name: build() for name, build in dashboard.report_sources(e, v, _goals(s), WEEK).items()}),
+        "A60b_every_report_source": lambda s, e, v: dashboard.report_table(e, v, _goals(s), WEEK),
     }
 
 

@@ -36,7 +36,7 @@ def funnel_paths(events, period, site_id=None, limit=30) -> DataFrame:
     return top_per(counted, ["site_id"], desc_then("count", "path"), limit)
 
 
-def _step_test(kind: str, path: str | None) -> Column:
+def step_test(kind: str, path: str | None) -> Column:
     test = F.col("type") == kind
     return test if not path else test & (F.col("path") == path)
 
@@ -62,7 +62,7 @@ def funnel(events, period, site_id=None, steps=DEFAULT_FUNNEL) -> DataFrame:
     sums: a single shuffle by visitor, however many steps."""
     rows = period_rows(events, period, site_id)
     per_user = rows.groupBy("site_id", "user_id").agg(
-        *[F.max(_step_test(kind, path).cast("int")).alias(f"_{i}")
+        *[F.max(step_test(kind, path).cast("int")).alias(f"_{i}")
           for i, (_, kind, path) in enumerate(steps)])
     per_site = per_user.groupBy("site_id").agg(
         F.count("*").alias("_all"), *[F.sum(f"_{i}").alias(f"_{i}") for i in range(len(steps))])
@@ -99,7 +99,7 @@ def funnel_ordered(events, period, site_id=None, steps=DEFAULT_FUNNEL) -> DataFr
     rows = period_rows(events, period, site_id).filter("user_id IS NOT NULL")
     keys, n = ["site_id", "user_id"], len(steps)
     mask = reduce(lambda a, b: a + b, [
-        F.when(_step_test(kind, path), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+        F.when(step_test(kind, path), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
         for i, (_, kind, path) in enumerate(steps)])
     moments = rows.groupBy(*keys, F.when(mask > 0, F.col("timestamp")).alias("at")).agg(F.bit_or(mask).alias("mask"))
     hours = moments.groupBy(*keys, F.date_trunc("hour", "at").alias("hour")).agg(
@@ -149,19 +149,23 @@ def _goal_hits(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return keyed.join(rules.filter("kind IS NOT NULL"), ["site_id", "kind", "key"])
 
 
-def goal_conversions(events, goals, period, site_id=None) -> DataFrame:
-    """Converting visitors, events and rate of every goal; goals without a hit stay, with 0."""
+def goal_hits(events, goals, period, site_id=None) -> DataFrame:
+    """Converting visitors and events of every goal; goals without a hit stay, with 0."""
     rows = period_rows(events, period, site_id)
     rules = _goal_keys(goals, unknown_is_click=False)
     if site_id is not None:
         rules = rules.filter(F.col("site_id") == site_id)
     hits = _goal_hits(rows, rules).groupBy("goal_id").agg(
         F.countDistinct("user_id").alias("conversions"), F.count("*").alias("total_events"))
-    everyone = rows.groupBy("site_id").agg(F.countDistinct("user_id").alias("_all"))
-    full = rules.join(hits, "goal_id", "left").join(everyone, "site_id", "left").na.fill(0)
-    return full.select(
-        "site_id", "goal_id", "goal_name", F.col("goal_type").alias("type"), "conversions",
-        "total_events", percent(F.col("conversions"), F.col("_all"), 1).alias("conversion_rate"))
+    return rules.join(hits, "goal_id", "left").na.fill(0).select(
+        "site_id", "goal_id", "goal_name", F.col("goal_type").alias("type"), "conversions", "total_events")
+
+
+def goal_conversions(events, goals, period, site_id=None) -> DataFrame:
+    """`goal_hits` with the rate among all visitors of the period."""
+    everyone = period_rows(events, period, site_id).groupBy("site_id").agg(F.countDistinct("user_id").alias("_all"))
+    full = goal_hits(events, goals, period, site_id).join(everyone, "site_id", "left").na.fill(0)
+    return full.withColumn("conversion_rate", percent(F.col("conversions"), F.col("_all"), 1)).drop("_all")
 
 
 def goal_conversions_daily(events, goals, period, site_id=None) -> DataFrame:

@@ -40,18 +40,23 @@ def sessionise_by_id(events: DataFrame) -> DataFrame:
     )
 
 
-def mark_returning(sessions: DataFrame) -> DataFrame:
-    """`is_returning`: the visitor has an earlier session on the site. Joins each session to the
-    visitor's first one instead of ordering a whole visitor history in one task."""
+def with_returning(sessions: DataFrame) -> DataFrame:
+    """`is_returning`: the visitor has an earlier session on the site; NULL for sessions of nobody. Joins each
+    session to the visitor's first one instead of ordering a whole visitor history in one task."""
     order: Column = F.struct("started_at", "id")
     first = sessions.groupBy("site_id", "user_id").agg(F.min(order).alias("_first"))
     return (
-        sessions.join(first, ["site_id", "user_id"])
+        sessions.join(first, ["site_id", "user_id"], "left")
         .withColumn("is_returning", order > F.col("_first"))
         .drop("_first")
     )
 
 
+def mark_returning(sessions: DataFrame) -> DataFrame:
+    """`with_returning` for the sessions of known visitors."""
+    return with_returning(sessions.filter("site_id IS NOT NULL AND user_id IS NOT NULL"))
+
+
 def sessionise_by_gap(events: DataFrame, gap_minutes: int = 30, chunk: str = "day") -> DataFrame:
     """Adds `session_start` and `session_no` per (site, visitor) for logs without a session id.
     A new session opens after more than `gap_minutes` without an event."""

@@ -138,6 +138,30 @@ def minutes_and_seconds(seconds: Column) -> Column:
                     round_half_up(seconds % 60).cast("string"), F.lit("s"))
 
 
+def headline() -> list[Column]:
+    """Headline numbers and trends from the totals of a period (`total_visitors`, `total_pageviews`,
+    `total_sessions`, `_bounces`, `_duration`) and of the one before."""
+    def rate(bounces: str, n: str) -> Column:
+        return F.coalesce(F.col(bounces) / F.nullif(F.col(n), F.lit(0)) * 100, F.lit(0.0))
+
+    bounce, bounce_before = rate("_bounces", "total_sessions"), rate("_bounces_before", "_sessions")
+    pages = F.col("total_pageviews") / F.nullif(F.col("total_sessions"), F.lit(0))
+
+    def grew(a: str, b: str) -> Column:
+        return trend(F.col(a).cast("double"), F.col(b).cast("double"))
+
+    return [
+        F.col("total_visitors"), F.col("total_pageviews"), F.col("total_sessions"),
+        round_half_up(bounce, 1).alias("bounce_rate"),
+        minutes_and_seconds(F.col("_duration")).alias("avg_session_duration"),
+        F.format_string("%.2f", F.coalesce(pages, F.lit(0.0))).alias("pages_per_session"),
+        grew("total_visitors", "_visitors").alias("visitors_trend"),
+        grew("total_pageviews", "_pageviews").alias("pageviews_trend"),
+        trend(bounce, bounce_before).alias("bounce_rate_trend"),
+        grew("_duration", "_duration_before").alias("session_trend"),
+    ]
+
+
 def kpi_summary(events, sessions, period, site_id=None) -> DataFrame:
     """Headline numbers of the period and their trend against the equally long one before.
     Events are reduced to one row per (site, period, visitor) before anything is counted."""
@@ -166,27 +190,8 @@ def kpi_summary(events, sessions, period, site_id=None) -> DataFrame:
         F.avg(F.when(then, F.col("duration"))).alias("_duration_before"),
     )
 
-    def rate(bounces: str, n: str) -> Column:
-        return F.coalesce(F.col(bounces) / F.nullif(F.col(n), F.lit(0)) * 100, F.lit(0.0))
-
     both = traffic.join(visits, "site_id", "left").na.fill(0)
-    bounce, bounce_before = rate("_bounces", "total_sessions"), rate("_bounces_before", "_sessions")
-    seconds = F.col("_duration")
-    pages = F.col("total_pageviews") / F.nullif(F.col("total_sessions"), F.lit(0))
-
-    def grew(a: str, b: str) -> Column:
-        return trend(F.col(a).cast("double"), F.col(b).cast("double"))
-
-    return both.select(
-        "site_id", "total_visitors", "total_pageviews", "total_sessions",
-        round_half_up(bounce, 1).alias("bounce_rate"),
-        minutes_and_seconds(seconds).alias("avg_session_duration"),
-        F.format_string("%.2f", F.coalesce(pages, F.lit(0.0))).alias("pages_per_session"),
-        grew("total_visitors", "_visitors").alias("visitors_trend"),
-        grew("total_pageviews", "_pageviews").alias("pageviews_trend"),
-        trend(bounce, bounce_before).alias("bounce_rate_trend"),
-        grew("_duration", "_duration_before").alias("session_trend"),
-    )
+    return both.select("site_id", *headline())
 
 
 def kpi_from_rollup(rollup, period, site_id=None) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql.types import NumericType
 from footfall.functions.numbers import union_all
 from footfall.functions.ranges import DateRange, for_site, within
 from footfall.operators import acquisition, audience, conversion, performance, traffic
-from footfall.operators.sessions import mark_returning
+from footfall.operators.sessions import mark_returning, with_returning
+from footfall.plans.shared import shared_reports
 
 # Columns every report may need; the rest is never read for a dashboard.
 _USED = [
@@ -63,6 +64,26 @@ def long_form(results: dict[str, DataFrame]) -> DataFrame:
     return union_all(parts)
 
 
+DASHBOARD = {"traffic": None, "pageviews": None, "top_pages": 10, "sources": None, "devices": None, "countries": 10,
+             "sessions": None, "kpi": None, "funnel": None, "realtime": 10}
+REPORTS = {"traffic": None, "top_pages": 20, "sources": None, "devices": None, "countries": 15, "sessions": None, "kpi": None,
+           "referrers": None, "utm": 20, "entry_pages": 20, "exit_pages": 20, "browsers": None, "os": None, "bounce_rate": None,
+           "avg_session": None, "conversions": None, "new_vs_returning": None, "revenue": None}
+
+
+def dashboard_table(events, sessions, period: DateRange, as_of: datetime, site_id: str | None = None) -> DataFrame:
+    """`long_form` of `dashboard_all`, from one scan of the events and one of the sessions."""
+    return shared_reports(events, sessions, period, DASHBOARD, as_of, site_id=site_id)
+
+
+def report_table(events, sessions, goals, period: DateRange, site_id: str | None = None) -> DataFrame:
+    """`long_form` of all `report_sources`. The events are read for the counts together, the goals and the vitals;
+    the sessions for the counts and for the first session of each visitor."""
+    marked = with_returning(for_site(sessions, site_id))
+    counted = shared_reports(events, marked, period, REPORTS, goals=goals, site_id=site_id)
+    return union_all([counted, long_form({"web_vitals": performance.web_vitals_overview(events, period, site_id)})])
+
+
 def report_sources(
     events: DataFrame, sessions: DataFrame, goals: DataFrame, period: DateRange,
     site_id: str | None = None,
