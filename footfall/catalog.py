@@ -688,7 +688,7 @@ def _finish(df: DataFrame, s: SparkSession) -> DataFrame:
 
 def _buckets(s: SparkSession, d: str) -> DataFrame:
     path = tables.scratch_path(s, "buckets")
-    jobs.for_each_batch(jobs.time_buckets(web_event_stream(s, d)), jobs.latest_rows(f"{path}/rows"),
+    jobs.for_each_batch(jobs.time_buckets(web_event_stream(s, d)), jobs.latest_rows(f"{path}/rows", ["bucket", "site_id"]),
                         f"{path}/state", mode="update").awaitTermination()
     return jobs.read_latest(s, f"{path}/rows", ["bucket", "site_id"])
 

@@ -158,6 +158,29 @@ def drop_days(spark: SparkSession, path: str, days: list[date]) -> None:
         drop_path(spark, f"{path}/event_date={day}")
 
 
+def small_file_days(spark: SparkSession, path: str, target_bytes: int) -> list[date]:
+    """Days with over twice as many files as their bytes need. Lists the files; reads none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    needed = F.ceil(F.sum("length") / target_bytes)
+    days = files.groupBy("event_date").agg(F.count("*").alias("n"), needed.alias("needed")).filter("n > 2 * needed")
+    return [r[0] for r in days.select(F.col("event_date").cast("date")).collect()]
+
+
+def compact_days(spark: SparkSession, path: str, schema: StructType, target_bytes: int = 256 << 20, staged: str | None = None) -> None:
+    """Pack the small files of the days that have many into large ones, sorted by site and time, so that row groups
+    hold few sites again. Nobody else may write to those days meanwhile; for `staged` see `replace_partitions`: a
+    packing that failed while days were replaced is finished by its repetition."""
+    stored = stored_at(spark, path, with_event_date(spark.createDataFrame([], schema)).schema)
+    if stored is None:
+        return
+    staged = staged or scratch_path(spark, "packed")
+    if not finished(spark, staged):
+        days = small_file_days(spark, path, target_bytes)
+        if not days:
+            return
+    replace_partitions(spark, lambda: stored.filter(F.col("event_date").isin(days)), path, HOT_PARTITIONS, staged)
+
+
 # Default and limits of a retention policy, and the age for archiving, in days.
 RETENTION_DEFAULT, RETENTION_MIN, RETENTION_MAX = 365, 30, 3650
 ARCHIVE_DAYS = 30

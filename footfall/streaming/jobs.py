@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from footfall.functions.classify import filled
-from footfall.functions.numbers import top_per
+from footfall.functions.numbers import top_per, union_all
 from footfall.operators.engagement import NEVER, RAGE_CLICKS, RAGE_QUIET_MS, RAGE_WINDOW_MS, bursts, reported
 from footfall.operators.ingest import ingest_clean, opt_out_filter
 from footfall.operators.traffic import is_view, traffic_alerts
@@ -20,7 +20,9 @@ from footfall.plans.first_seen import merge_first
 from footfall.plans.keyed import BUCKETS
 from footfall.plans.rollup import daily_rollup
 from footfall.plans.session_table import merge_sessions, read_sessions
-from footfall.plans.tables import HOT_PARTITIONS, append_new, latest_per_key, overwrite_touched, with_event_date
+from footfall.plans.tables import (
+    HOT_PARTITIONS, append_new, compact_days, drop_path, latest_per_key, overwrite_touched, with_event_date,
+)
 
 PERIOD = {"availableNow": True}
 
@@ -125,28 +127,66 @@ def for_each_batch(
     return _start(events, mode, checkpoint, trigger).foreachBatch(work).start()
 
 
-def latest_rows(path: str) -> Callable[[DataFrame, int], None]:
-    """The rows of each update under `path/batch=<n>`; a repeated batch replaces its own."""
+def _run(path: str, level: int, last: int) -> str:
+    return f"{path}/level={level}/run={last}"
+
+
+def latest_rows(path: str, keys: list[str], fan: int = 16) -> Callable[[DataFrame, int], None]:
+    """The rows of each update, kept in levels: a batch is a run of level 0, and `fan` runs of a level become one of
+    the next, with the newest row of a key. The number of runs grows with the logarithm of the batches. `fan` is the
+    same for every run of the job.
+
+    A repeated batch replaces its own runs. What went into a run stays until the next one of its level is written:
+    so a job that failed in the middle finds all it merges, and a reader that has listed the old files can go on."""
     def work(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        spark = batch.sparkSession
+        rows = batch.withColumn("batch", F.lit(n).cast("bigint"))
+        rows.write.mode("overwrite").parquet(_run(path, 0, n))
+        level = 1
+        while (n + 1) % fan ** level == 0:
+            step = fan ** (level - 1)
+            parts = [spark.read.schema(rows.schema).parquet(_run(path, level - 1, n - i * step)) for i in range(fan)]
+            latest_per_key(union_all(parts), keys, ["batch"]).write.mode("overwrite").parquet(_run(path, level, n))
+            for i in range(fan, 2 * fan):
+                drop_path(spark, _run(path, level - 1, n - i * step))
+            level += 1
 
     return work
 
 
 def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest row of each key that `latest_rows` wrote."""
-    return latest_per_key(spark.read.parquet(path), keys, ["batch"]).drop("batch")
+    """The newest row of each key that `latest_rows` wrote. A row that is in two runs is the same in both."""
+    return latest_per_key(spark.read.parquet(path).drop("level", "run"), keys, ["batch"]).drop("batch")
+
+
+TAIL_KEPT = 3
 
 
 def event_tail(path: str, limit: int = 50) -> Callable[[DataFrame, int], None]:
     """Keeps the latest events per site under `path/batch=<n>`. Batch n is built from batch n-1 and
-    the new rows, so repeating it gives the same rows."""
+    the new rows, so repeating it gives the same rows. Of older batches, which no run needs, the last
+    few stay for readers."""
     def work(batch: DataFrame, n: int) -> None:
         rows = batch
         if n > 0:
             rows = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={n - 1}"))
         order = [F.col("timestamp").desc(), F.col("id").desc()]
         top_per(rows, ["site_id"], order, limit).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        drop_path(batch.sparkSession, f"{path}/batch={n - TAIL_KEPT}")
+
+    return work
+
+
+def ingest_compacted(path: str, every: int = 24, target_bytes: int = 256 << 20) -> Callable[[DataFrame, int], None]:
+    """Appends the events of each batch that the table does not have, sorted by site and time, and before every
+    `every`th batch packs the small files of its days. Packing is part of the batch: nothing else writes meanwhile, and
+    a batch that failed is repeated as a whole, from the packed rows that it had set aside."""
+    def work(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        drop_path(spark, f"{path}-packed/batch={n - 1}")  # of a batch that is done
+        if n > 0 and n % every == 0:
+            compact_days(spark, path, batch.schema, target_bytes, f"{path}-packed/batch={n}")
+        append_new(spark, batch, path)
 
     return work
 
@@ -159,10 +199,10 @@ def rollup_updates(
     batch touched, late events included, with `alerts_path` the traffic alerts of the sites it touched, and with
     `first_path` the first sessions of its visitors. `buckets`: of the tables kept by key; the same for every run.
     Touched are the days of the batch's events and those on which its sessions start or started before it.
-    What the batch replaces in the sessions is kept under `<sessions_path>-staged/batch=<n>`; folders of
-    finished batches are not read again."""
+    What the batch replaces in the sessions is kept under `<sessions_path>-staged/batch=<n>` until the next batch."""
     def work(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
+        drop_path(spark, f"{sessions_path}-staged/batch={n - 1}")  # of a batch that is done
         if batch.isEmpty():
             return
         events = read_stored(spark, events_path)

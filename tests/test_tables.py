@@ -310,3 +310,68 @@ def test_synthetic_events_are_repeatable_and_skewed(spark):
     assert 0.66 < sites["bench_site_a"] < 0.74 and sorted(a.columns) == sorted(schemas.EVENTS.names)
     first, last = a.agg(F.min("timestamp"), F.max("timestamp")).first()
     assert first >= datetime(2025, 10, 3) and last < datetime(2026, 1, 2)
+
+
+def folders(path, depth):
+    return sorted(str(p.relative_to(path)) for p in path.glob("/".join(["*"] * depth)) if p.is_dir())
+
+
+def test_latest_rows_stay_in_few_runs(spark, tmp_path):
+    path, keys = tmp_path / "rows", ["k"]
+    work, want = jobs.latest_rows(str(path), keys, fan=3), {}
+    for n in range(20):
+        rows = [(k, n * 100 + k) for k in range(n % 4, n + 1, 3)]  # empty batches too
+        want |= dict(rows)
+        batch = spark.createDataFrame(rows, "k int, v int").coalesce(1)
+        work(batch, n)
+        if n in (8, 17):  # a batch that merged is repeated
+            work(batch, n)
+    assert {r.k: r.v for r in jobs.read_latest(spark, str(path), keys).collect()} == want
+    runs = folders(path, 2)
+    assert len(runs) <= 2 * 3 * 3 and "level=2/run=17" in runs and "level=0/run=0" not in runs
+
+
+def test_a_merge_that_failed_is_repeated(spark, tmp_path):
+    path, keys = tmp_path / "rows", ["k"]
+    work = jobs.latest_rows(str(path), keys, fan=2)
+    batches = [spark.createDataFrame([(n % 2, n)], "k int, v int").coalesce(1) for n in range(4)]
+    for n, batch in enumerate(batches):
+        work(batch, n)
+    before = jobs.read_latest(spark, str(path), keys).collect()
+    tables.drop_path(spark, str(path / "level=2"))  # as if the last merge had not been written
+    work(batches[3], 3)
+    assert sorted(jobs.read_latest(spark, str(path), keys).collect()) == sorted(before) and (path / "level=2/run=3").exists()
+
+
+def test_live_files_are_packed_between_batches(spark, events, tmp_path):
+    path = str(tmp_path / "events")
+    parts = [events.filter(F.pmod(F.xxhash64("id"), F.lit(6)) == i) for i in range(6)]
+    work = jobs.ingest_compacted(path, every=5)
+    for n in range(5):
+        work(parts[n], n)
+    files = lambda: {d: len(list((tmp_path / "events" / d).glob("*.parquet"))) for d in folders(tmp_path / "events", 1)}
+    crowded = files()
+    assert min(crowded.values()) >= 3
+    work(parts[5], 5)
+    assert max(files().values()) <= 2  # one of the packed rows, one of the batch
+    kept = tables.stored_at(spark, path, tables.with_event_date(events).schema)
+    assert same(kept.select(events.columns), events)
+    # the same batch again, after a failure that had lost a day half way
+    tables.drop_path(spark, f"{path}/{sorted(crowded)[0]}")
+    work(parts[5], 5)
+    kept = tables.stored_at(spark, path, tables.with_event_date(events).schema)
+    assert same(kept.select(events.columns), events)
+    # sorted by site: a file's rows change site at most as often as it has sites
+    one = spark.read.parquet(str(next((tmp_path / "events" / sorted(crowded)[-1]).glob("*.parquet")))).select("site_id").collect()
+    sites = [r[0] for r in one]
+    assert sum(a != b for a, b in zip(sites, sites[1:])) == len(set(sites)) - 1
+    work(parts[0], 6)
+    assert not (tmp_path / "events-packed/batch=5").exists()
+
+
+def test_event_tail_keeps_few_folders(spark, events, tmp_path):
+    path = tmp_path / "tail"
+    work = jobs.event_tail(str(path), limit=2)
+    for n in range(6):
+        work(events.limit(20), n)
+    assert folders(path, 1) == [f"batch={n}" for n in (3, 4, 5)]
