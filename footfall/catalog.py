@@ -750,6 +750,18 @@ def _split_live(s: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).groupBy("part", "site_id", F.col("event_date").alias("date")).agg(F.count("*").alias("events"))
 
 
+def _packed(s: SparkSession, d: str) -> DataFrame:
+    """Live ingest of many small files, whose days are packed on the way."""
+    out = tables.scratch_path(s, "packed")
+    found = web_events(s, d)
+    found.repartition(6, "id").write.parquet(f"{out}/in")
+    live = s.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    jobs.for_each_batch(live, jobs.ingest_compacted(f"{out}/events", every=2), f"{out}/state").awaitTermination()
+    kept = tables.stored_at(s, f"{out}/events", tables.with_event_date(found).schema)
+    return kept.groupBy("site_id", F.col("event_date").cast("string").alias("date")).agg(
+        F.count("*").alias("events"), F.countDistinct("id").alias("ids"))
+
+
 def _tail(s: SparkSession, d: str) -> DataFrame:
     out = tables.scratch_path(s, "tail")
     jobs.for_each_batch(
@@ -781,6 +793,7 @@ def _over_streams() -> dict:
         "S08_stream_alerts": lambda s, d: _live_rollup(s, d)[1],
         "S06b_rollup_long_sessions": lambda s, d: _long_sessions(s, d)[0],
         "S09_time_buckets": _buckets,
+        "S13_live_ingest_packed": _packed,
         "S11_late_events": _split_live,
         "S12_first_sessions": _live_first,
         "S10_stored_sessions": lambda s, d: _long_sessions(s, d)[1].select(

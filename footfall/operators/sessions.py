@@ -57,7 +57,7 @@ def mark_returning(sessions: DataFrame) -> DataFrame:
     return with_returning(sessions.filter("site_id IS NOT NULL AND user_id IS NOT NULL"))
 
 
-def sessionise_by_gap(events: DataFrame, gap_minutes: int = 30, chunk: str = "day") -> DataFrame:
+def sessionise_by_gap(events: DataFrame, gap_minutes: int = 30, chunk: str = "hour") -> DataFrame:
     """Adds `session_start` and `session_no` per (site, visitor) for logs without a session id.
     A new session opens after more than `gap_minutes` without an event."""
     keys = ["site_id", "user_id"]
@@ -71,7 +71,7 @@ def sessionise_by_gap(events: DataFrame, gap_minutes: int = 30, chunk: str = "da
     )
 
 
-def gap_sessions(events: DataFrame, gap_minutes: int = 30, chunk: str = "day") -> DataFrame:
+def gap_sessions(events: DataFrame, gap_minutes: int = 30, chunk: str = "hour") -> DataFrame:
     """One row per gap-separated session."""
     numbered = sessionise_by_gap(events, gap_minutes, chunk)
     return numbered.groupBy("site_id", "user_id", "session_no").agg(

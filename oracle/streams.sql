@@ -95,3 +95,5 @@ FROM l GROUP BY site_id, sid, user_id
 SELECT CASE WHEN n % 10 = 0 THEN 'late' ELSE 'main' END AS part, site_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, COUNT(*) AS events FROM raw_ev GROUP BY 1, 2, 3
 -- name: S12_first_sessions
 SELECT site_id, user_id, CAST(MIN(started_at) AS VARCHAR) AS first_at, ARG_MIN(id, started_at) AS session_id FROM web_sessions GROUP BY 1, 2
+-- name: S13_live_ingest_packed
+SELECT site_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, COUNT(*) AS events, COUNT(DISTINCT id) AS ids FROM web_events GROUP BY 1, 2
