@@ -3,6 +3,8 @@ restarted job continues where it stopped. Sinks are idempotent: a repeated batch
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -86,27 +88,41 @@ def sessions_live(events: DataFrame, gap: str = "30 minutes", delay: str = "10 m
         (F.col("pageviews") <= 1).alias("is_bounce"))
 
 
+def common_step(length: str, slide: str) -> str:
+    """The longest step of which both the length and the slide of a window are multiples."""
+    plain = [re.sub(r"(?i)\bweeks?\b", "W", re.sub(r"(?i)^\s*interval\s", "", span)) for span in (length, slide)]
+    nanos = [pd.Timedelta(span).value for span in plain]
+    return f"{math.gcd(*nanos) // 1000} microseconds"
+
+
 def active_visitors(
     events: DataFrame, delay: str = "10 minutes", length="5 minutes", slide="1 minute", exact: bool = False,
 ) -> DataFrame:
     """Visitors and events of sliding windows, in total and per page, device and country. By default for
-    update mode, with approximate visitors and state of one sketch a row; `exact` is for append mode: each
-    window once, when it is closed, with state per visitor of the open windows."""
-    def cell(name: str, label: Column) -> Column:
-        return F.struct(F.lit(name).alias("dimension"), label.alias("label"))
-
-    cells = F.array(
-        cell("total", F.lit("active")), cell("page", F.when(is_view(), F.col("path"))),
-        cell("device", filled("device", "Desktop")), cell("country", filled("country", "Unknown")))
-    long = events.withWatermark("timestamp", delay).select(
-        "site_id", "user_id", "timestamp", F.explode(cells).alias("c")).filter("c.label IS NOT NULL")
-    window, cell_keys = F.window("timestamp", length, slide).alias("w"), ["site_id", "c.dimension", "c.label"]
+    update mode, with approximate visitors and state of one sketch a row. `exact` is for append mode: each
+    window once, when it is closed. Open steps are kept as one row for each visitor, page, device and country; only
+    closed ones are spread over their windows, so an event that comes after its own step is closed is left out."""
+    labelled = events.withWatermark("timestamp", delay).select(
+        "site_id", "user_id", "timestamp", F.lit("active").alias("total"), F.when(is_view(), F.col("path")).alias("page"),
+        filled("device", "Desktop").alias("device"), filled("country", "Unknown").alias("country"))
+    marks = ["total", "page", "device", "country"]
     if exact:
-        each = long.groupBy(window, *cell_keys, "user_id").agg(F.count("*").alias("n"))
+        steps = labelled.groupBy(F.window("timestamp", common_step(length, slide)).alias("step"), "site_id", "user_id", *marks).agg(
+            F.count("*").alias("n"))
+        visits = steps.groupBy(F.window("step", length, slide).alias("w"), "site_id", "user_id").agg(
+            F.collect_list(F.struct(*marks, "n")).alias("parts"))
+        # each label of the visitor's parts with the events, then each distinct one with the visitor
+        lists = visits.select("w", "site_id", "user_id", F.col("parts.n").alias("counts"), F.explode(F.array(*[
+            F.struct(F.lit(m).alias("dimension"), F.col(f"parts.{m}").alias("labels")) for m in marks])).alias("c"))
+        each = lists.select("w", "site_id", "user_id", "counts", "c.dimension", F.posexplode(
+            F.concat("c.labels", F.array_distinct("c.labels"))).alias("i", "label")).filter("label IS NOT NULL")
         counted = each.groupBy("w", "site_id", "dimension", "label").agg(
-            F.count("user_id").alias("visitors"), F.sum("n").alias("events"))
+            F.count_if((F.col("i") >= F.size("counts")) & F.col("user_id").isNotNull()).alias("visitors"),
+            F.sum(F.coalesce(F.get("counts", F.col("i")), F.lit(0))).alias("events"))
     else:
-        counted = long.groupBy(window, *cell_keys).agg(
+        cells = F.array(*[F.struct(F.lit(m).alias("dimension"), F.col(m).alias("label")) for m in marks])
+        long = labelled.select("site_id", "user_id", "timestamp", F.explode(cells).alias("c")).filter("c.label IS NOT NULL")
+        counted = long.groupBy(F.window("timestamp", length, slide).alias("w"), "site_id", "c.dimension", "c.label").agg(
             F.approx_count_distinct("user_id").alias("visitors"), F.count("*").alias("events"))
     return counted.select(F.col("w.start").alias("window_start"), "site_id", "dimension", "label", "visitors", "events")
 

@@ -375,3 +375,30 @@ def test_event_tail_keeps_few_folders(spark, events, tmp_path):
     for n in range(6):
         work(events.limit(20), n)
     assert folders(path, 1) == [f"batch={n}" for n in (3, 4, 5)]
+
+
+def test_exact_visitors_keep_open_steps_not_windows(spark, tmp_path):
+    """One state row for each event at most before its step is closed, and the windows of a plain count."""
+    at = lambda i: datetime(2024, 1, 1, 10) + timedelta(seconds=47 * i)
+    rows = [(f"u{i % 3}" if i % 7 else None, at(i), "pageview" if i % 4 else "click", f"/p{i % 2}" if i % 5 else None,
+             ["Mobile", "", None][i % 3], "DE" if i % 6 else None) for i in range(60)] * 2
+    frame = spark.createDataFrame(rows, "user_id string, timestamp timestamp, type string, path string, device string, country string")
+    frame.withColumn("site_id", F.lit("s")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stored = spark.read.parquet(str(tmp_path / "in"))
+    live = jobs.active_visitors(spark.readStream.schema(stored.schema).parquet(str(tmp_path / "in")), exact=True)
+    query = live.writeStream.format("memory").queryName("exact_visitors").outputMode("append").option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    first = query.recentProgress[0]
+    assert sum(s.numRowsTotal for s in first.stateOperators) <= 60
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), c.alias("label")) for n, c in (
+        ("total", F.lit("active")), ("page", F.when(F.col("type") == "pageview", F.col("path"))),
+        ("device", F.coalesce(F.nullif("device", F.lit("")), F.lit("Desktop"))), ("country", F.coalesce("country", F.lit("Unknown"))))]))
+    plain = stored.withColumn("c", cells).filter("c.label IS NOT NULL").groupBy(
+        F.window("timestamp", "5 minutes", "1 minute").alias("w"), "site_id", "c.dimension", "c.label").agg(
+        F.countDistinct("user_id").alias("visitors"), F.count("*").alias("events"))
+    last = at(59) - timedelta(minutes=15)
+    want = plain.filter(F.col("w.start") <= F.lit(last)).select(F.col("w.start").alias("window_start"), "site_id", "dimension", "label", "visitors", "events")
+    assert same(spark.table("exact_visitors"), want) and want.count() > 0
+    assert jobs.common_step("5 minutes", "2 minutes") == "60000000 microseconds"
+    assert jobs.common_step("1 week", "interval 1 day") == "86400000000 microseconds"
