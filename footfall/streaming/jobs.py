@@ -41,8 +41,9 @@ def clean_stream(raw: DataFrame) -> DataFrame:
 
 
 def stream_ingest(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append events to the table by day, each file exactly once."""
-    return _start(with_event_date(events), "append", checkpoint, trigger).format("parquet").option(
+    """Append events to the table by day, each file exactly once. A batch is brought together by day first, so that
+    a day gets as many files as its rows need, not one from every task."""
+    return _start(with_event_date(events).hint("rebalance", *HOT_PARTITIONS), "append", checkpoint, trigger).format("parquet").option(
         "compression", "zstd").partitionBy(*HOT_PARTITIONS).start(path)
 
 

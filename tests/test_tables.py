@@ -402,3 +402,14 @@ def test_exact_visitors_keep_open_steps_not_windows(spark, tmp_path):
     assert same(spark.table("exact_visitors"), want) and want.count() > 0
     assert jobs.common_step("5 minutes", "2 minutes") == "60000000 microseconds"
     assert jobs.common_step("1 week", "interval 1 day") == "86400000000 microseconds"
+
+
+def test_live_ingest_writes_a_day_once(spark, events, tmp_path):
+    """A batch read by many tasks gives a small day one file, not one from every task."""
+    source = str(tmp_path / "in")
+    events.repartition(6).write.parquet(source)
+    live = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    jobs.stream_ingest(live, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert len(out.inputFiles()) == out.select("event_date").distinct().count()
+    assert same(out.drop("event_date"), spark.read.parquet(source))
