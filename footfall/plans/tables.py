@@ -17,6 +17,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from footfall.functions.numbers import union_all
+
 HOT_PARTITIONS = ["event_date"]
 COLD_PARTITIONS = ["site_id", "event_date"]
 
@@ -86,17 +88,27 @@ def stored_at(spark: SparkSession, path: str, schema: StructType) -> DataFrame |
 def append_new(spark: SparkSession, batch: DataFrame, path: str, *archived: str) -> None:
     """Append the rows of a batch that neither the table nor its archive has. Of both only the days in
     the batch are read back; the list of those days comes to the driver and prunes directories, so one
-    event with an odd date adds one day. Events without an id are known by their content."""
+    event with an odd date adds one day. Events without an id are known by their content. Rows are grouped only
+    if keys repeat in the batch, and joined with the stored ones only if some are there."""
     batch = with_id(batch)
     dated = with_event_date(batch)
     days = [r[0] for r in dated.select("event_date").distinct().collect()]
     if not days:
         return
-    there = [t.filter(F.col("event_date").isin(days)).select("site_id", "id")
+    keys = ["site_id", "id"]
+    there = [t.filter(F.col("event_date").isin(days)).select(*keys)
              for p in (path, *archived) if (t := stored_at(spark, p, dated.schema)) is not None]
-    new = first_per_key(batch, ["site_id", "id"])
-    for stored in there:
-        new = unseen(new, stored)
+    # one count over the keys alone tells which of the joins and groupings of whole rows are needed
+    stored = union_all(there).filter("site_id IS NOT NULL") if there else batch.select(*keys).limit(0)
+    each = batch.select(*keys, F.lit(1).alias("new")).unionByName(stored.select(*keys, F.lit(0).alias("new"))).groupBy(*keys).agg(
+        F.sum("new").alias("new"), F.count("*").alias("all")).filter("new > 0")
+    repeated, known, fresh = each.agg(
+        F.count_if(F.col("new") > 1), F.count_if(F.col("all") > F.col("new")), F.count_if(F.col("all") == F.col("new"))).first()
+    if not fresh:
+        return
+    new = first_per_key(batch, keys) if repeated else batch
+    for t in there if known else []:
+        new = new.join(t, keys, "left_anti")
     write_events(new, path)
 
 

@@ -413,3 +413,16 @@ def test_live_ingest_writes_a_day_once(spark, events, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert len(out.inputFiles()) == out.select("event_date").distinct().count()
     assert same(out.drop("event_date"), spark.read.parquet(source))
+
+
+def test_new_rows_are_appended_without_grouping(spark, events, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    kept, calls = tables.first_per_key, []
+    monkeypatch.setattr(tables, "first_per_key", lambda *a: calls.append(1) or kept(*a))
+    once = kept(events, ["site_id", "id"]).filter("site_id IS NOT NULL AND id IS NOT NULL")
+    early = once.filter("timestamp < '2024-01-15'")
+    tables.append_new(spark, early, path)
+    tables.append_new(spark, early, path)
+    assert not calls
+    tables.append_new(spark, once.union(once), path)
+    assert calls and same(spark.read.parquet(path).drop("event_date"), once)
