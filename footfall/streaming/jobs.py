@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,17 @@ from footfall.plans.tables import (
 PERIOD = {"availableNow": True}
 
 
+@contextmanager
+def held(batch: DataFrame) -> Iterator[DataFrame]:
+    """The rows of a batch, made once and kept on the executors (in memory and on disk) until its work is done. Each
+    action on a batch makes all its columns anew."""
+    rows = batch.persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def _start(df: DataFrame, mode: str, checkpoint: str, trigger: dict | None):
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(
         **(trigger or PERIOD))
@@ -62,11 +74,10 @@ def split_late(path: str, late_path: str, delay: str, received: str = "received_
     """Feeds two tables from one stream: events in time, and those that came later than `delay`. Both take each
     event once, whatever part of a batch was written before it is repeated."""
     def work(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        late = late_events(batch, delay, received)
-        in_time = batch.filter(~F.coalesce(F.col("timestamp") < F.col(received) - F.expr(f"INTERVAL {delay}"), F.lit(False)))
-        append_new(spark, in_time, path)
-        append_new(spark, late, late_path)
+        with held(batch) as rows:
+            in_time = rows.filter(~F.coalesce(F.col("timestamp") < F.col(received) - F.expr(f"INTERVAL {delay}"), F.lit(False)))
+            append_new(rows.sparkSession, in_time, path)
+            append_new(rows.sparkSession, late_events(rows, delay, received), late_path)
 
     return work
 

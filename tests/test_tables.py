@@ -426,3 +426,12 @@ def test_new_rows_are_appended_without_grouping(spark, events, tmp_path, monkeyp
     assert not calls
     tables.append_new(spark, once.union(once), path)
     assert calls and same(spark.read.parquet(path).drop("event_date"), once)
+
+
+def test_a_late_split_makes_its_batch_once(spark, events, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+    source = events.withColumn("received_at", F.col("timestamp") + F.expr("INTERVAL 2 DAYS"))
+    count = F.udf(lambda x: made.add(1) or x, "string").asNondeterministic()
+    batch = spark.createDataFrame(source.limit(50).collect(), source.schema).withColumn("path", count("path"))
+    jobs.split_late(str(tmp_path / "main"), str(tmp_path / "late"), "1 DAY")(batch, 0)
+    assert made.value == 50 and spark.read.parquet(str(tmp_path / "late")).count() == 50
