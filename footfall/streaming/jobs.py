@@ -228,11 +228,8 @@ def rollup_updates(
     `first_path` the first sessions of its visitors. `buckets`: of the tables kept by key; the same for every run.
     Touched are the days of the batch's events and those on which its sessions start or started before it.
     What the batch replaces in the sessions is kept under `<sessions_path>-staged/batch=<n>` until the next batch."""
-    def work(batch: DataFrame, n: int) -> None:
+    def update(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        drop_path(spark, f"{sessions_path}-staged/batch={n - 1}")  # of a batch that is done
-        if batch.isEmpty():
-            return
         events = read_stored(spark, events_path)
         staged = f"{sessions_path}-staged/batch={n}"
         starts = merge_sessions(batch, events, sessions_path, staged, buckets)
@@ -251,6 +248,12 @@ def rollup_updates(
             replaced = sites.join(alerts, "site_id", "left")
             overwrite_touched(replaced, alerts_path, ["site_id"])
 
+    def work(batch: DataFrame, n: int) -> None:
+        drop_path(batch.sparkSession, f"{sessions_path}-staged/batch={n - 1}")  # of a batch that is done
+        with held(batch.select("site_id", "user_id", "session_id", "timestamp")) as rows:
+            if not rows.isEmpty():
+                update(rows, n)
+
     return work
 
 
