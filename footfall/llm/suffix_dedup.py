@@ -7,11 +7,14 @@ smallest hash. Neighbouring strings with one anchor form a stretch; equal string
 1. Documents are dealt to batches and written once, bucketed by batch, so later steps move no text.
 2. Batches ask which of their distinct anchors other batches have; a bit for each comes back.
 3. Batches send their distinct stretches with such anchors, each with its smallest doc_id, to buckets by
-   anchor. A bucket sorts the suffixes of its stretches, one range of first bytes after another: by 16
+   anchor. A bucket sorts the suffixes of its stretches, one part of its anchors after another: by 16
    bytes, then by ranks of a difference-cover sample made before. Equal strings are then neighbours, are
    compared byte by byte, and give the smallest doc_id of each string.
 4. Batches get these back and cut their documents.
 
+Tasks walk a batch by pieces of its bytes, wherever documents end, and a bucket by parts, so that besides a group's own
+bytes they hold what one piece or part needs.
+
 The inside of a very common passage is one stretch a batch, however many documents have it. At its edges, and around
 any frequent gram, stretches differ by document: an anchor with more than HOT_STRETCHES of them, counted in step 2
 over all batches, is cut into its strings. These meet in buckets by a hash of the whole string and need no sorting,
@@ -22,12 +25,14 @@ An empty table gives no rows. Other columns are not looked at, whatever their na
 
 from __future__ import annotations
 
+import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.llm.common import shared_path, table
@@ -35,9 +40,16 @@ from footfall.llm.common import shared_path, table
 LENGTH = 50
 GRAM = 24
 BATCH_BYTES = 16 << 20
-PIECE_BYTES = 2 << 20
-#: Suffixes of a bucket that are sorted at once.
+#: Bytes of a batch that are hashed at once.
+PIECE_BYTES = 256 << 10
+#: Bytes of an Arrow batch that a task returns, when a row does not have more.
+RETURN_BYTES = 2 << 20
+#: Parts of a bucket's anchors that are sorted one after another.
+PARTS = 16
+#: Suffixes of a part that are sorted at once.
 BLOCK_SUFFIXES = 1 << 19
+#: Strings of hot anchors that are made or compared at once.
+BLOCK_STRINGS = 1 << 18
 #: Anchors with more distinct stretches, summed over the batches, are cut into strings; four a batch are always allowed.
 HOT_STRETCHES = 1 << 16
 PERIOD = 16
@@ -77,7 +89,7 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Stretches:
-    """Runs of strings with one anchor, over the documents of a batch."""
+    """Runs of strings with one anchor, over a piece of a batch."""
 
     first: np.ndarray  # place in the batch's bytes where the first string starts
     count: np.ndarray  # strings, one byte apart
@@ -85,41 +97,48 @@ class Stretches:
     anchor: np.ndarray
     mark: np.ndarray  # hash of all bytes
 
-
-def stretches(data: np.ndarray, starts: np.ndarray, usable: np.ndarray, length: int, gram: int = GRAM) -> Stretches:
-    """Of all documents data[starts[k]:starts[k + 1]] that are usable, some megabytes at a time."""
-    found: list[tuple[np.ndarray, ...]] = []
-    k, docs, window = 0, len(starts) - 1, length - gram + 1
-    while k < docs:
-        stop = max(k + 1, int(np.searchsorted(starts, starts[k] + PIECE_BYTES, side="right")) - 1)
-        low, part = starts[k], data[starts[k]:starts[stop]]
-        own = starts[k:stop + 1] - low
-        n = len(part) - length + 1
-        if n > 0:
-            hashes = gram_hashes(part, gram)
-            least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-            width = 1
-            while width < window:  # the leftmost smallest of the next `window` hashes
-                step = min(width, window - width)
-                least = np.minimum(least[:-step], least[step:])
-                width += step
-            at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)[:n]
-            doc = np.searchsorted(own, np.arange(n), side="right") - 1
-            inside = (np.arange(n) + length <= own[doc + 1]) & usable[k:stop][doc]
-            begins = inside.copy()
-            begins[1:] &= ~inside[:-1] | (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
-            first = np.nonzero(begins)[0]
-            group = np.cumsum(begins)[inside] - 1
-            count = np.bincount(group, minlength=len(first))
-            end = first + count - 1 + length
-            mark = count.astype(np.uint64)
-            for place in (first, first + gram, end - 2 * gram, end - gram):
-                mark = (mark ^ hashes[place]) * np.uint64(_FACTOR)
-                mark ^= mark >> np.uint64(31)
-            found.append((first + low, count, doc[first] + k, hashes[at[first]], mark))
-        k = stop
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    return Stretches(*(np.concatenate(x) for x in zip(none, *found, strict=True)))
+    @classmethod
+    def joined(cls, pieces: Iterator[Stretches], *names: str) -> list[np.ndarray]:
+        """These columns of all pieces."""
+        none = {"anchor": np.uint64, "mark": np.uint64}
+        columns = list(zip(*([getattr(p, name) for name in names] for p in pieces), strict=True)) or [()] * len(names)
+        out = []
+        for name in names:
+            out.append(np.concatenate([np.zeros(0, none.get(name, np.int64)), *columns.pop(0)]))
+        return out
+
+
+def stretches(data: np.ndarray, starts: np.ndarray, usable: np.ndarray, length: int, gram: int = GRAM) -> Iterator[Stretches]:
+    """Of all documents data[starts[k]:starts[k + 1]] that are usable, one piece of the data after another. Where a piece
+    ends, a stretch ends."""
+    window, strings = length - gram + 1, len(data) - length + 1
+    for low in range(0, strings, PIECE_BYTES):
+        n = min(PIECE_BYTES, strings - low)
+        hashes = gram_hashes(data[low:low + n + length - 1], gram)
+        least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+        width = 1
+        while width < window:  # the leftmost smallest of the next `window` hashes
+            step = min(width, window - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)[:n]
+        k, last = (np.searchsorted(starts, [low, low + n - 1], side="right") - 1).tolist()
+        sizes = np.diff(np.clip(starts[k:last + 2], low, low + n))
+        doc = np.repeat(np.arange(k, last + 1), sizes)
+        inside = np.arange(low, low + n) <= np.repeat(np.where(usable[k:last + 1], starts[k + 1:last + 2] - length, -1), sizes)
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+        first = np.nonzero(begins)[0]
+        if not len(first):
+            continue
+        group = np.cumsum(begins)[inside] - 1
+        count = np.bincount(group, minlength=len(first))
+        end = first + count - 1 + length
+        mark = count.astype(np.uint64)
+        for place in (first, first + gram, end - 2 * gram, end - gram):
+            mark = (mark ^ hashes[place]) * np.uint64(_FACTOR)
+            mark ^= mark >> np.uint64(31)
+        yield Stretches(first + low, count, doc[first], hashes[at[first]], mark)
 
 
 @dataclass
@@ -131,13 +150,16 @@ class Batch:
 
     @classmethod
     def of(cls, rows: pa.Table) -> Batch:
-        rows = rows.combine_chunks()
-        ids = rows.column("doc_id").to_pylist()
-        texts = [t or b"" for t in rows.column("text").to_pylist()]
-        return cls(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], bool),
-                   np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-
-    def stretches(self, length: int) -> Stretches:
+        ids = rows.column("doc_id").cast(pa.int64())
+        texts = pc.fill_null(rows.column("text").cast(pa.large_binary()), pa.scalar(b"", pa.large_binary())).combine_chunks()
+        starts, data = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+        if len(texts):
+            starts = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+        if starts[-1] > starts[0]:
+            data = np.frombuffer(texts.buffers()[2], np.uint8, int(starts[-1] - starts[0]), int(starts[0]))
+        return cls(pc.fill_null(ids, 0).to_numpy(), ids.is_null().to_numpy(), data, starts - starts[0])
+
+    def stretches(self, length: int) -> Iterator[Stretches]:
         return stretches(self.data, self.starts, ~self.null, length)
 
 
@@ -242,24 +264,35 @@ def smallest_ids(data: np.ndarray, places: np.ndarray, ids: np.ndarray, length:
 
 @dataclass
 class Request:
-    """Stretches of one batch for one bucket: mark, strings, smallest and largest id, bytes."""
+    """Stretches of one batch for one bucket: mark, strings, smallest and largest id, bytes; one part of the bucket after
+    another, each with that many stretches."""
 
     mark: np.ndarray
     count: np.ndarray
     low: np.ndarray
     high: np.ndarray
     data: np.ndarray
+    sizes: np.ndarray
 
     def pack(self) -> bytes:
         return b"".join([len(self.mark).to_bytes(8, "little"), self.mark.tobytes(), self.low.tobytes(), self.high.tobytes(),
-                         self.count.astype(np.uint32).tobytes(), self.data.tobytes()])
+                         self.count.astype(np.uint32).tobytes(), self.sizes.astype(np.uint32).tobytes(), self.data.tobytes()])
 
     @classmethod
-    def unpack(cls, blob: bytes) -> Request:
+    def unpack(cls, blob: pa.Buffer) -> Request:
         n = int.from_bytes(blob[:8], "little")
-        return cls(np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.uint32, n, 8 + 24 * n).astype(np.int64),
+        return cls(np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.uint32, n, 8 + 24 * n),
                    np.frombuffer(blob, np.int64, n, 8 + 8 * n), np.frombuffer(blob, np.int64, n, 8 + 16 * n),
-                   np.frombuffer(blob, np.uint8, -1, 8 + 28 * n))
+                   np.frombuffer(blob, np.uint8, -1, 8 + 28 * n + 4 * PARTS), np.frombuffer(blob, np.uint32, PARTS, 8 + 28 * n))
+
+    def parts(self, length: int) -> Iterator[Request]:
+        i = at = 0
+        for k, size in enumerate(self.sizes.tolist()):
+            count = self.count[i:i + size].astype(np.int64)
+            end = at + int(count.sum()) + size * (length - 1)
+            yield Request(self.mark[i:i + size], count, self.low[i:i + size], self.high[i:i + size], self.data[at:end],
+                          self.sizes[k:k + 1])
+            i, at = i + size, end
 
 
 def string_marks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -290,7 +323,7 @@ class Strings:
         return b"".join([self.marks.tobytes(), self.anchor.tobytes(), self.low.tobytes(), self.high.tobytes()])
 
     @classmethod
-    def unpack(cls, blob: bytes) -> Strings:
+    def unpack(cls, blob: pa.Buffer) -> Strings:
         n = len(blob) // 40
         return cls(np.frombuffer(blob, np.uint64, 2 * n).reshape(2, n), np.frombuffer(blob, np.uint64, n, 16 * n),
                    np.frombuffer(blob, np.int64, n, 24 * n), np.frombuffer(blob, np.int64, n, 32 * n))
@@ -314,11 +347,36 @@ class Strings:
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All places of the spans, one span after another."""
     before = np.cumsum(sizes) - sizes
-    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+    out = np.repeat(starts - before, sizes)
+    out += np.arange(len(out))
+    return out
 
 
-def _rows(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(schema)], names=[n for n, _ in schema])
+def _bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of the spans, one span after another."""
+    cuts = np.nonzero(np.diff(np.cumsum(sizes) // PIECE_BYTES))[0] + 1
+    return np.concatenate([data[_spans(*own)] for own in zip(np.split(starts, cuts), np.split(sizes, cuts), strict=True)])
+
+
+def _rows(schema: list[tuple[str, pa.DataType]], rows: Iterable[tuple]) -> pa.Table:
+    """The last column has the bytes."""
+    batches, part, size = [], [], 0
+
+    def close() -> None:
+        batches.append(pa.record_batch([pa.array([r[k] for r in part], t) for k, (_, t) in enumerate(schema)], names=[n for n, _ in schema]))
+
+    for row in rows:
+        part.append(row)
+        size += len(row[-1])
+        if size >= RETURN_BYTES:
+            close()
+            part, size = [], 0
+    close()
+    return pa.Table.from_batches(batches)
+
+
+def _blobs(rows: pa.Table) -> list[pa.Buffer]:
+    return [b.as_buffer() for b in rows.column("blob")]
 
 
 _BLOB = [("bucket", pa.int64()), ("batch", pa.int64()), ("blob", pa.binary())]
@@ -342,13 +400,13 @@ def requests(texts: DataFrame, buckets: int, length: int, hot_stretches: int) ->
     hot anchors."""
 
     def ask(rows: pa.Table) -> pa.Table:
-        found = Batch.of(rows).stretches(length)
-        bucket, prints, place = distinct_anchors(found.anchor, buckets)
+        anchor, mark = Stretches.joined(Batch.of(rows).stretches(length), "anchor", "mark")
+        bucket, prints, place = distinct_anchors(anchor, buckets)
         batch = rows.column("batch")[0].as_py()
         several = np.nonzero((np.bincount(place, minlength=len(prints)) > 1)[place])[0]
-        order = several[np.lexsort((found.mark[several], place[several]))]
+        order = several[np.lexsort((mark[several], place[several]))]
         new = np.ones(len(order), bool)
-        new[1:] = (place[order[1:]] != place[order[:-1]]) | (found.mark[order[1:]] != found.mark[order[:-1]])
+        new[1:] = (place[order[1:]] != place[order[:-1]]) | (mark[order[1:]] != mark[order[:-1]])
         more = np.maximum(np.bincount(place[order[new]], minlength=len(prints)) - 1, 0)  # distinct stretches but one
         out = []
         for b, i, j in _cuts(bucket):
@@ -359,7 +417,7 @@ def requests(texts: DataFrame, buckets: int, length: int, hot_stretches: int) ->
 
     def answer(rows: pa.Table) -> pa.Table:
         asked, many = [], []
-        for blob in rows.column("blob").to_pylist():
+        for blob in _blobs(rows):
             n = int.from_bytes(blob[:8], "little")
             at, more = np.frombuffer(blob, np.uint32, -1, 8 + 4 * n).reshape(2, -1)
             asked.append(np.frombuffer(blob, np.uint32, n, 8))
@@ -377,11 +435,12 @@ def requests(texts: DataFrame, buckets: int, length: int, hot_stretches: int) ->
         if not rows.num_rows:
             return _rows(_BLOB, [])
         batch, number = Batch.of(rows), rows.column("batch")[0].as_py()
-        found = batch.stretches(length)
+        names = ("first", "count", "doc", "anchor", "mark")
+        found = Stretches(*Stretches.joined(batch.stretches(length), *names))
         if not len(found.first):
             return _rows(_BLOB, [])
         bucket, prints, place = distinct_anchors(found.anchor, buckets)
-        bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
+        bits = dict(zip(answers.column("bucket").to_pylist(), _blobs(answers), strict=True))
         shared, hot = np.zeros(len(prints), bool), np.zeros(len(prints), bool)
         for b, i, j in _cuts(bucket):
             own, size = np.frombuffer(bits[b], np.uint8), -(-(j - i) // 8)
@@ -400,23 +459,32 @@ def requests(texts: DataFrame, buckets: int, length: int, hot_stretches: int) ->
         np.maximum.at(high, own, ids[rows_])
         one = rows_[first]
         to = (found.anchor[one] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        out = []
-        for b, i, j in _cuts(to[order]):
-            k = order[i:j]
-            start, count = found.first[one[k]], found.count[one[k]]
-            out.append((b, number, Request(marks[k], count, low[k], high[k], batch.data[_spans(start, count + length - 1)]).pack()))
-        if len(cut_up):
-            of = np.repeat(cut_up, found.count[cut_up])
-            marks = string_marks(batch.data, _spans(found.first[cut_up], found.count[cut_up]), length)
-            every = Strings(marks, found.anchor[of], ids[of], ids[of])
-            order, first = every.groups()
-            one = every.part(order[first])
-            one.low, one.high = np.minimum.reduceat(ids[of][order], first), np.maximum.reduceat(ids[of][order], first)
-            to = (one.marks[0] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            out += [(buckets + b, number, one.part(order[i:j]).pack()) for b, i, j in _cuts(to[order])]
-        return _rows(_BLOB, out)
+        part = (found.anchor[one] // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
+        order = np.lexsort((found.anchor[one], part, to))
+
+        def whole() -> Iterator[tuple]:
+            for b, i, j in _cuts(to[order]):
+                k = order[i:j]
+                start, count = found.first[one[k]], found.count[one[k]]
+                yield b, number, Request(marks[k], count, low[k], high[k], _bytes(batch.data, start, count + length - 1),
+                                         np.bincount(part[k], minlength=PARTS)).pack()
+
+        def strings() -> Iterator[tuple]:
+            by_anchor = cut_up[np.argsort(found.anchor[cut_up], kind="stable")]  # equal strings close together
+            block = np.cumsum(found.count[by_anchor]) // BLOCK_STRINGS
+            for own in np.split(by_anchor, np.nonzero(np.diff(block))[0] + 1) if len(by_anchor) else ():
+                of = np.repeat(own, found.count[own])
+                every = Strings(string_marks(batch.data, _spans(found.first[own], found.count[own]), length), found.anchor[of],
+                                ids[of], ids[of])
+                order, first = every.groups()
+                one = every.part(order[first])
+                one.low, one.high = np.minimum.reduceat(every.low[order], first), np.maximum.reduceat(every.high[order], first)
+                to = (one.marks[0] % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                for b, i, j in _cuts(to[order]):
+                    yield buckets + b, number, one.part(order[i:j]).pack()
+
+        return _rows(_BLOB, itertools.chain(whole(), strings()))
 
     answers = texts.groupBy("batch").applyInArrow(ask, _BLOB_TYPE).groupBy("bucket").applyInArrow(answer, _BLOB_TYPE)
     return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(send, _BLOB_TYPE)
@@ -429,35 +497,37 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
     buckets = max(8, -(-size // batch_bytes))
     texts = bucketed(docs, buckets)
 
-    def meet(rows: pa.Table) -> pa.Table:
+    def meet(rows: pa.Table) -> Iterator[tuple]:
         """The strings of hot anchors: for each batch those that start in a document with a smaller id."""
-        asked = [Strings.unpack(b) for b in rows.column("blob").to_pylist()]
-        every = Strings.joined(asked)
-        order, first = every.groups()
-        least = np.empty(len(order), np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(every.low[order], first), np.diff(np.append(first, len(order))))
-        out = []
-        for a, own, bucket, batch in zip(asked, np.split(least, np.cumsum([len(a.low) for a in asked])[:-1]),
-                                         rows.column("bucket").to_pylist(), rows.column("batch").to_pylist(), strict=True):
-            cuts = np.nonzero(own < a.high)[0]  # else no document of the batch loses anything
-            if len(cuts):
-                out.append((bucket, batch, Strings(a.marks, a.anchor, own, a.high).part(cuts).pack()))
-        return _rows(_BLOB, out)
-
-    def sort_bucket(rows: pa.Table) -> pa.Table:
-        if rows.column("bucket")[0].as_py() >= buckets:
-            return meet(rows)
-        asked = [Request.unpack(b) for b in rows.column("blob").to_pylist()]
+        asked = [Strings.unpack(b) for b in _blobs(rows)]
+        batches = rows.column("batch").to_pylist()
+        blocks = np.uint64(1 + sum(len(a.low) for a in asked) // BLOCK_STRINGS)
+        for k in range(int(blocks)):
+            parts = [a.part(np.nonzero((a.marks[0] >> np.uint64(32)) % blocks == k)[0]) for a in asked]
+            every = Strings.joined(parts)
+            order, first = every.groups()
+            if not len(order):
+                continue
+            least = np.empty(len(order), np.int64)
+            least[order] = np.repeat(np.minimum.reduceat(every.low[order], first), np.diff(np.append(first, len(order))))
+            for a, own, batch in zip(parts, np.split(least, np.cumsum([len(a.low) for a in parts])[:-1]), batches, strict=True):
+                cuts = np.nonzero(own < a.high)[0]  # else no document of the batch loses anything
+                if len(cuts):
+                    yield rows.column("bucket")[0].as_py(), batch, Strings(a.marks, a.anchor, own, a.high).part(cuts).pack()
+
+    def sort_part(asked: tuple[Request, ...], found: list[list[tuple[np.ndarray, ...]]]) -> None:
+        """For each batch the runs of strings that start in a document with a smaller id: mark, id, first string, strings."""
         mark = np.concatenate([a.mark for a in asked])
+        if not len(mark):
+            return
         count = np.concatenate([a.count for a in asked])
         low = np.concatenate([a.low for a in asked])
-        data = np.concatenate([a.data for a in asked])
         marks, first, own = np.unique(mark, return_index=True, return_inverse=True)
         least = np.full(len(marks), np.iinfo(np.int64).max)
         np.minimum.at(least, own, low)
         begin = np.cumsum(count + length - 1) - (count + length - 1)
         sizes = count[first]
-        data = data[_spans(begin[first], sizes + length - 1)]
+        data = _bytes(np.concatenate([a.data for a in asked]), begin[first], sizes + length - 1)
         begin = np.cumsum(sizes + length - 1) - (sizes + length - 1)
         ids = smallest_ids(data, _spans(begin, sizes), np.repeat(least, sizes), length)
         # runs of strings of a stretch with the same smallest id
@@ -468,18 +538,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
         run_of = np.searchsorted(np.cumsum(sizes), starts, side="right")
         firsts = np.searchsorted(run_of, np.arange(len(marks)))
         many = np.diff(np.append(firsts, len(run_of)))
-        out, done = [], 0
-        for a, bucket, batch in zip(asked, rows.column("bucket").to_pylist(), rows.column("batch").to_pylist(), strict=True):
+        done = 0
+        for a, cuts in zip(asked, found, strict=True):
             k = own[done:done + len(a.mark)]
             done += len(a.mark)
             runs = _spans(firsts[k], many[k])
             of = np.repeat(np.arange(len(k)), many[k])
-            cuts = run_id[runs] < a.high[of]  # else no document of the batch loses anything
-            runs, of = runs[cuts], of[cuts]
+            goes = run_id[runs] < a.high[of]  # else no document of the batch loses anything
+            runs, of = runs[goes], of[goes]
             if len(runs):
-                out.append((bucket, batch, b"".join([len(runs).to_bytes(8, "little"), a.mark[of].tobytes(), run_id[runs].tobytes(),
-                                                     run_from[runs].astype(np.uint32).tobytes(), run_size[runs].astype(np.uint32).tobytes()])))
-        return _rows(_BLOB, out)
+                cuts.append((a.mark[of], run_id[runs], run_from[runs].astype(np.uint32), run_size[runs].astype(np.uint32)))
+
+    def sort_bucket(rows: pa.Table) -> pa.Table:
+        bucket, batches = rows.column("bucket")[0].as_py(), rows.column("batch").to_pylist()
+        if bucket >= buckets:
+            return _rows(_BLOB, meet(rows))
+        found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in batches]
+        for asked in zip(*(Request.unpack(b).parts(length) for b in _blobs(rows)), strict=True):
+            sort_part(asked, found)
+        return _rows(_BLOB, ((bucket, batch, b"".join([sum(len(c[0]) for c in cuts).to_bytes(8, "little"),
+                                                       *(x.tobytes() for column in zip(*cuts, strict=True) for x in column)]))
+                             for batch, cuts in zip(batches, found, strict=True) if cuts))
 
     result = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
 
@@ -487,44 +566,50 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BAT
         if not rows.num_rows:
             return _rows(result, [])
         batch = Batch.of(rows)
-        steps = np.zeros(len(batch.data) + 1, np.int32)
-        blobs = list(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
-        found = batch.stretches(length) if blobs else None
-        if any(b < buckets for b, _ in blobs):
-            parts: list[list[np.ndarray]] = [[], [], [], []]
-            for blob in (blob for b, blob in blobs if b < buckets):
-                n = int.from_bytes(blob[:8], "little")
-                for part, (kind, at) in zip(parts, ((np.uint64, 0), (np.int64, 8), (np.uint32, 16), (np.uint32, 20)), strict=True):
-                    part.append(np.frombuffer(blob, kind, n, 8 + at * n))
-            mark, low, begin, many = (np.concatenate(p) for p in parts)
-            order = np.argsort(mark, kind="stable")
-            mark, low, begin, many = mark[order], low[order], begin[order].astype(np.int64), many[order].astype(np.int64)
+        gone = np.zeros(len(batch.data), bool)
+        blobs = list(zip(answers.column("bucket").to_pylist(), _blobs(answers), strict=True))
+        parts: list[list[np.ndarray]] = [[np.zeros(0, kind)] for kind in (np.uint64, np.int64, np.uint32, np.uint32)]
+        for blob in (blob for b, blob in blobs if b < buckets):
+            n = int.from_bytes(blob[:8], "little")
+            for part, (kind, at) in zip(parts, ((np.uint64, 0), (np.int64, 8), (np.uint32, 16), (np.uint32, 20)), strict=True):
+                part.append(np.frombuffer(blob, kind, n, 8 + at * n))
+        mark, low, begin, many = (np.concatenate(p) for p in parts)
+        order = np.argsort(mark, kind="stable")
+        mark, low, begin, many = mark[order], low[order], begin[order].astype(np.int64), many[order].astype(np.int64)
+        strings = [Strings.unpack(blob) for b, blob in blobs if b >= buckets]
+        if strings:
+            known = Strings.joined(strings)
+            known = known.part(np.argsort(known.marks[0], kind="stable"))
+            hot = np.unique(known.anchor)
+        for found in batch.stretches(length) if blobs else ():
+            base = int(found.first[0])
+            steps = np.zeros(int(found.first[-1] + found.count[-1]) - 1 + length - base + 1, np.int32)
             first, last = np.searchsorted(mark, found.mark, side="left"), np.searchsorted(mark, found.mark, side="right")
             runs, of = _spans(first, last - first), np.repeat(np.arange(len(first)), last - first)
             goes = low[runs] < batch.ids[found.doc[of]]
-            runs, start = runs[goes], found.first[of[goes]]
+            runs, start = runs[goes], found.first[of[goes]] - base
             np.add.at(steps, start + begin[runs], 1)
             np.add.at(steps, start + begin[runs] + many[runs] - 1 + length, -1)
-        if any(b >= buckets for b, _ in blobs):
-            known = Strings.joined([Strings.unpack(blob) for b, blob in blobs if b >= buckets])
-            known = known.part(np.argsort(known.marks[0], kind="stable"))
-            rows_ = np.nonzero(np.isin(found.anchor, known.anchor))[0]
-            start, doc = _spans(found.first[rows_], found.count[rows_]), np.repeat(found.doc[rows_], found.count[rows_])
-            marks = string_marks(batch.data, start, length)
-            first, last = np.searchsorted(known.marks[0], marks[0], side="left"), np.searchsorted(known.marks[0], marks[0], side="right")
-            runs, of = _spans(first, last - first), np.repeat(np.arange(len(first)), last - first)
-            start = start[of[(known.marks[1][runs] == marks[1][of]) & (known.low[runs] < batch.ids[doc[of]])]]
-            np.add.at(steps, start, 1)
-            np.add.at(steps, start + length, -1)
-        gone = np.cumsum(steps)[:-1] > 0
-        out = []
-        for doc_id, i, j in zip(rows.column("doc_id").to_pylist(), batch.starts[:-1].tolist(), batch.starts[1:].tolist(), strict=True):
-            own = gone[i:j]
-            removed = int(own.sum())
-            spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if removed else 0
-            kept = batch.data[i:j][~own] if removed else batch.data[i:j]
-            out.append((doc_id, j - i, removed, spans, kept.tobytes()))
-        return _rows(result, out)
+            rows_ = np.nonzero(np.isin(found.anchor, hot))[0] if strings else ()
+            if len(rows_):
+                start, doc = _spans(found.first[rows_], found.count[rows_]), np.repeat(found.doc[rows_], found.count[rows_])
+                marks = string_marks(batch.data, start, length)
+                first, last = np.searchsorted(known.marks[0], marks[0], side="left"), np.searchsorted(known.marks[0], marks[0], side="right")
+                runs, of = _spans(first, last - first), np.repeat(np.arange(len(first)), last - first)
+                start = start[of[(known.marks[1][runs] == marks[1][of]) & (known.low[runs] < batch.ids[doc[of]])]] - base
+                np.add.at(steps, start, 1)
+                np.add.at(steps, start + length, -1)
+            gone[base:base + len(steps) - 1] |= np.cumsum(steps)[:-1] > 0
+
+        def kept() -> Iterator[tuple]:
+            for doc_id, i, j in zip(rows.column("doc_id").to_pylist(), batch.starts[:-1].tolist(), batch.starts[1:].tolist(), strict=True):
+                own = gone[i:j]
+                removed = int(own.sum())
+                spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if removed else 0
+                left = batch.data[i:j][~own] if removed else batch.data[i:j]
+                yield doc_id, j - i, removed, spans, left.tobytes()
+
+        return _rows(result, kept())
 
     sent = requests(texts, buckets, length, hot_stretches)
     cuts = sent.groupBy("bucket").applyInArrow(sort_bucket, _BLOB_TYPE)

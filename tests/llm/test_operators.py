@@ -5,10 +5,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import DataFrame, functions as F
 
@@ -293,6 +296,46 @@ def test_hot_anchors_are_split(spark):
     assert len(strings) == 8 and max(strings) < 1.3 * min(strings)
 
 
+class LocalGroups:
+    """A table whose groups are worked here. Keeps the most memory a function took for a group, by its name."""
+
+    def __init__(self, rows, peaks, key=None, other=None):
+        self.rows, self.peaks, self.key, self.other = rows, peaks, key, other
+
+    def groupBy(self, key):
+        return LocalGroups(self.rows, self.peaks, key)
+
+    def cogroup(self, other):
+        return LocalGroups(self.rows, self.peaks, self.key, other)
+
+    def applyInArrow(self, run, schema):
+        out = []
+        for value in pc.unique(self.rows[self.key]):
+            args = [x.rows.filter(pc.equal(x.rows[x.key], value)) for x in (self, self.other) if x]
+            tracemalloc.start()
+            out.append(run(*args))
+            self.peaks[run.__name__] = max(self.peaks.get(run.__name__, 0), tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        return LocalGroups(pa.concat_tables(out), self.peaks)
+
+
+@pytest.mark.parametrize("size", [1_000, 1_500_000])
+def test_suffix_dedup_holds_a_piece_at_once(spark, monkeypatch, size):
+    """Two batches of 3 MB with the same texts: no task takes more than a few times its group, also if a batch is two
+    documents."""
+    rng = np.random.default_rng(8)
+    text = rng.integers(97, 123, 3_000_000).astype(np.uint8).tobytes()
+    texts = [text[k:k + size] for k in range(0, len(text), size)]
+    rows = pa.table({"doc_id": pa.array(range(2 * len(texts)), pa.int64()), "text": pa.array(texts * 2, pa.binary()),
+                     "batch": pa.array([0] * len(texts) + [1] * len(texts), pa.int64())})
+    peaks = {}
+    monkeypatch.setattr(suffix_dedup, "bucketed", lambda docs, batches: LocalGroups(rows, peaks))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string")).rows.to_pylist()
+    assert [r["kept"] for r in sorted(got, key=lambda r: r["doc_id"])] == texts + [b""] * len(texts)
+    assert sum(r["n_removed"] for r in got) == len(text) and len(got) == 2 * len(texts)
+    assert max(peaks.values()) < 60e6 and peaks["sort_bucket"] < 25e6
+
+
 def test_suffix_sorting_in_blocks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_SUFFIXES", 500)
     rng = np.random.default_rng(3)
