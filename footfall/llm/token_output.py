@@ -17,6 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,20 @@ END_ID = 1
 DOCS_PER_PART = 10_000
 PIECE = 8 << 20
 SUB_BLOCK = 1024
-#: Words whose ids a generation of a task's cache keeps, one piece more at most (two generations: about 150 MB).
-CACHED_WORDS = 400_000
+#: Words in a text that is made of them, and words encoded at a time.
+JOINED, BATCH = 512, 16_384
+#: Bytes of known words and their ids that a task keeps from piece to piece.
+CACHED_BYTES = 48 << 20
+IDS = pa.large_list(pa.uint32())
+#: Letters up to U+00FF beyond ASCII, and ASCII punctuation, in a regular expression's brackets.
+LETTERS, LOWER_LETTERS, MARKS = "À-ÖØ-öø-ÿ", "ß-öø-ÿ", r"!-/:-@\[-`{-~"
 
 #: Fixed values of Simple-8b: (ids in a word, bits of each) for the selectors 1 to 14.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNTS = np.array([1, *[c for c, _ in SELECTORS]], np.int64)
 LIMITS = np.array([1 << b for _, b in SELECTORS], np.uint64)
+#: The narrowest selector for one id, by the id: for those of up to 16 bits.
+NEEDED = (np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right") + 1).astype(np.uint8)
 MAGIC = b"S8B1"
 HEADER = struct.Struct("<4sIQQ")
 _PAD = 60
@@ -47,11 +55,14 @@ def encode(ids: np.ndarray, sub_block: int = SUB_BLOCK) -> bytes:
     at once, by maxima over growing windows; then each sub-block hops from word to word, all in step."""
     n = len(ids)
     blocks = -(-n // sub_block)
-    rows = np.zeros((blocks, sub_block + _PAD), np.uint64)
-    flat = np.zeros(blocks * sub_block, np.uint64)
+    rows = np.zeros((blocks, sub_block + _PAD), ids.dtype)
+    flat = np.zeros(blocks * sub_block, ids.dtype)
     flat[:n] = ids
     rows[:, :sub_block] = flat.reshape(blocks, sub_block)
-    need = (np.searchsorted(LIMITS, rows.ravel(), side="right") + 1).astype(np.uint8).reshape(rows.shape)
+    if n and ids.max() < len(NEEDED):
+        need = NEEDED.take(rows)
+    else:
+        need = (np.searchsorted(LIMITS, rows.ravel(), side="right") + 1).astype(np.uint8).reshape(rows.shape)
     chosen = np.zeros(rows.shape, np.uint8)
     widest, width = need, 1
     for selector in range(len(SELECTORS), 0, -1):
@@ -69,22 +80,22 @@ def encode(ids: np.ndarray, sub_block: int = SUB_BLOCK) -> bytes:
         place = place + COUNTS[chosen[row, place]]
         on = place < lengths[row]
         row, place = row[on], place[on]
-    row, place = np.nonzero(first)
-    selectors = chosen[row, place]
+    spots, rows = np.nonzero(first.ravel())[0], rows.ravel()
+    selectors = chosen.ravel()[spots]
     size = 1 + (selectors == 0)
     at = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
     for selector in np.unique(selectors):
         here = np.nonzero(selectors == selector)[0]
         if selector == 0:
-            words[at[here] + 1] = rows[row[here], place[here]]
+            words[at[here] + 1] = rows[spots[here]]
             continue
         count, bits = SELECTORS[selector - 1]
-        packed = np.zeros(len(here), np.uint64)
+        spot, packed = spots[here], np.full(len(here), selector, np.uint64)
         for k in range(count):
-            packed |= rows[row[here], place[here] + k] << np.uint64(4 + k * bits)
-        words[at[here]] = packed | np.uint64(selector)
-    starts = at[np.searchsorted(row, np.arange(blocks))] if blocks else np.zeros(0, np.int64)
+            packed |= rows.take(spot + k).astype(np.uint64) << np.uint64(4 + k * bits)
+        words[at[here]] = packed
+    starts = at[np.searchsorted(spots, np.arange(blocks) * (sub_block + _PAD))] if blocks else np.zeros(0, np.int64)
     return HEADER.pack(MAGIC, sub_block, n, len(words)) + starts.astype("<u8").tobytes() + words.astype("<u8").tobytes()
 
 
@@ -102,110 +113,110 @@ def decode(payload: bytes) -> np.ndarray:
             raw[k + 1] = True
     counts = np.where(raw, 0, COUNTS[np.where(selectors < len(COUNTS), selectors, 0)])
     before = np.cumsum(counts) - counts
-    row = np.searchsorted(starts, np.arange(n_words), side="right") - 1
-    place = before - before[starts[row]] if n_words else before
-    out = np.zeros((blocks, sub_block + _PAD), np.uint64)
+    row = np.repeat(np.arange(blocks), np.diff(starts, append=n_words))
+    place = before + row * (sub_block + _PAD) - before[starts][row] if n_words else before
+    out = np.zeros(blocks * (sub_block + _PAD), np.uint64)
     for selector in np.unique(selectors[~raw]):
         here = np.nonzero((selectors == selector) & ~raw)[0]
         if selector == 0:
-            out[row[here], place[here]] = words[here + 1]
+            out[place[here]] = words[here + 1]
             continue
         count, bits = SELECTORS[selector - 1]
+        spot, word = place[here], words[here]
         for k in range(count):
-            out[row[here], place[here] + k] = (words[here] >> np.uint64(4 + k * bits)) & np.uint64((1 << bits) - 1)
-    return out[:, :sub_block].reshape(-1)[:n]
+            out[spot + k] = (word >> np.uint64(4 + k * bits)) & np.uint64((1 << bits) - 1)
+    return out.reshape(blocks, -1)[:, :sub_block].reshape(-1)[:n] if blocks else out
 
 
 class Encoder:
     """Ids of whole texts, by way of their distinct words.
 
     The tokenizer's rules never look across white space, so a text's ids are its words' ids one after
-    another; a text of 100 words is mostly words that were seen before. New words are encoded many in a
-    text, with the digit 0 between them: digits are always tokens of their own. A comma or full stop
-    behind an ASCII letter or digit is a token of its own too, and case of ASCII letters never matters,
-    except in the names of special tokens."""
+    another; a text of 100 words is mostly words that were seen before. ASCII punctuation that ends a word
+    behind a letter or digit is a run of its own, so it is taken as a word, and case of letters up to \u00ff
+    never matters; both except in words that may hold the name of a special token. New words are encoded many
+    in a text: words of letters alone are told apart by the tokens that end a word, others by the digit 0
+    between them, for digits are always tokens of their own."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids
-        self.tails = {t: self._one(t) for t in ".,"}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known, self.ids = pa.array([], pa.string()), pa.array([], IDS)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _one(self, word: str) -> bytes:
-        return self._ids([word])[0].tobytes()
-
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if "0" not in w]
-        found = {w: self._one(w) for w in words if "0" in w}
-        parts = [plain[k:k + 512] for k in range(0, len(plain), 512)]
-        for k in range(0, len(parts), 32):
-            for some, ids in zip(parts[k:k + 32], self._ids(list(map(" 0 ".join, parts[k:k + 32]))), strict=True):
-                cut = np.nonzero(ids == self.zero[0])[0]
-                if len(cut) != len(some) - 1:  # not expected of any tokenizer that keeps digits apart
-                    found.update((w, self._one(w)) for w in some)
-                    continue
-                ends, raw = [*(4 * cut).tolist(), 4 * len(ids)], ids.tobytes()
-                found.update((w, raw[i:j]) for w, i, j in zip(some, [0, *[e + 4 for e in ends]], ends, strict=False))
+    def _alone(self, words: pa.Array) -> pa.Array:
+        ids = [i for k in range(0, len(words), BATCH) for i in self._ids(words.slice(k, BATCH).to_pylist())]
+        return pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, ids)]), np.concatenate([np.zeros(0, np.uint32), *ids]))
+
+    def _joined(self, words: pa.Array, letters: bool) -> pa.Array:
+        starts = [*range(0, len(words), JOINED), len(words)]
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words), " " if letters else " 0 ").to_pylist()
+        found = [pa.array([], IDS)]
+        for k in range(0, len(texts), BATCH // JOINED):
+            for start, ids in zip(starts[k:], self._ids(texts[k:k + BATCH // JOINED]), strict=False):
+                if letters:
+                    ends = np.nonzero(self.ends[ids])[0] + 1
+                else:
+                    cut = np.nonzero(ids == self.zero[0])[0]
+                    ends, ids = np.append(cut, len(ids)) - np.arange(len(cut) + 1), np.delete(ids, cut)
+                some = words.slice(start, JOINED)
+                if len(ends) == len(some):
+                    found.append(pa.LargeListArray.from_arrays(np.append(0, ends), ids))
+                else:  # not expected of any tokenizer that keeps digits apart and marks the ends of words
+                    found.append(self._alone(some))
+        return pa.concat_arrays(found)
+
+    def _encode(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The words in another order, and their ids."""
+        letters, zeros = pc.match_substring_regex(words, f"^[a-z{LOWER_LETTERS}]+$"), pc.match_substring(words, "0")
+        kinds = [words.filter(k) for k in (letters, zeros, pc.invert(pc.or_(letters, zeros)))]
+        return pa.concat_arrays(kinds), pa.concat_arrays([self._joined(kinds[0], True), self._alone(kinds[1]), self._joined(kinds[2], False)])
+
+    def words(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words. Words are kept for later ones; when these get many, only those of now."""
+        at = pc.index_in(words, value_set=self.known)
+        missing = words.filter(at.is_null())
+        new, ids = self._encode(missing)
+        at = pc.replace_with_mask(at, at.is_null(), pc.add(pc.index_in(missing, value_set=new), pa.scalar(len(self.known), pa.int32())))
+        self.known, self.ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.ids, ids])
+        found = self.ids.take(at)
+        if self.known.nbytes + self.ids.nbytes > CACHED_BYTES:
+            self.known, self.ids = words, found
         return found
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words. Known words are kept in two generations, so frequent ones stay."""
-        ids = list(map(self.young.get, words))
-        missing = [k for k, found in enumerate(ids) if found is None]
-        for k in missing:
-            ids[k] = self.old.get(words[k])
-        new = self._encode([words[k] for k in missing if ids[k] is None])
-        for k in missing:
-            if ids[k] is None:
-                ids[k] = new[words[k]]
-            self.young[words[k]] = ids[k]
-        if len(self.young) > CACHED_WORDS:
-            self.young, self.old = {}, self.young
-        return ids
-
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with its end id, and the texts' lengths."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
         # distinct words without their tails and case, and what each of those has behind it
-        raw = coded.dictionary
-        tailed = pc.match_substring_regex(raw, "[0-9A-Za-z][.,]$")
-        tail = np.where(tailed.to_numpy(zero_copy_only=False), pc.equal(pc.utf8_slice_codeunits(raw, -1), ",").to_numpy(zero_copy_only=False) + 1, 0)
-        base = pc.if_else(tailed, pc.utf8_slice_codeunits(raw, 0, -1), raw)
-        lowered = pc.and_(pc.string_is_ascii(base), pc.invert(pc.match_substring(base, "<|")))
-        based = pc.if_else(lowered, pc.ascii_lower(base), base).dictionary_encode()
-        ids = [*self.words(based.dictionary.to_pylist()), b"", self.tails["."], self.tails[","], np.array([end_id], np.uint32).tobytes()]
-        n = len(based.dictionary)
-        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        pool = np.frombuffer(b"".join(ids), np.uint32)
-        starts = np.cumsum(lengths, dtype=np.int32) - lengths
-        # every occurrence: the word, then its tail if it has one; behind each text the end id
-        occurrence = coded.indices.to_numpy()
-        behind = tail[occurrence]
+        raw, n = coded.dictionary, len(coded.dictionary)
+        plain = pc.invert(pc.match_substring(raw, "<|"))
+        tailed = pc.and_(plain, pc.match_substring_regex(raw, f"[0-9A-Za-z{LETTERS}][{MARKS}]+$"))
+        base = pc.if_else(tailed, pc.ascii_rtrim(raw, punctuation), raw)
+        base = pc.if_else(pc.and_(plain, pc.match_substring_regex(base, f"^[!-~{LETTERS}]+$")), pc.utf8_lower(base), base)
+        tails = pc.struct_field(pc.extract_regex(raw.filter(tailed), f"[0-9A-Za-z{LETTERS}](?P<tail>[{MARKS}]+)$"), "tail")
+        based = pa.concat_arrays([base, tails]).dictionary_encode()
+        at, has = based.indices.to_numpy(), tailed.to_numpy(zero_copy_only=False)
+        pairs, none = np.zeros((n, 2), np.int32), np.ones((n, 2), bool)
+        pairs[:, 0], pairs[has, 1], none[:, 0], none[has, 1] = at[:n], at[n:], False, False
+        halves = self.words(based.dictionary).take(pa.array(pairs.ravel(), mask=none.ravel()))
+        items = pa.concat_arrays([pa.LargeListArray.from_arrays(halves.offsets.to_numpy()[::2], halves.values), pa.array([[end_id]], IDS)])
+        # every occurrence, and behind each text the end id
         bounds = lists.offsets.to_numpy().astype(np.int64)
-        bounds = bounds - bounds[0]
-        wide = np.concatenate([[0], np.cumsum(1 + (behind > 0))])
-        codes = np.empty(int(wide[-1]) + len(bounds) - 1, np.int32)
-        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        place = wide[:-1] + text
-        codes[place] = based.indices.to_numpy()[occurrence]
-        has = np.nonzero(behind)[0]
-        codes[place[has] + 1] = n + behind[has]
-        ends = wide[bounds[1:]] + np.arange(len(bounds) - 1)
-        codes[ends] = len(ids) - 1
-        each = lengths[codes]
-        until = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
-        kind = np.int32 if until[-1] < 1 << 31 else np.int64
-        places = np.repeat((starts[codes] - until[:-1]).astype(kind), each)
-        places += np.arange(until[-1], dtype=kind)
-        return pool.take(places), np.diff(until[np.concatenate([[0], ends + 1])])
+        ends = bounds[1:] - bounds[0] + np.arange(len(bounds) - 1)
+        codes, of_words = np.full(len(coded) + len(ends), n, np.int32), np.ones(len(coded) + len(ends), bool)
+        of_words[ends] = False
+        codes[of_words] = coded.indices.to_numpy()
+        found = items.take(pa.array(codes))
+        return found.values.to_numpy(), np.diff(found.offsets.to_numpy()[np.concatenate([[0], ends + 1])])
 
 
 @cache

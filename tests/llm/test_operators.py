@@ -255,6 +255,37 @@ def test_words_are_encoded_like_whole_texts():
         assert ids[end - n:end].tolist() == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+def test_words_that_differ_in_case_or_punctuation_are_encoded_once(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    encoder = token_output.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    sent, ids_of = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: sent.extend(texts) or ids_of(texts))
+    words = [f"{a}{b}{c}" for a in ("haus", "\u00e4ther", "ni\u00f1o") for b in ("end", "ung", "caf\u00e9") for c in "abcdefgh"]
+    shown = [" ".join(f"{change(w)}{tail}" for w in words) for change in (str, str.title, str.upper) for tail in ("", "!!!", "***", ".&&&", ",")]
+    ids, lengths = encoder.texts(pa.array(shown), 1)
+    for text, end, n in zip(shown, np.cumsum(lengths), lengths, strict=True):
+        assert ids[end - n:end].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    assert sum(map(len, sent)) < 1.2 * sum(len(w) + 1 for w in words) and not any("0" in t for t in sent if "haus" in t)
+
+
+@pytest.mark.parametrize("cached", [1 << 20, 1_000])
+def test_odd_words_are_encoded_like_whole_texts(cached, monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_output, "CACHED_BYTES", cached)
+    encoder, rng = token_output.Encoder(public_tokenizers.path("word_bpe_49k.json")), np.random.default_rng(8)
+    letters = [*"abXY'sStdD019.,!?*&|<>/-_~()\"   \n", *"\u00e9\u00c9\u00df\u00d7\u00b5\u0130\u212a\u0301\u0338\u4e2d\u00a0\u3000\u00b2\x1c\x00\x7f", "'ll", "<|endoftext|>", "<|", "|>", "</w>", "***"]
+    for _ in range(4):
+        texts = [None, "", *["".join(rng.choice(letters, rng.integers(60))) for _ in range(300)]]
+        ids, lengths = encoder.texts(pa.array(texts), 1)
+        for text, end, n in zip(texts, np.cumsum(lengths), lengths, strict=True):
+            assert ids[end - n:end].tolist() == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        assert (token_output.decode(token_output.encode(ids)) == ids).all()
+
+
 def brute_repeats(data, length=50) -> dict:
     first, out = {}, {}
     for doc_id, text in data:
